@@ -15,7 +15,6 @@ at a time is bounded however large the benchmark is; a usual benchmark is one pa
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import ALNUM, Text, Words, pieces
+from .session import annotate, original
+from .words import ALNUM, Text, Words
 
 WIDTH = 10
 #: Most windows of a pack; each takes about 1 KB in a task.
@@ -120,34 +120,42 @@ def _packs(benchmark: DataFrame, width: int) -> Iterator[list[tuple[str, list[by
         yield pack
 
 
+def _hits(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
+    context = docs.sparkSession.sparkContext
+    packs = [context.broadcast(p) for p in _packs(benchmark, width)]
+
+    def search():
+        one = Tables(packs[0].value, width) if len(packs) == 1 else None
+
+        def of_piece(text: Text) -> list[pa.Array]:
+            words = text.words(ALNUM, lower=True)
+            marks = np.zeros(len(words.hashes) + 1, np.int64)
+            items: list[set[str]] = [set() for _ in range(len(words.bounds) - 1)]
+            for tables in [one] if one else (Tables(p.value, width) for p in packs):
+                for first, n, found in tables.hits(words):
+                    marks[first] += 1
+                    marks[first + n] -= 1
+                    items[int(np.searchsorted(words.bounds, first, side="right")) - 1] |= found
+            covered = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.cumsum(marks[:-1]) > 0, dtype=np.int64)])
+            n_hit = covered[words.bounds[1:]] - covered[words.bounds[:-1]]
+            return [pa.array(words.counts().astype(np.int64)), pa.array(n_hit), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+
+        return of_piece
+
+    return annotate(docs, "n_words bigint, n_hit bigint, items array<string>", search)
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_hit (words inside any occurrence), items (their ids, as sorted strings, once each).
 
     One pass over the texts, without a shuffle; packs of patterns are read one after another in each task.
     """
-    context = docs.sparkSession.sparkContext
-    packs = [context.broadcast(p) for p in _packs(benchmark, width)]
+    return _hits(docs.select("doc_id", "text"), benchmark, width).select(F.col("__0").alias("doc_id"), "n_words", "n_hit", "items")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = Tables(packs[0].value, width) if len(packs) == 1 else None
-        for batch in batches:
-            for lo, hi, text in pieces(batch.column(1)):
-                words = text.words(ALNUM, lower=True)
-                marks = np.zeros(len(words.hashes) + 1, np.int64)
-                items: list[set[str]] = [set() for _ in range(hi - lo)]
-                for tables in [one] if one else (Tables(p.value, width) for p in packs):
-                    for first, n, found in tables.hits(words):
-                        marks[first] += 1
-                        marks[first + n] -= 1
-                        items[int(np.searchsorted(words.bounds, first, side="right")) - 1] |= found
-                covered = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.cumsum(marks[:-1]) > 0, dtype=np.int64)])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(words.counts().astype(np.int64)), pa.array(covered[words.bounds[1:]] - covered[words.bounds[:-1]]), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "n_hit", "items"],
-                )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(search, f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>")
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of docs in which no pattern occurs, with all their columns. No shuffle."""
+    return original(_hits(docs, benchmark, width).filter("n_hit = 0"), docs)
 
 
 def digest(rows: DataFrame) -> DataFrame:
@@ -155,7 +163,3 @@ def digest(rows: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
-
-
-def sha256(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -10,7 +10,6 @@ Words are `[^\\x20\\x09-\\x0D]+`. A null or empty text has no words: all its mea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -19,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import annotate, original
 from .words import LINES, SPACED, Text, mix, pieces, windows
 
 WINDOW = 8
@@ -99,21 +99,27 @@ def repeated(words, width: int = WINDOW) -> np.ndarray:
     return covered[words.bounds[1:]] - covered[words.bounds[:-1]] if len(n) else n
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi, text in pieces(batch.column(1)):
-            found = measured(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(found[m]) for m in MEASURES)], names=["doc_id", *MEASURES])
+def _measures(docs: DataFrame) -> DataFrame:
+    fields = ", ".join(f"{m} bigint" for m in MEASURES)
+    return annotate(docs, fields, lambda: lambda text: [pa.array(found[m]) for found in [measured(text)] for m in MEASURES])
 
 
-def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, all measures and fail_bits: bit b is set if the rule with that bit failed. No shuffle."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_measure, f"doc_id {kind}, " + ", ".join(f"{m} bigint" for m in MEASURES))
+def _with_bits(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     bits = reduce(Column.bitwiseOR, (F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("bigint") for r in rules), F.lit(0).cast("bigint"))
     return rows.withColumn("fail_bits", bits)
 
 
+def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, all measures and fail_bits: bit b is set if the rule with that bit failed. No shuffle."""
+    rows = _measures(docs.select("doc_id", "text"))
+    return _with_bits(rows.select(F.col("__0").alias("doc_id"), *MEASURES), rules)
+
+
+def keep(docs: DataFrame, version: int = CURRENT, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs that the policy keeps, with all their columns. No shuffle."""
+    return original(apply_policy(_with_bits(_measures(docs), rules), version).filter("kept"), docs)
+
+
 def mask(version: int = CURRENT, rules: tuple[Rule, ...] = RULES) -> int:
     return sum(1 << r.bit for r in rules if r.name in POLICIES[version])
 

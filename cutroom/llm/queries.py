@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_model, license_scan, near_dedup, quality_rules, sharding, source_mix, token_counts, toxicity
+from . import decontaminate, language_model, license_scan, line_dedup, near_dedup, quality_rules, sharding, source_mix, token_counts, toxicity
 from .session import table
 
 
@@ -33,6 +33,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_quality_rules, op3_source_mix, op4_decontaminate, op5_toxicity, op7_near_dedup, op8_sharding, op9_license_scan, op10_language_model)
+    for f in (op1_token_counts, op2_quality_rules, op3_source_mix, op4_decontaminate, op5_toxicity, op6_line_dedup, op7_near_dedup, op8_sharding, op9_license_scan, op10_language_model)
 }
 
 ORACLE_SQL: dict[str, str] = {}

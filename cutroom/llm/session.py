@@ -3,26 +3,70 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .words import Text, pieces
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared checkpoint folder; its lineage ends there.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only a local master without
-    that setting (tests, a laptop) gets a folder of its own.
+def shared_folder(spark: SparkSession) -> str:
+    """This session's folder under the one that the cluster names in spark.checkpoint.dir.
+
+    Only a local master without that setting (tests, a laptop) gets a folder of its own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cutroom-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared folder; its lineage ends there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder as Parquet and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def annotate(docs: DataFrame, fields: str, of_piece: Callable[[], Callable[[Text], list[pa.Array]]]) -> DataFrame:
+    """docs with more columns, made from whole texts piece by piece; no shuffle.
+
+    of_piece, called once a task, gives what makes the new columns' values of each piece. The columns of
+    docs are kept as __0, __1 ... in order, so no name can clash; text is read as a string.
+    """
+    at = docs.columns.index("text")
+    named = docs.toDF(*(f"__{i}" for i in range(len(docs.columns)))).withColumn(f"__{at}", F.col(f"__{at}").cast("string"))
+    new = [f.name for f in T._parse_datatype_string(fields).fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = of_piece()
+        for batch in batches:
+            for lo, hi, text in pieces(batch.column(at)):
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns, *make(text)], names=[*part.schema.names, *new])
+
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema.fields)
+    return named.mapInArrow(run, f"{kept}, {fields}")
+
+
+def original(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, out of what annotate() made."""
+    return rows.select(*(F.col(f"__{i}").cast(f.dataType).alias(f.name) for i, f in enumerate(docs.schema.fields)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,7 +6,7 @@ truncated at the total budget, so every source is served in proportion to its ta
 A source may be served again from its start (`most` times at most); then its words count on.
 
 A null or empty text has size 0 and takes nothing. A null source is a source of its own, the last.
-Rows that agree in doc_id, size and source are interchangeable. An empty table gives no rows.
+Rows that agree in doc_id, size and source are taken together, equally often. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -60,14 +60,17 @@ def _crossing(served: DataFrame, low: float, width: float, budget: float) -> tup
     return low, budget, False
 
 
-def plan(docs: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
+def _sizes() -> Column:
+    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def plan(docs: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix") -> DataFrame:
     """doc_id, source, size, source_size, target, copies (0 to most) and taken (size * copies).
 
-    keep: more columns of docs to carry along. Whole documents are taken; a source's taken words miss
-    its target by less than two documents, and the total by less than one.
+    Whole documents are taken; a source's taken words miss its target by less than two documents, and the
+    total by less than one.
     """
-    extra = [F.col(c).alias(f"__keep_{i}") for i, c in enumerate(keep)]
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), *extra)
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), _sizes().alias("size"))
     sized = cut(sized.withColumns({"place": _place(seed), "source_key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))}))
     aimed = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, share, most)
     aimed = aimed.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source")
@@ -78,7 +81,7 @@ def plan(docs: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5
     ahead = Window.partitionBy("source_key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = dealt.groupBy("source_key", "block").agg(F.sum("size").alias("block_size"))
     begins = sums.select("source_key", "block", F.coalesce(F.sum("block_size").over(ahead), F.lit(0)).alias("begin"))
-    within = Window.partitionBy("source_key", "block").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source_key", "block").orderBy("place", "doc_id", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     queued = dealt.join(begins, ["source_key", "block"]).withColumn("upto", F.col("begin") + F.sum("size").over(within))
     queued = cut(queued.join(aimed, "source_key").drop("begin", "block", "source_key"))
 
@@ -93,7 +96,7 @@ def plan(docs: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5
         if not found:
             break
         served, width = served.filter((F.col("finish") >= low) & (F.col("finish") < low + width)), width / RANGES
-    order = Window.orderBy("finish", "place", "turn", "doc", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.orderBy("finish", "place", "turn", "doc", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     last = None
     if found:  # the few documents whose finish times differ by less than 2 / RANGES ** 2
         upto = served.filter((F.col("finish") >= low) & (F.col("finish") < low + width * RANGES)).withColumn("sum", F.sum("size").over(order))
@@ -108,12 +111,20 @@ def plan(docs: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5
 
     copies = sum((taken(t) for t in range(1, most)), taken(0)).cast("int")
     out = queued.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", *(F.col(f"__keep_{i}").alias(c) for i, c in enumerate(keep)))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def _row_key() -> Column:
+    whole = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    return F.concat_ws("\x1f", whole("doc_id"), whole("source"), F.col("__size").cast("string"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """docs as mixed: each row as often as the mix takes it, with all its columns."""
-    names = [c for c in docs.columns if c not in ("doc_id", "source")]
-    planned = plan(docs, keep=tuple(names), **options)
-    repeated = planned.filter("copies > 0").withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*docs.columns)
+    """docs as mixed: each row as often as the mix takes it, with all its columns.
+
+    The mix is planned without texts, which are joined to it once, by doc_id, source and size.
+    """
+    planned = plan(docs, **options).filter("copies > 0").withColumnRenamed("size", "__size")
+    planned = planned.select(_row_key().alias("__row"), F.col("copies").alias("__copies")).distinct()
+    rows = docs.withColumn("__size", _sizes()).withColumn("__row", _row_key()).join(planned, "__row")
+    return rows.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
