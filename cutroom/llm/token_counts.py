@@ -15,6 +15,7 @@ one text and a trie of at most NODES nodes (then it begins anew, which changes n
 from __future__ import annotations
 
 import base64
+import gc
 import math
 from collections.abc import Iterator
 
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 # Fixed value: the published splitting pattern of the byte-level vocabularies.
 PRE_TOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-NODES = 150_000
+NODES = 400_000
+_SCORE = -1
 
 
 def read_ranks(path: str = VOCABULARY) -> list[bytes]:
@@ -43,17 +45,13 @@ def zipf_scores(ranked: list[bytes]) -> dict[bytes, float]:
 
 class TokenTrie:
     def __init__(self, scores: dict[bytes, float], nodes: int = NODES):
-        self.piece_edges: dict[int, int] = {}
-        self.piece_scores: list[float | None] = [None]
+        self.pieces: dict = {}  # byte -> what may follow; at _SCORE, the score of the piece that ends here
         for piece, score in scores.items():
-            at = 0
+            at = self.pieces
             for b in piece:
-                key = at << 8 | b
-                at = self.piece_edges.get(key) or self.piece_edges.setdefault(key, len(self.piece_scores))
-                if at == len(self.piece_scores):
-                    self.piece_scores.append(None)
+                at = at.setdefault(b, {})
             if piece:
-                self.piece_scores[at] = score
+                at[_SCORE] = score
         self.unknown = min(scores.values(), default=0.0) - 10.0
         self.most = nodes
         self.clear()
@@ -61,25 +59,25 @@ class TokenTrie:
     def clear(self) -> None:
         self.edges: dict[int, int] = {}
         self.best, self.count = [0.0], [0]
-        self.open: list[tuple] = [((0, 0.0, 0),)]
-        self.counts: dict[str, tuple[int, float]] = {"": (0, 0.0)}
+        self.open: list[list[tuple]] = [[(self.pieces, 0.0, 0)]]
+        self.counts: dict[str, int] = {"": 0}
+        self.scores: dict[str, float] = {"": 0.0}
 
     def _grow(self, at: int, b: int) -> int:
         best, count, still = -math.inf, 0, []
-        piece_edges, piece_scores = self.piece_edges, self.piece_scores
-        for state, score, n in self.open[at]:
-            went = piece_edges.get(state << 8 | b)
+        for piece, score, n in self.open[at]:
+            went = piece.get(b)
             if went is not None:
                 still.append((went, score, n))
-                ends = piece_scores[went]
+                ends = went.get(_SCORE)
                 if ends is not None and ((s := score + ends) > best or (s == best and n + 1 < count)):
                     best, count = s, n + 1
         if count == 0:
             best, count = self.best[at] + self.unknown, self.count[at] + 1
-        still.append((0, best, count))
+        still.append((self.pieces, best, count))
         self.best.append(best)
         self.count.append(count)
-        self.open.append(tuple(still))
+        self.open.append(still)
         self.edges[at << 8 | b] = len(self.best) - 1
         return len(self.best) - 1
 
@@ -88,17 +86,15 @@ class TokenTrie:
         at, edges = 0, self.edges
         for b in token.encode():
             at = edges.get(at << 8 | b) or self._grow(at, b)
-        self.counts[token] = out = (self.count[at], self.best[at])
-        return out
+        self.counts[token], self.scores[token] = self.count[at], self.best[at]
+        return self.count[at], self.best[at]
 
     def text(self, tokens: list[str]) -> tuple[int, float]:
         if len(self.best) > self.most or len(self.counts) > self.most:
             self.clear()
-        known = self.counts
-        for token in sorted(set(tokens).difference(known)):
+        for token in set(tokens).difference(self.counts):
             self.insert(token)
-        found = [known[t] for t in tokens]
-        return sum(n for n, _ in found), math.fsum(s for _, s in found)
+        return sum(map(self.counts.__getitem__, tokens)), math.fsum(map(self.scores.__getitem__, tokens))
 
 
 def count_tokens(docs: DataFrame, scores: dict[bytes, float], pattern: str = PRE_TOKEN) -> DataFrame:
@@ -107,6 +103,7 @@ def count_tokens(docs: DataFrame, scores: dict[bytes, float], pattern: str = PRE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, cut = TokenTrie(shared.value), regex.compile(pattern)
+        gc.disable()  # a trie has no cycles, and the collector would go through all of it again and again
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
