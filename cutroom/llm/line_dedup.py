@@ -39,7 +39,7 @@ def _text() -> Column:
 
 
 def _trimmed(lines: Column) -> Column:
-    return F.transform(lines, lambda x: F.regexp_replace(x, r"^[\s]+|[\s]+$", ""))
+    return F.transform(lines, lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")))
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     """k1, k2, order (doc_id, line_no, k1), line, h1, h2 of every line that is not blank."""
     rows = _documents(docs).select("doc_id", *_document, F.posexplode("lines").alias("line_no", "line")).filter("line <> ''")
     order = F.struct("doc_id", "line_no", "k1").alias("order")
-    return rows.select(*_document, order, "line", F.xxhash64("line").alias("h1"), F.crc32(F.encode("line", "UTF-8")).alias("h2"))
+    return rows.select(*_document, order, "line", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
 
 
 def _left(size: Column) -> Column:
@@ -66,7 +66,7 @@ def _halves() -> Column:
     """Keys of the halves by which a line meets one as long or longer, and one that is shorter."""
     n = F.char_length("line")
     sizes = [F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")]
-    return F.array_distinct(F.array(*(F.xxhash64(F.lit(tag), m, side(m)) for m in sizes for tag, side in (("left", _left), ("right", _right)))))
+    return F.array_distinct(F.array(*(F.hash(F.lit(tag), m, side(m)) for m in sizes for tag, side in (("left", _left), ("right", _right)))))
 
 
 def _blocks() -> Column:
@@ -107,9 +107,8 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
 
 
 def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
-    """(h1, h2) of distinct lines with an earlier line within one edit, and the earliest such (by). first: h1, h2, order of each distinct line's first place."""
-    long = lines.filter(F.char_length("line") >= MIN_CHARS)
-    halves = cut(long.select(*_line, _halves().alias("half")).dropDuplicates(_line).select(*_line, F.explode("half").alias("half")))
+    """(h1, h2) of distinct lines with an earlier line within one edit, and the earliest such (by). first: h1, h2, halves and order of each distinct line's first place."""
+    halves = first.select(*_line, F.explode("halves").alias("half"))
     likely = _shared(halves, "half").select(*_line).distinct()
     chosen = first.join(likely, _line).select(*_line, "order")
     # of each line still in question, one place where it stands: its text is read once more, and only there
@@ -134,8 +133,9 @@ def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """k1, k2, line_no, n_chars, reason (`exact` or `near`) and kept_doc, kept_line (where the earlier line stands) of each dropped line, once a document."""
     lines = _lines(docs)
-    seen = cut(lines.select(*_document, "order", *_line, F.char_length("line").alias("n_chars")))
-    first = cut(seen.groupBy(*_line).agg(F.min("order").alias("order"), F.count("*").alias("n")))
+    n_chars = F.char_length("line")
+    seen = cut(lines.select(*_document, "order", *_line, n_chars.alias("n_chars"), F.when(n_chars >= MIN_CHARS, _halves()).alias("halves")))
+    first = cut(seen.groupBy(*_line).agg(F.min("order").alias("order"), F.count("*").alias("n"), F.first("halves").alias("halves")))
     near = near_lines(lines, first)
     verdict = first.join(near, _line, "left").filter("n > 1 OR by IS NOT NULL").select(*_line, F.col("order").alias("first"), "by")
     rows = seen.join(verdict, _line)

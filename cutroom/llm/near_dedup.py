@@ -11,10 +11,11 @@ would weigh down what it shares. They lie between 1 and 2 whatever the number of
 weighs alike in small and large corpora. They are kept for 2**18 hashed words, a table of fixed size.
 
 Texts with the same words in the same order are one node from the start, so copies never make pairs. A
-band with few nodes compares all of them. A larger one compares each node with PIVOTS nodes only, the most
-popular (those with most company over all their bands, which the text that others were made from is) of
-as many slots; nodes that no pivot of the band is linked to go through the band again, among themselves,
-with twice the pivots, until none is left. So work follows group size, and no group is cut.
+band with few nodes compares all of them. A larger one first compares each node with PIVOTS nodes only,
+the most popular ones (those with most company over all their bands, as the text that others were made
+from has). Then the nodes outside the band's largest component so far are queries against all nodes of the
+band, in blocks (see _between), so every pair of a band that could join two components is compared, and
+the members of one large group, once linked to its pivot, are not.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A null text is alone in its class;
 texts without words are copies if they are equal. A null doc_id has a null class_id. Rows that repeat a
@@ -39,7 +40,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 14, 3
 #: Candidates whose samples agree less often are no links: 4 standard errors under SIMILARITY.
 LIKELY = 0.55
-FEW, PIVOTS = 8, 8
+FEW, PIVOTS = 8, 2
+#: Text of the blocks in which queries meet the nodes of a band.
+BLOCK_BYTES = 2 << 20
 FREQUENCIES = 1 << 18
 _BLOCK = 1 << 15
 
@@ -188,18 +191,58 @@ def sketches(docs: DataFrame, idf) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, key binary, n_words bigint, sketch binary")
 
 
-def _pairs(rows: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """rows (band, key, n, popularity, sketch) -> pairs (a, b, sketches) of few-noded bands and of nodes with pivots; the pivots (band, pivot)."""
-    node = F.struct("key", "sketch")
-    few = rows.filter(F.col("n") <= FEW).groupBy("band").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+def _first_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) of keys, a < b, out of rows (band, key, n, popularity): all pairs of bands with few nodes, and nodes with the pivots of larger bands."""
+    few = rows.filter(F.col("n") <= FEW).groupBy("band").agg(F.array_sort(F.collect_list("key")).alias("nodes"))
     few = few.select(F.posexplode("nodes").alias("i", "a"), "nodes").select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.lit(FEW))).alias("b"))
-    slot = F.pmod(F.xxhash64("key"), F.lit(pivots))
-    best = rows.filter(F.col("n") > FEW).groupBy("band", slot.alias("slot")).agg(F.max(F.struct("popularity", "key", "sketch")).alias("best"))
-    best = best.select("band", F.struct("best.key", "best.sketch").alias("pivot"))
-    many = rows.filter(F.col("n") > FEW).select("band", node.alias("node")).join(best, "band").filter(F.col("node.key") != F.col("pivot.key"))
-    many = many.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-    each = few.union(many).groupBy(F.col("a.key").alias("a"), F.col("b.key").alias("b")).agg(F.first("a.sketch").alias("sa"), F.first("b.sketch").alias("sb"))
-    return each, best.select("band", F.col("pivot.key").alias("pivot"))
+    many = rows.filter(F.col("n") > FEW)
+    slot = F.pmod(F.xxhash64("key"), F.lit(PIVOTS))
+    best = many.groupBy("band", slot.alias("slot")).agg(F.max(F.struct("popularity", "key")).alias("best")).select("band", F.col("best.key").alias("pivot"))
+    met = many.select("band", "key").join(best, "band").filter(F.col("key") != F.col("pivot"))
+    return few.union(met.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))).distinct()
+
+
+def _between(rows: DataFrame, nodes: DataFrame, texts: DataFrame, linked: DataFrame, idf) -> DataFrame:
+    """Verified pairs (a, b) in larger bands, of different components of what `linked` links.
+
+    Of each band, the nodes outside its largest component are queries against all its nodes. Both are dealt
+    into blocks of about BLOCK_BYTES of text, and each pair of blocks is one group: samples first, whole
+    texts where they agree often enough. A pair that shares several bands is looked at in the first.
+    """
+    roots = components(linked)
+    many = rows.filter(F.col("n") > FEW).join(roots, "key", "left").select("band", "which", "key", F.coalesce("root", "key").alias("root"))
+    sizes = many.groupBy("band", "root").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("band").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("band", "main")
+    many = cut(many.join(main, "band").join(texts.select("key", F.octet_length("text").alias("bytes")), "key").withColumn("query", F.col("root") != F.col("main")))
+    blocks = lambda c: F.ceil((F.sum(c) + 1) / BLOCK_BYTES)
+    dealt = many.join(many.groupBy("band").agg(blocks(F.col("bytes")).alias("node_blocks"), blocks(F.when(F.col("query"), F.col("bytes")).otherwise(0)).alias("query_blocks")), "band")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    side = lambda query, a, b: dealt.filter("query" if query else "true").select("band", "which", "key", "root", F.lit(query).alias("query"), a.alias("query_block"), b.alias("node_block"))
+    met = side(True, own("query_blocks"), every("node_blocks")).union(side(False, every("query_blocks"), own("node_blocks")))
+    full = met.join(nodes.select("key", "sketch"), "key").join(texts, "key")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint32).reshape(-1, BANDS, ROWS)
+        query, keys = group["query"].to_numpy(zero_copy_only=False), group["key"].to_pylist()
+        root = np.unique(np.array([r.hex() for r in group["root"].to_pylist()]), return_inverse=True)[1]
+        which = group["which"][0].as_py()
+        own = np.flatnonzero(~query)
+        bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        found: list[tuple[bytes, bytes]] = []
+        for q in np.flatnonzero(query).tolist():
+            same = sketch[own] == sketch[q]
+            likely = (same.mean(axis=(1, 2)) >= LIKELY) & (root[own] != root[q]) & (same.all(axis=2).argmax(axis=1) == which)
+            for n in own[likely].tolist():
+                for i in (q, n):
+                    if i not in bags:
+                        bags[i] = shingles(_one(group["text"], i).words(ALNUM, lower=True), idf.value)[:2]
+                if _jaccard(*bags[q], *bags[n]) >= SIMILARITY:
+                    found.append((min(keys[q], keys[n]), max(keys[q], keys[n])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+    return full.groupBy("band", "query_block", "node_block").applyInArrow(run, "a binary, b binary").distinct()
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,13 +268,21 @@ def similarities(a: Text, b: Text, idf: np.ndarray) -> np.ndarray:
     out = np.zeros(len(ba) - 1)
     for i in range(len(out)):
         x, y, u, v = ka[ba[i] : ba[i + 1]], kb[bb[i] : bb[i + 1]], wa[ba[i] : ba[i + 1]], wb[bb[i] : bb[i + 1]]
-        _, p, q = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-        both = np.minimum(u[p], v[q]).sum()
-        whole = u.sum() + v.sum() - both
-        out[i] = both / whole if whole else 1.0
+        out[i] = _jaccard(x, u, y, v)
     return out
 
 
+def _jaccard(x: np.ndarray, u: np.ndarray, y: np.ndarray, v: np.ndarray) -> float:
+    """Weighted Jaccard similarity of distinct shingles x and y with weights u and v."""
+    all_u, all_v = u.sum(), v.sum()
+    if min(all_u, all_v) < SIMILARITY * 0.999 * max(all_u, all_v):
+        return 0.0
+    _, p, q = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    both = np.minimum(u[p], v[q]).sum()
+    whole = all_u + all_v - both
+    return both / whole if whole else 1.0
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
 
@@ -257,33 +308,23 @@ def _one(column: pa.Array, i: int) -> Text:
 def links(docs: DataFrame, sketched: DataFrame, idf) -> DataFrame:
     """Verified pairs (a, b) of keys, a < b; sketched: what sketches() gave."""
     nodes = sketched.filter("sketch IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "sketch")).alias("first"))
-    nodes = nodes.select("key", "first.doc_id", "first.sketch")
+    nodes = cut(nodes.select("key", "first.doc_id", "first.sketch"))
     width = ROWS * 4
     bands = F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", i * width + 1, width)) for i in range(BANDS)))
-    dealt = nodes.select("key", "doc_id", "sketch", F.explode(bands).alias("band"))
-    shared = nodes.select(F.explode(bands).alias("band")).groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = dealt.join(shared, "band")
-    rows = cut(rows)
+    dealt = nodes.select("key", F.posexplode(bands).alias("which", "band"))
+    rows = cut(dealt.join(dealt.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "band"))
     popularity = rows.groupBy("key").agg(F.sum("n").alias("popularity"))
-    wanted = rows.select("key", "doc_id").distinct()
+    wanted = nodes.join(popularity, "key").select("key", "doc_id")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(wanted, "doc_id").select("key", "text")
     texts = cut(texts.mapInArrow(_own, "key binary, text string").dropDuplicates(["key"]))
-    rows = cut(rows.join(popularity, "key").select("band", "key", "n", "popularity", "sketch"))
-    found, pivots = None, PIVOTS
-    while True:
-        pairs, chosen = _pairs(rows, pivots)
-        pairs = pairs.mapInArrow(_alike, "a binary, b binary")
-        linked = cut(_verified(pairs, texts, idf))
-        found = linked if found is None else found.union(linked)
-        either = linked.union(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = rows.filter(F.col("n") > FEW)
-        served = chosen.join(either, chosen["pivot"] == either["a"]).select("band", F.col("b").alias("key")).union(chosen.select("band", F.col("pivot").alias("key"))).distinct()
-        rest = large.join(served, ["band", "key"], "left_anti")
-        again = rest.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1")
-        rows = cut(rest.join(again, "band").select("band", "key", F.col("m").alias("n"), "popularity", "sketch"))
-        pivots *= 2
-        if rows.isEmpty():
-            return found.distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        side = lambda name: nodes.select(F.col("key").alias(name), F.col("sketch").alias(f"sketch_{name}"))
+        likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike, "a binary, b binary")
+        return cut(_verified(likely, texts, idf))
+
+    first = verified(_first_pairs(rows.join(popularity, "key")))
+    return first.union(cut(_between(rows, nodes, texts, first, idf)))
 
 
 def components(edges: DataFrame) -> DataFrame:
