@@ -12,38 +12,59 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value worked out once however often `then` names it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def normalized(scores: Column, labels: tuple[str, ...] = EMOTIONS) -> Column:
     """Scores by label, negatives as 0, summing to 1; {neutral: 1} if nothing is left."""
-    names = F.array(*(F.lit(x) for x in labels))
-    kept = F.transform(names, lambda k: F.greatest(F.lit(0.0), F.coalesce(F.try_element_at(scores, k), F.lit(0.0))))
-    total = _sum(kept)
-    return F.when(total > 0, F.map_from_arrays(names, F.transform(kept, lambda x: x / total))).otherwise(F.map_from_arrays(names, F.transform(names, lambda k: F.when(k == "neutral", 1.0).otherwise(0.0))))
+    return F.map_from_arrays(F.array(*(F.lit(x) for x in labels)), _shares(scores, labels))
+
+
+def _shares(scores: Column, labels: tuple[str, ...]) -> Column:
+    """normalized() as an array in the order of labels."""
+    kept = F.array(*(F.greatest(F.lit(0.0), F.coalesce(F.try_element_at(scores, F.lit(x)), F.lit(0.0))) for x in labels))
+    nothing = F.array(*(F.lit(1.0 if x == "neutral" else 0.0) for x in labels))
+    return _let(kept, lambda k: _let(_sum(k), lambda total: F.when(total > 0, F.transform(k, lambda x: x / total)).otherwise(nothing)))
 
 
 def argmax_label(scores: Column, labels: tuple[str, ...] = EMOTIONS) -> Column:
     """The label of the highest score; the first in the order of labels on ties."""
-    each = F.array(*(F.struct(F.coalesce(F.try_element_at(scores, F.lit(x)), F.lit(0.0)).alias("s"), F.lit(-i).alias("o"), F.lit(x).alias("label")) for i, x in enumerate(labels)))
-    return F.array_max(each)["label"]
+    return _best(F.array(*(F.coalesce(F.try_element_at(scores, F.lit(x)), F.lit(0.0)) for x in labels)), labels)
+
+
+def _best(values: Column, labels: tuple[str, ...]) -> Column:
+    """The first label whose value is the largest."""
+    names = F.array(*(F.lit(x) for x in labels))
+    return _let(values, lambda v: F.element_at(names, F.array_position(v, F.array_max(v)).cast("int")))
 
 
 def ensemble(models: dict[str, tuple[Column, float]], labels: tuple[str, ...] = EMOTIONS) -> dict[str, Column]:
     """models: name -> (score map or null, weight). Winner, its confidence, agreement "k/n" and incongruity, over the models that are there."""
-    present = F.array_compact(F.array(*(F.when(s.isNotNull(), F.struct(normalized(s, labels).alias("s"), F.lit(w).alias("w"))) for s, w in models.values())))
-    weight = F.aggregate(present, F.lit(0.0), lambda a, m: a + m["w"])
-
-    def mean_of(x: str) -> Column:
-        return F.aggregate(present, F.lit(0.0), lambda a, m: a + m["s"][x] * m["w"]) / F.when(weight > 0, weight).otherwise(1.0)
-
-    mean = F.map_from_arrays(F.array(*(F.lit(x) for x in labels)), F.array(*(mean_of(x) for x in labels)))
-    winners = F.array_compact(F.array(*(F.when(s.isNotNull(), argmax_label(normalized(s, labels), labels)) for s, _ in models.values())))
-    some, winner = F.size(present) > 0, argmax_label(mean, labels)
-    agreed = F.size(winners) - F.size(F.array_remove(winners, winner))
-    return {
-        "label": F.when(some, winner).otherwise("unknown"),
-        "confidence": F.when(some, mean[winner]).otherwise(0.0),
-        "agreement": F.concat(F.when(some, agreed).otherwise(0).cast("string"), F.lit("/"), F.size(present).cast("string")),
-        "has_incongruity": F.size(F.array_distinct(winners)) > 1,
-    }
+    each = F.array_compact(F.array(*(F.when(s.isNotNull(), F.struct(_shares(s, labels).alias("s"), F.lit(w).alias("w"))) for s, w in models.values())))
+
+    def vote(present: Column) -> Column:
+        weight = F.aggregate(present, F.lit(0.0), lambda a, m: a + m["w"])
+        total = F.aggregate(present, F.array_repeat(F.lit(0.0), len(labels)), lambda a, m: F.zip_with(a, m["s"], lambda x, y: x + y * m["w"]))
+        mean = _let(weight, lambda w: F.transform(total, lambda x: x / F.when(w > 0, w).otherwise(1.0)))
+        winners = F.transform(present, lambda m: _best(m["s"], labels))
+        return _let(F.struct(mean.alias("mean"), winners.alias("winners")), result)
+
+    def result(v: Column) -> Column:
+        n, winner = F.size(v["winners"]), _best(v["mean"], labels)
+        return _let(
+            winner,
+            lambda w: F.struct(
+                F.when(n > 0, w).otherwise("unknown").alias("label"),
+                F.when(n > 0, F.array_max(v["mean"])).otherwise(0.0).alias("confidence"),
+                F.concat(F.when(n > 0, n - F.size(F.array_remove(v["winners"], w))).otherwise(0).cast("string"), F.lit("/"), n.cast("string")).alias("agreement"),
+                (F.size(F.array_distinct(v["winners"])) > 1).alias("has_incongruity"),
+            ),
+        )
+
+    voted = _let(each, vote)
+    return {x: voted[x] for x in ("label", "confidence", "agreement", "has_incongruity")}
 
 
 def multilabel(scores: Column, predicted: Column, labels: tuple[str, ...]) -> Column:
