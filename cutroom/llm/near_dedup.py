@@ -41,8 +41,8 @@ BANDS, ROWS = 14, 3
 #: Candidates whose samples agree less often are no links: 4 standard errors under SIMILARITY.
 LIKELY = 0.55
 FEW, PIVOTS = 8, 2
-#: Text of the blocks in which queries meet the nodes of a band.
-BLOCK_BYTES = 2 << 20
+#: Text of the blocks in which queries meet the nodes of a band, and what a node counts beside its text: 256 nodes a block at most.
+BLOCK_BYTES, NODE_BYTES = 2 << 20, 8 << 10
 FREQUENCIES = 1 << 18
 _BLOCK = 1 << 15
 
@@ -213,7 +213,7 @@ def _between(rows: DataFrame, nodes: DataFrame, texts: DataFrame, linked: DataFr
     many = rows.filter(F.col("n") > FEW).join(roots, "key", "left").select("band", "which", "key", F.coalesce("root", "key").alias("root"))
     sizes = many.groupBy("band", "root").agg(F.count("*").alias("m"))
     main = sizes.groupBy("band").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("band", "main")
-    many = cut(many.join(main, "band").join(texts.select("key", F.octet_length("text").alias("bytes")), "key").withColumn("query", F.col("root") != F.col("main")))
+    many = cut(many.join(main, "band").join(texts.select("key", (F.octet_length("text") + NODE_BYTES).alias("bytes")), "key").withColumn("query", F.col("root") != F.col("main")))
     blocks = lambda c: F.ceil((F.sum(c) + 1) / BLOCK_BYTES)
     dealt = many.join(many.groupBy("band").agg(blocks(F.col("bytes")).alias("node_blocks"), blocks(F.when(F.col("query"), F.col("bytes")).otherwise(0)).alias("query_blocks")), "band")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
