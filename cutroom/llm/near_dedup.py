@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut
+from .session import cut, spread
 from .words import ALNUM, Text, Words, _power, mix, pieces, windows
 
 WIDTH = 5
@@ -41,6 +41,7 @@ BANDS, ROWS = 14, 3
 #: Candidates whose samples agree less often are no links: 4 standard errors under SIMILARITY.
 LIKELY = 0.55
 FEW, PIVOTS = 8, 2
+SALTS = 32
 #: Text of the blocks in which queries meet the nodes of a band, and what a node counts beside its text: 256 nodes a block at most.
 BLOCK_BYTES, NODE_BYTES = 2 << 20, 8 << 10
 FREQUENCIES = 1 << 18
@@ -327,6 +328,12 @@ def links(docs: DataFrame, sketched: DataFrame, idf) -> DataFrame:
     return first.union(cut(_between(rows, nodes, texts, first, idf)))
 
 
+def _looked_up(rows: DataFrame, by: str, values: DataFrame) -> DataFrame:
+    """rows (with a column key) left-joined to values, whose `by` is unique; rows of a frequent `by` are dealt over SALTS tasks."""
+    salted = rows.withColumn("salt", spread(F.col("key"), SALTS))
+    return salted.join(salted.select(by, "salt").distinct().join(values, by), [by, "salt"], "left").drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(key, root) for each end of an edge: root is the smallest key of its connected component.
 
@@ -336,10 +343,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select(F.col("a").alias("key"), F.col("b").alias("other")).union(edges.select("b", "a")))
     roots = cut(both.groupBy("key").agg(F.min(F.least("key", "other")).alias("root")))
     while True:
-        near = both.join(roots.select(F.col("key").alias("other"), "root"), "other").groupBy("key").agg(F.min("root").alias("near"))
-        moved = roots.join(near, "key").select("key", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        near = _looked_up(both, "other", roots.select(F.col("key").alias("other"), "root")).groupBy("key").agg(F.min("root").alias("near"))
+        moved = cut(roots.join(near, "key").select("key", F.col("root").alias("old"), F.least("root", "near").alias("root")))
         up = roots.select(F.col("key").alias("root"), F.col("root").alias("up"))
-        jumped = cut(moved.join(up, "root", "left").select("key", "old", F.least("root", F.coalesce("up", "root")).alias("root")))
+        jumped = cut(_looked_up(moved, "root", up).select("key", "old", F.least("root", F.coalesce("up", "root")).alias("root")))
         roots = jumped.select("key", "root")
         if jumped.filter("old <> root").isEmpty():
             return roots
@@ -353,7 +360,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     copies = sketched.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     rooted = copies.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = rooted.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("n_class")).filter("n_class > 1")
-    named = rooted.join(classes, "root").select("key", "class_id")
+    named = _looked_up(rooted, "root", classes).filter("class_id IS NOT NULL").select("key", "class_id")
     rows = sketched.join(named, "key", "left")
     class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
     return rows.select("doc_id", "n_words", class_id.alias("class_id"), (class_id.isNull() | (class_id == F.col("doc_id"))).alias("is_first"))
