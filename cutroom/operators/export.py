@@ -12,7 +12,10 @@ DEFAULT_BYTES = 2 * 1024 * 1024
 
 
 def quality_gate(records: DataFrame, order: list[str]) -> DataFrame:
-    """records with rejection_reasons (empty: valid). Of rows with one clip_id, all but the first in order are duplicates."""
+    """records with rejection_reasons (empty: valid). Of rows with one clip_id, all but the first in order are duplicates.
+
+    order may be any columns of records, so no place over all records is needed; each clip_id is a group of its own.
+    """
     again = F.row_number().over(Window.partitionBy("clip_id").orderBy(*order)) > 1
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     reasons = F.array(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..conf import DEFAULT, QUOTA
 from ..functions import scoring, text
-from ..operators import dashboard, export, state
+from ..operators import dashboard, export, ranks, state
 from ..sources import sinks, tables
 from .catalog import query
 
@@ -247,24 +247,48 @@ _RECORDS = "rec AS (SELECT l_orderkey * 10 + l_linenumber AS clip_id, l_partkey,
 _GATE = f"{_RECORDS}, g AS (SELECT *, concat_ws(',', case when final_emotion = '' then 'missing_label' end, case when clip_path is null then 'missing_file' end, case when duration <= 0 then 'invalid_duration' end, case when row_number() over (partition by clip_id order by pos) > 1 then 'duplicate_clip_id' end) AS reasons FROM rec)"
 
 
-def _gated(t):
-    w = Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    rows = t("lineitem").filter("l_orderkey % 10 = 0").withColumn("pos", F.row_number().over(w))
-    rows = rows.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("clip_id"), "pos", F.expr("case when l_partkey % 11 = 0 then '' else l_returnflag end").alias("final_emotion"), F.expr("case when l_suppkey % 13 = 0 then null else 'x.mp4' end").alias("clip_path"), (c("l_quantity") - 2).cast("double").alias("duration"))
-    return export.quality_gate(rows, ["pos"])
+_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+
+
+def _gated(lines):
+    """Verdicts on lineitem rows as clips; duplicates are ordered by the rows' own columns."""
+    made = {"final_emotion": "case when l_partkey % 11 = 0 then '' else l_returnflag end", "clip_path": "case when l_suppkey % 13 = 0 then null else 'x.mp4' end"}
+    rows = lines.withColumns({"clip_id": c("l_orderkey") * 10 + c("l_linenumber"), **{k: F.expr(v) for k, v in made.items()}, "duration": (c("l_quantity") - 2).cast("double")})
+    return export.quality_gate(rows, _LINE)
+
+
+def _gated_tenth(t):
+    return _gated(ranks.ranked(t("lineitem").filter("l_orderkey % 10 = 0").select(*_LINE, "l_returnflag"), _LINE, "pos"))
+
+
+def _report(rows, *columns):
+    valid, bad = (rows.filter(F.size("rejection_reasons") == 0), rows.filter(F.size("rejection_reasons") > 0))
+    kind = lambda df, k: df.select(F.lit(k).alias("kind"), *columns)
+    return kind(valid, "valid").unionByName(kind(bad, "rejected"))
 
 
 @query("quality_gate", f"WITH {_GATE} SELECT clip_id, pos, reasons FROM g")
 def _(t):
-    return _gated(t).select("clip_id", "pos", F.array_join("rejection_reasons", ",").alias("reasons"))
+    return _gated_tenth(t).select("clip_id", "pos", F.array_join("rejection_reasons", ",").alias("reasons"))
 
 
 @query("quality_report_union", f"WITH {_GATE} SELECT 'valid' AS kind, clip_id, pos FROM g WHERE reasons = '' UNION ALL SELECT 'rejected', clip_id, pos FROM g WHERE reasons <> ''")
 def _(t):
-    rows = _gated(t)
-    valid, bad = (rows.filter(F.size("rejection_reasons") == 0), rows.filter(F.size("rejection_reasons") > 0))
-    kind = lambda df, k: df.select(F.lit(k).alias("kind"), "clip_id", "pos")
-    return kind(valid, "valid").unionByName(kind(bad, "rejected"))
+    return _report(_gated_tenth(t), "clip_id", "pos")
+
+
+_GATE_ALL = f"""rec AS (SELECT *, l_orderkey * 10 + l_linenumber AS clip_id, case when l_partkey % 11 = 0 then '' else l_returnflag end AS final_emotion, case when l_suppkey % 13 = 0 then null else 'x.mp4' end AS clip_path, (l_quantity - 2)::double AS duration FROM lineitem),
+g AS (SELECT *, concat_ws(',', case when final_emotion = '' then 'missing_label' end, case when clip_path is null then 'missing_file' end, case when duration <= 0 then 'invalid_duration' end, case when row_number() over (partition by clip_id order by {', '.join(_LINE)}) > 1 then 'duplicate_clip_id' end) AS reasons FROM rec)"""
+
+
+@query("quality_gate_all", f"WITH {_GATE_ALL} SELECT clip_id, l_partkey, l_suppkey, reasons FROM g")
+def _(t):
+    return _gated(t("lineitem")).select("clip_id", "l_partkey", "l_suppkey", F.array_join("rejection_reasons", ",").alias("reasons"))
+
+
+@query("quality_report_all", f"WITH {_GATE_ALL} SELECT 'valid' AS kind, clip_id, l_partkey, l_suppkey FROM g WHERE reasons = '' UNION ALL SELECT 'rejected', clip_id, l_partkey, l_suppkey FROM g WHERE reasons <> ''")
+def _(t):
+    return _report(_gated(t("lineitem")), "clip_id", "l_partkey", "l_suppkey")
 
 
 _HASH = "('0x' || substr(md5(cast({} as varchar)), 1, 8))::bigint"
