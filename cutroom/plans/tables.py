@@ -75,6 +75,11 @@ def _(t):
     return rows.select("clip_id", F.row_number().over(Window.orderBy("status", F.desc("confidence"), "clip_id")).alias("place"))
 
 
+@query("multi_sort_all", "SELECT clip_id, row_number() over (order by status, confidence desc, clip_id) AS place FROM clips")
+def _(t):
+    return ranks.ranked(t.clips.select("clip_id", "status", "confidence"), ["status", F.desc("confidence"), "clip_id"]).select("clip_id", "place")
+
+
 @query("distinct_values", "SELECT DISTINCT emotion, status FROM clips")
 def _(t):
     return t.clips.select("emotion", "status").distinct()
@@ -136,10 +141,19 @@ def _(t):
     return t.clips.select("clip_id", F.array_join(flags, ",").alias("flags"))
 
 
+def _in_order(t, clips):
+    both = clips.select("clip_id", "video_id", "start_ms").join(t.videos.select("video_id", "title"), "video_id")
+    return ranks.ranked(both, [F.desc("video_id"), "start_ms", "clip_id"]).select("clip_id", "title", "place")
+
+
 @query("review_order", "SELECT clip_id, title, row_number() over (order by videos.video_id desc, start_ms, clip_id) AS place FROM clips JOIN videos USING (video_id) WHERE clips.status = 'needs_review'")
 def _(t):
-    both = t.clips.filter("status = 'needs_review'").select("clip_id", "video_id", "start_ms").join(t.videos.select("video_id", "title"), "video_id")
-    return both.select("clip_id", "title", F.row_number().over(Window.orderBy(F.desc("video_id"), "start_ms", "clip_id")).alias("place"))
+    return _in_order(t, t.clips.filter("status = 'needs_review'"))
+
+
+@query("review_order_all", "SELECT clip_id, title, row_number() over (order by videos.video_id desc, start_ms, clip_id) AS place FROM clips JOIN videos USING (video_id)")
+def _(t):
+    return _in_order(t, t.clips)
 
 
 @query("queue_join", "SELECT id, title, priority FROM queue JOIN videos USING (video_id) WHERE queue.status = 'queued' ORDER BY priority DESC, created_us, id LIMIT 200")
@@ -148,6 +162,12 @@ def _(t):
     return both.orderBy(F.desc("priority"), "created_us", "id").limit(200).select("id", "title", "priority")
 
 
+@query("queue_join_all", "SELECT id, title, priority, queue.status, row_number() over (order by priority desc, created_us, id) AS place FROM queue JOIN videos USING (video_id)")
+def _(t):
+    both = t.queue.join(t.videos.select("video_id", "title"), "video_id")
+    return ranks.ranked(both, [F.desc("priority"), "created_us", "id"]).select("id", "title", "priority", "status", "place")
+
+
 @query("aligned_semi", "SELECT clip_id FROM clips WHERE status in ('approved', 'auto_approved') AND clip_id IN (SELECT vec_id FROM embeddings WHERE label < 5)")
 def _(t):
     ready = t("embeddings").filter("label < 5").select(c("vec_id").alias("clip_id"))

@@ -27,3 +27,11 @@ def test_quality_gate_sees_every_record(spark):
     rows = spark.createDataFrame([(1, "a", "x", 1.0, 2), (1, "a", "x", 1.0, 1), (2, "", None, 0.0, 1)], "clip_id int, final_emotion string, clip_path string, duration double, t int")
     got = {(r.clip_id, r.t): r.rejection_reasons for r in export.quality_gate(rows, ["t"]).collect()}
     assert got == {(1, 1): [], (1, 2): ["duplicate_clip_id"], (2, 1): ["missing_label", "missing_file", "invalid_duration"]}
+
+
+def test_ordered_queries_keep_every_row(spark):
+    clips, joined = _n("SELECT count(*) FROM '$/events.parquet'"), _n("SELECT count(*) FROM '$/events.parquet' JOIN '$/customer.parquet' ON user_id = c_custkey")
+    queue = _n("SELECT count(*) FROM '$/orders.parquet' JOIN '$/customer.parquet' ON o_custkey = c_custkey")
+    for name, n in (("multi_sort_all", clips), ("review_order_all", joined), ("queue_join_all", queue)):
+        assert sorted(r.place for r in plans.QUERIES[name](spark, SF).collect()) == list(range(1, n + 1)), name
+    assert len({r.status for r in plans.QUERIES["queue_join_all"](spark, SF).collect()}) == 3
