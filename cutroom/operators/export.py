@@ -25,6 +25,19 @@ def quality_gate(records: DataFrame, order: list[str]) -> DataFrame:
     return records.withColumn("rejection_reasons", F.array_compact(reasons))
 
 
+def same_span(start_ms: str, end_ms: str) -> dict[str, Column]:
+    """Start and end in whole tenths of a second, halves up: spans that agree in both count as one."""
+    tenth = lambda ms: F.floor((F.col(ms) + 50) / 100).cast("bigint")
+    return {"start_ds": tenth(start_ms), "end_ds": tenth(end_ms)}
+
+
+def best_of_key(rows: DataFrame, keys: list[str], intensity: str, tie: str) -> DataFrame:
+    """One row for each key: that of highest intensity, of those the one with the least tie (a number)."""
+    others = [c for c in rows.columns if c not in keys]
+    best = F.max_by(F.struct(*others), F.struct(F.col(intensity), -F.col(tie))).alias("__best")
+    return rows.groupBy(*keys).agg(best).select(*keys, "__best.*")
+
+
 def stratified_split(records: DataFrame, label: str, key: str, train: int = 70, val: int = 15) -> DataFrame:
     """records with split: of each label, in hashed order, the first train % (one at least), then val %, the rest test."""
     place = F.row_number().over(Window.partitionBy(label).orderBy(hash_rank(F.col(key)), key))

@@ -260,7 +260,13 @@ def _(t):
 def _(t):
     key = F.concat(F.floor(c("start_ms") / 5000).cast("string"), F.lit("-"), c("emotion"))
     rows = t.clips.filter("video_id % 2 = 0").select(key.alias("k"), "clip_id", c("confidence").alias("intensity"))
-    return rows.groupBy("k").agg(F.max_by(F.struct("clip_id", "intensity"), F.struct(c("intensity"), -c("clip_id"))).alias("m")).select("k", "m.*")
+    return export.best_of_key(rows, ["k"], "intensity", "clip_id")
+
+
+@query("dedup_max_key_all", "SELECT video_id, start_ds, end_ds, emotion, clip_id, intensity FROM (SELECT video_id, (start_ms + 50) // 100 AS start_ds, (end_ms + 50) // 100 AS end_ds, emotion, clip_id, confidence AS intensity FROM clips) QUALIFY row_number() over (partition by video_id, start_ds, end_ds, emotion order by intensity desc, clip_id) = 1")
+def _(t):
+    rows = t.clips.withColumns(export.same_span("start_ms", "end_ms")).select("video_id", "start_ds", "end_ds", "emotion", "clip_id", c("confidence").alias("intensity"))
+    return export.best_of_key(rows, ["video_id", "start_ds", "end_ds", "emotion"], "intensity", "clip_id")
 
 
 _RECORDS = "rec AS (SELECT l_orderkey * 10 + l_linenumber AS clip_id, l_partkey, l_suppkey, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS pos, case when l_partkey % 11 = 0 then '' else l_returnflag end AS final_emotion, case when l_suppkey % 13 = 0 then null else 'x.mp4' end AS clip_path, (l_quantity - 2)::double AS duration FROM lineitem WHERE l_orderkey % 10 = 0)"

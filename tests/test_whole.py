@@ -35,3 +35,11 @@ def test_ordered_queries_keep_every_row(spark):
     for name, n in (("multi_sort_all", clips), ("review_order_all", joined), ("queue_join_all", queue)):
         assert sorted(r.place for r in plans.QUERIES[name](spark, SF).collect()) == list(range(1, n + 1)), name
     assert len({r.status for r in plans.QUERIES["queue_join_all"](spark, SF).collect()}) == 3
+
+
+def test_dedup_keeps_clips_of_other_ends_and_videos(spark):
+    clips = [(1, "v", 1000, 4000, 0.5), (2, "v", 1040, 3960, 0.9), (3, "v", 1000, 4100, 0.1), (4, "w", 1000, 4000, 0.1), (5, "v", 3000, 4000, 0.1), (6, "v", 1010, 4010, 0.9)]
+    rows = spark.createDataFrame(clips, "clip_id long, video_id string, start_ms long, end_ms long, intensity double").withColumns(export.same_span("start_ms", "end_ms"))
+    got = export.best_of_key(rows, ["video_id", "start_ds", "end_ds"], "intensity", "clip_id").collect()
+    assert sorted((r.clip_id, r.start_ms) for r in got) == [(2, 1040), (3, 1000), (4, 1000), (5, 3000)]
+    assert {r.video_id for r in plans.QUERIES["dedup_max_key_all"](spark, SF).collect()} == {r.user_id for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id").distinct().collect()}
