@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..conf import SENTIMENT
 
-# Letters that lose a mark, and what they become (đ is a letter of its own and stays).
-_MARKED = {
-    "a": "àáảãạăằắẳẵặâầấẩẫậä", "e": "èéẻẽẹêềếểễệë", "i": "ìíỉĩịï", "o": "òóỏõọôồốổỗộơờớởỡợö",
-    "u": "ùúủũụưừứửữựü", "y": "ỳýỷỹỵ", "n": "ñ", "c": "ç",
-}
+
+
+def _bare_letters() -> tuple[str, str]:
+    """Letters that lose marks, and what they become; then marks that stand alone and go. Letters such as đ, ø and ß stay."""
+    letters, bare, marks = [], [], []
+    for i in range(0x80, 0x10000):
+        first, *rest = unicodedata.normalize("NFD", chr(i)) if not 0xD800 <= i < 0xE000 else "x"
+        if rest and all(unicodedata.category(x).startswith("M") for x in rest):
+            letters.append(chr(i))
+            bare.append(first)
+        elif unicodedata.category(chr(i)) == "Mn":
+            marks.append(chr(i))
+    return "".join(letters + marks), "".join(bare)
+
+
+_MARKED, _BARE = _bare_letters()
 
 # Phrases that speak for an emotion (without marks).
 LEXICON = {
@@ -33,8 +46,8 @@ def one_spaced(c: Column) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    marked = "".join(_MARKED.values())
-    return F.translate(F.lower(c), marked, "".join(k * len(v) for k, v in _MARKED.items()))
+    """c in lower case without marks on its letters, of any script."""
+    return F.translate(F.lower(c), _MARKED, _BARE)
 
 
 def strip_fence(c: Column) -> Column:

@@ -196,6 +196,11 @@ def _(t):
     return t("documents").filter(c("lang").isin("fr", "es")).select("doc_id", F.md5(text.strip_accents(c("text"))).alias("digest"))
 
 
+@query("strip_accents_all", "SELECT doc_id, md5(strip_accents(lower(text))) AS digest FROM documents")
+def _(t):
+    return t("documents").select("doc_id", F.md5(text.strip_accents(c("text"))).alias("digest"))
+
+
 _LEX = ", ".join(
     "cast(" + " + ".join(f"case when contains(x, '{p}') then {1.0 + min(1.0, 0.15 * len(p.split()))}::double else 0.0::double end" for p in ps if len(p) >= 3) + f" as double) AS {e}" for e, ps in text.LEXICON.items()
 )
@@ -352,6 +357,16 @@ def _(t):
     return t.clips.select("clip_id", v.alias("v")).select("clip_id", *(c("v")[i].alias(n) for i, n in enumerate(("happy", "sad", "angry"))))
 
 
+_HOLED = "case when (vec_id + place) % 5 = 0 then {0} when (vec_id + place) % 5 = 1 then {1} when (vec_id + place) % 5 = 2 then {2} else cast(x as double) end"
+_HOLES = _HOLED.format("'NaN'::double", "'inf'::double", "null")
+
+
+@query("nan_clean", f"SELECT vec_id, place, case when x is null or isnan(x) or isinf(x) then 0.0::double else x end AS x FROM (SELECT vec_id, place, {_HOLES} AS x FROM (SELECT vec_id, unnest(range(len(embedding))) AS place, unnest(embedding) AS x FROM embeddings))")
+def _(t):
+    holed = F.expr("transform(embedding, (x, place) -> " + _HOLED.format("double('NaN')", "double('Infinity')", "null") + ")")
+    return t("embeddings").select("vec_id", F.posexplode(vectors.finite(holed)).alias("place", "x"))
+
+
 @query("visual_avg", f"""WITH n AS {_norm_sql(0, ', video_id, clip_index, created_us')}, f AS (SELECT * FROM n QUALIFY row_number() over (partition by video_id order by created_us, clip_id) <= 5)
 SELECT video_id, {', '.join(_dec(f'avg({n})', 5) + ' AS ' + n for n in _SCORES)} FROM f GROUP BY 1""")
 def _(t):

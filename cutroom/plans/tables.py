@@ -36,6 +36,11 @@ def _(t):
     return tables.unseen(t("part").filter("p_size % 3 = 0").select("p_partkey", "p_name"), t("lineitem").filter("l_quantity > 48").select(c("l_partkey").alias("p_partkey")), "p_partkey")
 
 
+@query("inbox_anti_all", "SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
+def _(t):
+    return tables.unseen(t("part").select("p_partkey", "p_name"), t("lineitem").filter("l_quantity > 48").select(c("l_partkey").alias("p_partkey")), "p_partkey")
+
+
 @query("url_dedupe_anti", "SELECT min(page_id) AS page_id, url FROM (SELECT page_id, concat('https://v/', page_id % 40) AS url FROM pages) WHERE url NOT IN (SELECT concat('https://v/', page_id % 40) FROM pages WHERE page_id % 7 = 0) GROUP BY url")
 def _(t):
     urls = t("pages").select("page_id", F.concat(F.lit("https://v/"), (c("page_id") % 40).cast("string")).alias("url"))

@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from cutroom import plans
+from cutroom.functions import text
 from cutroom.operators import export, ranks
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +44,16 @@ def test_dedup_keeps_clips_of_other_ends_and_videos(spark):
     got = export.best_of_key(rows, ["video_id", "start_ds", "end_ds"], "intensity", "clip_id").collect()
     assert sorted((r.clip_id, r.start_ms) for r in got) == [(2, 1040), (3, 1000), (4, 1000), (5, 3000)]
     assert {r.video_id for r in plans.QUERIES["dedup_max_key_all"](spark, SF).collect()} == {r.user_id for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id").distinct().collect()}
+
+
+def test_accents_go_in_every_language(spark):
+    rows = spark.createDataFrame([("ÄÖÜß Straße",), ("naïve Åland āčēğ",), ("e\u0301 đ ø",), ("tiếng Việt",), (None,)], "text string")
+    got = [r[0] for r in rows.select(text.strip_accents(F.col("text"))).collect()]
+    assert got == ["aouß straße", "naive aland aceg", "e đ ø", "tieng viet", None]
+    assert plans.QUERIES["strip_accents_all"](spark, SF).count() == _n("SELECT count(*) FROM '$/documents.parquet'")
+
+
+def test_inbox_and_clean_vectors_are_whole(spark):
+    unseen = "SELECT count(*) FROM '$/part.parquet' WHERE p_partkey NOT IN (SELECT l_partkey FROM '$/lineitem.parquet' WHERE l_quantity > 48)"
+    assert plans.QUERIES["inbox_anti_all"](spark, SF).count() == _n(unseen)
+    assert plans.QUERIES["nan_clean"](spark, SF).count() == _n("SELECT sum(len(embedding)) FROM '$/embeddings.parquet'")
