@@ -1,5 +1,9 @@
 """Licence scans with a generalised suffix automaton of licence words.
 
+Templates are short notices, and the clauses of the whole licence texts in the folder `licenses` (file names are
+LABEL__VERSION.txt): paragraphs, headings and other short ones joined to what follows. A clause that licences of
+two families share word for word tells them not apart and is left to their other clauses.
+
 The templates' words build one automaton. A text is streamed through it: after each word, the matching
 statistic is the length of the longest run of words ending there that some template contains. Runs of
 SEED words or more are chained, in order of text and template, into spans of a template; a span's
@@ -13,8 +17,11 @@ labels (''), score 0. Repeated rows give repeated results; extra columns are ign
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +46,58 @@ TEMPLATES = (
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    ("cc-by", "Licensed under CC BY 4.0."),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0."),
+    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0."),
+    ("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
+FOLDER = Path(__file__).with_name("licenses")
+#: Fewest words of a clause; shorter paragraphs belong to the next.
+CLAUSE = 20
 SEED = 3
 COVERED = 0.8
 #: Most words between two runs of one span.
 GAP = 20
 
 
+def clauses_of(text: str) -> list[str]:
+    """Paragraphs of a licence, without copyright lines; one of less than CLAUSE words is joined to the next, or at the end to the last."""
+    out: list[str] = []
+    open_ = ""
+    for part in re.split(r"\n[ \t.]*\n", text.replace("\r", "")):
+        if not plain(part) or len(plain(part)) < CLAUSE and re.match(r"\s*(portions )?copyright\b", part, re.I):
+            continue
+        open_ = f"{open_}\n{part.strip()}" if open_ else part.strip()
+        if len(plain(open_)) >= CLAUSE:
+            out.append(open_)
+            open_ = ""
+    if open_:
+        out[-1:] = [f"{out[-1]}\n{open_}" if out else open_]
+    return out
+
+
+@cache
+def clauses() -> tuple[tuple[str, str], ...]:
+    """(label, clause) of all whole licence texts; once for each family, and none that two families share."""
+    families: dict[tuple, dict[str, str]] = {}
+    for path in sorted(FOLDER.glob("*.txt")):
+        for clause in clauses_of(path.read_text(encoding="utf-8", errors="replace")):
+            families.setdefault(tuple(plain(clause)), {}).setdefault(path.name.split("__")[0], clause)
+    return tuple(next(iter(f.items())) for f in families.values() if len(f) == 1)
+
+
+@cache
+def _scanner(templates: tuple[tuple[str, str], ...], phrases: tuple[tuple[str, str], ...]) -> "Scanner":
+    """Built once in each worker process."""
+    return Scanner(templates, dict(phrases))
+
+
 class SuffixAutomaton:
     """Of several word sequences; ends[state]: every (template, place after the last word) where it stands."""
 
@@ -195,12 +246,16 @@ class Scanner:
                 open_[t] = Span(t, first, first + n - 1, begins[0] + n, n)
 
 
-def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, n_words, places (first_word, label of each base phrase) and spans (label, first_word, last_word, coverage). No shuffle."""
+def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, n_words, places (first_word, label of each base phrase) and spans (label, first_word, last_word, coverage). No shuffle.
+
+    Without templates: the notices and all clauses of the whole texts.
+    """
+    templates = TEMPLATES + clauses() if templates is None else templates
     phrases = PHRASES if phrases is None else phrases
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, phrases)
+        scanner = _scanner(templates, tuple(phrases.items()))
         for batch in batches:
             for lo, hi, text in pieces(batch.column(1)):
                 words = text.words(ALNUM, lower=True)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cutroom import plans
 from cutroom.functions import text
+from cutroom.llm import license_scan
 from cutroom.operators import export, ranks
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +58,18 @@ def test_inbox_and_clean_vectors_are_whole(spark):
     unseen = "SELECT count(*) FROM '$/part.parquet' WHERE p_partkey NOT IN (SELECT l_partkey FROM '$/lineitem.parquet' WHERE l_quantity > 48)"
     assert plans.QUERIES["inbox_anti_all"](spark, SF).count() == _n(unseen)
     assert plans.QUERIES["nan_clean"](spark, SF).count() == _n("SELECT sum(len(embedding)) FROM '$/embeddings.parquet'")
+
+
+def test_clauses_of_whole_licences_are_found(spark):
+    read = lambda name: license_scan.clauses_of((license_scan.FOLDER / name).read_text())
+    docs = [
+        ("mit", next(x for x in read("mit__expat.txt") if "WARRANTY OF ANY KIND" in " ".join(x.split()))),
+        ("apache", next(x for x in read("apache__2.0.txt") if "Grant of Patent License" in " ".join(x.split()))),
+        ("bsd", next(x for x in read("bsd__3.txt") if "ARE DISCLAIMED" in " ".join(x.split()))),
+        ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+        ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ]
+    rows = spark.createDataFrame([(label, f"alpha beta gamma\n{x}\ndelta") for label, x in docs], "doc_id string, text string")
+    got = {r.doc_id: r.labels.split(",") for r in license_scan.digest(license_scan.scan(rows)).collect()}
+    assert all(label in got[label] for label, _ in docs), got
+    assert {"lgpl", "epl", "cc0", "unlicense", "mpl", "gpl"} <= {label for label, _ in license_scan.clauses()}
