@@ -6,8 +6,7 @@ of the smoothed unigram (base) distribution, so the model is a distribution over
 runs over all training texts: tasks make expected counts, Spark sums them, the driver gets the sums (as
 many as the HMM has parameters). A text's score is the scaled forward recursion's exact log10 probability.
 
-In training, a text is a row of sequences of at most RUN words, those inside a text with a begin
-distribution of their own; in scoring it is one sequence. Word counts stay distributed: the counts of the
+In training as in scoring, a text is one sequence, however long. Word counts stay distributed: the counts of the
 KNOWN most frequent words are broadcast (a fixed number); the other words of the texts are shuffled to
 their counts, once for each word and text, and summed by text.
 
@@ -159,36 +158,47 @@ class Hmm:
         return back
 
     def expect(self, symbols: np.ndarray, begins: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts (begin, move, emit) of sequences of at most RUN symbols; first: whether each begins a text."""
+        """Expected counts (begin, move, emit) of whole sequences; first: whether each begins a text.
+
+        Tokens are laid out by their place in the sequence, longest sequences first, so that a step is one slice.
+        """
         lengths = np.diff(begins)
         order = np.argsort(-lengths, kind="stable")
         starts, lengths, kind = begins[:-1][order], lengths[order], np.where(first[order], 0, 1)
-        alive = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), side="right").tolist()
-        alphas, emits, scales = [], [], []
-        for t, d in enumerate(alive):
-            e = self.emit[symbols[starts[:d] + t]]
-            a = (alphas[-1][:d] @ self.move if t else self.begin[kind]) * e
-            s = a.sum(1, keepdims=True)
-            a /= s
-            alphas.append(a)
-            emits.append(e)
-            scales.append(s)
         n = self.move.shape[0]
         begin, move, emit = np.zeros((2, n)), np.zeros((n, n)), np.zeros((n, len(self.emit)))
-        seen = np.empty((len(symbols), n))
-        beta = np.zeros((0, n))
-        for t in range(len(alive) - 1, -1, -1):
-            d, later = alive[t], len(beta)
-            if later:  # sequences that go on after t
-                onward = emits[t + 1] * beta / scales[t + 1]
-                move += alphas[t][:later].T @ onward
-                beta = onward @ self.move.T
-            beta = np.concatenate([beta, np.ones((d - later, n))])
-            seen[starts[:d] + t] = alphas[t] * beta
+        if not len(lengths):
+            return begin, move, emit.T
+        alive = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
+        offsets = np.concatenate([[0], np.cumsum(alive)])
+        step = np.repeat(np.arange(len(alive)), alive)
+        inside = np.arange(offsets[-1]) - offsets[step]
+        laid = symbols[starts[inside] + step]
+        before = offsets[step[alive[0] :] - 1] + inside[alive[0] :]  # of each token but the first, the one before it
+        del step, inside
+        alpha = self.emit[laid]
+        scale, ones, steps = np.empty(len(alpha)), np.ones(n), offsets.tolist()
+        room = np.empty((alive[0], n))
+        last, lo = self.begin[kind], 0
+        for t, hi in enumerate(steps[1:]):
+            a, s = alpha[lo:hi], scale[lo:hi]
+            a *= np.matmul(last[: hi - lo], self.move, out=room[: hi - lo]) if t else last
+            np.matmul(a, ones, out=s)
+            a /= s[:, None]
+            last, lo = a, hi
+        onward = self.emit[laid]
+        onward /= scale[:, None]
+        beta, back = np.ones_like(alpha), np.ascontiguousarray(self.move.T)
+        for t in range(len(alive) - 1, 0, -1):
+            lo, hi, d = steps[t], steps[t + 1], steps[t - 1]
+            np.matmul(np.multiply(onward[lo:hi], beta[lo:hi], out=room[: hi - lo]), back, out=beta[d : d + hi - lo])
+        onward *= beta
+        move += alpha[before].T @ onward[alive[0] :]
+        alpha *= beta
         for k in (0, 1):
-            begin[k] = seen[starts[kind == k]].sum(0)
+            begin[k] = alpha[: alive[0]][kind == k].sum(0)
         for s in range(n):
-            emit[s] = np.bincount(symbols, weights=seen[:, s], minlength=len(self.emit))
+            emit[s] = np.bincount(laid, weights=alpha[:, s], minlength=len(self.emit))
         return begin, move * self.move, emit.T
 
 
@@ -213,7 +223,7 @@ def baum_welch(docs: DataFrame, base: Base, rounds: int = ROUNDS, states: int =
             hmm, unigram = shared.value, shared_base.value
             total = [np.zeros_like(hmm.begin), np.zeros_like(hmm.move), np.zeros_like(hmm.emit)]
             for _, found, begins in _texts(batches, 0):
-                for part, n in zip(total, hmm.expect(unigram.symbols_of(found), *runs(begins)), strict=True):
+                for part, n in zip(total, hmm.expect(unigram.symbols_of(found), begins, np.ones(len(begins) - 1, bool)), strict=True):
                     part += n
             flat = np.rint(np.concatenate([x.ravel() for x in total]) * 1e6).astype(np.int64)
             some = np.flatnonzero(flat)

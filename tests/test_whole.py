@@ -1,11 +1,13 @@
 """Queries over whole tables give every row, and places come without one window over all rows."""
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cutroom import plans
 from cutroom.functions import text
-from cutroom.llm import license_scan
+from cutroom.llm import language_model, license_scan
 from cutroom.operators import export, ranks
 
 SF = "/root/testdata/sf0.001"
@@ -73,3 +75,18 @@ def test_clauses_of_whole_licences_are_found(spark):
     got = {r.doc_id: r.labels.split(",") for r in license_scan.digest(license_scan.scan(rows)).collect()}
     assert all(label in got[label] for label, _ in docs), got
     assert {"lgpl", "epl", "cc0", "unlicense", "mpl", "gpl"} <= {label for label, _ in license_scan.clauses()}
+
+
+def test_training_counts_moves_over_whole_texts(spark):
+    """A round over one long text is the same as expected counts over it in one piece; no transition is left out."""
+    docs = spark.createDataFrame([(0, " ".join("abcd"[i * i % 4] for i in range(1500))), (1, "a b")], "doc_id long, text string")
+    base = language_model.base_model(language_model.count_words(docs))
+    start = language_model.Hmm.start(base, 2)
+    got = language_model.baum_welch(docs, base, 1, states=2)
+    texts = [r.text.split() for r in docs.orderBy("doc_id").collect()]
+    _, hashes, begins = next(language_model._texts(docs.coalesce(1).toArrow().to_batches(), 1))
+    assert np.diff(begins).tolist() == [len(t) + 1 for t in texts]
+    _, move, _ = start.expect(base.symbols_of(hashes), begins, np.ones(2, bool))
+    assert move.sum() == pytest.approx(sum(len(t) for t in texts))
+    move = move + 1 / 2
+    assert got.move == pytest.approx(move / move.sum(1, keepdims=True), rel=1e-6)
