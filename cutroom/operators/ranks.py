@@ -7,7 +7,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..llm.session import cut
+from ..session import cut
 
 #: Rows of a partition, in what monotonically_increasing_id gives.
 _BITS = 33
