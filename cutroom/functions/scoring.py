@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from ..conf import DEFAULT, CurationConf
 
 
+# Why a clip is rejected at once, in the order of the checks.
+REJECT_REASONS = ("no_face", "transcript_too_short", "duration_too_short", "snr_too_low", "head_pose_bad", "face_quality_too_low", "unknown_emotion")
+# Votes that count as agreement.
+AGREEMENTS = ("3/3", "2/3", "3/4", "4/4")
+
+
 def rounded(c: Column, digits: int) -> Column:
     """Half up on the decimal value, so that engines agree on ties."""
     return F.round(c.cast("decimal(20,8)"), digits).cast("double")
@@ -40,22 +46,13 @@ def auto_decision(faces, words, duration, snr, frontal, face_quality, quality, e
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     snr, frontal, quality = F.coalesce(snr, F.lit(20.0)), F.coalesce(frontal, F.lit(1.0)), zero(quality)
     face_quality, duration, words = F.coalesce(face_quality, quality), zero(duration), zero(words)
-    reasons = F.array_compact(
-        F.array(
-            F.when(zero(faces) <= 0, "no_face"),
-            F.when(words < 2, "transcript_too_short"),
-            F.when(duration < 2.0, "duration_too_short"),
-            F.when(snr < 5.0, "audio_too_noisy"),
-            F.when(frontal < 0.30, "not_frontal"),
-            F.when(face_quality < 0.20, "face_quality_too_low"),
-            F.when(F.coalesce(emotion, F.lit("unknown")).isin("", "unknown"), "unknown_emotion"),
-        )
-    )
+    fails = (zero(faces) == 0, words < 2, duration < 2.0, snr < 5.0, frontal < 0.30, face_quality < 0.20, F.coalesce(emotion, F.lit("unknown")).isin("", "unknown"))
+    reasons = F.array_compact(F.array(*(F.when(test, code) for test, code in zip(fails, REJECT_REASONS, strict=True))))
     good = (
-        (quality >= 0.80) & (zero(confidence) >= 0.70) & F.coalesce(agreed, F.lit("")).isin("3/3", "2/3", "3/4", "4/4") & ~F.coalesce(incongruity, F.lit(False))
+        (quality >= 0.80) & (zero(confidence) >= 0.70) & F.coalesce(agreed, F.lit("")).isin(*AGREEMENTS) & ~F.coalesce(incongruity, F.lit(False))
         & (words >= 3) & duration.between(3.0, 15.0) & (snr >= 15.0) & (frontal >= 0.80) & (face_quality >= 0.60)
     )
-    return F.when(F.size(reasons) > 0, "rejected").when(good, "auto_approved").otherwise("needs_review"), F.array_join(reasons, ", ")
+    return F.when(F.size(reasons) > 0, "rejected").when(good, "approved").otherwise("needs_review"), F.array_join(reasons, ", ")
 
 
 def snr_proxy(snr: Column, clarity: Column) -> Column:
@@ -108,24 +105,24 @@ def combine_verdicts(emotion, intensity, verdict, v_emotion, v_intensity, conf:
 
 
 def review_route(confidence, quality, verdict, status, rejected, incongruity, conf: CurationConf = DEFAULT) -> dict[str, Column]:
-    """Bucket, its confidence, and reason codes, which are never empty."""
+    """Bucket, its confidence, and the reasons, which are never empty."""
     c, q = F.coalesce(confidence, F.lit(0.0)), F.coalesce(quality, F.lit(0.0))
+    verdict, status = (F.trim(F.coalesce(x, F.lit(""))) for x in (verdict, status))
     no = lambda b: F.coalesce(b, F.lit(False))
-    wrong, low = no(rejected) | no(verdict == "wrong_emotion"), c < conf.reject_confidence
-    fine = no(status == "passed") & no(verdict == "confirmed") & (c >= conf.approve_confidence) & (q >= conf.approve_quality) & ~no(incongruity)
-    why_not = F.array_compact(
-        F.array(
-            F.when(~no(status == "passed"), "verify_status"), F.when(~no(verdict == "confirmed"), "verify_verdict"), F.when(c < conf.approve_confidence, "ai_confidence"),
-            F.when(q < conf.approve_quality, "quality"), F.when(no(incongruity), "incongruity"),
-        )
-    )
+    wrong, low = no(rejected) | (verdict == "wrong_emotion"), c < conf.reject_confidence
+    fine = (status == "passed") & (verdict == "confirmed") & (c >= conf.approve_confidence) & (q >= conf.approve_quality) & ~no(incongruity)
+    two = lambda x: F.format_string("%.2f", x)
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    # The wording of reasons.
+    for_review = F.array_compact(F.array(F.when(no(incongruity) & (status != "rejected"), "has_incongruity=True"), F.when(status == "not_run", "verify_not_yet_run")))
     return {
         "bucket": F.when(wrong | low, "auto_reject_candidates").when(fine, "auto_approve_candidates").otherwise("needs_human_review"),
         "bucket_confidence": F.when(wrong, 0.95).when(low, 0.80).when(fine, approve_confidence(c, q, verdict, incongruity, conf)).otherwise(0.5),
-        "reasons": F.when(wrong, F.array_compact(F.array(F.when(no(rejected), "rejected_by_verify"), F.when(no(verdict == "wrong_emotion"), "wrong_emotion"))))
-        .when(low, F.array(F.lit("ai_confidence")))
-        .when(fine, F.array(F.lit("verify_passed"), F.lit("verify_confirmed"), F.lit("ai_confidence"), F.lit("quality")))
-        .otherwise(why_not),
+        "reasons": F.when(wrong, F.array(say("verify_verdict=", F.coalesce(F.nullif(verdict, F.lit("")), F.lit("rejected_by_verify=True")))))
+        .when(low, F.array(say("ai_confidence=", two(c), f" < {conf.reject_confidence:.2f}")))
+        .when(fine, F.array(say("verify=", verdict), say("ai_confidence=", two(c)), say("quality_score=", two(q)), F.lit("no_incongruity")))
+        .when(F.size(for_review) > 0, for_review)
+        .otherwise(F.array(F.lit("default_to_human_review"))),
     }
 
 

@@ -7,8 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..conf import SENTIMENT
-
+from ..conf import EMOTIONS, SENTIMENT
 
 
 def _bare_letters() -> tuple[str, str]:
@@ -26,15 +25,19 @@ def _bare_letters() -> tuple[str, str]:
 
 _MARKED, _BARE = _bare_letters()
 
-# Phrases that speak for an emotion (without marks).
+# Phrases that speak for an emotion (without marks); one that stands twice counts twice.
 LEXICON = {
-    "happy": ("vui", "hanh phuc", "cuoi", "thich", "yeu", "tuyet", "may qua", "mung", "suong", "vui ve"),
-    "sad": ("buon", "khoc", "dau long", "co don", "mat", "nho", "that vong", "nuoc mat"),
-    "angry": ("gian", "tuc", "buc", "cam", "ghet", "dien", "tuc gian", "buc boi"),
-    "fear": ("hoang", "cuu", "nguy hiem", "run", "lo lang", "bat an"),
-    "surprise": ("sao", "gi co", "bat ngo", "troi oi", "lam sao", "khong tin noi"),
-    "disgust": ("ghe", "kinh", "tom", "khinh", "buon non", "kinh tom"),
+    "happy": ("vui", "hanh phuc", "cuoi", "thich", "yeu", "tuyet", "may qua", "mung", "suong", "vui ve", "hanh phuc", "hoan hoan", "ron rang"),
+    "sad": ("buon", "khoc", "dau long", "co don", "mat", "nho", "tui", "that vong", "tui nhu", "nuoc mat", "bi luy", "sau", "thuong"),
+    "angry": ("gian", "tuc", "buc", "do khon", "im di", "cam", "ghet", "dien", "khong tha", "cam han", "tuc gian", "buc boi"),
+    "fear": ("so", "lo", "hoang", "cuu", "nguy hiem", "chay di", "dung", "hai", "run", "rung minh", "lo lang", "bat an", "hoang loan"),
+    "surprise": ("sao", "gi co", "that an", "khong the", "bat ngo", "troi oi", "ua", "chu sao", "lam sao", "that khong", "khong tin noi"),
+    "disgust": ("ghe", "kinh", "tom", "ban", "khinh", "dang ghet", "buon non", "ghe tom", "kinh tom", "buc", "ngay", "ac"),
 }
+# Fixed value: addresses of single videos.
+VIDEO_URL = r"^(https?://)?(www\.)?(youtube|youtu|youtube-nocookie)\.(com|be)/(watch\?v=|embed/|v/|.+\?v=)?([^&=%\?]{11})"
+# Escapes of a JSON string.
+JSON_ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
 
 
 def word_count(c: Column) -> Column:
@@ -92,8 +95,7 @@ def source_type(url: Column) -> Column:
 
 
 def is_video_url(url: Column) -> Column:
-    short = r"^(https?://)?(www\.)?(youtube|youtu|youtube-nocookie)\.(com|be)/(watch\?v=|embed/|v/|.+\?v=)?([^&=%\?]{11})"
-    return F.coalesce((url != "") & (url.rlike(short) | url.startswith("http")), F.lit(False))
+    return F.coalesce((url != "") & (url.rlike(VIDEO_URL) | url.startswith("http")), F.lit(False))
 
 
 def safe_name(c: Column) -> Column:
@@ -106,8 +108,24 @@ def clock(ms: Column) -> Column:
     return F.concat(F.lpad(F.floor(s / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
 
 
-def lexicon_scores(text: Column) -> dict[str, Column]:
-    """Emotion -> score of the phrases found: 1 and 0.15 for each word of the phrase, 2 at most."""
+def size_text(n: Column) -> Column:
+    """Bytes in the largest unit that leaves 1 or more, with one digit from KB on."""
+    units = ("B", "KB", "MB", "GB", "TB")
+    out = F.when(n < 1024, F.concat(n.cast("bigint").cast("string"), F.lit(" B")))
+    for i, unit in enumerate(units[1:], 1):
+        value = F.format_string("%.1f", n.cast("double") / float(1024**i))
+        text = F.concat(value, F.lit(f" {unit}"))
+        out = out.otherwise(text) if unit == units[-1] else out.when(n < 1024 ** (i + 1), text)
+    return out
+
+
+def truncated(c: Column, n: int) -> Column:
+    """The first n characters."""
+    return F.substring(c, 1, n)
+
+
+def lexicon_hits(text: Column) -> dict[str, Column]:
+    """Emotion -> score of the phrases (of three letters or more) found: 1 and 0.15 for each word of the phrase, 2 at most."""
     low = strip_accents(F.trim(text))
     weigh = lambda p: 1.0 + min(1.0, 0.15 * len(p.split()))
     out = {}
@@ -117,9 +135,33 @@ def lexicon_scores(text: Column) -> dict[str, Column]:
     return out
 
 
+def lexicon_scores(text: Column) -> dict[str, Column]:
+    """Emotion -> share of lexicon_hits, to which 0.25 for neutral comes if there is any hit; nulls without one."""
+    found = lexicon_hits(text)
+    total = sum(list(found.values())[1:], next(iter(found.values())))
+    parts = {**found, "neutral": F.lit(0.25)}
+    return {emotion: F.when(total > 0, parts[emotion] / (total + 0.25)) for emotion in EMOTIONS}
+
+
+def json_string(c: Column) -> Column:
+    """c as a JSON string in ASCII, quotes included."""
+    hexed = lambda ch: F.lower(F.hex(F.encode(ch, "UTF-16BE")))
+    escapes = F.create_map(*(F.lit(x) for kv in JSON_ESCAPES.items() for x in kv))
+
+    def one(ch: Column) -> Column:
+        unit = F.concat(F.lit("\\u"), F.substring(hexed(ch), 1, 4))
+        pair = F.when(F.length(hexed(ch)) > 4, F.concat(unit, F.lit("\\u"), F.substring(hexed(ch), 5, 4))).otherwise(unit)
+        return F.coalesce(F.try_element_at(escapes, ch), F.when(ch.rlike(r"^[\x20-\x7F]$"), ch).otherwise(pair))
+
+    plain = c.rlike(r'^[\x20\x21\x23-\x5B\x5D-\x7F]*$')
+    return F.concat(F.lit('"'), F.when(plain, c).otherwise(F.array_join(F.transform(F.split(c, ""), one), "")), F.lit('"'))
+
+
 def cache_key(path: Column, stage: Column, prompt: Column, params: Column) -> Column:
+    """The key of a cached response: a hash of the JSON list of path, stage, and short hashes of prompt and params (JSON text with sorted keys)."""
     short = lambda c: F.substring(F.sha2(c, 256), 1, 16)
-    return F.substring(F.sha2(F.concat_ws("|", path, stage, short(prompt), short(params)), 256), 1, 32)
+    listed = F.concat(F.lit("["), F.concat_ws(", ", json_string(path), json_string(stage), json_string(short(prompt)), json_string(short(params))), F.lit("]"))
+    return F.substring(F.sha2(listed, 256), 1, 32)
 
 
 def hash_rank(c: Column, seed: str = "") -> Column:

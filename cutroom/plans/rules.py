@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..conf import EMOTIONS, SENTIMENT
+from ..conf import EMOTIONS
 from ..functions import json_parse, scoring, text, vectors
 from ..operators import dashboard
 from .catalog import query
@@ -39,10 +39,10 @@ def _(t):
 
 
 @query("auto_decision", """WITH m AS (SELECT *, coalesce(snr, 20.0) s, coalesce(frontal_ratio, 1.0) fr, coalesce(face_quality, quality) fq FROM clips),
-r AS (SELECT *, concat_ws(', ', case when num_faces <= 0 then 'no_face' end, case when n_words < 2 then 'transcript_too_short' end, case when duration < 2 then 'duration_too_short' end, case when s < 5 then 'audio_too_noisy' end,
-case when fr < 0.3 then 'not_frontal' end, case when fq < 0.2 then 'face_quality_too_low' end, case when coalesce(user_emotion, 'unknown') in ('', 'unknown') then 'unknown_emotion' end) reasons FROM m)
+r AS (SELECT *, concat_ws(', ', case when num_faces = 0 then 'no_face' end, case when n_words < 2 then 'transcript_too_short' end, case when duration < 2 then 'duration_too_short' end, case when s < 5 then 'snr_too_low' end,
+case when fr < 0.3 then 'head_pose_bad' end, case when fq < 0.2 then 'face_quality_too_low' end, case when coalesce(user_emotion, 'unknown') in ('', 'unknown') then 'unknown_emotion' end) reasons FROM m)
 SELECT clip_id, case when reasons <> '' then 'rejected' when quality >= 0.8 and confidence >= 0.7 and coalesce(agreement, '') in ('3/3', '2/3', '3/4', '4/4') and not has_incongruity and n_words >= 3
-and duration between 3 and 15 and s >= 15 and fr >= 0.8 and fq >= 0.6 then 'auto_approved' else 'needs_review' end AS status, reasons FROM r""")
+and duration between 3 and 15 and s >= 15 and fr >= 0.8 and fq >= 0.6 then 'approved' else 'needs_review' end AS status, reasons FROM r""")
 def _(t):
     status, reasons = scoring.auto_decision(*(c(x) for x in ("num_faces", "n_words", "duration", "snr", "frontal_ratio", "face_quality", "quality", "user_emotion", "confidence", "agreement", "has_incongruity")))
     return t.clips.select("clip_id", status.alias("status"), reasons.alias("reasons"))
@@ -55,11 +55,15 @@ _HARD_Q = _dec("least(1.0::double, least(1.0::double, face_coverage / 0.7::doubl
 
 
 def _hard(t):
-    codes, _, quality = scoring.hard_filter(c("duration"), c("confidence"), c("face_coverage"), c("frontal_ratio"), c("people_count"), c("speech_quality"), c("n_words"), c("clip_id") % 2 == 0)
-    return t.clips.select("clip_id", codes.alias("codes"), quality.alias("filter_quality"))
+    codes, texts, quality = scoring.hard_filter(c("duration"), c("confidence"), c("face_coverage"), c("frontal_ratio"), c("people_count"), c("speech_quality"), c("n_words"), c("clip_id") % 2 == 0)
+    return t.clips.select("clip_id", codes.alias("codes"), texts.alias("reasons"), quality.alias("filter_quality"))
 
 
-@query("hard_filter", f"WITH {_HARD} SELECT clip_id, codes, case when codes = '' then {_HARD_Q} end AS filter_quality FROM h")
+@query("hard_filter", f"""WITH {_HARD} SELECT clip_id, codes, concat_ws(',', case when duration < 3 then printf('duration_too_short(%.1fs<3.0s)', duration) end, case when duration > 12 then printf('duration_too_long(%.1fs>12.0s)', duration) end,
+case when confidence < 0.8 then printf('intensity_low(%.2f<0.80)', confidence) end, case when face_coverage < 0.7 then printf('face_coverage_low(%.2f<0.70)', face_coverage) end,
+case when frontal_ratio > 0 and frontal_ratio < 0.75 then printf('frontal_ratio_low(%.2f<0.75)', frontal_ratio) end, case when people_count > 1 then printf('too_many_people(%d>1)', people_count) end,
+case when lower(speech_quality) = 'none' then 'no_speech' end, case when n_words < 3 and event_even then printf('transcript_too_short(%d<3)', n_words) end) AS reasons,
+case when codes = '' then {_HARD_Q} end AS filter_quality FROM h""")
 def _(t):
     return _hard(t)
 
@@ -95,9 +99,11 @@ def _(t):
     return _verdicts(t, scoring.DEFAULT)
 
 
-_ROUTE = """r AS (SELECT *, rejected_by_verify or coalesce(verify_verdict = 'wrong_emotion', false) wrong, confidence < 0.4 low,
+_NEAR = "least(1.0::double, greatest(0.0::double, 1.0::double - (0.85::double - {0}) / 0.85::double))".format
+_SURE = _dec(f"least(1.0::double, {_NEAR('confidence')} * 0.3::double + {_NEAR('quality')} * 0.2::double + case when verify_verdict = 'confirmed' then 0.4::double else 0.0::double end + case when has_incongruity then 0.0::double else 0.1::double end)", 4)
+_ROUTE = f"""r AS (SELECT *, rejected_by_verify or coalesce(verify_verdict = 'wrong_emotion', false) wrong, confidence < 0.4 low, {_SURE} AS sure,
 coalesce(verify_status = 'passed' and verify_verdict = 'confirmed' and confidence >= 0.85 and quality >= 0.85 and not has_incongruity, false) fine FROM clips),
-b AS (SELECT *, case when wrong or low then 'auto_reject_candidates' when fine then 'auto_approve_candidates' else 'needs_human_review' end bucket, case when wrong then 0.95::double when low then 0.8::double when fine then 1.0::double else 0.5::double end bucket_confidence FROM r)"""
+b AS (SELECT *, case when wrong or low then 'auto_reject_candidates' when fine then 'auto_approve_candidates' else 'needs_human_review' end bucket, case when wrong then 0.95::double when low then 0.8::double when fine then sure else 0.5::double end bucket_confidence FROM r)"""
 
 
 def _routed(t):
@@ -105,9 +111,10 @@ def _routed(t):
     return t.clips.select("*", *(v.alias(k) for k, v in got.items()))
 
 
-@query("review_route", f"""WITH {_ROUTE} SELECT clip_id, bucket, bucket_confidence, case when wrong then concat_ws(',', case when rejected_by_verify then 'rejected_by_verify' end, case when verify_verdict = 'wrong_emotion' then 'wrong_emotion' end)
-when low then 'ai_confidence' when fine then 'verify_passed,verify_confirmed,ai_confidence,quality' else concat_ws(',', case when verify_status <> 'passed' then 'verify_status' end, case when coalesce(verify_verdict, '') <> 'confirmed' then 'verify_verdict' end,
-case when confidence < 0.85 then 'ai_confidence' end, case when quality < 0.85 then 'quality' end, case when has_incongruity then 'incongruity' end) end AS reasons FROM b""")
+@query("review_route", f"""WITH {_ROUTE} SELECT clip_id, bucket, bucket_confidence, case when wrong then concat('verify_verdict=', coalesce(nullif(verify_verdict, ''), 'rejected_by_verify=True'))
+when low then concat('ai_confidence=', printf('%.2f', confidence), ' < 0.40') when fine then concat('verify=confirmed,ai_confidence=', printf('%.2f', confidence), ',quality_score=', printf('%.2f', quality), ',no_incongruity')
+when (has_incongruity and verify_status <> 'rejected') or verify_status = 'not_run' then concat_ws(',', case when has_incongruity and verify_status <> 'rejected' then 'has_incongruity=True' end, case when verify_status = 'not_run' then 'verify_not_yet_run' end)
+else 'default_to_human_review' end AS reasons FROM b""")
 def _(t):
     return _routed(t).select("clip_id", "bucket", "bucket_confidence", F.array_join("reasons", ",").alias("reasons"))
 
@@ -126,10 +133,7 @@ def _(t):
     return _routed(t).select("clip_id", "bucket", F.row_number().over(w).alias("place"))
 
 
-_NEAR = "least(1.0::double, greatest(0.0::double, 1.0::double - (0.85::double - {0}) / 0.85::double))".format
-
-
-@query("approve_confidence", f"""SELECT clip_id, {_dec(f"least(1.0::double, {_NEAR('confidence')} * 0.3::double + {_NEAR('quality')} * 0.2::double + case when verify_verdict = 'confirmed' then 0.4::double else 0.0::double end + case when has_incongruity then 0.0::double else 0.1::double end)", 4)} AS approve_confidence FROM clips""")
+@query("approve_confidence", f"SELECT clip_id, {_SURE} AS approve_confidence FROM clips")
 def _(t):
     return t.clips.select("clip_id", scoring.approve_confidence(c("confidence"), c("quality"), c("verify_verdict"), c("has_incongruity")).alias("approve_confidence"))
 
@@ -170,7 +174,7 @@ def _(t):
     return t.clips.select("clip_id", text.label_source(c("status"), c("user_emotion"), c("emotion")).alias("label_source"))
 
 
-@query("sentiment_map", "SELECT clip_id, case coalesce(nullif(user_emotion, ''), emotion) " + " ".join(f"when '{k}' then {v}::double" for k, v in SENTIMENT.items()) + " end AS sentiment FROM clips")
+@query("sentiment_map", "SELECT clip_id, case coalesce(nullif(user_emotion, ''), emotion) when 'happy' then 2.0::double when 'surprise' then 1.0::double when 'neutral' then 0.0::double when 'sad' then -1.0::double when 'fear' then -1.5::double when 'angry' then -2.0::double when 'disgust' then -2.5::double end AS sentiment FROM clips")
 def _(t):
     return t.clips.select("clip_id", text.sentiment(text.effective_label(c("user_emotion"), c("emotion"))).alias("sentiment"))
 
@@ -191,24 +195,28 @@ def _(t):
     return t("conversations").select("conv_id", "turn", text.one_spaced(c("text")).alias("text"))
 
 
-@query("strip_accents", "SELECT doc_id, md5(strip_accents(lower(text))) AS digest FROM documents WHERE lang in ('fr', 'es')")
-def _(t):
-    return t("documents").filter(c("lang").isin("fr", "es")).select("doc_id", F.md5(text.strip_accents(c("text"))).alias("digest"))
-
-
+@query("strip_accents", "SELECT doc_id, md5(strip_accents(lower(text))) AS digest FROM documents")
 @query("strip_accents_all", "SELECT doc_id, md5(strip_accents(lower(text))) AS digest FROM documents")
 def _(t):
     return t("documents").select("doc_id", F.md5(text.strip_accents(c("text"))).alias("digest"))
 
 
-_LEX = ", ".join(
-    "cast(" + " + ".join(f"case when contains(x, '{p}') then {1.0 + min(1.0, 0.15 * len(p.split()))}::double else 0.0::double end" for p in ps if len(p) >= 3) + f" as double) AS {e}" for e, ps in text.LEXICON.items()
-)
+# the phrases by hand: two and more words weigh 1.3 and more, "hanh phuc" stands twice, those of two letters are left out
+_LEX = """list_value(
+{'e': 'happy', 'w': 1.15, 'p': ['vui', 'cuoi', 'thich', 'yeu', 'tuyet', 'mung', 'suong']}, {'e': 'happy', 'w': 1.30, 'p': ['hanh phuc', 'hanh phuc', 'may qua', 'vui ve', 'hoan hoan', 'ron rang']},
+{'e': 'sad', 'w': 1.15, 'p': ['buon', 'khoc', 'mat', 'nho', 'tui', 'sau', 'thuong']}, {'e': 'sad', 'w': 1.30, 'p': ['dau long', 'co don', 'that vong', 'tui nhu', 'nuoc mat', 'bi luy']},
+{'e': 'angry', 'w': 1.15, 'p': ['gian', 'tuc', 'buc', 'cam', 'ghet', 'dien']}, {'e': 'angry', 'w': 1.30, 'p': ['do khon', 'im di', 'khong tha', 'cam han', 'tuc gian', 'buc boi']},
+{'e': 'fear', 'w': 1.15, 'p': ['hoang', 'cuu', 'dung', 'hai', 'run']}, {'e': 'fear', 'w': 1.30, 'p': ['nguy hiem', 'chay di', 'rung minh', 'lo lang', 'bat an', 'hoang loan']},
+{'e': 'surprise', 'w': 1.15, 'p': ['sao']}, {'e': 'surprise', 'w': 1.30, 'p': ['gi co', 'that an', 'khong the', 'bat ngo', 'troi oi', 'chu sao', 'lam sao', 'that khong']}, {'e': 'surprise', 'w': 1.45, 'p': ['khong tin noi']},
+{'e': 'disgust', 'w': 1.15, 'p': ['ghe', 'kinh', 'tom', 'ban', 'khinh', 'buc', 'ngay']}, {'e': 'disgust', 'w': 1.30, 'p': ['dang ghet', 'buon non', 'ghe tom', 'kinh tom']})"""
+_FOUND = "d AS (SELECT doc_id, strip_accents(lower(trim(text))) x FROM documents), l AS (SELECT unnest(%s) l), f AS (SELECT doc_id, l.e AS e, l.w * len(list_filter(l.p, lambda p: contains(x, p))) AS s FROM d, l), h AS (SELECT doc_id, %s, sum(s) AS total FROM f GROUP BY 1)" % (
+    _LEX, ", ".join(f"sum(s) filter (e = '{e}') AS {e}" for e in EMOTIONS if e != "neutral"),
+)
 
 
-@query("lexicon_score", f"WITH d AS (SELECT doc_id, strip_accents(lower(trim(text))) x FROM documents) SELECT doc_id, {_LEX} FROM d")
+@query("lexicon_score", f"WITH {_FOUND} SELECT doc_id, " + ", ".join(f"case when total > 0 then {_dec(f'{e} / (total + 0.25::double)', 6)} end AS {e}" for e in EMOTIONS if e != "neutral") + f", case when total > 0 then {_dec('0.25::double / (total + 0.25::double)', 6)} end AS neutral FROM h")
 def _(t):
-    return t("documents").select("doc_id", *(v.alias(k) for k, v in text.lexicon_scores(c("text")).items()))
+    return t("documents").select("doc_id", *(scoring.rounded(v, 6).alias(k) for k, v in text.lexicon_scores(c("text")).items()))
 
 
 @query("strip_fence", r"SELECT clip_id, case when starts_with(trim(text), '```') then regexp_replace(regexp_replace(trim(text), '^```(?:json)?\s*', ''), '\s*```$', '') else trim(text) end AS body FROM responses")
@@ -218,7 +226,7 @@ def _(t):
 
 _HOST = "lower(coalesce(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1), ''))"
 _URLS = "u AS (SELECT page_id, case page_id % 6 when 0 then 'https://www.YouTube.com/watch?v=abcdefghijk' when 1 then 'http://fb.watch/x/1' when 2 then 'https://vm.tiktok.com/z' when 3 then '' when 4 then 'no url' else url end AS url FROM pages)"
-_URL = F.expr if False else "case page_id % 6 when 0 then 'https://www.YouTube.com/watch?v=abcdefghijk' when 1 then 'http://fb.watch/x/1' when 2 then 'https://vm.tiktok.com/z' when 3 then '' when 4 then 'no url' else url end"
+_URL = "case page_id % 6 when 0 then 'https://www.YouTube.com/watch?v=abcdefghijk' when 1 then 'http://fb.watch/x/1' when 2 then 'https://vm.tiktok.com/z' when 3 then '' when 4 then 'no url' else url end"
 
 
 @query("source_type", f"WITH {_URLS}, h AS (SELECT page_id, {_HOST} h FROM u WHERE trim(url) <> '') SELECT page_id, case when h like '%youtube%' or h like '%youtu.be%' then 'youtube' when h like '%drive.google%' then 'drive' when h like '%tiktok%' then 'tiktok' when h like '%facebook%' or h like '%fb.watch%' then 'facebook' when h like '%dailymotion%' then 'dailymotion' else 'url' end AS source_type FROM h")
@@ -237,14 +245,17 @@ def _(t):
     return t("part").select("p_partkey", text.safe_name(F.expr("case when p_partkey % 9 = 0 then '' else concat(p_name, '/', p_brand) end")).alias("name"))
 
 
-@query("format_units", "SELECT clip_id, concat(lpad(cast(start_ms // 60000 as varchar), 2, '0'), ':', lpad(cast(start_ms // 1000 % 60 as varchar), 2, '0')) AS clock FROM clips")
+@query("format_units", """SELECT clip_id, concat(lpad(cast(start_ms // 60000 as varchar), 2, '0'), ':', lpad(cast(start_ms // 1000 % 60 as varchar), 2, '0')) AS clock,
+case when b < 1024 then concat(b, ' B') when b < 1048576 then printf('%.1f KB', b / 1024.0::double) when b < 1073741824 then printf('%.1f MB', b / 1048576.0::double) else printf('%.1f GB', b / 1073741824.0::double) end AS size FROM (SELECT *, start_ms * start_ms // (1 + clip_id % 97) AS b FROM clips)""")
 def _(t):
-    return t.clips.select("clip_id", text.clock(c("start_ms")).alias("clock"))
+    size = F.floor(c("start_ms") * c("start_ms") / (c("clip_id") % 97 + 1))
+    return t.clips.select("clip_id", text.clock(c("start_ms")).alias("clock"), text.size_text(size).alias("size"))
 
 
-@query("cache_key", "SELECT clip_id, substr(sha256(concat_ws('|', coalesce(clip_path, ''), 'verify', substr(sha256(transcript), 1, 16), substr(sha256(emotion), 1, 16))), 1, 32) AS key FROM clips")
+@query("cache_key", """SELECT clip_id, substr(sha256(concat('["', coalesce(clip_path, ''), '", "verify", "', substr(sha256(transcript), 1, 16), '", "', substr(sha256(concat('{"emotion": "', emotion, '"}')), 1, 16), '"]')), 1, 32) AS key FROM clips""")
 def _(t):
-    return t.clips.select("clip_id", text.cache_key(F.coalesce("clip_path", F.lit("")), F.lit("verify"), c("transcript"), c("emotion")).alias("key"))
+    params = F.concat(F.lit('{"emotion": "'), c("emotion"), F.lit('"}'))
+    return t.clips.select("clip_id", text.cache_key(F.coalesce("clip_path", F.lit("")), F.lit("verify"), c("transcript"), params).alias("key"))
 
 
 @query("json_extract", "SELECT event_id, cast(json_extract_string(props, '$.k') as int) AS k, json_extract_string(props, '$.missing') AS missing FROM events")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..conf import DEFAULT, QUOTA
+from ..conf import DEFAULT
 from ..functions import scoring, text
 from ..operators import dashboard, export, ranks, state
 from ..sources import sinks, tables
@@ -31,11 +31,7 @@ def _(t):
     return t.clips.filter("clip_id = 17").select("clip_id", "video_id", "emotion", "start_ms").limit(1)
 
 
-@query("inbox_anti", "SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48) AND p_size % 3 = 0")
-def _(t):
-    return tables.unseen(t("part").filter("p_size % 3 = 0").select("p_partkey", "p_name"), t("lineitem").filter("l_quantity > 48").select(c("l_partkey").alias("p_partkey")), "p_partkey")
-
-
+@query("inbox_anti", "SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
 @query("inbox_anti_all", "SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
 def _(t):
     return tables.unseen(t("part").select("p_partkey", "p_name"), t("lineitem").filter("l_quantity > 48").select(c("l_partkey").alias("p_partkey")), "p_partkey")
@@ -74,12 +70,7 @@ def _(t):
     return tables.page(t("orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), c("o_orderkey")], 50, 25)
 
 
-@query("multi_sort", "SELECT clip_id, row_number() over (order by status, confidence desc, clip_id) AS place FROM clips WHERE video_id % 3 = 0 ORDER BY place LIMIT 100")
-def _(t):
-    rows = t.clips.filter("video_id % 3 = 0").orderBy("status", F.desc("confidence"), "clip_id").limit(100)
-    return rows.select("clip_id", F.row_number().over(Window.orderBy("status", F.desc("confidence"), "clip_id")).alias("place"))
-
-
+@query("multi_sort", "SELECT clip_id, row_number() over (order by status, confidence desc, clip_id) AS place FROM clips")
 @query("multi_sort_all", "SELECT clip_id, row_number() over (order by status, confidence desc, clip_id) AS place FROM clips")
 def _(t):
     return ranks.ranked(t.clips.select("clip_id", "status", "confidence"), ["status", F.desc("confidence"), "clip_id"]).select("clip_id", "place")
@@ -146,27 +137,14 @@ def _(t):
     return t.clips.select("clip_id", F.array_join(flags, ",").alias("flags"))
 
 
-def _in_order(t, clips):
-    both = clips.select("clip_id", "video_id", "start_ms").join(t.videos.select("video_id", "title"), "video_id")
-    return ranks.ranked(both, [F.desc("video_id"), "start_ms", "clip_id"]).select("clip_id", "title", "place")
-
-
-@query("review_order", "SELECT clip_id, title, row_number() over (order by videos.video_id desc, start_ms, clip_id) AS place FROM clips JOIN videos USING (video_id) WHERE clips.status = 'needs_review'")
-def _(t):
-    return _in_order(t, t.clips.filter("status = 'needs_review'"))
-
-
+@query("review_order", "SELECT clip_id, title, row_number() over (order by videos.video_id desc, start_ms, clip_id) AS place FROM clips JOIN videos USING (video_id)")
 @query("review_order_all", "SELECT clip_id, title, row_number() over (order by videos.video_id desc, start_ms, clip_id) AS place FROM clips JOIN videos USING (video_id)")
 def _(t):
-    return _in_order(t, t.clips)
-
-
-@query("queue_join", "SELECT id, title, priority FROM queue JOIN videos USING (video_id) WHERE queue.status = 'queued' ORDER BY priority DESC, created_us, id LIMIT 200")
-def _(t):
-    both = t.queue.filter("status = 'queued'").join(t.videos.select("video_id", "title"), "video_id")
-    return both.orderBy(F.desc("priority"), "created_us", "id").limit(200).select("id", "title", "priority")
+    both = t.clips.select("clip_id", "video_id", "start_ms").join(t.videos.select("video_id", "title"), "video_id")
+    return ranks.ranked(both, [F.desc("video_id"), "start_ms", "clip_id"]).select("clip_id", "title", "place")
 
 
+@query("queue_join", "SELECT id, title, priority, queue.status, row_number() over (order by priority desc, created_us, id) AS place FROM queue JOIN videos USING (video_id)")
 @query("queue_join_all", "SELECT id, title, priority, queue.status, row_number() over (order by priority desc, created_us, id) AS place FROM queue JOIN videos USING (video_id)")
 def _(t):
     both = t.queue.join(t.videos.select("video_id", "title"), "video_id")
@@ -194,16 +172,16 @@ def _(t):
     return dashboard.emotion_counts(t.clips)
 
 
-_QUOTA = "q(emotion, target) AS (VALUES " + ", ".join(f"('{k}', {v})" for k, v in QUOTA.items()) + ")"
-_QUOTA_JOIN = f"WITH {_QUOTA}, n AS (SELECT emotion, count(*) AS n FROM clips WHERE status in ('approved', 'auto_approved') GROUP BY 1) SELECT q.emotion, target, coalesce(n, 0) AS n, greatest(0, target - coalesce(n, 0)) AS remaining, {_dec('coalesce(n, 0)::double * 100 / target', 2)} AS percentage FROM q LEFT JOIN n ON n.emotion = q.emotion"
+_QUOTA = "q(emotion, target) AS (VALUES ('happy', 600), ('sad', 450), ('angry', 450), ('neutral', 450), ('surprise', 450), ('fear', 300), ('disgust', 300))"
+_COUNTED = f"WITH {_QUOTA}, n AS (SELECT emotion, count(*) AS n FROM clips WHERE status in ('approved', 'auto_approved') GROUP BY 1)"
 
 
-@query("quota_progress", _QUOTA_JOIN)
+@query("quota_progress", f"{_COUNTED} SELECT q.emotion, target, coalesce(n, 0) AS n, greatest(0, target - coalesce(n, 0)) AS remaining, {_dec('coalesce(n, 0)::double * 100 / target', 2)} AS percentage FROM q LEFT JOIN n ON n.emotion = q.emotion")
 def _(t):
     return dashboard.quota_progress(t.clips)
 
 
-@query("quota_left_join", f"SELECT emotion, remaining FROM ({_QUOTA_JOIN})".replace("SELECT emotion, remaining FROM (WITH", "WITH").rstrip(")") if False else _QUOTA_JOIN.replace("SELECT q.emotion, target, coalesce(n, 0) AS n, ", "SELECT q.emotion, ").split(", cast(round")[0] + " FROM q LEFT JOIN n ON n.emotion = q.emotion")
+@query("quota_left_join", f"{_COUNTED} SELECT q.emotion, greatest(0, target - coalesce(n, 0)) AS remaining FROM q LEFT JOIN n ON n.emotion = q.emotion")
 def _(t):
     return dashboard.quota_progress(t.clips).select("emotion", "remaining")
 
@@ -261,23 +239,16 @@ def _(t):
     )
 
 
-@query("dedup_max_key", "SELECT k, clip_id, intensity FROM (SELECT concat(start_ms // 5000, '-', emotion) AS k, clip_id, confidence AS intensity FROM clips WHERE video_id % 2 = 0) QUALIFY row_number() over (partition by k order by intensity desc, clip_id) = 1")
-def _(t):
-    key = F.concat(F.floor(c("start_ms") / 5000).cast("string"), F.lit("-"), c("emotion"))
-    rows = t.clips.filter("video_id % 2 = 0").select(key.alias("k"), "clip_id", c("confidence").alias("intensity"))
-    return export.best_of_key(rows, ["k"], "intensity", "clip_id")
+_BEST = "SELECT video_id, start_ds, end_ds, emotion, clip_id, intensity FROM (SELECT video_id, (start_ms + 50) // 100 AS start_ds, (end_ms + 50) // 100 AS end_ds, emotion, clip_id, confidence AS intensity FROM clips) QUALIFY row_number() over (partition by video_id, start_ds, end_ds, emotion order by intensity desc, clip_id) = 1"
 
 
-@query("dedup_max_key_all", "SELECT video_id, start_ds, end_ds, emotion, clip_id, intensity FROM (SELECT video_id, (start_ms + 50) // 100 AS start_ds, (end_ms + 50) // 100 AS end_ds, emotion, clip_id, confidence AS intensity FROM clips) QUALIFY row_number() over (partition by video_id, start_ds, end_ds, emotion order by intensity desc, clip_id) = 1")
+@query("dedup_max_key", _BEST)
+@query("dedup_max_key_all", _BEST)
 def _(t):
     rows = t.clips.withColumns(export.same_span("start_ms", "end_ms")).select("video_id", "start_ds", "end_ds", "emotion", "clip_id", c("confidence").alias("intensity"))
     return export.best_of_key(rows, ["video_id", "start_ds", "end_ds", "emotion"], "intensity", "clip_id")
 
 
-_RECORDS = "rec AS (SELECT l_orderkey * 10 + l_linenumber AS clip_id, l_partkey, l_suppkey, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS pos, case when l_partkey % 11 = 0 then '' else l_returnflag end AS final_emotion, case when l_suppkey % 13 = 0 then null else 'x.mp4' end AS clip_path, (l_quantity - 2)::double AS duration FROM lineitem WHERE l_orderkey % 10 = 0)"
-_GATE = f"{_RECORDS}, g AS (SELECT *, concat_ws(',', case when final_emotion = '' then 'missing_label' end, case when clip_path is null then 'missing_file' end, case when duration <= 0 then 'invalid_duration' end, case when row_number() over (partition by clip_id order by pos) > 1 then 'duplicate_clip_id' end) AS reasons FROM rec)"
-
-
 _LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
 
 
@@ -288,36 +259,24 @@ def _gated(lines):
     return export.quality_gate(rows, _LINE)
 
 
-def _gated_tenth(t):
-    return _gated(ranks.ranked(t("lineitem").filter("l_orderkey % 10 = 0").select(*_LINE, "l_returnflag"), _LINE, "pos"))
-
-
 def _report(rows, *columns):
     valid, bad = (rows.filter(F.size("rejection_reasons") == 0), rows.filter(F.size("rejection_reasons") > 0))
     kind = lambda df, k: df.select(F.lit(k).alias("kind"), *columns)
     return kind(valid, "valid").unionByName(kind(bad, "rejected"))
 
 
-@query("quality_gate", f"WITH {_GATE} SELECT clip_id, pos, reasons FROM g")
-def _(t):
-    return _gated_tenth(t).select("clip_id", "pos", F.array_join("rejection_reasons", ",").alias("reasons"))
-
-
-@query("quality_report_union", f"WITH {_GATE} SELECT 'valid' AS kind, clip_id, pos FROM g WHERE reasons = '' UNION ALL SELECT 'rejected', clip_id, pos FROM g WHERE reasons <> ''")
-def _(t):
-    return _report(_gated_tenth(t), "clip_id", "pos")
-
-
-_GATE_ALL = f"""rec AS (SELECT *, l_orderkey * 10 + l_linenumber AS clip_id, case when l_partkey % 11 = 0 then '' else l_returnflag end AS final_emotion, case when l_suppkey % 13 = 0 then null else 'x.mp4' end AS clip_path, (l_quantity - 2)::double AS duration FROM lineitem),
+_GATE = f"""rec AS (SELECT *, l_orderkey * 10 + l_linenumber AS clip_id, case when l_partkey % 11 = 0 then '' else l_returnflag end AS final_emotion, case when l_suppkey % 13 = 0 then null else 'x.mp4' end AS clip_path, (l_quantity - 2)::double AS duration FROM lineitem),
 g AS (SELECT *, concat_ws(',', case when final_emotion = '' then 'missing_label' end, case when clip_path is null then 'missing_file' end, case when duration <= 0 then 'invalid_duration' end, case when row_number() over (partition by clip_id order by {', '.join(_LINE)}) > 1 then 'duplicate_clip_id' end) AS reasons FROM rec)"""
 
 
-@query("quality_gate_all", f"WITH {_GATE_ALL} SELECT clip_id, l_partkey, l_suppkey, reasons FROM g")
+@query("quality_gate", f"WITH {_GATE} SELECT clip_id, l_partkey, l_suppkey, reasons FROM g")
+@query("quality_gate_all", f"WITH {_GATE} SELECT clip_id, l_partkey, l_suppkey, reasons FROM g")
 def _(t):
     return _gated(t("lineitem")).select("clip_id", "l_partkey", "l_suppkey", F.array_join("rejection_reasons", ",").alias("reasons"))
 
 
-@query("quality_report_all", f"WITH {_GATE_ALL} SELECT 'valid' AS kind, clip_id, l_partkey, l_suppkey FROM g WHERE reasons = '' UNION ALL SELECT 'rejected', clip_id, l_partkey, l_suppkey FROM g WHERE reasons <> ''")
+@query("quality_report_union", f"WITH {_GATE} SELECT 'valid' AS kind, clip_id, l_partkey, l_suppkey FROM g WHERE reasons = '' UNION ALL SELECT 'rejected', clip_id, l_partkey, l_suppkey FROM g WHERE reasons <> ''")
+@query("quality_report_all", f"WITH {_GATE} SELECT 'valid' AS kind, clip_id, l_partkey, l_suppkey FROM g WHERE reasons = '' UNION ALL SELECT 'rejected', clip_id, l_partkey, l_suppkey FROM g WHERE reasons <> ''")
 def _(t):
     return _report(_gated(t("lineitem")), "clip_id", "l_partkey", "l_suppkey")
 
