@@ -109,14 +109,9 @@ def clock(ms: Column) -> Column:
 
 
 def size_text(n: Column) -> Column:
-    """Bytes in the largest unit that leaves 1 or more, with one digit from KB on."""
-    units = ("B", "KB", "MB", "GB", "TB")
-    out = F.when(n < 1024, F.concat(n.cast("bigint").cast("string"), F.lit(" B")))
-    for i, unit in enumerate(units[1:], 1):
-        value = F.format_string("%.1f", n.cast("double") / float(1024**i))
-        text = F.concat(value, F.lit(f" {unit}"))
-        out = out.otherwise(text) if unit == units[-1] else out.when(n < 1024 ** (i + 1), text)
-    return out
+    """Bytes as GB, MB or KB with one digit; KB for what is smaller."""
+    unit = lambda power, name: F.concat(F.format_string("%.1f", n.cast("double") / float(1024**power)), F.lit(f" {name}"))
+    return F.when(n >= 1024**3, unit(3, "GB")).when(n >= 1024**2, unit(2, "MB")).when(n.isNotNull(), unit(1, "KB"))
 
 
 def truncated(c: Column, n: int) -> Column:
@@ -151,9 +146,9 @@ def json_string(c: Column) -> Column:
     def one(ch: Column) -> Column:
         unit = F.concat(F.lit("\\u"), F.substring(hexed(ch), 1, 4))
         pair = F.when(F.length(hexed(ch)) > 4, F.concat(unit, F.lit("\\u"), F.substring(hexed(ch), 5, 4))).otherwise(unit)
-        return F.coalesce(F.try_element_at(escapes, ch), F.when(ch.rlike(r"^[\x20-\x7F]$"), ch).otherwise(pair))
+        return F.coalesce(F.try_element_at(escapes, ch), F.when(ch.rlike(r"^[\x20-\x7E]$"), ch).otherwise(pair))
 
-    plain = c.rlike(r'^[\x20\x21\x23-\x5B\x5D-\x7F]*$')
+    plain = c.rlike(r'^[\x20\x21\x23-\x5B\x5D-\x7E]*$')
     return F.concat(F.lit('"'), F.when(plain, c).otherwise(F.array_join(F.transform(F.split(c, ""), one), "")), F.lit('"'))
 
 

@@ -246,7 +246,7 @@ def _(t):
 
 
 @query("format_units", """SELECT clip_id, concat(lpad(cast(start_ms // 60000 as varchar), 2, '0'), ':', lpad(cast(start_ms // 1000 % 60 as varchar), 2, '0')) AS clock,
-case when b < 1024 then concat(b, ' B') when b < 1048576 then printf('%.1f KB', b / 1024.0::double) when b < 1073741824 then printf('%.1f MB', b / 1048576.0::double) else printf('%.1f GB', b / 1073741824.0::double) end AS size FROM (SELECT *, start_ms * start_ms // (1 + clip_id % 97) AS b FROM clips)""")
+case when b >= 1073741824 then printf('%.1f GB', b / 1073741824.0::double) when b >= 1048576 then printf('%.1f MB', b / 1048576.0::double) else printf('%.1f KB', b / 1024.0::double) end AS size FROM (SELECT *, start_ms * start_ms // (1 + clip_id % 97) AS b FROM clips)""")
 def _(t):
     size = F.floor(c("start_ms") * c("start_ms") / (c("clip_id") % 97 + 1))
     return t.clips.select("clip_id", text.clock(c("start_ms")).alias("clock"), text.size_text(size).alias("size"))
