@@ -1,8 +1,7 @@
-"""What the operators need from a session: a checkpoint folder and small helpers."""
+"""What the operators need from a session: tables in the shared folder and small helpers."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,34 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut, shared_folder
 from .words import Text, pieces
 
+__all__ = ["Shelf", "annotate", "cut", "original", "shared_folder", "spread", "table"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """This session's folder under the one that the cluster names in spark.checkpoint.dir.
 
-    Only a local master without that setting (tests, a laptop) gets a folder of its own.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cutroom-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder; its lineage ends there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder as Parquet and read again."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+class Shelf:
+    """Tables written to the shared folder as Parquet and read again, so that lineage ends there; free() deletes those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/{uuid.uuid4()}.parquet"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def free(self, *tables: DataFrame) -> None:
+        for df in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df))[0])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def annotate(docs: DataFrame, fields: str, of_piece: Callable[[], Callable[[Text], list[pa.Array]]]) -> DataFrame:
