@@ -1,12 +1,15 @@
 """Mixing sources to target weights by weighted fair queueing, with DataFrame functions only.
 
-Documents are shuffled within their source by a hash of doc_id. Each gets a virtual finish time: the
-source's words up to and with it, divided by the source's target. All are ordered by finish time and
-truncated at the total budget, so every source is served in proportion to its target at any point.
-A source may be served again from its start (`most` times at most); then its words count on.
-
-A null or empty text has size 0 and takes nothing. A null source is a source of its own, the last.
-Rows that agree in doc_id, size and source are taken together, equally often. An empty table gives no rows.
+Documents are shuffled within their source by a hash of doc_id and text. Each gets a virtual finish time:
+the source's words up to and with it, divided by the source's target. All are sorted by range of finish
+time and truncated at the total budget, so every source is served in proportion to its target at any
+point. A source may be served again from its start (`most` times at most); then its words count on.
+
+A null or empty text has size 0 and takes nothing. A null source is a source of its own, the last. Rows
+that agree in all but their place are served one after the other, so how many of them are taken is the
+same in every run; which ones cannot be told apart. A very long text is one document like any other, taken
+whole or not at all. An empty table gives no rows. Extra columns are ignored by plan() and kept by mix(),
+whatever their names.
 """
 
 from __future__ import annotations
@@ -14,12 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import cut
+from .session import cut, original
 
-#: Blocks in hash order that a source's running totals are made in; a task holds one block of one source.
-BLOCKS = 1024
-#: Equal ranges of finish time, at each of two levels, in which the place of the cut is looked for.
-RANGES = 4096
+#: A source's running totals are made in blocks in hash order, of about so many rows of all sources; a task holds one block of one source.
+BLOCK_ROWS = 16384
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -45,86 +46,112 @@ def targets(sources: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), share: float
     return rows.select("source", "source_size", "weight", target.alias("target"))
 
 
-def _place(seed: str) -> Column:
-    """60 bits that shuffle documents within a source."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("bigint")
+def _sized(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def _crossing(served: DataFrame, low: float, width: float, budget: float) -> tuple[float, float, bool]:
-    """Of RANGES ranges of finish time from low: where the one begins that the budget ends in, what is left for it, and whether there is one. At most RANGES + 1 sums reach the driver."""
-    ranges = served.groupBy(F.least(F.floor((F.col("finish") - low) / width), F.lit(RANGES)).cast("int").alias("range")).agg(F.sum("size").alias("size"))
-    for row in sorted(ranges.collect()):
-        if row["size"] > budget:
-            return low + row["range"] * width, budget, True
-        budget -= row["size"]
-    return low, budget, False
+def _placed(doc_id: Column, text: Column, seed: str) -> Column:
+    """60 bits that shuffle documents within a source."""
+    parts = (F.coalesce(x.cast("string"), F.lit("")) for x in (doc_id, F.xxhash64(text.cast("string"))))
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *parts)), 1, 15), 16, 10).cast("bigint")
 
 
-def _sizes() -> Column:
-    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
+def _source_key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
 
-def plan(docs: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (0 to most) and taken (size * copies).
+def _queued(docs: DataFrame, cycle: tuple[int, ...], share: float, most: int, seed: str) -> tuple[DataFrame, float]:
+    """Each row with its place in its source's queue, upto (the source's words up to and with it), source_size and target; and the budget.
 
-    Whole documents are taken; a source's taken words miss its target by less than two documents, and the
-    total by less than one.
+    Rows that agree in all columns used are counted, partition by partition, and come back as so many rows at
+    the end: a large group of them is neither one row nor one task.
     """
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), _sizes().alias("size"))
-    sized = cut(sized.withColumns({"place": _place(seed), "source_key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))}))
-    aimed = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, share, most)
-    aimed = aimed.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source")
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), _sized(F.col("text")).alias("size"), _placed(F.col("doc_id"), F.col("text"), seed).alias("place"))
+    rows = rows.withColumns({"source_key": _source_key(F.col("source")), "part": F.spark_partition_id()})
+    items = cut(rows.groupBy("doc_id", "source", "source_key", "size", "place", "part").agg(F.count("*").alias("n")))
+    words = F.col("size") * F.col("n")
+    n_rows, total = items.agg(F.sum("n"), F.sum(words)).first()
+    bits = min(24, max(6, ((n_rows or 0) // BLOCK_ROWS).bit_length()))
+    aimed = targets(items.groupBy("source").agg(F.sum(words).alias("source_size")), cycle, share, most)
+    aimed = aimed.withColumn("source_key", _source_key(F.col("source"))).drop("source", "weight")
 
     # running totals in order of place: blocks of places are summed first, then each block is gone through
-    block = F.shiftright(F.col("place"), 60 - BLOCKS.bit_length() + 1).cast("int")
-    dealt = sized.withColumn("block", block)
+    dealt = items.withColumn("block", F.shiftright("place", 60 - bits).cast("int"))
     ahead = Window.partitionBy("source_key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy("source_key", "block").agg(F.sum("size").alias("block_size"))
+    sums = dealt.groupBy("source_key", "block").agg(F.sum(words).alias("block_size"))
     begins = sums.select("source_key", "block", F.coalesce(F.sum("block_size").over(ahead), F.lit(0)).alias("begin"))
-    within = Window.partitionBy("source_key", "block").orderBy("place", "doc_id", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    queued = dealt.join(begins, ["source_key", "block"]).withColumn("upto", F.col("begin") + F.sum("size").over(within))
-    queued = cut(queued.join(aimed, "source_key").drop("begin", "block", "source_key"))
-
-    def finish(turn: Column | int) -> Column:
-        return F.when(F.col("target") > 0, (F.col("upto") + turn * F.col("source_size")) / F.col("target")).otherwise(F.lit(0.0))
-
-    served = queued.select("size", "place", F.col("doc_id").cast("string").alias("doc"), F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("turn"), "upto", "source_size", "target").select("size", "place", "doc", "turn", finish(F.col("turn")).alias("finish"))
-    total = queued.agg(F.sum("size")).first()[0] or 0
-    budget, low, width = share * total, 0.0, 2.0 / RANGES
-    for _ in range(2):
-        low, budget, found = _crossing(served, low, width, budget)
-        if not found:
+    within = Window.partitionBy("source_key", "block").orderBy("place", "size", "part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lined = dealt.join(begins, ["source_key", "block"]).withColumn("upto", F.col("begin") + F.sum(words).over(within))
+    each = lined.withColumn("after", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    each = each.withColumn("upto", F.col("upto") - F.col("after") * F.col("size")).join(aimed, "source_key")
+    return cut(each.select("doc_id", "source", "source_key", "size", "place", "upto", "source_size", "target")), share * (total or 0)
+
+
+def _finish(turn: Column | int) -> Column:
+    """Virtual finish time of a document in a turn of its source."""
+    return F.when(F.col("target") > 0, (F.col("upto") + turn * F.col("source_size")) / F.col("target")).otherwise(F.lit(0.0))
+
+
+def _served(docs: DataFrame, cycle: tuple[int, ...], share: float, most: int, seed: str) -> DataFrame:
+    """_queued's rows with copies: in how many turns the document comes before the cut.
+
+    All turns of all documents are sorted by range of finish time; each range's words are summed, and the one
+    in which the budget ends is gone through. One number a range, and one row, come to the driver.
+    """
+    queued, budget = _queued(docs, cycle, share, most, seed)
+    order = ["finish", "place", "turn", "size"]
+    turns = queued.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).select(_finish(F.col("turn")).alias("finish"), "place", "turn", "size").filter("size > 0")
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = cut(turns.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()))
+    end = None
+    for row in sorted(sorted_.groupBy("range").agg(F.sum("size").alias("size")).collect()):
+        if row["size"] > budget:
+            upto = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            end = sorted_.filter(F.col("range") == row["range"]).withColumn("sum", upto).filter(F.col("sum") > budget).orderBy(*order).first()
             break
-        served, width = served.filter((F.col("finish") >= low) & (F.col("finish") < low + width)), width / RANGES
-    order = Window.orderBy("finish", "place", "turn", "doc", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    last = None
-    if found:  # the few documents whose finish times differ by less than 2 / RANGES ** 2
-        upto = served.filter((F.col("finish") >= low) & (F.col("finish") < low + width * RANGES)).withColumn("sum", F.sum("size").over(order))
-        last = upto.filter(F.col("sum") > budget).orderBy("sum", "finish", "place", "turn").first()
+        budget -= row["size"]
 
     def taken(turn: int) -> Column:
-        if last is None:
+        if end is None:
             return F.lit(1)
-        mine = F.struct(finish(turn).alias("a"), F.col("place").alias("b"), F.lit(turn).alias("c"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d"), F.col("size").alias("e"))
-        end = F.struct(F.lit(last["finish"]).alias("a"), F.lit(last["place"]).cast("bigint").alias("b"), F.lit(last["turn"]).alias("c"), F.lit(last["doc"] or "").alias("d"), F.lit(last["size"]).cast("bigint").alias("e"))
-        return F.when(mine < end, 1).otherwise(0)
+        mine = F.struct(_finish(turn).alias("a"), F.col("place").alias("b"), F.lit(turn).alias("c"), F.col("size").alias("d"))
+        last = F.struct(F.lit(end["finish"]).alias("a"), F.lit(end["place"]).cast("bigint").alias("b"), F.lit(end["turn"]).alias("c"), F.lit(end["size"]).cast("bigint").alias("d"))
+        return F.when(mine < last, 1).otherwise(0)
 
     copies = sum((taken(t) for t in range(1, most)), taken(0)).cast("int")
-    out = queued.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    return queued.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0))
 
 
-def _row_key() -> Column:
-    whole = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-    return F.concat_ws("\x1f", whole("doc_id"), whole("source"), F.col("__size").cast("string"))
+def plan(docs: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix") -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (0 to most) and taken (size * copies).
+
+    Whole documents are taken; a source's taken words miss its target by less than two documents, and the
+    total by less than one.
+    """
+    rows = _served(docs, cycle, share, most, seed).withColumn("taken", F.col("size") * F.col("copies"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix") -> DataFrame:
     """docs as mixed: each row as often as the mix takes it, with all its columns.
 
-    The mix is planned without texts, which are joined to it once, by doc_id, source and size.
+    The mix is planned without texts, which are joined to it once. Rows that agree in doc_id, source, size and
+    text share a plan of how many of them are taken in each turn; they are numbered by partition, and the
+    first so many are taken.
     """
-    planned = plan(docs, **options).filter("copies > 0").withColumnRenamed("size", "__size")
-    planned = planned.select(_row_key().alias("__row"), F.col("copies").alias("__copies")).distinct()
-    rows = docs.withColumn("__size", _sizes()).withColumn("__row", _row_key()).join(planned, "__row")
-    return rows.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    key = ["source_key", "size", "place"]
+    by_turn = F.array(*(F.count_if(F.col("copies") > t) for t in range(most)))
+    planned = _served(docs, cycle, share, most, seed).groupBy(*key).agg(F.count("*").alias("n"), by_turn.alias("by_turn")).filter(F.col("by_turn")[0] > 0)
+    column = {name: F.col(f"__{i}") for i, name in enumerate(docs.columns)}
+    named = docs.toDF(*(f"__{i}" for i in range(len(docs.columns))))
+    named = named.withColumns({"source_key": _source_key(column["source"]), "size": _sized(column["text"]), "place": _placed(column["doc_id"], column["text"], seed)})
+    rows = named.join(planned, key)
+    repeated = cut(rows.filter("n > 1").withColumn("at", F.monotonically_increasing_id())).withColumn("part", F.shiftright("at", 33))
+    counts = repeated.groupBy(*key, "part").agg(F.count("*").alias("in_part"))
+    ahead = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("in_part").over(ahead), F.lit(0))).drop("in_part")
+    nth = F.col("before") + F.row_number().over(Window.partitionBy(*key, "part").orderBy("at"))
+    repeated = repeated.join(counts, [*key, "part"]).withColumn("nth", nth).drop("at", "part", "before")
+    both = rows.filter("n = 1").withColumn("nth", F.lit(1).cast("bigint")).unionByName(repeated)
+    copies = F.size(F.filter("by_turn", lambda t: t >= F.col("nth")))
+    return original(both.filter(copies > 0).withColumn("turn", F.explode(F.sequence(F.lit(0), copies - 1))), docs)
