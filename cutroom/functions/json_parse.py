@@ -74,3 +74,11 @@ def parsed_verdict(text: Column, emotion: Column, intensity: Column) -> dict[str
         "stable": F.coalesce(got["stable"], F.lit(True)),
         "parse_failed": broken,
     }
+
+
+def agent_text(response: Column) -> Column:
+    """The text of an agent's answer (JSON): the first part with text of the first candidate, without a fence; else its `text`, else its `raw`, else ''."""
+    got = F.from_json(response, "struct<candidates:array<struct<content:struct<parts:array<struct<text:string>>>>>,text:string,raw:string>")
+    parts = F.filter(F.try_element_at(got["candidates"], F.lit(1))["content"]["parts"], lambda p: p["text"].isNotNull())
+    first = strip_fence(F.try_element_at(parts, F.lit(1))["text"])
+    return F.coalesce(first, F.nullif(got["text"], F.lit("")), got["raw"], F.lit(""))

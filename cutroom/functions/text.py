@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -162,3 +163,35 @@ def cache_key(path: Column, stage: Column, prompt: Column, params: Column) -> Co
 def hash_rank(c: Column, seed: str = "") -> Column:
     """An unsigned 32-bit number from md5: the same in every engine."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), c.cast("string"))), 1, 8), 16, 10).cast("bigint")
+
+
+# Names of statuses as shown.
+STATUS_NAMES = {"pending": "Chờ xử lý", "processing": "Đang xử lý", "completed": "Hoàn thành", "error": "Lỗi", "cancelled": "Đã hủy"}
+
+# What failed downloads say (each inner list: all of these), and the advice given.
+DOWNLOAD_ERRORS = (
+    ((("http error 403",), ("forbidden",)), "YouTube từ chối truy cập (403). Hãy thử bật cookies trình duyệt, dùng cookies.txt hoặc chuyển sang chế độ tải an toàn."),
+    ((("http error 429",), ("too many requests",)), "YouTube tạm chặn do quá nhiều yêu cầu (429). Hãy chờ vài phút, đổi mạng hoặc bật cookies rồi thử lại."),
+    ((("sign in to confirm your age",), ("age-restricted",)), "Video yêu cầu đăng nhập hoặc xác minh độ tuổi. Hãy cấu hình cookies trình duyệt hoặc cookies.txt trong Cài đặt."),
+    ((("requested format is not available",),), "Không tìm thấy định dạng video phù hợp. Hãy giảm độ phân giải tối đa hoặc thử lại với chế độ tải an toàn."),
+    ((("ffmpeg", "not found"),), "Không tìm thấy FFmpeg. Hãy cài FFmpeg hoặc cấu hình đúng đường dẫn trong Cài đặt."),
+    ((("signature",), ("cipher",), ("nsig",)), "YouTube thay đổi cơ chế chữ ký phát video. Hãy cập nhật yt-dlp và cân nhắc cài Deno rồi thử lại."),
+    ((("cookies", "invalid"), ("cookies", "expired")), "Cookies không hợp lệ hoặc đã hết hạn. Hãy xuất lại cookies.txt hoặc chọn lại trình duyệt lấy cookies."),
+    ((("unable to download webpage",), ("timed out",), ("connection",)), "Lỗi kết nối mạng khi truy cập nguồn video. Hãy kiểm tra Internet hoặc thử lại với chế độ tải an toàn."),
+)
+OTHER_ERROR, NO_ERROR_TEXT = "Lỗi tải video: ", "Không rõ lỗi"
+
+
+def status_name(status: Column) -> Column:
+    names = F.create_map(*(F.lit(x) for kv in STATUS_NAMES.items() for x in kv))
+    return F.coalesce(F.try_element_at(names, status), status)
+
+
+def download_error(message: Column) -> Column:
+    """Advice for a failed download, by the first rule whose words its message has."""
+    message = F.coalesce(F.nullif(message, F.lit("")), F.lit(NO_ERROR_TEXT))
+    low, out = F.lower(message), F.when(F.lit(False), "")
+    for rules, advice in DOWNLOAD_ERRORS:
+        has = [reduce(Column.__and__, (F.contains(low, F.lit(w)) for w in words)) for words in rules]
+        out = out.when(reduce(Column.__or__, has), advice)
+    return out.otherwise(F.concat(F.lit(OTHER_ERROR), message))

@@ -67,12 +67,20 @@ def ensemble(models: dict[str, tuple[Column, float]], labels: tuple[str, ...] =
     return {x: voted[x] for x in ("label", "confidence", "agreement", "has_incongruity")}
 
 
-def multilabel(scores: Column, predicted: Column, labels: tuple[str, ...]) -> Column:
-    """Per label min(3, 3 * score); where there is no score, 1 if the prediction begins with the label, else 0."""
+def multilabel(scores: Column, predicted: Column, labels: tuple[str, ...], per_model: Column | None = None) -> Column:
+    """Per label min(3, 3 * score); where there is no score, 1 if the prediction begins with the label, else 0.
+
+    A score is that of `scores`, else what the last model in per_model says of the label: an array of structs
+    (emotion, confidence, scores), of which the emotion's confidence (0 if null) goes before the score.
+    """
 
     def one(x: str) -> Column:
         score = F.try_element_at(scores, F.lit(x))
-        return F.when(score.isNotNull(), F.least(F.lit(3.0), score * 3)).otherwise(F.when(F.coalesce(predicted, F.lit("")).startswith(x), 1.0).otherwise(0.0))
+        if per_model is not None:
+            said = F.transform(per_model, lambda m: F.when(m["emotion"] == x, F.coalesce(m["confidence"], F.lit(0.0))).otherwise(F.try_element_at(m["scores"], F.lit(x))))
+            score = F.coalesce(score, F.try_element_at(F.array_compact(said), F.lit(-1)))
+        begins = F.lower(F.coalesce(predicted, F.lit(""))).startswith(x)
+        return F.when(score.isNotNull(), F.least(F.lit(3.0), score * 3)).otherwise(F.when(begins, 1.0).otherwise(0.0))
 
     return F.array(*(one(x) for x in labels))
 

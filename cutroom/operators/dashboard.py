@@ -74,3 +74,34 @@ def bucket_summary(routed: DataFrame) -> DataFrame:
     names = {"approve": "auto_approve_candidates", "reject": "auto_reject_candidates", "review": "needs_human_review"}
     n = routed.agg(F.count("*").alias("total"), *(F.count_if(F.col("bucket") == b).alias(f"n_{k}") for k, b in names.items()))
     return n.select("*", *(F.when(F.col("total") > 0, rounded(F.col(f"n_{k}") / F.col("total"), 4)).otherwise(0.0).alias(f"{k}_ratio") for k in names))
+
+
+def approval_progress(clips: DataFrame, goal: int = 3000) -> DataFrame:
+    """One row: approved clips and their percentage of the goal."""
+    n = clips.agg(F.count_if(F.col("status") == "approved").alias("approved"))
+    return n.withColumn("approval_progress", rounded(F.col("approved") * 100 / goal, 2))
+
+
+def has_idle_worker(workers: DataFrame) -> DataFrame:
+    """One row: how many workers there are, and whether any has no video in hand (false without workers)."""
+    return workers.agg(F.count("*").alias("worker_count"), F.coalesce(F.bool_or(F.col("processing_video_id").isNull()), F.lit(False)).alias("has_idle_worker"))
+
+
+def verdict_map(clips: DataFrame) -> DataFrame:
+    """One row: total, passed, rejected, and by_verdict, a map from each verdict that occurs to its count."""
+    n = clips.groupBy("verify_verdict").agg(F.count("*").alias("n"), F.count_if(F.col("verify_status") == "passed").alias("p"), F.count_if(F.col("verify_status") == "rejected").alias("r"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    found = F.array_sort(F.collect_list(F.when(F.col("verify_verdict").isNotNull(), F.struct("verify_verdict", "n"))))
+    return n.agg(zero("n").alias("total"), zero("p").alias("passed"), zero("r").alias("rejected"), F.map_from_entries(found).alias("by_verdict"))
+
+
+def batch_totals(items: DataFrame, batch: Column, usd: Column, failed: Column) -> DataFrame:
+    """batch, segments, usd and errors of each batch; dollars are added as decimals."""
+    return items.groupBy(batch.alias("batch")).agg(F.count("*").alias("segments"), F.sum(usd.cast("decimal(18,6)")).cast("double").alias("usd"), F.count_if(failed).alias("errors"))
+
+
+def drift(clips: DataFrame, day: Column) -> DataFrame:
+    """day, decided and overridden (a human chose another label than the model), and their share: the log that shows a model drifting."""
+    human = F.coalesce("user_emotion", F.lit("")) != ""
+    n = clips.groupBy(day.alias("day")).agg(F.count_if(human).alias("decided"), F.count_if(human & (F.col("user_emotion") != F.col("emotion"))).alias("overridden"))
+    return n.withColumn("share", F.when(F.col("decided") > 0, rounded(F.col("overridden") / F.col("decided"), 4)).otherwise(0.0))

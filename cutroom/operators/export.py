@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import effective_label, hash_rank, safe_name
+from ..functions.text import effective_label, hash_rank, label_source, safe_name
+from . import ranks
 from .dashboard import APPROVED
 
 DEFAULT_BYTES = 2 * 1024 * 1024
@@ -38,25 +39,70 @@ def best_of_key(rows: DataFrame, keys: list[str], intensity: str, tie: str) -> D
     return rows.groupBy(*keys).agg(best).select(*keys, "__best.*")
 
 
+def _named(place: Column, n: Column, train: int, val: int, names: tuple[str, str, str], least: int = 0) -> Column:
+    first = F.greatest(F.lit(least), F.floor(n * train / 100))
+    return F.when(place <= first, names[0]).when(place <= first + F.floor(n * val / 100), names[1]).otherwise(names[2])
+
+
 def stratified_split(records: DataFrame, label: str, key: str, train: int = 70, val: int = 15) -> DataFrame:
     """records with split: of each label, in hashed order, the first train % (one at least), then val %, the rest test."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(hash_rank(F.col(key)), key))
-    n = F.count("*").over(Window.partitionBy(label))
-    first = F.greatest(F.lit(1), F.floor(n * train / 100))
-    split = F.when(place <= first, "train").when(place <= first + F.floor(n * val / 100), "val").otherwise("test")
-    return records.withColumn("split", split)
+    rows = ranks.ranked_within(records, label, [hash_rank(F.col(key)), key], "__place", "__n")
+    return rows.withColumn("split", _named(F.col("__place"), F.col("__n"), train, val, ("train", "val", "test"), 1)).drop("__place", "__n")
+
+
+def plain_split(records: DataFrame, key: str, train: int = 70, val: int = 15) -> DataFrame:
+    """records with split over all of them, in hashed order; fewer than three are all in `all`."""
+    n = records.count()
+    if n < 3:
+        return records.withColumn("split", F.lit("all"))
+    rows = ranks.ranked(records, [hash_rank(F.col(key)), key], "__place")
+    return rows.withColumn("split", _named(F.col("__place"), F.lit(n), train, val, ("train", "val", "test"), 1)).drop("__place")
 
 
 def group_split(records: DataFrame, group: str, train: int = 80, val: int = 10) -> DataFrame:
-    """records with split, the same for all rows of a group. Only the distinct groups are ranked."""
-    groups = records.select(group).distinct()
-    place = F.row_number().over(Window.orderBy(hash_rank(F.col(group)), group))
-    n = F.count("*").over(Window.partitionBy())
-    a, b = F.floor(n * train / 100), F.floor(n * val / 100)
-    named = groups.withColumn("split", F.when(place <= a, "train").when(place <= a + b, "valid").otherwise("test"))
+    """records with split, the same for all rows of a group. Only the distinct groups are ranked, by range."""
+    groups = ranks.ranked(records.select(group).distinct(), [hash_rank(F.col(group)), group], "__place")
+    named = groups.withColumn("split", _named(F.col("__place"), F.lit(groups.count()), train, val, ("train", "valid", "test"))).drop("__place")
     return records.join(named, group)
 
 
+def records(clips: DataFrame) -> DataFrame:
+    """Export records of clips: labels with their source, and what `per_model` (JSON text) says of segment, faces and audio."""
+    said = lambda path, kind: F.get_json_object("per_model", f"$.{path}").try_cast(kind)
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    final = effective_label(F.col("user_emotion"), F.col("emotion"), None)
+    return clips.select(
+        "clip_id", "video_id", "clip_index", empty(F.col("clip_path")).alias("clip_path"), empty(F.element_at(F.split("clip_path", "/"), -1)).alias("file_name"),
+        (F.col("start_ms") / 1000).alias("start_time"), (F.col("end_ms") / 1000).alias("end_time"), "duration", F.col("emotion").alias("ai_emotion"), F.col("confidence").alias("ai_confidence"), "user_emotion",
+        final.alias("final_emotion"), final.alias("label"), label_source(F.col("status"), F.col("user_emotion"), F.col("emotion")).alias("label_source"), F.col("quality").alias("quality_score"),
+        empty(F.col("transcript")).alias("transcript"), "status", F.coalesce("has_incongruity", F.lit(False)).alias("has_incongruity"), empty(F.col("notes")).alias("reviewer_notes"), F.coalesce("all_scores", F.lit("{}")).alias("all_scores"),
+        F.coalesce("per_model", F.lit("{}")).alias("per_model_scores"), said("segment.face_coverage", "double").alias("face_coverage"), said("segment.speech_coverage", "double").alias("speech_coverage"),
+        said("segment.num_faces_avg", "double").alias("num_faces_avg"), said("segment.source", "string").alias("segment_source"), said("segment.quality_hint", "string").alias("segment_quality_hint"), said("segment.cut_reason", "string").alias("cut_reason"),
+        empty(said("face_extraction.detections_path", "string")).alias("face_detections_path"), F.coalesce(said("face_extraction.track_count", "int"), F.lit(0)).alias("track_count"), empty(said("face_extraction.detector", "string")).alias("face_detector"),
+        empty(said("audio_features.audio_path", "string")).alias("audio_path"), said("audio_features.audio_clarity", "double").alias("audio_clarity"), said("audio_features.has_speech_energy", "boolean").alias("has_speech_energy"),
+    )
+
+
+# The columns of labels.csv, in order.
+LABEL_COLUMNS = (
+    "clip_id", "video_id", "clip_index", "split", "clip_path", "exported_clip_path", "audio_path", "exported_audio_path", "face_detections_path", "exported_face_detections_path",
+    "start_time", "end_time", "duration", "ai_emotion", "ai_confidence", "user_emotion", "final_emotion", "label", "label_source", "quality_score", "face_coverage", "speech_coverage",
+    "num_faces_avg", "track_count", "segment_source", "segment_quality_hint", "cut_reason", "transcript", "status", "has_incongruity", "reviewer_notes", "quality_flags", "rejection_reasons",
+)
+
+
+def labels(made: DataFrame) -> DataFrame:
+    """Records as rows of labels.csv: its columns in order, empty where a record has none."""
+    return made.select(*(F.col(c) if c in made.columns else F.lit(None).cast("string").alias(c) for c in LABEL_COLUMNS))
+
+
+def strict(passed: DataFrame) -> DataFrame:
+    """passed, if it has a row; else an error: nothing came through the filter."""
+    if passed.isEmpty():
+        raise ValueError("no segment passed the filter")
+    return passed
+
+
 def export_paths(records: DataFrame) -> DataFrame:
     """records (split, final_emotion, clip_id, clip_path) with exported_clip_path."""
     suffix = F.lower(F.regexp_extract("clip_path", r"(\.[^./]+)$", 1))

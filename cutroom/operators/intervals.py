@@ -275,3 +275,46 @@ def track_faces(frames: DataFrame, key: str, least: float = 0.25, oldest: int =
 
     begin = F.struct(F.lit(0).alias("next"), F.lit(-1).cast("bigint").alias("frame"), F.array().cast(f"array<{track}>").alias("tracks"), F.array().cast("array<struct<frame:bigint,face:bigint,track_id:int>>").alias("out")).cast(state)
     return rows.select(key, F.explode(F.aggregate("items", begin, step)["out"]).alias("o")).select(key, "o.*")
+
+
+def padded_and_capped(df: DataFrame, key: str, tie: str, length: Column, conf: CurationConf = DEFAULT) -> DataFrame:
+    """Segments (start, end) moved out by pad_ms on both sides, within 0 and the video's length; of each video the first max_segments."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy("start", tie))
+    out = {"start": F.greatest(F.lit(0), F.col("start") - conf.pad_ms), "end": F.least(length, F.col("end") + conf.pad_ms), "__place": place}
+    return df.withColumns(out).filter(F.col("__place") <= conf.max_segments).drop("__place")
+
+
+def voice_threshold(energy: DataFrame, key: str, value: str) -> DataFrame:
+    """key and the energy from which its frames count as voiced: from the 35th and the 70th percentile, 0.008 at least."""
+    at = lambda p: F.percentile(value, F.lit(p))
+    return energy.groupBy(key).agg(F.greatest(F.lit(0.008), at(0.35) * 2.3, at(0.70) * 0.45).alias("threshold"))
+
+
+def manually_ordered(df: DataFrame, key: str, tie: str) -> DataFrame:
+    """Segments that end after they begin, with their place in their video from 1."""
+    return df.filter("end > start").withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("start", tie)))
+
+
+def edited(segments: DataFrame, edits: DataFrame) -> DataFrame:
+    """segments (id, video_id, start, end, status) after edits (id, action, other): `delete` takes one out, `reject` marks it, `merge` gives it the reach of both and takes the other (of the same video) out. An edit without its segment changes nothing."""
+    made = edits.select("id", "action", F.col("other").alias("__other"))
+    rows = segments.join(made, "id", "left")
+    reach = segments.select(F.col("id").alias("__other"), F.col("video_id").alias("__video"), F.col("start").alias("__start"), F.col("end").alias("__end"))
+    rows = rows.join(reach, "__other", "left")
+    merges = (F.col("action") == "merge") & (F.col("__video") == F.col("video_id"))
+    out = rows.withColumns({"start": F.when(merges, F.least("start", "__start")).otherwise(F.col("start")), "end": F.when(merges, F.greatest("end", "__end")).otherwise(F.col("end")), "status": F.when(F.col("action") == "reject", "rejected").otherwise(F.col("status"))})
+    gone = rows.filter(F.col("action") == "delete").select("id").union(rows.filter(merges).select(F.col("__other").alias("id")))
+    return out.select(*segments.columns).join(gone, "id", "left_anti")
+
+
+def pooled_by_word(frames: DataFrame, words: DataFrame, key: str, fps: int = 100) -> DataFrame:
+    """key, word and the mean of the frames (place, x) in it; words have word, start and end in seconds. A word without frames has 0.
+
+    Frames are dealt to words by an equi-join on each word's frame places, so a long clip is spread over tasks.
+    """
+    n = frames.groupBy(key).agg((F.max("place") + 1).alias("__n"))
+    at = lambda t: F.least("__n", F.floor(F.greatest(F.lit(0.0), t) * fps))
+    reach = words.join(n, key).withColumns({"__a": at(F.coalesce("start", F.lit(0.0))), "__b": at(F.coalesce("end", "start", F.lit(0.0)))})
+    inside = reach.filter("__b > __a").select(key, "word", F.explode(F.sequence(F.col("__a"), F.col("__b") - 1)).alias("place"))
+    means = inside.join(frames, [key, "place"]).groupBy(key, "word").agg(F.avg("x").alias("mean"))
+    return words.select(key, "word").join(means, [key, "word"], "left").select(key, "word", F.coalesce("mean", F.lit(0.0)).alias("mean"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -26,3 +26,18 @@ def ranked(rows: DataFrame, order: list, place: str = "place") -> DataFrame:
     offsets = spark.createDataFrame([(part, n) for (part, _), n in zip(sizes, before)], "__part long, __before long")
     inside = F.col("__at").bitwiseAND(F.lit((1 << _BITS) - 1))
     return dealt.join(F.broadcast(offsets), "__part").withColumn(place, F.col("__before") + inside + 1).drop("__part", "__at", "__before")
+
+
+def ranked_within(rows: DataFrame, group: str, order: list, place: str = "place", size: str = "group_size") -> DataFrame:
+    """rows with their place, from 1, among those of their group, and the group's size; null is a group too.
+
+    As in ranked(), one global sort deals rows by range, so a group that holds most rows is spread over many tasks. What
+    is counted of a group is one number for each partition it reaches into.
+    """
+    dealt = cut(rows.orderBy(group, *order).withColumn("__at", F.monotonically_increasing_id())).withColumns({"__part": F.shiftright("__at", _BITS), "__group": F.xxhash64(group)})
+    inside = F.col("__at").bitwiseAND(F.lit((1 << _BITS) - 1))
+    parts = dealt.groupBy("__group", "__part").agg(F.min(inside).alias("__first"), F.count("*").alias("__held"))
+    whole = Window.partitionBy("__group")
+    before = F.coalesce(F.sum("__held").over(whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumns({"__before": before, size: F.sum("__held").over(whole)}).drop("__held")
+    return dealt.join(parts, ["__group", "__part"]).withColumn(place, F.col("__before") + inside - F.col("__first") + 1).drop("__group", "__part", "__at", "__first", "__before")

@@ -17,14 +17,15 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], columns: list[
     return rows.withColumn("change", change).withColumns(changed).select(*target.columns, "change")
 
 
-def last_writer_wins(target: DataFrame, source: DataFrame, key: str, stamp: str) -> DataFrame:
-    """target after a sync from source: absent rows come in; a row changes only if both stamps are there and source's is later; nulls of source never overwrite. change: kept, updated or inserted."""
+def last_writer_wins(target: DataFrame, source: DataFrame, key: str, stamp: str, always: tuple[str, ...] = ()) -> DataFrame:
+    """target after a sync from source: absent rows come in; a row changes only if both stamps are there and source's is later; nulls of source never overwrite. Columns in `always` take what source has, whatever the stamps. change: kept, updated or inserted."""
     others = [c for c in target.columns if c != key]
     new = source.select(key, *(F.col(c).alias(f"__{c}") for c in others), F.lit(True).alias("__in"))
     rows = target.withColumn("__had", F.lit(True)).join(new, key, "full_outer")
     later = F.coalesce(F.col("__had") & F.col("__in") & (F.col(f"__{stamp}") > F.col(stamp)), F.lit(False))
     fresh = F.col("__had").isNull()
-    values = {c: F.when(fresh, F.col(f"__{c}")).when(later, F.coalesce(f"__{c}", c)).otherwise(F.col(c)) for c in others}
+    both = F.coalesce(F.col("__had") & F.col("__in"), F.lit(False))
+    values = {c: F.when(fresh, F.col(f"__{c}")).when(both if c in always else later, F.coalesce(f"__{c}", c)).otherwise(F.col(c)) for c in others}
     change = F.when(fresh, "inserted").when(later, "updated").otherwise("kept")
     return rows.withColumn("change", change).withColumns(values).select(*target.columns, "change")
 
@@ -42,6 +43,50 @@ def apply_reviews(clips: DataFrame, reviews: DataFrame) -> DataFrame:
     ).select(*clips.columns)
 
 
+def reviewed(clips: DataFrame, reviews: DataFrame, now: Column) -> DataFrame:
+    """clips after reviews (clip_id, status, user_emotion, sentiment, notes, reject_reason): all of these are taken over, nulls too; a human decided, now."""
+    taken = ["status", "user_emotion", "sentiment", "notes", "reject_reason"]
+    rows = clips.join(reviews.select("clip_id", *(F.col(c).alias(f"__{c}") for c in taken), F.lit(True).alias("__seen")), "clip_id", "left")
+    seen = F.coalesce("__seen", F.lit(False))
+    values = {c: F.when(seen, F.col(f"__{c}")).otherwise(F.col(c)) for c in taken}
+    values |= {"decision_by": F.when(seen, "human").otherwise(F.col("decision_by")), **{c: F.when(seen, now).otherwise(F.col(c)) for c in ("reviewed_at", "updated_at")}}
+    return rows.withColumns(values).select(*clips.columns)
+
+
+def recounted(videos: DataFrame, clips: DataFrame) -> DataFrame:
+    """videos with total_clips and approved_clips counted anew; those without clips have 0."""
+    n = clips.groupBy("video_id").agg(F.count("*").alias("total_clips"), F.count_if(F.col("status") == "approved").alias("approved_clips"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    own = [c for c in videos.columns if c not in ("total_clips", "approved_clips")]
+    return videos.select(*own).join(n, "video_id", "left").select(*own, zero("total_clips"), zero("approved_clips"))
+
+
+def deleted(clips: DataFrame, gone: DataFrame, videos: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """clips without those in gone (clip_id), and videos counted anew."""
+    left = clips.join(gone, "clip_id", "left_anti")
+    return left, recounted(videos, left)
+
+
+# Fields that a patch may set.
+PATCHABLE = ("status", "user_emotion", "user_sentiment", "review_type", "review_notes")
+
+
+def patched(clips: DataFrame, patches: DataFrame, now: Column, allowed: tuple[str, ...] = PATCHABLE) -> DataFrame:
+    """clips after patches (clip_id, data: map of field to text): allowed fields that a patch names are set, to null too; others are ignored. updated_at is set for every clip with a patch."""
+    rows = clips.join(patches.select("clip_id", F.col("data").alias("__data")), "clip_id", "left")
+    named = lambda c: F.coalesce(F.map_contains_key("__data", F.lit(c)), F.lit(False))
+    kinds = dict(clips.dtypes)
+    values = {c: F.when(named(c), F.try_element_at("__data", F.lit(c)).try_cast(kinds[c])).otherwise(F.col(c)) for c in allowed if c in kinds}
+    return rows.withColumns({**values, "updated_at": F.when(F.col("__data").isNotNull(), now).otherwise(F.col("updated_at"))}).select(*clips.columns)
+
+
+def moved(queue: DataFrame, event: Column, now: Column) -> DataFrame:
+    """queue after events: status by TRANSITIONS; started_at is now where a run starts, null where one is skipped or comes back to the queue."""
+    new = transition(F.col("status"), event)
+    begins, ends = (new == "running") & (F.col("status") != "running"), (new == "queued") & (F.col("status") != "queued")
+    return queue.withColumns({"started_at": F.when(begins, now).when(~ends | ends.isNull(), F.col("started_at")), "status": new})
+
+
 def claim_next(queue: DataFrame, order: list[Column], group: str | None = None) -> DataFrame:
     """The queued row that is next (of each group)."""
     queued = queue.filter("status = 'queued'")

@@ -139,8 +139,18 @@ def _(t):
 
 @query("manual_normalize", """SELECT clip_id, start_ms AS "start", start_ms + (clip_id % 7 - 2) * 1000 AS "end", row_number() over (partition by video_id order by start_ms, clip_id) AS place FROM clips WHERE clip_id % 7 > 2""")
 def _(t):
-    rows = t.clips.withColumns({"start": c("start_ms"), "end": c("start_ms") + (c("clip_id") % 7 - 2) * 1000}).filter("end > start")
-    return rows.select("clip_id", "start", "end", F.row_number().over(Window.partitionBy("video_id").orderBy("start", "clip_id")).alias("place"))
+    rows = t.clips.select("clip_id", "video_id", c("start_ms").alias("start"), (c("start_ms") + (c("clip_id") % 7 - 2) * 1000).alias("end"))
+    return intervals.manually_ordered(rows, "video_id", "clip_id").drop("video_id")
+
+
+@query("segment_edits", """WITH s AS (SELECT clip_id AS id, video_id, start_ms AS a, end_ms AS b, status FROM clips), e AS (SELECT id, case id % 8 when 0 then 'delete' when 2 then 'reject' else 'merge' end AS action, id + 1 AS other FROM s WHERE id % 8 IN (0, 2, 4)),
+j AS (SELECT s.*, e.action, o.id AS oid, o.a AS oa, o.b AS ob, coalesce(e.action = 'merge' AND o.video_id = s.video_id, false) AS merges FROM s LEFT JOIN e USING (id) LEFT JOIN s o ON o.id = e.other)
+SELECT id, video_id, case when merges then least(a, oa) else a end AS "start", case when merges then greatest(b, ob) else b end AS "end", case when action = 'reject' then 'rejected' else status end AS status
+FROM j WHERE coalesce(action, '') <> 'delete' AND id NOT IN (SELECT oid FROM j WHERE merges)""")
+def _(t):
+    rows = t.clips.select(c("clip_id").alias("id"), "video_id", c("start_ms").alias("start"), c("end_ms").alias("end"), "status")
+    edits = rows.filter("id % 8 in (0, 2, 4)").select("id", F.expr("case id % 8 when 0 then 'delete' when 2 then 'reject' else 'merge' end").alias("action"), (c("id") + 1).alias("other"))
+    return intervals.edited(rows, edits)
 
 
 @query("split_merge_edit", """WITH x AS (SELECT clip_id, start_ms AS s, end_ms AS e, start_ms + (clip_id % 12) * 1000 AS p FROM clips), y AS (SELECT *, p - s > 500 and e - p > 500 AS inside FROM x)
@@ -158,9 +168,8 @@ def _(t):
 
 @query("pad_and_cap", 'SELECT clip_id, greatest(0, start_ms - 500) AS "start", least(600000, end_ms + 500) AS "end" FROM clips QUALIFY row_number() over (partition by video_id order by start_ms, clip_id) <= 40')
 def _(t):
-    place = F.row_number().over(Window.partitionBy("video_id").orderBy("start_ms", "clip_id"))
-    rows = t.clips.select("clip_id", F.greatest(F.lit(0), c("start_ms") - 500).alias("start"), F.least(F.lit(600000), c("end_ms") + 500).alias("end"), place.alias("place"))
-    return rows.filter("place <= 40").drop("place")
+    rows = t.clips.select("clip_id", "video_id", c("start_ms").alias("start"), c("end_ms").alias("end"))
+    return intervals.padded_and_capped(rows, "video_id", "clip_id", F.lit(600000)).drop("video_id")
 
 
 @query("clip_reindex", "SELECT clip_id, row_number() over (partition by video_id order by start_ms, clip_id) - 1 AS place FROM clips")
@@ -184,7 +193,17 @@ def _(t):
 
 @query("vad_threshold", "SELECT video_id, greatest(0.008, quantile_cont(clarity, 0.35) * 2.3, quantile_cont(clarity, 0.70) * 0.45) AS threshold FROM clips GROUP BY 1")
 def _(t):
-    return t.clips.groupBy("video_id").agg(F.greatest(F.lit(0.008), F.percentile("clarity", F.lit(0.35)) * 2.3, F.percentile("clarity", F.lit(0.70)) * 0.45).alias("threshold"))
+    return intervals.voice_threshold(t.clips, "video_id", "clarity")
+
+
+@query("word_times_pool", """WITH f AS (SELECT video_id, row_number() over (partition by video_id order by clip_id) - 1 AS place, round(quality, 4) AS x, count(*) over (partition by video_id) AS n FROM clips),
+w AS (SELECT video_id, word, word * 0.05::double AS a, word * 0.05::double + 0.04::double * (word % 3) AS b, n FROM (SELECT DISTINCT video_id, n FROM f), range(0, 8) r(word))
+SELECT w.video_id, word, round(coalesce(avg(x), 0.0), 8) AS mean FROM w LEFT JOIN f ON f.video_id = w.video_id AND place >= least(w.n, floor(a * 100)) AND place < least(w.n, floor(b * 100)) GROUP BY 1, 2""")
+def _(t):
+    frames = t.clips.select("video_id", (F.row_number().over(Window.partitionBy("video_id").orderBy("clip_id")) - 1).cast("bigint").alias("place"), F.round("quality", 4).alias("x"))
+    words = t.clips.select("video_id").distinct().select("video_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("word"))
+    words = words.withColumns({"start": c("word") * 0.05, "end": c("word") * 0.05 + (c("word") % 3) * 0.04})
+    return intervals.pooled_by_word(frames, words, "video_id").withColumn("mean", F.round("mean", 8))
 
 
 @query("stat_vector", "SELECT video_id, avg(quality) AS mean, var_pop(quality) AS var, stddev_pop(quality) AS std, quantile_cont(quality, 0.25) AS p25, quantile_cont(quality, 0.5) AS p50, quantile_cont(quality, 0.75) AS p75 FROM clips GROUP BY 1")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..conf import EMOTIONS
 from ..functions import json_parse, scoring, text, vectors
-from ..operators import dashboard
+from ..operators import dashboard, ranks
 from .catalog import query
 
 c = F.col
@@ -127,10 +127,8 @@ def _(t):
 
 @query("bucket_order", f"WITH {_ROUTE} SELECT clip_id, bucket, row_number() over (partition by bucket order by bucket_confidence desc, created_us desc, start_ms, clip_id) AS place FROM b")
 def _(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("bucket").orderBy(F.desc("bucket_confidence"), F.desc("created_us"), "start_ms", "clip_id")
-    return _routed(t).select("clip_id", "bucket", F.row_number().over(w).alias("place"))
+    order = [F.desc("bucket_confidence"), F.desc("created_us"), "start_ms", "clip_id"]
+    return ranks.ranked_within(_routed(t).select("clip_id", "bucket", "bucket_confidence", "created_us", "start_ms"), "bucket", order).select("clip_id", "bucket", "place")
 
 
 @query("approve_confidence", f"SELECT clip_id, {_SURE} AS approve_confidence FROM clips")
@@ -161,7 +159,7 @@ def _(t):
 
 @query("batch_totals", f"SELECT video_id % 10 AS batch, count(*) AS segments, cast(sum(cast({_USD('floor(duration) * 7000', '1024')} as decimal(18,6))) as double) AS usd, count(*) filter (clip_path is null) AS errors FROM clips GROUP BY 1")
 def _(t):
-    return t.clips.groupBy((c("video_id") % 10).alias("batch")).agg(F.count("*").alias("segments"), F.sum(scoring.scan_cost(c("duration")).cast("decimal(18,6)")).cast("double").alias("usd"), F.count_if(c("clip_path").isNull()).alias("errors"))
+    return dashboard.batch_totals(t.clips, c("video_id") % 10, scoring.scan_cost(c("duration")), c("clip_path").isNull())
 
 
 @query("effective_label", "SELECT clip_id, coalesce(nullif(user_emotion, ''), nullif(emotion, ''), 'unlabeled') AS label FROM clips")
@@ -258,6 +256,36 @@ def _(t):
     return t.clips.select("clip_id", text.cache_key(F.coalesce("clip_path", F.lit("")), F.lit("verify"), c("transcript"), params).alias("key"))
 
 
+@query("truncate", "SELECT doc_id, text[:200] AS head, length(text[:500]) AS n FROM documents")
+def _(t):
+    return t("documents").select("doc_id", text.truncated(c("text"), 200).alias("head"), F.char_length(text.truncated(c("text"), 500)).cast("bigint").alias("n"))
+
+
+@query("status_names", "SELECT video_id, case status when 'processing' then 'Đang xử lý' when 'completed' then 'Hoàn thành' when 'error' then 'Lỗi' else status end AS name FROM videos")
+def _(t):
+    return t.videos.select("video_id", text.status_name(c("status")).alias("name"))
+
+
+_FAILURE = "case clip_id % 9 when 0 then 'HTTP Error 403: Forbidden' when 1 then 'HTTP Error 429' when 2 then 'Sign in to confirm your age' when 3 then 'ffmpeg was NOT FOUND' when 4 then 'nsig extraction failed' when 5 then 'cookies have expired' when 6 then 'Connection reset' when 7 then concat('odd failure ', clip_id) else null end"
+
+
+@query("download_errors", f"""SELECT clip_id, case clip_id % 9 when 0 then 'YouTube từ chối truy cập (403). Hãy thử bật cookies trình duyệt, dùng cookies.txt hoặc chuyển sang chế độ tải an toàn.'
+when 1 then 'YouTube tạm chặn do quá nhiều yêu cầu (429). Hãy chờ vài phút, đổi mạng hoặc bật cookies rồi thử lại.' when 2 then 'Video yêu cầu đăng nhập hoặc xác minh độ tuổi. Hãy cấu hình cookies trình duyệt hoặc cookies.txt trong Cài đặt.'
+when 3 then 'Không tìm thấy FFmpeg. Hãy cài FFmpeg hoặc cấu hình đúng đường dẫn trong Cài đặt.' when 4 then 'YouTube thay đổi cơ chế chữ ký phát video. Hãy cập nhật yt-dlp và cân nhắc cài Deno rồi thử lại.'
+when 5 then 'Cookies không hợp lệ hoặc đã hết hạn. Hãy xuất lại cookies.txt hoặc chọn lại trình duyệt lấy cookies.' when 6 then 'Lỗi kết nối mạng khi truy cập nguồn video. Hãy kiểm tra Internet hoặc thử lại với chế độ tải an toàn.'
+when 7 then concat('Lỗi tải video: odd failure ', clip_id) else 'Lỗi tải video: Không rõ lỗi' end AS advice FROM clips""")
+def _(t):
+    return t.clips.select("clip_id", text.download_error(F.expr(_FAILURE)).alias("advice"))
+
+
+_AGENT = """case clip_id % 5 when 0 then concat('{"candidates": [{"content": {"parts": [{"kind": 1}, {"text": "```json [', clip_id, '] ```"}]}}]}') when 1 then concat('{"candidates": [], "text": "t', clip_id, '"}') when 2 then '{"raw": "r"}' when 3 then '{}' else concat('{"candidates": [{"content": {"parts": [{"text": " plain ', clip_id, ' "}]}}], "text": "no"}') end"""
+
+
+@query("agent_response", "SELECT clip_id, case clip_id % 5 when 0 then concat('[', clip_id, ']') when 1 then concat('t', clip_id) when 2 then 'r' when 3 then '' else concat('plain ', clip_id) end AS said FROM clips")
+def _(t):
+    return t.clips.select("clip_id", F.expr(_AGENT).alias("body")).select("clip_id", json_parse.agent_text(c("body")).alias("said"))
+
+
 @query("json_extract", "SELECT event_id, cast(json_extract_string(props, '$.k') as int) AS k, json_extract_string(props, '$.missing') AS missing FROM events")
 def _(t):
     return t("events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.get_json_object("props", "$.missing").alias("missing"))
@@ -311,6 +339,19 @@ def _(t):
     return t.clips.select("clip_id", *(got[k].alias(k) for k in ("verdict", "emotion", "intensity", "stable", "parse_failed")))
 
 
+@query("multilabel_models", """SELECT clip_id, case when clip_id % 3 = 0 then least(3.0::double, confidence * 3) when clip_id % 2 = 0 then least(3.0::double, quality * 3) else 0.6::double end AS happy,
+case when clip_id % 2 = 0 then least(3.0::double, 0.5::double * 3) when emotion = 'sad' then 1.0::double else 0.0::double end AS sad FROM clips""")
+def _(t):
+    model = "struct<emotion:string,confidence:double,scores:map<string,double>>"
+    none = F.lit(None).cast("map<string,double>")
+    first = F.struct(F.lit("x").alias("emotion"), F.lit(0.9).alias("confidence"), F.create_map(F.lit("happy"), F.lit(0.2)).alias("scores")).cast(model)
+    even = [F.struct(F.lit("happy").alias("emotion"), c("quality").alias("confidence"), none.alias("scores")).cast(model), F.struct(F.lit("sad").alias("emotion"), F.lit(0.5).alias("confidence"), none.alias("scores")).cast(model)]
+    models = F.when(c("clip_id") % 2 == 0, F.array(first, *even)).otherwise(F.array(first))
+    scores = F.when(c("clip_id") % 3 == 0, F.create_map(F.lit("happy"), c("confidence"))).otherwise(F.create_map().cast("map<string,double>"))
+    v = vectors.multilabel(scores, c("emotion"), ("happy", "sad"), models)
+    return t.clips.select("clip_id", v.alias("v")).select("clip_id", *(c("v")[i].alias(n) for i, n in enumerate(("happy", "sad"))))
+
+
 # score maps: a few labels from a clip's numbers, over all seven
 _SCORES = {"happy": "confidence - 0.3", "sad": "face_coverage / 2", "angry": "verify_intensity - 0.5", "neutral": "quality / 3"}
 

@@ -28,7 +28,7 @@ def _(t):
 
 @query("point_lookup", "SELECT clip_id, video_id, emotion, start_ms FROM clips WHERE clip_id = 17")
 def _(t):
-    return t.clips.filter("clip_id = 17").select("clip_id", "video_id", "emotion", "start_ms").limit(1)
+    return tables.lookup(t.clips.select("clip_id", "video_id", "emotion", "start_ms"), clip_id=17)
 
 
 @query("inbox_anti", "SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
@@ -55,14 +55,14 @@ def _(t):
 
 @query("clips_list", "SELECT clip_id, clip_index, emotion FROM clips WHERE status = 'approved' AND emotion = 'happy' AND NOT has_incongruity ORDER BY clip_index, clip_id LIMIT 50 OFFSET 5")
 def _(t):
-    some = t.clips.filter((c("status") == "approved") & (c("emotion") == "happy") & ~c("has_incongruity"))
+    some = tables.filtered(t.clips, video_id=None, status="approved", emotion="happy", has_incongruity=False)
     return tables.page(some.select("clip_id", "clip_index", "emotion"), [c("clip_index"), c("clip_id")], 5, 50)
 
 
 @query("clips_page_total", "SELECT clip_id, (SELECT count(*) FROM clips WHERE status = 'needs_review') AS total FROM clips WHERE status = 'needs_review' ORDER BY clip_id DESC LIMIT 20")
 def _(t):
     some = t.clips.filter("status = 'needs_review'").select("clip_id")
-    return tables.page(some, [F.desc("clip_id")], 0, 20).join(F.broadcast(some.agg(F.count("*").alias("total"))), F.lit(True))
+    return tables.page_with_total(some, [F.desc("clip_id")], 0, 20)
 
 
 @query("page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")
@@ -404,3 +404,113 @@ def _(t):
 def _(t):
     n = t.clips.groupBy(c("emotion").alias("model")).agg(F.count_if(c("status") == "rejected").alias("failed"), F.count("*").alias("calls"))
     return n.withColumn("health", F.when(c("failed") * 2 > c("calls"), "degraded").otherwise("healthy"))
+
+
+@query("approval_progress", f"SELECT count(*) filter (status = 'approved') AS approved, {_dec("count(*) filter (status = 'approved')::double * 100 / 3000", 2)} AS approval_progress FROM clips")
+def _(t):
+    return dashboard.approval_progress(t.clips)
+
+
+@query("has_idle_worker", "SELECT count(*) AS worker_count, bool_or(w is null) AS has_idle_worker FROM (SELECT case when id % 50 = 0 then null else video_id end AS w FROM queue WHERE status = 'running')")
+def _(t):
+    return dashboard.has_idle_worker(t.queue.filter("status = 'running'").select(F.expr("case when id % 50 = 0 then null else video_id end").alias("processing_video_id")))
+
+
+@query("verdict_map", "SELECT n.*, k AS verdict, m AS verdict_count FROM (SELECT count(*) AS total, count(*) filter (verify_status = 'passed') AS passed, count(*) filter (verify_status = 'rejected') AS rejected FROM clips) n, (SELECT verify_verdict AS k, count(*) AS m FROM clips WHERE verify_verdict IS NOT NULL GROUP BY 1)")
+def _(t):
+    return dashboard.verdict_map(t.clips).select("total", "passed", "rejected", F.explode("by_verdict").alias("verdict", "verdict_count"))
+
+
+@query("drift_log", f"SELECT created_us // 86400000000 AS day, count(*) filter (coalesce(user_emotion, '') <> '') AS decided, count(*) filter (coalesce(user_emotion, '') <> '' and user_emotion <> emotion) AS overridden, case when count(*) filter (coalesce(user_emotion, '') <> '') > 0 then {_dec("count(*) filter (coalesce(user_emotion, '') <> '' and user_emotion <> emotion)::double / count(*) filter (coalesce(user_emotion, '') <> '')", 4)} else 0.0::double end AS share FROM clips GROUP BY 1")
+def _(t):
+    return dashboard.drift(t.clips, F.floor(c("created_us") / 86400000000))
+
+
+_FULL = "case when clip_id % 3 = 0 then null else '{{\"segment\": {{\"face_coverage\": 0.5, \"quality_hint\": \"good\"}}, \"face_extraction\": {{\"track_count\": 2}}, \"audio_features\": {{\"audio_path\": \"/a.wav\", \"has_speech_energy\": true}}}}' end".replace("{{", "{").replace("}}", "}")
+
+
+def _records(t):
+    return export.records(t.clips.withColumns({"per_model": F.expr(_FULL), "all_scores": F.lit(None).cast("string"), "notes": F.lit(None).cast("string")}))
+
+
+@query("export_record_full", f"""SELECT clip_id, video_id, clip_index, coalesce(clip_path, '') AS clip_path, coalesce(split_part(clip_path, '/', -1), '') AS file_name, start_ms::double / 1000 AS start_time, end_ms::double / 1000 AS end_time, emotion AS ai_emotion, {_LABEL} AS final_emotion,
+case when coalesce(user_emotion, '') <> '' and user_emotion = emotion then 'human_verified' when coalesce(user_emotion, '') <> '' then 'human_corrected' when status = 'auto_approved' then 'ai_auto' else 'ai_suggested' end AS label_source,
+case when clip_id % 3 > 0 then 0.5::double end AS face_coverage, cast(null as double) AS speech_coverage, case when clip_id % 3 > 0 then 'good' end AS segment_quality_hint, case when clip_id % 3 > 0 then 2 else 0 end AS track_count,
+case when clip_id % 3 > 0 then '/a.wav' else '' end AS audio_path, case when clip_id % 3 > 0 then true end AS has_speech_energy, '{{}}' AS all_scores FROM clips""".replace("'{{}}'", "'{}'"))
+def _(t):
+    return _records(t).select("clip_id", "video_id", "clip_index", "clip_path", "file_name", "start_time", "end_time", "ai_emotion", "final_emotion", "label_source", "face_coverage", "speech_coverage", "segment_quality_hint", "track_count", "audio_path", "has_speech_energy", "all_scores")
+
+
+@query("labels_table", "SELECT clip_id, video_id, status, transcript, cast(null as varchar) AS exported_audio_path, 33 AS n FROM clips")
+def _(t):
+    rows = export.labels(_records(t))
+    return rows.select("clip_id", "video_id", "status", "transcript", "exported_audio_path", F.lit(len(rows.columns)).alias("n"))
+
+
+@query("plain_split", f"WITH s AS (SELECT clip_id, row_number() over (order by {_HASH.format('clip_id')}, clip_id) AS place, count(*) over () AS n FROM clips) SELECT clip_id, case when place <= greatest(1, n * 70 // 100) then 'train' when place <= greatest(1, n * 70 // 100) + n * 15 // 100 then 'val' else 'test' end AS split FROM s")
+def _(t):
+    return export.plain_split(t.clips.select("clip_id"), "clip_id")
+
+
+_NOW = 1706659200000000
+_REVIEWED = f"""r AS (SELECT clip_id, video_id, case when clip_id % 9 = 0 then case when clip_id % 2 = 0 then 'approved' else 'rejected' end else status end AS status, case when clip_id % 9 = 0 then 'sad' else user_emotion end AS user_emotion, case when clip_id % 9 = 0 then -1.0::double end AS sentiment,
+case when clip_id % 9 = 0 then case when clip_id % 2 = 0 then null else 'seen' end else 'old' end AS notes, case when clip_id % 9 = 0 and clip_id % 2 = 1 then 'blurred' end AS reject_reason, case when clip_id % 9 = 0 then 'human' else decision_by end AS decision_by, case when clip_id % 9 = 0 then {_NOW} end AS reviewed_at, case when clip_id % 9 = 0 then {_NOW} else created_us end AS updated_at FROM clips)"""
+
+
+def _reviewed(t):
+    clips = t.clips.select("clip_id", "video_id", "status", "user_emotion", F.lit(None).cast("double").alias("sentiment"), F.lit("old").alias("notes"), F.lit(None).cast("string").alias("reject_reason"), "decision_by", F.lit(None).cast("bigint").alias("reviewed_at"), c("created_us").alias("updated_at"))
+    even = c("clip_id") % 2 == 0
+    reviews = t.clips.filter("clip_id % 9 = 0").select("clip_id", F.when(even, "approved").otherwise("rejected").alias("status"), F.lit("sad").alias("user_emotion"), F.lit(-1.0).alias("sentiment"), F.when(~even, "seen").alias("notes"), F.when(~even, "blurred").alias("reject_reason"))
+    return state.reviewed(clips, reviews, F.lit(_NOW))
+
+
+@query("review_update", f"WITH {_REVIEWED} SELECT * FROM r")
+def _(t):
+    return _reviewed(t)
+
+
+@query("review_recount", f"WITH {_REVIEWED} SELECT video_id, count(clip_id) AS total_clips, count(*) filter (r.status = 'approved') AS approved_clips FROM videos LEFT JOIN r USING (video_id) GROUP BY 1")
+def _(t):
+    return state.recounted(t.videos.select("video_id"), _reviewed(t))
+
+
+@query("delete_recount", "SELECT video_id, count(clip_id) AS total_clips, count(*) filter (c.status = 'approved') AS approved_clips FROM videos LEFT JOIN (SELECT * FROM clips WHERE clip_id % 7 <> 0) c USING (video_id) GROUP BY 1")
+def _(t):
+    return state.deleted(t.clips.select("clip_id", "video_id", "status"), t.clips.filter("clip_id % 7 = 0").select("clip_id"), t.videos.select("video_id"))[1]
+
+
+@query("clip_patch", f"SELECT clip_id, case when clip_id % 4 = 0 then 'approved' else status end AS status, case when clip_id % 4 = 0 and clip_id % 8 = 0 then null else user_emotion end AS user_emotion, emotion, case when clip_id % 4 = 0 then {_NOW} else created_us end AS updated_at FROM clips")
+def _(t):
+    data = F.when(c("clip_id") % 8 == 0, F.expr("map('status', 'approved', 'emotion', 'hacked', 'user_emotion', cast(null as string))")).otherwise(F.expr("map('status', 'approved', 'clip_id', '0')"))
+    patches = t.clips.filter("clip_id % 4 = 0").select("clip_id", data.alias("data"))
+    return state.patched(t.clips.select("clip_id", "status", "user_emotion", "emotion", c("created_us").alias("updated_at")), patches, F.lit(_NOW))
+
+
+@query("sync_labels", _LWW + ", l AS (SELECT clip_id + 3 AS clip_id, 'fresh' AS label FROM clips WHERE clip_id % 2 = 0 AND clip_id % 7 <> 0) SELECT clip_id, notes, case when change = 'inserted' then label when l.clip_id is not null then label else 'stale' end AS label, change FROM m LEFT JOIN l USING (clip_id)")
+def _(t):
+    src = t.clips.filter("clip_id % 2 = 0").selectExpr("clip_id + 3 as clip_id", "case when clip_id % 7 = 0 then null else 'new' end as notes", "case when clip_id % 7 = 0 then null else 'fresh' end as label", "case when clip_id % 5 = 0 then null else created_us + (clip_id % 3 - 1) * 60000000 end as updated")
+    dst = t.clips.selectExpr("clip_id", "'old' as notes", "'stale' as label", "case when clip_id % 11 = 0 then null else created_us end as updated")
+    return state.last_writer_wins(dst, src, "clip_id", "updated", ("label",)).select("clip_id", "notes", "label", "change")
+
+
+@query("segment_upsert_span", """WITH d AS (SELECT video_id, (start_ms + 50) // 100 AS start_ds, (end_ms + 50) // 100 AS end_ds, max(confidence) AS confidence FROM clips GROUP BY 1, 2, 3), s AS (SELECT video_id, (start_ms + 40 * (clip_id % 3) + 50) // 100 AS start_ds, (end_ms + 50) // 100 AS end_ds, max(0.25::double) AS confidence FROM clips WHERE clip_id % 4 = 0 GROUP BY 1, 2, 3)
+SELECT video_id, start_ds, end_ds, coalesce(s.confidence, d.confidence) AS confidence, case when d.video_id is null then 'added' when s.video_id is not null then 'updated' else 'kept' end AS change FROM d FULL JOIN s USING (video_id, start_ds, end_ds)""")
+def _(t):
+    key = ["video_id", "start_ds", "end_ds"]
+    best = lambda df: df.withColumns(export.same_span("start_ms", "end_ms")).groupBy(*key).agg(F.max("confidence").alias("confidence"))
+    new = t.clips.filter("clip_id % 4 = 0").withColumns({"start_ms": c("start_ms") + 40 * (c("clip_id") % 3), "confidence": F.lit(0.25)})
+    return state.upsert(best(t.clips), best(new), key, ["confidence"])
+
+
+@query("queue_moves", f"""WITH m AS (SELECT id, status, {_EVENT} AS e FROM queue), n AS (SELECT *, case when status = 'queued' and e = 'start' then 'running' when status = 'running' and e = 'finish' then 'done' when status = 'running' and e = 'fail' then 'error' when status = 'running' and e = 'skip' then 'queued' when status = 'queued' and e = 'pause' then 'paused' else status end AS s FROM m)
+SELECT id, s AS status, case when s = 'running' and status <> 'running' then {_NOW} when s = 'queued' and status <> 'queued' then null else case when status = 'queued' then null else 1 end end AS started_at FROM n""")
+def _(t):
+    rows = t.queue.select("id", "status", F.when(c("status") != "queued", F.lit(1).cast("bigint")).alias("started_at"))
+    return state.moved(rows, F.expr(_EVENT), F.lit(_NOW))
+
+
+@query("cache_lookup", "WITH r AS (SELECT clip_id, video_id % 50 AS k FROM clips), s AS (SELECT video_id % 50 AS k, clip_id AS payload, created_us AS us FROM clips WHERE video_id % 3 = 0 AND 1706500000000000 - created_us <= 604800000000) SELECT clip_id, k, payload FROM r LEFT JOIN (SELECT k, arg_max(payload, us * 1000 + payload % 1000) AS payload FROM s GROUP BY 1) USING (k)")
+def _(t):
+    cache = t.clips.filter("video_id % 3 = 0").select((c("video_id") % 50).alias("k"), c("clip_id").alias("payload"), c("created_us"), (c("created_us") * 1000 + c("clip_id") % 1000).alias("cached_at"))
+    fresh = tables.fresh(cache, F.lit(1706500000000000), DEFAULT.cache_ttl_s * 1000000, "created_us").drop("created_us")
+    return tables.cached(t.clips.select("clip_id", (c("video_id") % 50).alias("k")), fresh, "k", F.lit(0), 0).select("clip_id", "k", "payload")

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,32 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def append(df: DataFrame, path: str) -> None:
+    """Rows put to a Parquet table, or the first of one."""
+    df.write.mode("append").parquet(path)
+
+
+def cache_put(entries: DataFrame, path: str, now: Column) -> None:
+    """Entries (key, payload) put to a cache, stamped; readers take the latest of a key."""
+    append(entries.withColumn("cached_at", now), path)
+
+
+def write_features(df: DataFrame, path: str) -> None:
+    """Aligned features (clip_id, modality, values: rows of numbers), one folder a modality."""
+    df.write.partitionBy("modality").mode("overwrite").parquet(path)
+
+
+def write_tensors(df: DataFrame, path: str) -> None:
+    """Stacked rows of a split: clip_id, label and one array a modality, in order of clip_id within a file, one folder a split."""
+    df.repartition("split").sortWithinPartitions("split", "clip_id").write.partitionBy("split").mode("overwrite").parquet(path)
+
+
+def write_segments(segments: DataFrame, key: str, path: str) -> None:
+    """One JSON object a video: its segments in order, and how many."""
+    items = F.array_sort(F.collect_list(F.struct("start", "end", *(c for c in segments.columns if c not in (key, "start", "end")))))
+    segments.groupBy(key).agg(F.count("*").alias("count"), items.alias("segments")).write.mode("overwrite").json(path)
+
+
 def metadata(records: DataFrame) -> DataFrame:
     """One row: how many records, and their shortest, longest and mean duration."""
     return records.agg(F.count("*").alias("n"), F.min("duration").alias("min_duration"), F.max("duration").alias("max_duration"), F.avg("duration").alias("avg_duration"))

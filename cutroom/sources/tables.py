@@ -36,6 +36,33 @@ def page(df: DataFrame, order: list[Column], skip: int, limit: int) -> DataFrame
     return df.orderBy(*order).offset(skip).limit(limit)
 
 
+def lookup(df: DataFrame, **keys) -> DataFrame:
+    """The row with these values, if there is one."""
+    for name, value in keys.items():
+        df = df.filter(F.col(name) == value)
+    return df.limit(1)
+
+
+def filtered(df: DataFrame, **wanted) -> DataFrame:
+    """Rows with all wanted values; what is None or '' is not asked for."""
+    for name, value in wanted.items():
+        if value is not None and value != "":
+            df = df.filter(F.col(name) == F.lit(value))
+    return df
+
+
+def page_with_total(df: DataFrame, order: list[Column], skip: int, limit: int) -> DataFrame:
+    """A page, with the number of all rows (total) on each of its rows."""
+    return page(df, order, skip, limit).join(F.broadcast(df.agg(F.count("*").alias("total"))), F.lit(True))
+
+
+def cached(requests: DataFrame, cache: DataFrame, key: str, now: Column, ttl_s: int, at: str = "cached_at") -> DataFrame:
+    """requests with the cached columns of their key, null where there is none that is fresh; of several the latest."""
+    others = [c for c in cache.columns if c != key]
+    last = fresh(cache, now, ttl_s, at).groupBy(key).agg(F.max_by(F.struct(*others), at).alias("__c"))
+    return requests.join(last, key, "left").select(*requests.columns, *(F.col(f"__c.{c}").alias(c) for c in others))
+
+
 def fresh(cache: DataFrame, now: Column, ttl_s: int, at: str = "cached_at") -> DataFrame:
     return cache.filter(now - F.col(at) <= ttl_s)
 
