@@ -15,11 +15,13 @@ band with few nodes compares all of them. A larger one first compares each node
 the most popular ones (those with most company over all their bands, as the text that others were made
 from has). Then the nodes outside the band's largest component so far are queries against all nodes of the
 band, in blocks (see _between), so every pair of a band that could join two components is compared, and
-the members of one large group, once linked to its pivot, are not.
+the members of one large group, once linked to its pivot, are not. Blocks compare samples only; of the
+pairs whose samples agree often enough, each text is sent once to each block that needs it.
 
-Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A null text is alone in its class;
-texts without words are copies if they are equal. A null doc_id has a null class_id. Rows that repeat a
-doc_id are copies of one document. An empty table gives no rows; extra columns are ignored.
+Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A null text is like no other document's;
+texts without words are copies if they are equal. A null doc_id has a null class_id and is no node. Rows
+that repeat a doc_id are one document: whatever their texts are near to is one class. A very long text is
+one row of one task, and is shingled whole. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,23 +34,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut, spread
+from .session import Shelf, spread
 from .words import ALNUM, Text, Words, _power, mix, pieces, windows
 
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 3
-#: Candidates whose samples agree less often are no links: 4 standard errors under SIMILARITY.
-LIKELY = 0.55
+#: Candidates whose samples agree less often are no links: 4 standard errors under SIMILARITY, for the samples of the
+#: bands alone and for WIDE more of them.
+LIKELY, WIDE, LIKELY_WIDE = 0.55, 448, 0.727
 FEW, PIVOTS = 8, 2
 SALTS = 32
-#: Text of the blocks in which queries meet the nodes of a band, and what a node counts beside its text: 256 nodes a block at most.
-BLOCK_BYTES, NODE_BYTES = 2 << 20, 8 << 10
+#: Text of the blocks in which queries meet the nodes of a band, and what a node counts beside its text: 512 nodes a block at most.
+BLOCK_BYTES, NODE_BYTES = 2 << 20, 4 << 10
 FREQUENCIES = 1 << 18
 _BLOCK = 1 << 15
 
 _rng = np.random.Generator(np.random.PCG64(7))
-_FACTORS = _rng.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
+_FACTORS = _rng.integers(0, 2**64, 512, dtype=np.uint64) | np.uint64(1)
 
 
 def _gamma2(n: int = 1 << 16) -> np.ndarray:
@@ -123,8 +126,8 @@ def shingles(words: Words, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return keys, mean, np.searchsorted(owner, np.arange(n_texts + 1))
 
 
-def sample(keys: np.ndarray, weights: np.ndarray, begins: np.ndarray, k: int) -> np.ndarray:
-    """k ICWS samples of each text with shingles (all texts here have some): texts x k.
+def sample(keys: np.ndarray, weights: np.ndarray, begins: np.ndarray, k: int, first: int = 0) -> np.ndarray:
+    """k ICWS samples, from number `first` on, of each text with shingles (all texts here have some): texts x k.
 
     For shingle s and sample i, r and c are Gamma(2, 1), beta is uniform, all from a hash of (s, i);
     t = floor(ln w / r + beta), ln a = ln c - r (t - beta + 1). The sample is the (s, t) of the smallest
@@ -138,7 +141,7 @@ def sample(keys: np.ndarray, weights: np.ndarray, begins: np.ndarray, k: int) ->
         a, b = int(begins[lo]), int(begins[hi])
         part, log_w, starts = keys[a:b], logs[a:b], begins[lo:hi] - a
         for i in range(k):
-            quarters = (part * _FACTORS[i]).view(np.uint16).reshape(-1, 4)
+            quarters = (part * _FACTORS[first + i]).view(np.uint16).reshape(-1, 4)
             r, beta = quarters[:, 3], _BETA[quarters[:, 1]]
             t = np.floor(log_w * _INVERSE_R[r] + beta)
             t -= beta
@@ -169,7 +172,7 @@ def _keys(words: Words, text: Text, nulls: np.ndarray) -> list[bytes | None]:
 
 
 def sketches(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, key (equal for texts with the same words in order; null for null), n_words, sketch (null without words). idf: broadcast."""
+    """doc_id, key (equal for texts with the same words in order; a null text has one of its document's), n_words, n_bytes, sketch (null without words). idf: broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,13 +186,21 @@ def sketches(docs: DataFrame, idf) -> DataFrame:
                     drawn = sample(keys, weights, np.append(begins[some], begins[-1]), BANDS * ROWS)
                     for i, row in zip(some.tolist(), drawn, strict=True):
                         found[i] = row.tobytes()
+                numbers = (pa.array(np.asarray(x, np.int64)) for x in (words.counts(), np.diff(text.offsets)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(_keys(words, text, nulls[lo:hi]), pa.binary()), pa.array(words.counts().astype(np.int64)), pa.array(found, pa.binary())],
-                    names=["doc_id", "key", "n_words", "sketch"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(_keys(words, text, nulls[lo:hi]), pa.binary()), *numbers, pa.array(found, pa.binary())],
+                    names=["doc_id", "key", "n_words", "n_bytes", "sketch"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, key binary, n_words bigint, sketch binary")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, key binary, n_words bigint, n_bytes bigint, sketch binary")
+    return rows.withColumn("key", F.coalesce("key", F.unhex(F.md5(F.concat(F.lit("null:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))))
+
+
+def _looked_up(rows: DataFrame, by: str, values: DataFrame, salt: str = "key") -> DataFrame:
+    """rows left-joined to values, whose `by` is unique; rows of a frequent `by` are dealt over SALTS tasks by another column, `salt`."""
+    salted = rows.withColumn("salt", spread(F.col(salt), SALTS))
+    return salted.join(salted.select(by, "salt").distinct().join(values, by), [by, "salt"], "left").drop("salt")
 
 
 def _first_pairs(rows: DataFrame) -> DataFrame:
@@ -198,52 +209,92 @@ def _first_pairs(rows: DataFrame) -> DataFrame:
     few = few.select(F.posexplode("nodes").alias("i", "a"), "nodes").select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.lit(FEW))).alias("b"))
     many = rows.filter(F.col("n") > FEW)
     slot = F.pmod(F.xxhash64("key"), F.lit(PIVOTS))
-    best = many.groupBy("band", slot.alias("slot")).agg(F.max(F.struct("popularity", "key")).alias("best")).select("band", F.col("best.key").alias("pivot"))
-    met = many.select("band", "key").join(best, "band").filter(F.col("key") != F.col("pivot"))
+    best = many.groupBy("band", slot.alias("slot")).agg(F.max(F.struct("popularity", "key")).alias("best")).groupBy("band").agg(F.collect_list("best.key").alias("pivots"))
+    met = _looked_up(many.select("band", "key"), "band", best).select("key", F.explode("pivots").alias("pivot")).filter(F.col("key") != F.col("pivot"))
     return few.union(met.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))).distinct()
 
 
-def _between(rows: DataFrame, nodes: DataFrame, texts: DataFrame, linked: DataFrame, idf) -> DataFrame:
+def _widened(texts: DataFrame, idf) -> DataFrame:
+    """key, wide (a byte of each of WIDE more samples) and weight (of all shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, text in pieces(batch.column(1)):
+                keys, weights, begins = shingles(text.words(ALNUM, lower=True), idf.value)
+                drawn = sample(keys, weights, begins, WIDE, BANDS * ROWS).view(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(24)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in drawn.astype(np.uint8)], pa.binary()), pa.array(np.add.reduceat(weights, begins[:-1]))], names=["key", "wide", "weight"])
+
+    return texts.select("key", "text").mapInArrow(run, "key binary, wide binary, weight double")
+
+
+_CELL = ["band", "query_block", "node_block"]
+
+
+def _likely_in_cells(met: DataFrame) -> DataFrame:
+    """(band, query_block, node_block, a, b): pairs of a query and a node of a cell, of different components, whose samples agree often enough. A pair that shares several bands is looked at in the first."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        column = lambda name: group[name].to_pylist()
+        sketch = np.frombuffer(b"".join(column("sketch")), np.uint32).reshape(-1, BANDS, ROWS)
+        wide = np.frombuffer(b"".join(column("wide")), np.uint8).reshape(-1, WIDE)
+        asks, queried, weight = (group[name].to_numpy(zero_copy_only=False) for name in ("asks", "query", "weight"))
+        keys = np.array([k.hex() for k in column("key")])
+        root = np.unique(np.array([r.hex() for r in column("root")]), return_inverse=True)[1]
+        which, own = group["which"][0].as_py(), np.flatnonzero(~asks)
+        a, b = [np.zeros(0, keys.dtype)], [np.zeros(0, keys.dtype)]
+        for q in np.flatnonzero(asks).tolist():
+            same = sketch[own] == sketch[q]
+            agree = (same.sum(axis=(1, 2)) + (wide[own] == wide[q]).sum(axis=1)) / (BANDS * ROWS + WIDE)
+            twice = queried[own] & (keys[own] < keys[q])  # two queries are looked at once
+            possible = np.minimum(weight[own], weight[q]) >= SIMILARITY * 0.999 * np.maximum(weight[own], weight[q])
+            likely = own[possible & (agree >= LIKELY_WIDE) & (root[own] != root[q]) & ~twice & (same.all(axis=2).argmax(axis=1) == which)]
+            a.append(np.repeat(keys[q : q + 1], len(likely)))
+            b.append(keys[likely])
+        a, b = (pa.array([bytes.fromhex(k) for k in np.concatenate(x).tolist()], pa.binary()) for x in (a, b))
+        return pa.table([pa.repeat(k, len(a)) for k in key] + [a, b], names=[*_CELL, "a", "b"])
+
+    return met.groupBy(*_CELL).applyInArrow(run, "band bigint, query_block int, node_block int, a binary, b binary")
+
+
+def _verified_in_cells(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """The pairs (a, b) of _likely_in_cells whose whole texts are similar enough; a cell has each of its texts once."""
+
+    def run(_: tuple, pairs: pa.Table, bodies: pa.Table) -> pa.Table:
+        bags = {key: shingles(_one(text).words(ALNUM, lower=True), idf.value)[:2] for key, text in zip(bodies["key"].to_pylist(), bodies["text"].to_pylist(), strict=True)}
+        found = [(a, b) for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True) if _jaccard(*bags[a], *bags[b]) >= SIMILARITY]
+        return pa.table({name: pa.array([p[i] for p in found], pa.binary()) for i, name in enumerate("ab")})
+
+    cell = [f"of_{c}" for c in _CELL]
+    wanted = pairs.select(*(F.col(c).alias(x) for c, x in zip(_CELL, cell, strict=True)), F.explode(F.array("a", "b")).alias("key")).distinct()
+    return pairs.groupBy(*_CELL).cogroup(wanted.join(texts, "key").groupBy(*cell)).applyInArrow(run, "a binary, b binary")
+
+
+def _between(rows: DataFrame, nodes: DataFrame, texts: DataFrame, linked: DataFrame, idf, shelf: Shelf) -> DataFrame:
     """Verified pairs (a, b) in larger bands, of different components of what `linked` links.
 
     Of each band, the nodes outside its largest component are queries against all its nodes. Both are dealt
-    into blocks of about BLOCK_BYTES of text, and each pair of blocks is one group: samples first, whole
-    texts where they agree often enough. A pair that shares several bands is looked at in the first.
+    into blocks of about BLOCK_BYTES of text, and each pair of blocks is a cell.
     """
-    roots = components(linked)
+    roots = components(linked, shelf)
     many = rows.filter(F.col("n") > FEW).join(roots, "key", "left").select("band", "which", "key", F.coalesce("root", "key").alias("root"))
     sizes = many.groupBy("band", "root").agg(F.count("*").alias("m"))
     main = sizes.groupBy("band").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("band", "main")
-    many = cut(many.join(main, "band").join(texts.select("key", (F.octet_length("text") + NODE_BYTES).alias("bytes")), "key").withColumn("query", F.col("root") != F.col("main")))
-    blocks = lambda c: F.ceil((F.sum(c) + 1) / BLOCK_BYTES)
-    dealt = many.join(many.groupBy("band").agg(blocks(F.col("bytes")).alias("node_blocks"), blocks(F.when(F.col("query"), F.col("bytes")).otherwise(0)).alias("query_blocks")), "band")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    mixed = _looked_up(many, "band", main).filter("main IS NOT NULL").join(nodes.select("key", (F.col("n_bytes") + NODE_BYTES).alias("bytes")), "key")
+    mixed = shelf.put(mixed.select("band", "which", "key", "root", "bytes", (F.col("root") != F.col("main")).alias("query")))
+    shelf.free(roots)
+    blocks = lambda c: F.ceil((F.sum(c) + 1) / BLOCK_BYTES).cast("int")
+    n_blocks = mixed.groupBy("band").agg(blocks(F.col("bytes")).alias("node_blocks"), blocks(F.when(F.col("query"), F.col("bytes")).otherwise(0)).alias("query_blocks"))
+    dealt = _looked_up(mixed.drop("bytes"), "band", n_blocks)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    side = lambda query, a, b: dealt.filter("query" if query else "true").select("band", "which", "key", "root", F.lit(query).alias("query"), a.alias("query_block"), b.alias("node_block"))
+    side = lambda asks, a, b: dealt.filter("query" if asks else "true").select("band", "which", "key", "root", "query", F.lit(asks).alias("asks"), a.alias("query_block"), b.alias("node_block"))
     met = side(True, own("query_blocks"), every("node_blocks")).union(side(False, every("query_blocks"), own("node_blocks")))
-    full = met.join(nodes.select("key", "sketch"), "key").join(texts, "key")
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint32).reshape(-1, BANDS, ROWS)
-        query, keys = group["query"].to_numpy(zero_copy_only=False), group["key"].to_pylist()
-        root = np.unique(np.array([r.hex() for r in group["root"].to_pylist()]), return_inverse=True)[1]
-        which = group["which"][0].as_py()
-        own = np.flatnonzero(~query)
-        bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        found: list[tuple[bytes, bytes]] = []
-        for q in np.flatnonzero(query).tolist():
-            same = sketch[own] == sketch[q]
-            likely = (same.mean(axis=(1, 2)) >= LIKELY) & (root[own] != root[q]) & (same.all(axis=2).argmax(axis=1) == which)
-            for n in own[likely].tolist():
-                for i in (q, n):
-                    if i not in bags:
-                        bags[i] = shingles(_one(group["text"], i).words(ALNUM, lower=True), idf.value)[:2]
-                if _jaccard(*bags[q], *bags[n]) >= SIMILARITY:
-                    found.append((min(keys[q], keys[n]), max(keys[q], keys[n])))
-        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
-
-    return full.groupBy("band", "query_block", "node_block").applyInArrow(run, "a binary, b binary").distinct()
+    wide = _widened(texts.join(mixed.select("key").distinct(), "key"), idf).join(nodes.select("key", "sketch"), "key")
+    pairs = shelf.put(_likely_in_cells(met.join(wide, "key")))
+    out = shelf.put(_verified_in_cells(pairs, texts, idf))
+    shelf.free(mixed, pairs)
+    return out
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +342,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                found = np.concatenate([similarities(_one(part.column(2), i), _one(part.column(3), i), idf.value) for i in range(part.num_rows)])
+                found = np.concatenate([similarities(_one(part.column(2)[i].as_py()), _one(part.column(3)[i].as_py()), idf.value) for i in range(part.num_rows)])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(found >= SIMILARITY))
 
     def side(name: str) -> DataFrame:
@@ -301,73 +352,85 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _one(column: pa.Array, i: int) -> Text:
-    data = np.frombuffer((column[i].as_py() or "").encode(), np.uint8)
+def _one(text: str | None) -> Text:
+    data = np.frombuffer((text or "").encode(), np.uint8)
     return Text(data, np.array([0, len(data)], np.int64))
 
 
-def links(docs: DataFrame, sketched: DataFrame, idf) -> DataFrame:
+def _of_one_document(sketched: DataFrame) -> DataFrame:
+    """(a, b) of keys, a < b, that a doc_id has in different rows."""
+    rows = sketched.filter("doc_id IS NOT NULL").select("doc_id", "key")
+    several = rows.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).filter("a < z").drop("z")
+    return _looked_up(rows, "doc_id", several).filter("a < key").select("a", F.col("key").alias("b")).distinct()
+
+
+def links(docs: DataFrame, sketched: DataFrame, idf, shelf: Shelf) -> DataFrame:
     """Verified pairs (a, b) of keys, a < b; sketched: what sketches() gave."""
-    nodes = sketched.filter("sketch IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "sketch")).alias("first"))
-    nodes = cut(nodes.select("key", "first.doc_id", "first.sketch"))
+    nodes = sketched.filter("sketch IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "n_bytes", "sketch")).alias("first"))
+    nodes = shelf.put(nodes.select("key", "first.*"))
     width = ROWS * 4
     bands = F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", i * width + 1, width)) for i in range(BANDS)))
     dealt = nodes.select("key", F.posexplode(bands).alias("which", "band"))
-    rows = cut(dealt.join(dealt.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "band"))
-    popularity = rows.groupBy("key").agg(F.sum("n").alias("popularity"))
+    # counts are written first, so that the join's inputs are shuffles alone, which AQE splits where a band is frequent
+    counts = shelf.put(dealt.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
+    rows = shelf.put(dealt.join(counts, "band"))
+    popularity = shelf.put(rows.groupBy("key").agg(F.sum("n").alias("popularity")))
     wanted = nodes.join(popularity, "key").select("key", "doc_id")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(wanted, "doc_id").select("key", "text")
-    texts = cut(texts.mapInArrow(_own, "key binary, text string").dropDuplicates(["key"]))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda name: nodes.select(F.col("key").alias(name), F.col("sketch").alias(f"sketch_{name}"))
-        likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike, "a binary, b binary")
-        return cut(_verified(likely, texts, idf))
-
-    first = verified(_first_pairs(rows.join(popularity, "key")))
-    return first.union(cut(_between(rows, nodes, texts, first, idf)))
-
-
-def _looked_up(rows: DataFrame, by: str, values: DataFrame) -> DataFrame:
-    """rows (with a column key) left-joined to values, whose `by` is unique; rows of a frequent `by` are dealt over SALTS tasks."""
-    salted = rows.withColumn("salt", spread(F.col("key"), SALTS))
-    return salted.join(salted.select(by, "salt").distinct().join(values, by), [by, "salt"], "left").drop("salt")
-
-
-def components(edges: DataFrame) -> DataFrame:
+    texts = shelf.put(texts.mapInArrow(_own, "key binary, text string").dropDuplicates(["key"]))
+    side = lambda name: nodes.select(F.col("key").alias(name), F.col("sketch").alias(f"sketch_{name}"))
+    pairs = _first_pairs(rows.join(popularity, "key"))
+    likely = shelf.put(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike, "a binary, b binary"))
+    first = shelf.put(_verified(likely, texts, idf).union(_of_one_document(sketched)))
+    shelf.free(counts, popularity, likely)
+    more = _between(rows, nodes, texts, first, idf, shelf)
+    shelf.free(rows, nodes, texts)
+    return first.union(more)
+
+
+def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
     """(key, root) for each end of an edge: root is the smallest key of its connected component.
 
     Each round takes the smallest root among neighbours and then the root's root, so rounds grow with
     the logarithm of the longest path, not with its length.
     """
-    both = cut(edges.select(F.col("a").alias("key"), F.col("b").alias("other")).union(edges.select("b", "a")))
-    roots = cut(both.groupBy("key").agg(F.min(F.least("key", "other")).alias("root")))
+    both = shelf.put(edges.select(F.col("a").alias("key"), F.col("b").alias("other")).union(edges.select("b", "a")))
+    roots = shelf.put(both.groupBy("key").agg(F.min(F.least("key", "other")).alias("root")))
     while True:
         near = _looked_up(both, "other", roots.select(F.col("key").alias("other"), "root")).groupBy("key").agg(F.min("root").alias("near"))
-        moved = cut(roots.join(near, "key").select("key", F.col("root").alias("old"), F.least("root", "near").alias("root")))
+        moved = shelf.put(roots.join(near, "key").select("key", F.col("root").alias("old"), F.least("root", "near").alias("root")))
         up = roots.select(F.col("key").alias("root"), F.col("root").alias("up"))
-        jumped = cut(_looked_up(moved, "root", up).select("key", "old", F.least("root", F.coalesce("up", "root")).alias("root")))
-        roots = jumped.select("key", "root")
+        jumped = shelf.put(_looked_up(moved, "root", up).select("key", "old", F.least("root", F.coalesce("up", "root")).alias("root")))
+        shelf.free(roots, moved)
         if jumped.filter("old <> root").isEmpty():
-            return roots
+            shelf.free(both)
+            return jumped
+        roots = jumped
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, class_id of each row; is_first: it is the document that its class keeps."""
+    shelf = Shelf(docs.sparkSession)
     idf = docs.sparkSession.sparkContext.broadcast(idf_table(docs))
-    sketched = cut(sketches(docs, idf))
-    roots = components(links(docs, sketched, idf))
-    copies = sketched.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    rooted = copies.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    sketched = shelf.put(sketches(docs, idf))
+    roots = components(links(docs, sketched, idf, shelf), shelf)
+    copies = sketched.filter("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    rooted = copies.join(roots.select("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = rooted.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("n_class")).filter("n_class > 1")
     named = _looked_up(rooted, "root", classes).filter("class_id IS NOT NULL").select("key", "class_id")
-    rows = sketched.join(named, "key", "left")
+    rows = _looked_up(sketched.select("doc_id", "key", "n_words"), "key", named, salt="doc_id")
     class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
     return rows.select("doc_id", "n_words", class_id.alias("class_id"), (class_id.isNull() | (class_id == F.col("doc_id"))).alias("is_first"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class; all columns. Rows without doc_id stay."""
-    first = near_duplicates(docs).filter("is_first").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    """docs with one document of each class, that of the smallest doc_id; all columns. Rows without doc_id stay.
+
+    Of rows that repeat a doc_id that stays, one does: the first by the hash of its text, then of all its columns.
+    """
+    kept = near_duplicates(docs).filter("is_first AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = Shelf(docs.sparkSession).put(kept)
+    once = docs.join(kept.filter("n = 1"), "doc_id", "left_semi")
+    whole, text = F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.col("text").cast("string")
+    repeated = docs.join(kept.filter("n > 1"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, F.struct(F.md5(text), F.md5(F.to_json(whole)))).alias("row"))
+    return once.select(*docs.columns).union(repeated.select("row.*")).union(docs.filter("doc_id IS NULL").select(*docs.columns))
