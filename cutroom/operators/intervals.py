@@ -2,7 +2,7 @@
 
 Joins between intervals go by key and time bucket, so a long video is spread over many tasks and no pair
 is made outside a shared bucket. Gaps and islands are windows over the key. Folds that depend on the order
-of a video's intervals gather one video's intervals, of which there are as many as the video has scenes.
+of a video's intervals gather one run of overlapping intervals (face tracks: one clip's few dozen frames).
 """
 
 from __future__ import annotations
@@ -62,13 +62,18 @@ def sample_coverage(segments: DataFrame, samples: DataFrame, key: str) -> DataFr
     return pairs.groupBy("a_id").agg(F.coalesce(share, F.lit(0.0)).alias("coverage"), F.coalesce(F.sum("n_faces") / F.nullif(F.count("n_faces"), F.lit(0)), F.lit(0.0)).alias("avg_faces"))
 
 
-def merged(df: DataFrame, key: str, gap_ms: int = DEFAULT.merge_gap_ms, min_ms: int = 0) -> DataFrame:
-    """(key, start, end): intervals joined where the next begins at most gap_ms after all before have ended; shorter than min_ms go."""
+def _islands(df: DataFrame, key: str, gap_ms: int = 0) -> DataFrame:
+    """df with __island: intervals of a key are in one where the next begins at most gap_ms after all before have ended."""
     order = Window.partitionBy(key).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(reach.isNull() | (F.col("start") - reach > gap_ms), 1).otherwise(0)
     island = F.sum("__fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = df.select(key, "start", "end").withColumn("__fresh", fresh).withColumn("__island", island)
+    return df.withColumn("__fresh", fresh).withColumn("__island", island).drop("__fresh")
+
+
+def merged(df: DataFrame, key: str, gap_ms: int = DEFAULT.merge_gap_ms, min_ms: int = 0) -> DataFrame:
+    """(key, start, end): intervals joined where the next begins at most gap_ms after all before have ended; shorter than min_ms go."""
+    rows = _islands(df.select(key, "start", "end"), key, gap_ms)
     return rows.groupBy(key, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end")).filter(F.col("end") - F.col("start") >= min_ms).drop("__island")
 
 
@@ -122,23 +127,29 @@ def gathered(df: DataFrame, key: str, *columns: Column) -> DataFrame:
     return df.groupBy(key).agg(items.alias("items"))
 
 
+def gathered_islands(df: DataFrame, key: str, *columns: Column) -> DataFrame:
+    """One row for each run of intervals (start, end) of a key that overlap or meet. Intervals of different runs have nothing to do with each other, so a fold over a run is as long as the run, not as the video."""
+    items = F.array_sort(F.collect_list(F.struct(*columns)))
+    return _islands(df, key).groupBy(key, "__island").agg(items.alias("items")).drop("__island")
+
+
 def overlap_nms(df: DataFrame, key: str, conf: CurationConf = DEFAULT) -> DataFrame:
     """(key, id, start, end, intensity) kept when the most intense go first and later ones overlap none kept by more than conf.overlap of the shorter."""
     kind = "array<struct<neg:double,start:bigint,end:bigint,id:bigint>>"
-    rows = gathered(df, key, (-F.col("intensity")).alias("neg"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), F.col("id").cast("bigint").alias("id"))
+    rows = gathered_islands(df, key, (-F.col("intensity")).alias("neg"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), F.col("id").cast("bigint").alias("id"))
 
     def clash(k: Column, x: Column) -> Column:
         shared = F.least(k["end"], x["end"]) - F.greatest(k["start"], x["start"])
         return (shared > 0) & (shared.cast("double") / F.greatest(F.lit(0.001), F.least(k["end"] - k["start"], x["end"] - x["start"]).cast("double")) > conf.overlap)
 
     kept = F.aggregate("items", F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda k: clash(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
-    return rows.select(key, F.explode(kept).alias("k")).select(key, "k.id", "k.start", "k.end", (-F.col("k.neg")).alias("intensity"))
+    return rows.select(key, F.explode(kept).alias("__k")).select(key, "__k.id", "__k.start", "__k.end", (-F.col("__k.neg")).alias("intensity"))
 
 
 def adjacent_dedup(df: DataFrame, key: str, slack_ms: int = 250) -> DataFrame:
     """(key, id, start, end, rank): in order of start, one that begins before the last kept ends (less slack) replaces it if it ranks higher, else goes."""
     kind = "array<struct<start:bigint,end:bigint,id:bigint,rank:double>>"
-    rows = gathered(df, key, F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), F.col("id").cast("bigint").alias("id"), F.col("rank").cast("double").alias("rank"))
+    rows = gathered_islands(df, key, F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), F.col("id").cast("bigint").alias("id"), F.col("rank").cast("double").alias("rank"))
 
     def step(acc: Column, x: Column) -> Column:
         last = F.element_at(acc, -1)
@@ -146,7 +157,7 @@ def adjacent_dedup(df: DataFrame, key: str, slack_ms: int = 250) -> DataFrame:
         hits = (F.size(acc) > 0) & (x["start"] < F.try_element_at(acc, F.lit(-1))["end"] - slack_ms)
         return F.when(hits, F.when(x["rank"] > last["rank"], replaced).otherwise(acc)).otherwise(F.concat(acc, F.array(x)))
 
-    return rows.select(key, F.explode(F.aggregate("items", F.array().cast(kind), step)).alias("k")).select(key, "k.id", "k.start", "k.end", "k.rank")
+    return rows.select(key, F.explode(F.aggregate("items", F.array().cast(kind), step)).alias("__k")).select(key, "__k.id", "__k.start", "__k.end", "__k.rank")
 
 
 def rank(face: Column, speech: Column, length_ms: Column, conf: CurationConf = DEFAULT) -> Column:
@@ -274,7 +285,7 @@ def track_faces(frames: DataFrame, key: str, least: float = 0.25, oldest: int =
         ).cast(state)
 
     begin = F.struct(F.lit(0).alias("next"), F.lit(-1).cast("bigint").alias("frame"), F.array().cast(f"array<{track}>").alias("tracks"), F.array().cast("array<struct<frame:bigint,face:bigint,track_id:int>>").alias("out")).cast(state)
-    return rows.select(key, F.explode(F.aggregate("items", begin, step)["out"]).alias("o")).select(key, "o.*")
+    return rows.select(key, F.explode(F.aggregate("items", begin, step)["out"]).alias("__o")).select(key, "__o.*")
 
 
 def padded_and_capped(df: DataFrame, key: str, tie: str, length: Column, conf: CurationConf = DEFAULT) -> DataFrame:
