@@ -121,7 +121,14 @@ def _(t):
     return intervals.dialogue_refined(_a(t), _b(t), "video_id")
 
 
-@query("enforce_duration", None)
+@query("enforce_duration", """WITH RECURSIVE x AS (SELECT clip_id, start_ms AS s, start_ms + duration_ms * 3 AS e FROM clips),
+g AS (SELECT *, flatten(list_transform(list_filter([0, 1, 2], lambda i: s + i * 9000 < e), lambda i: [s + i * 9000, least(e, s + i * 9000 + 4000)])) AS edges FROM x WHERE e - s > 12000),
+r AS (SELECT clip_id, s, e, edges, 0 AS k, s AS cur, cast([] AS struct(a bigint, b bigint)[]) AS ps FROM g UNION ALL
+SELECT clip_id, s, e, edges, k + 1, case when hit then edges[k + 1] else cur end, case when hit then list_append(ps, {'a': cur, 'b': edges[k + 1]}) else ps end FROM (SELECT *, edges[k + 1] - cur between 2000 and 12000 AS hit FROM r WHERE k < len(edges))),
+d AS (SELECT *, case when e - cur >= 2000 then list_append(ps, {'a': cur, 'b': e}) else ps end AS rest FROM r WHERE k = len(edges)),
+p AS (SELECT clip_id, unnest(case when len(rest) = 0 then [{'a': s, 'b': e}] else rest end) AS p FROM d),
+c AS (SELECT clip_id, p.a AS a, p.b AS b FROM p WHERE p.b - p.a <= 12000 UNION ALL SELECT clip_id, q, least(b, q + 6000) FROM (SELECT clip_id, p.b AS b, unnest(range(p.a, p.b + 1, 6000)) AS q FROM p WHERE p.b - p.a > 12000) WHERE least(b, q + 6000) - q >= 2000)
+SELECT clip_id, a AS "start", b AS "end" FROM c UNION ALL SELECT clip_id, s, e FROM x WHERE e - s <= 12000""")
 def _(t):
     rows = t.clips.select("clip_id", c("start_ms").alias("start"), (c("start_ms") + c("duration_ms") * 3).alias("end"))
     talk = F.array(*(F.struct((c("start") + i * 9000).alias("start"), (c("start") + i * 9000 + 4000).alias("end")) for i in range(3)))
@@ -226,12 +233,20 @@ def _frames(t) -> DataFrame:
     return t.clips.select("video_id", F.row_number().over(Window.partitionBy("video_id").orderBy("clip_id")).alias("frame"), F.lit(0).alias("face"), _box(0).alias("box"))
 
 
-@query("track_assign", None)
+_TRACKS = """f AS (SELECT video_id, row_number() over (partition by video_id order by clip_id) AS k, clip_id * 7 % 40 AS x, clip_id * 11 % 40 AS y FROM clips),
+r AS (SELECT video_id, 0::bigint AS k, cast([] AS struct(id int, x bigint, y bigint, f bigint)[]) AS tracks, 0 AS nxt, -1 AS track_id FROM (SELECT DISTINCT video_id FROM f) UNION ALL
+SELECT video_id, k, list_append(list_filter(tracks, lambda t: t.id <> tid and k - t.f - 1 <= 2), {'id': tid, 'x': x, 'y': y, 'f': k}), case when tid = nxt then nxt + 1 else nxt end, tid FROM (
+SELECT *, case when len(s) > 0 then -(list_sort(s)[-1].neg) else nxt end AS tid FROM (SELECT r.video_id, f.k, f.x, f.y, tracks, nxt,
+list_filter(list_transform(list_filter(tracks, lambda t: f.k - t.f - 1 <= 2), lambda t: {'iou': (greatest(0, 20 - abs(t.x - f.x)) * greatest(0, 20 - abs(t.y - f.y)))::double / (800 - greatest(0, 20 - abs(t.x - f.x)) * greatest(0, 20 - abs(t.y - f.y))), 'neg': -t.id}), lambda q: q.iou >= 0.25) AS s
+FROM r JOIN f ON f.video_id = r.video_id AND f.k = r.k + 1)))"""
+
+
+@query("track_assign", f"WITH RECURSIVE {_TRACKS} SELECT video_id, k AS frame, 0::bigint AS face, track_id FROM r WHERE k > 0")
 def _(t):
     return intervals.track_faces(_frames(t), "video_id")
 
 
-@query("track_count", None)
+@query("track_count", f"WITH RECURSIVE {_TRACKS} SELECT video_id, count(DISTINCT track_id) AS n_tracks FROM r WHERE k > 0 GROUP BY 1")
 def _(t):
     return intervals.track_faces(_frames(t), "video_id").groupBy("video_id").agg(F.count_distinct("track_id").alias("n_tracks"))
 
