@@ -5,14 +5,19 @@ LABEL__VERSION.txt): paragraphs, headings and other short ones joined to what fo
 two families share word for word tells them not apart and is left to their other clauses.
 
 The templates' words build one automaton. A text is streamed through it: after each word, the matching
-statistic is the length of the longest run of words ending there that some template contains. Runs of
-SEED words or more are chained, in order of text and template, into spans of a template; a span's
-coverage is the share of the template's words it has. A label is given from COVERED on.
+statistic is the length of the longest run of words ending there that some template contains, and the
+state's suffix links lead to all places in all templates where its last SEED words or more stand. So every
+run of SEED words or more that the text shares with a template is found, whatever longer runs other
+templates share. Runs are chained by dynamic programming, in order of text and template, at most GAP words
+of text apart, into the span of the template that has most of its words; a span's coverage is the share of
+the template's words it has. A label is given from COVERED on.
 
 Beside it, the base phrases are looked for at every place; their labels stay whatever the spans say.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. Null counts as empty: no words, no
-labels (''), score 0. Repeated rows give repeated results; extra columns are ignored.
+labels (''), score 0. Repeated rows give repeated results, an empty table gives none; a very long text is
+streamed whole, in one task; extra columns are ignored, whatever their names. Of chains that cover
+equally much, the one that ends first counts.
 """
 
 from __future__ import annotations
@@ -145,20 +150,21 @@ class SuffixAutomaton:
             self.link[new] = self._split(p, w, own)
         return new
 
-    def runs(self, words: list[int], least: int) -> Iterator[tuple[int, int, int]]:
-        """(place after the last word, length, state) of each run that the next word does not prolong."""
+    def statistics(self, words: list[int]) -> Iterator[tuple[int, int]]:
+        """After each word: the length of the longest run ending there that some sequence has, and its state."""
         state, n = 0, 0
-        for i, w in enumerate(words):
-            went, m = state, n
-            while went > 0 and w not in self.next[went]:
-                went = self.link[went]
-                m = self.length[went]
-            m, went = (m + 1, self.next[went][w]) if w in self.next[went] else (0, 0)
-            if n >= least and m != n + 1:
-                yield i, n, state
-            state, n = went, m
-        if n >= least:
-            yield len(words), n, state
+        for w in words:
+            while state > 0 and w not in self.next[state]:
+                state = self.link[state]
+                n = self.length[state]
+            state, n = (self.next[state][w], n + 1) if w in self.next[state] else (0, 0)
+            yield n, state
+
+    def anchor(self, state: int, least: int) -> int:
+        """The state on the suffix path that stands for the last `least` words: its ends are all places where those stand."""
+        while self.length[self.link[state]] >= least:
+            state = self.link[state]
+        return state
 
 
 @dataclass
@@ -166,7 +172,6 @@ class Span:
     template: int
     first: int
     last: int
-    at: int
     covered: int
 
 
@@ -180,6 +185,9 @@ class Scanner:
         sequences = [self._hashes(text) for _, text in self.templates]
         self.sizes = [len(s) for s in sequences]
         self.automaton = SuffixAutomaton([s.tolist() for s in sequences])
+        self.begins = np.cumsum([0, *(len(x) for x in self.automaton.ends)])  # of each state's ends, in one list for all
+        flat = np.array([p for x in self.automaton.ends for p in x], np.int64).reshape(-1, 2)
+        self.of_template, self.after = flat[:, 0], flat[:, 1]
         seeds = [windows(s, self.seed) for s in sequences]
         self.seeds = np.unique(np.concatenate([*seeds, np.zeros(0, np.uint64)]))
         self.base = [(self._hashes(p), label) for p, label in self.phrases.items()]
@@ -203,47 +211,85 @@ class Scanner:
                 if i + len(phrase) <= owner_end[int(np.searchsorted(owner_end, i, side="right"))]:
                     yield i, label
 
-    def spans(self, words: Words) -> Iterator[tuple[int, Span]]:
-        """(text, span): the text is streamed where SEED consecutive words stand in a template; elsewhere no run is long enough."""
-        h = words.hashes
-        if len(h) < self.seed:
-            return
+    def _seeds(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Places after which SEED or more words stand in a template, and the states of the last SEED of them. Texts are streamed only where SEED consecutive words stand in a template."""
+        h, none = words.hashes, np.zeros(0, np.int64)
+        if len(h) < self.seed or not len(self.seeds):
+            return none, none
         keys = windows(h, self.seed)
         at = np.minimum(np.searchsorted(self.seeds, keys), len(self.seeds) - 1)
         hits = np.flatnonzero(self.seeds[at] == keys)
-        if not len(hits):
-            return
         owner = np.searchsorted(words.bounds, hits, side="right") - 1
         whole = hits + self.seed <= words.bounds[owner + 1]
         hits, owner = hits[whole], owner[whole]
-        breaks = np.flatnonzero((np.diff(hits) > self.seed) | (np.diff(owner) != 0)) + 1
-        open_: dict[int, Span] = {}
-        mine = -1
-        for part, docs in zip(np.split(hits, breaks), np.split(owner, breaks), strict=True):
-            if not len(part):
-                continue
-            if docs[0] != mine:
-                yield from ((mine, s) for s in open_.values())
-                open_, mine = {}, int(docs[0])
-            begin, end = int(part[0]), int(part[-1]) + self.seed
-            for stop, n, state in self.automaton.runs(h[begin:end].tolist(), self.seed):
-                yield from ((mine, s) for s in self._chain(open_, begin + stop - n, n, state))
-        yield from ((mine, s) for s in open_.values())
-
-    def _chain(self, open_: dict[int, Span], first: int, n: int, state: int) -> Iterator[Span]:
-        """Prolongs the open span of each template with this run, or ends it and opens another."""
-        stands: dict[int, list[int]] = {}
-        for t, end in self.automaton.ends[state]:
-            stands.setdefault(t, []).append(end - n)
-        for t, begins in stands.items():
-            span = open_.get(t)
-            ahead = [b for b in begins if span and b >= span.at]
-            if span and ahead and first - span.last - 1 <= GAP:
-                span.last, span.at, span.covered = first + n - 1, ahead[0] + n, span.covered + n
-            else:
-                if span:
-                    yield span
-                open_[t] = Span(t, first, first + n - 1, begins[0] + n, n)
+        places, states = [], []
+        for part in np.split(hits, np.flatnonzero((np.diff(hits) > self.seed) | (np.diff(owner) != 0)) + 1):
+            if len(part):
+                begin, end = int(part[0]), int(part[-1]) + self.seed
+                for i, (n, state) in enumerate(self.automaton.statistics(h[begin:end].tolist()), begin + 1):
+                    if n >= self.seed:
+                        places.append(i)
+                        states.append(self.automaton.anchor(state, self.seed))
+        return np.array(places, np.int64), np.array(states, np.int64)
+
+    def runs(self, words: Words) -> np.ndarray:
+        """Rows (text, template, first word in the piece, first word in the template, length) of all longest runs of SEED or more words, in that order."""
+        places, states = self._seeds(words)
+        n = self.begins[states + 1] - self.begins[states]
+        at = np.repeat(self.begins[states] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        x, y, t = np.repeat(places, n), self.after[at], self.of_template[at]
+        text = np.searchsorted(words.bounds, x - 1, side="right") - 1
+        order = np.lexsort((x, x - y, t, text))
+        x, y, t, text = x[order], y[order], t[order], text[order]
+        # seeds that follow each other on a diagonal are one run
+        new = np.concatenate([np.ones(min(1, len(x)), bool), (np.diff(x) != 1) | (np.diff(y) != 1) | (np.diff(t) != 0) | (np.diff(text) != 0)])
+        begin = np.flatnonzero(new)
+        length = np.diff(np.append(begin, len(x))) + self.seed - 1
+        out = np.stack([text[begin], t[begin], x[begin] - self.seed, y[begin] - self.seed, length], 1)
+        return out[np.lexsort((out[:, 3], out[:, 2], out[:, 1], out[:, 0]))]
+
+    def spans(self, words: Words) -> Iterator[tuple[int, Span]]:
+        """(text, span): of each text and template, the best chain of each stretch of runs at most GAP words apart."""
+        runs = self.runs(words)
+        cuts = np.flatnonzero((np.diff(runs[:, 0]) != 0) | (np.diff(runs[:, 1]) != 0)) + 1
+        for group in np.split(runs, cuts):
+            if len(group):
+                text, template = group[0, :2].tolist()
+                for first, last, covered in chains([tuple(r) for r in group[:, 2:].tolist()]):
+                    yield text, Span(template, first, last, covered)
+
+
+def chains(runs: list[tuple[int, int, int]], gap: int = GAP) -> Iterator[tuple[int, int, int]]:
+    """(first word, last word, words covered) of the best chain of each stretch of runs (first in text, first in template, length), sorted by first.
+
+    In a chain, text and template go on from run to run, and the text by at most gap words between them; what two
+    runs share counts once.
+    """
+    longest = max(n for _, _, n in runs)
+    stretch: list[tuple[int, int, int]] = []  # covered by the best chain ending in a run, last word, first word
+    reach, lo = None, 0
+    for k, (x, y, n) in enumerate(runs):
+        if reach is not None and x - reach > gap:
+            yield _best(stretch)
+            stretch, lo = [], k
+        best, begin = n, x
+        while runs[lo][0] < x - gap - longest:
+            lo += 1
+        for j in range(lo, k):
+            u, v, m = runs[j]
+            shared = max(0, u + m - x, v + m - y)
+            if u < x and v < y and shared < n and x - u - m <= gap:
+                covered, _, start = stretch[j - (k - len(stretch))]
+                if covered + n - shared > best:
+                    best, begin = covered + n - shared, start
+        stretch.append((best, x + n - 1, begin))
+        reach = x + n if reach is None else max(reach, x + n)
+    yield _best(stretch)
+
+
+def _best(stretch: list[tuple[int, int, int]]) -> tuple[int, int, int]:
+    covered, last, first = max(stretch, key=lambda s: (s[0], -s[1], s[2]))
+    return first, last, covered
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
