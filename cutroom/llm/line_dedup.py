@@ -16,8 +16,10 @@ A group of equal variants at one place has at most as many lines as there are ch
 grows with the data; counts and minima are made before rows are shuffled.
 
 Lines are compared after trimming white space. Blank lines and null texts have nothing to compare and
-stay. Lines under MIN_CHARS characters are compared for equality only: there, one character is a
-different line. Rows that repeat doc_id and text are one document. A null doc_id comes first in order.
+stay. Lines of any length are compared, however short; `min_chars` leaves shorter ones to be compared for
+equality only, where a caller wants that. Rows that repeat doc_id and text are one document. A null doc_id
+comes first in order. An empty table gives no rows. A very long text is split in one task, and put together
+again in time proportional to its lines. Extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +27,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut
+from .session import Shelf, original
 
 BLOCK = 32
-MIN_CHARS = 20
 
 _line = ["h1", "h2"]
 _document = ["k1", "k2"]
@@ -106,16 +107,15 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(rows.groupBy(key).agg(F.count("*").alias("__n")).filter("__n > 1").select(key), key, "left_semi")
 
 
-def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
-    """(h1, h2) of distinct lines with an earlier line within one edit, and the earliest such (by). first: h1, h2, halves and order of each distinct line's first place."""
-    halves = first.select(*_line, F.explode("halves").alias("half"))
+def near_lines(first: DataFrame, shelf: Shelf, min_chars: int = 0) -> DataFrame:
+    """(h1, h2) of distinct lines with an earlier line within one edit, and the earliest such (by). first: h1, h2, line and order of each distinct line's first place."""
+    some = first.filter(F.char_length("line") >= min_chars)
+    halves = some.select(*_line, F.explode(_halves()).alias("half"))
     likely = _shared(halves, "half").select(*_line).distinct()
-    chosen = first.join(likely, _line).select(*_line, "order")
-    # of each line still in question, one place where it stands: its text is read once more, and only there
-    texts = lines.join(chosen.withColumnRenamed("order", "at"), _line).filter(F.col("order").eqNullSafe(F.col("at"))).dropDuplicates(_line)
-    blocks = cut(texts.select(*_line, "order", F.explode(_blocks()).alias("b")).select(*_line, "order", "b.*"))
-    variants = cut(_shared(blocks, "place").select(*_line, "order", "role", "block", F.explode(_variants()).alias("v")).select(*_line, "order", "role", "block", "v.*"))
-    near = F.levenshtein("block", "other") <= 1
+    texts = some.join(likely, _line)
+    blocks = shelf.put(texts.select(*_line, "order", F.explode(_blocks()).alias("b")).select(*_line, "order", "b.*"))
+    variants = shelf.put(_shared(blocks, "place").select(*_line, "order", "role", "block", F.explode(_variants()).alias("v")).select(*_line, "order", "role", "block", "v.*"))
+    within = F.levenshtein("block", "other") <= 1
 
     replaced = variants.filter("kind = 'replaced'")
     earliest = replaced.groupBy("variant").agg(F.min(F.struct("order", F.col("block").alias("other"))).alias("e"), F.count("*").alias("n")).filter("n > 1")
@@ -126,39 +126,46 @@ def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
     met = same.join(longer, "variant")
     sides = [met.select(*(F.col(f"{c}_{r}").alias(c) for c in (*_line, "order", "block")), F.col(f"order_{1 - r}").alias("by"), F.col(f"block_{1 - r}").alias("other")) for r in (0, 1)]
 
-    found = a.union(sides[0]).union(sides[1]).filter((F.col("by") < F.col("order")) & near)
-    return found.groupBy(*_line).agg(F.min("by").alias("by"))
+    found = a.union(sides[0]).union(sides[1]).filter((F.col("by") < F.col("order")) & within)
+    near = shelf.put(found.groupBy(*_line).agg(F.min("by").alias("by")))
+    shelf.free(blocks, variants)
+    return near
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = 0) -> DataFrame:
     """k1, k2, line_no, n_chars, reason (`exact` or `near`) and kept_doc, kept_line (where the earlier line stands) of each dropped line, once a document."""
+    shelf = Shelf(docs.sparkSession)
     lines = _lines(docs)
-    n_chars = F.char_length("line")
-    seen = cut(lines.select(*_document, "order", *_line, n_chars.alias("n_chars"), F.when(n_chars >= MIN_CHARS, _halves()).alias("halves")))
-    first = cut(seen.groupBy(*_line).agg(F.min("order").alias("order"), F.count("*").alias("n"), F.first("halves").alias("halves")))
-    near = near_lines(lines, first)
-    verdict = first.join(near, _line, "left").filter("n > 1 OR by IS NOT NULL").select(*_line, F.col("order").alias("first"), "by")
-    rows = seen.join(verdict, _line)
+    first = shelf.put(lines.groupBy(*_line).agg(F.min("order").alias("order"), F.count("*").alias("n"), F.first("line").alias("line")))
+    near = near_lines(first, shelf, min_chars)
+    # written first, so that the join's inputs are shuffles alone, which AQE splits where a line is frequent
+    verdict = shelf.put(first.join(near, _line, "left").filter("n > 1 OR by IS NOT NULL").select(*_line, F.col("order").alias("first"), "by"))
+    shelf.free(first, near)
+    rows = lines.select(*_document, "order", *_line, F.char_length("line").alias("n_chars")).join(verdict, _line)
     exact = F.col("first") < F.col("order")
     rows = rows.filter(exact | F.col("by").isNotNull())
     kept = F.coalesce("by", "first")
     return rows.select(*_document, F.col("order.line_no").alias("line_no"), "n_chars", F.when(exact, "exact").otherwise("near").alias("reason"), kept["doc_id"].alias("kept_doc"), kept["line_no"].alias("kept_line")).dropDuplicates([*_document, "line_no"])
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 0) -> DataFrame:
     """docs with the dropped lines gone from text (null stays null); all columns."""
-    gone = dropped_lines(docs).groupBy(*_document).agg(F.collect_set("line_no").alias("__gone"))
-    rows = docs.withColumns({"__k1": F.xxhash64("doc_id", _text()), "__k2": F.hash(_text())})
-    rows = rows.join(gone.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left")
-    kept = F.filter(F.split(_text(), "\n", -1), lambda _, i: ~F.array_contains("__gone", i))
-    return rows.withColumn("text", F.when(F.col("__gone").isNull(), _text()).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
-
-
-def digest(docs: DataFrame) -> DataFrame:
+    gone = dropped_lines(docs, min_chars).groupBy(*_document).agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
+    at = docs.columns.index("text")
+    named = docs.toDF(*(f"__{i}" for i in range(len(docs.columns))))
+    text = F.col(f"__{at}").cast("string")
+    rows = named.withColumns({"k1": F.xxhash64(f"__{docs.columns.index('doc_id')}", text), "k2": F.hash(text)}).join(gone, _document, "left")
+    lines = F.split(text, "\n", -1)
+    # the lines between two that go, as one slice each
+    between = F.zip_with(F.concat(F.array(F.lit(-1)), "gone"), F.concat("gone", F.array(F.size(lines))), lambda a, b: F.slice(lines, a + 2, b - a - 1))
+    return original(rows.withColumn(f"__{at}", F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.flatten(between), "\n"))), docs)
+
+
+def digest(docs: DataFrame, min_chars: int = 0) -> DataFrame:
     """doc_id, n_lines (not blank), n_chars (of those, trimmed), and of the dropped: n_exact, n_near, dropped_chars."""
     some = F.filter("lines", lambda x: x != "")
     rows = _documents(docs).select("doc_id", *_document, F.coalesce(F.size(some), F.lit(0)).alias("n_lines"), F.coalesce(F.aggregate(F.transform(some, lambda x: F.char_length(x)), F.lit(0), lambda a, b: a + b), F.lit(0)).alias("n_chars"))
     rows = rows.withColumn("n_lines", F.when(F.col("n_lines") < 0, 0).otherwise(F.col("n_lines")))
-    gone = dropped_lines(docs).groupBy(*_document).agg(F.count_if(F.col("reason") == "exact").alias("n_exact"), F.count_if(F.col("reason") == "near").alias("n_near"), F.sum("n_chars").alias("dropped_chars"))
+    gone = dropped_lines(docs, min_chars).groupBy(*_document).agg(F.count_if(F.col("reason") == "exact").alias("n_exact"), F.count_if(F.col("reason") == "near").alias("n_near"), F.sum("n_chars").alias("dropped_chars"))
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     return rows.join(gone, _document, "left").select("doc_id", *(count(c) for c in ("n_lines", "n_chars", "n_exact", "n_near", "dropped_chars")))
