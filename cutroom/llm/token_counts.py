@@ -9,7 +9,8 @@ Scores: a vocabulary file ranks its pieces; the unigram probability of rank r is
 1 / (r + 1). Bytes outside the vocabulary count as one piece each, scored below all others.
 
 A null or empty text has 0 pre-tokens and 0 tokens. Whole texts of any length are counted; memory holds
-one text and a trie of at most NODES nodes (then it begins anew, which changes no count).
+one text and a trie of at most NODES nodes (then it begins anew, which changes no count). Repeated rows
+are counted each; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -103,18 +104,23 @@ def count_tokens(docs: DataFrame, scores: dict[bytes, float], pattern: str = PRE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, cut = TokenTrie(shared.value), regex.compile(pattern)
+        collects = gc.isenabled()
         gc.disable()  # a trie has no cycles, and the collector would go through all of it again and again
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                n_pre, n_tok, score = [], [], []
-                for text in part.column(1):
-                    tokens = cut.findall(text.as_py() or "")
-                    n, s = trie.text(tokens)
-                    n_pre.append(len(tokens))
-                    n_tok.append(n)
-                    score.append(s)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_pre, pa.int64()), pa.array(n_tok, pa.int64()), pa.array(score, pa.float64())], names=["doc_id", "n_pretokens", "n_tokens", "log_score"])
+        try:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 1000):
+                    part = batch.slice(lo, 1000)
+                    n_pre, n_tok, score = [], [], []
+                    for text in part.column(1):
+                        tokens = cut.findall(text.as_py() or "")
+                        n, s = trie.text(tokens)
+                        n_pre.append(len(tokens))
+                        n_tok.append(n)
+                        score.append(s)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_pre, pa.int64()), pa.array(n_tok, pa.int64()), pa.array(score, pa.float64())], names=["doc_id", "n_pretokens", "n_tokens", "log_score"])
+        finally:
+            if collects:  # the worker process goes on to other tasks
+                gc.enable()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_pretokens bigint, n_tokens bigint, log_score double")
