@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_model, license_scan, line_dedup, near_dedup, quality_rules, sharding, source_mix, token_counts, toxicity
+from . import decontaminate, language_model, license_scan, line_dedup, near_dedup, oracles, quality_rules, sharding, source_mix, token_counts, toxicity
 from .session import table
 
 
@@ -53,9 +53,32 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.fit_and_score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    f.__name__: f
-    for f in (op1_token_counts, op2_quality_rules, op3_source_mix, op4_decontaminate, op5_toxicity, op6_line_dedup, op7_near_dedup, op8_sharding, op9_license_scan, op10_language_model)
-}
+def base_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_source_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def base_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_sharding(spark, sf_dir).select("doc_id", "size", "law", "shard", "grown_shard")
+
+
+def base_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
 
-ORACLE_SQL: dict[str, str] = {}
+
+def base_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_language_model(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+OPERATORS = (op1_token_counts, op2_quality_rules, op3_source_mix, op4_decontaminate, op5_toxicity, op6_line_dedup, op7_near_dedup, op8_sharding, op9_license_scan, op10_language_model)
+#: Columns of operators' results that SQL expresses, where it does not express all of them.
+BASES = (base_source_mix, base_sharding, base_license_scan, base_language_model)
+QUERIES = {f.__name__: f for f in (*OPERATORS, *BASES)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": oracles.QUALITY_RULES,
+    "op4_decontaminate": oracles.DECONTAMINATE,
+    "base_source_mix": oracles.BASE_SOURCE_MIX,
+    "base_sharding": oracles.BASE_SHARDING,
+    "base_license_scan": oracles.BASE_LICENSE_SCAN,
+    "base_language_model": oracles.BASE_LANGUAGE_MODEL,
+}
