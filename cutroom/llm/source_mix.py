@@ -141,17 +141,19 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5,
     """
     key = ["source_key", "size", "place"]
     by_turn = F.array(*(F.count_if(F.col("copies") > t) for t in range(most)))
-    planned = _served(docs, cycle, share, most, seed).groupBy(*key).agg(F.count("*").alias("n"), by_turn.alias("by_turn")).filter(F.col("by_turn")[0] > 0)
+    planned = cut(_served(docs, cycle, share, most, seed).groupBy(*key).agg(F.count("*").alias("n"), by_turn.alias("by_turn")).filter(F.col("by_turn")[0] > 0))
     column = {name: F.col(f"__{i}") for i, name in enumerate(docs.columns)}
     named = docs.toDF(*(f"__{i}" for i in range(len(docs.columns))))
     named = named.withColumns({"source_key": _source_key(column["source"]), "size": _sized(column["text"]), "place": _placed(column["doc_id"], column["text"], seed)})
-    rows = named.join(planned, key)
-    repeated = cut(rows.filter("n > 1").withColumn("at", F.monotonically_increasing_id())).withColumn("part", F.shiftright("at", 33))
+    copies = F.size(F.filter("by_turn", lambda t: t >= F.col("nth")))
+    taken = lambda rows: original(rows.filter(copies > 0).withColumn("turn", F.explode(F.sequence(F.lit(0), copies - 1))), docs)
+    once = taken(named.join(planned.filter("n = 1"), key).withColumn("nth", F.lit(1).cast("bigint")))
+    several = planned.filter("n > 1")
+    if several.isEmpty():
+        return once
+    repeated = cut(named.join(several, key).withColumn("at", F.monotonically_increasing_id())).withColumn("part", F.shiftright("at", 33))
     counts = repeated.groupBy(*key, "part").agg(F.count("*").alias("in_part"))
     ahead = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("in_part").over(ahead), F.lit(0))).drop("in_part")
     nth = F.col("before") + F.row_number().over(Window.partitionBy(*key, "part").orderBy("at"))
-    repeated = repeated.join(counts, [*key, "part"]).withColumn("nth", nth).drop("at", "part", "before")
-    both = rows.filter("n = 1").withColumn("nth", F.lit(1).cast("bigint")).unionByName(repeated)
-    copies = F.size(F.filter("by_turn", lambda t: t >= F.col("nth")))
-    return original(both.filter(copies > 0).withColumn("turn", F.explode(F.sequence(F.lit(0), copies - 1))), docs)
+    return once.union(taken(repeated.join(counts, [*key, "part"]).withColumn("nth", nth)))
