@@ -5,7 +5,8 @@ failed. Policies are versioned sets of rules, applied to the bits alone; ablatio
 aggregates of the ledger, without reading a text again.
 
 Words are `[^\\x20\\x09-\\x0D]+`. A null or empty text has no words: all its measures are 0, and it fails
-`few_words` only. Repeated rows give repeated ledger rows; columns beside doc_id and text are ignored.
+`few_words` only. Repeated rows give repeated ledger rows, an empty table none; a very long text is measured whole,
+in one task; columns beside doc_id and text are ignored by ledger() and kept by keep(), whatever their names.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ Law `key`: the key and the number of shards alone decide a row's shard; with one
 only into the new one, about one in (shards + 1). No ring table is kept.
 
 Rows with equal keys share a shard; a null key is a key like any other. A null or empty text has size 1.
-An empty table gives no rows. Columns with clashing names are dropped by the query's own names.
+An empty table gives no rows; very long texts are measured whole. Columns with clashing names are dropped by the
+query's own names.
 """
 
 from __future__ import annotations
@@ -41,13 +42,13 @@ def _next(hi: Column, lo: Column) -> tuple[Column, Column]:
     return m32(high), m32(low)
 
 
-def jump(hi: Column, lo: Column, shards: int) -> Column:
+def jump(hi: Column, lo: Column, shards: int, steps: int | None = None) -> Column:
     """struct(shard, grown): the shard among `shards`, and among one more.
 
-    Jumps from shard b to the next place where the key moves; that takes about ln(shards) steps, and
-    the number of steps allowed is never reached by more than one key in 10**30.
+    Jumps from shard b to the next place where the key moves; that takes about ln(shards) steps, and shards + 1
+    at most. A key that a usual number of steps is too few for (next to none is) goes on to that many.
     """
-    steps = min(shards + 1, 64 + 4 * math.ceil(math.log(shards + 1)))
+    steps = min(shards + 1, steps or 64 + 4 * math.ceil(math.log(shards + 1)))
     state = lambda h, l, shard, grown, j: F.struct(h.alias("hi"), l.alias("lo"), shard.alias("shard"), grown.alias("grown"), j.alias("j"))
     zero = F.lit(0).cast("bigint")
 
@@ -57,7 +58,15 @@ def jump(hi: Column, lo: Column, shards: int) -> Column:
         moved = state(h, l, F.when(s["j"] < shards, s["j"]).otherwise(s["shard"]), s["j"], ahead)
         return F.when(s["j"] <= shards, moved).otherwise(s)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state(hi, lo, zero, zero, zero), step, lambda s: F.struct(s["shard"].cast("int").alias("shard"), s["grown"].cast("int").alias("grown")))
+    def shards_of(s: Column) -> Column:
+        return F.struct(s["shard"].cast("int").alias("shard"), s["grown"].cast("int").alias("grown"))
+
+    def finish(s: Column) -> Column:
+        if steps > shards:
+            return shards_of(s)
+        return F.when(s["j"] > shards, shards_of(s)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(shards + 1)), s, step, shards_of))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state(hi, lo, zero, zero, zero), step, finish)
 
 
 def assign(df: DataFrame, shards: int, *keys: str, shard: str = "shard", grown: str = "grown_shard") -> DataFrame:

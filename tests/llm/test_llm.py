@@ -205,6 +205,8 @@ def test_sharding(spark, odd):
     for r in wide[:300]:
         mark = "-" if r.doc_id is None else f"={r.doc_id}"
         assert r["shard"] == brute.jump(int(hashlib.md5(mark.encode()).hexdigest()[:16], 16), 500)
+    few = frame(spark, rows).select("doc_id", sharding.jump(*sharding.key_bits("doc_id"), 500, steps=3).alias("j")).select("doc_id", "j.shard").collect()
+    assert sorted((r.doc_id or -1, r["shard"]) for r in few) == sorted((r.doc_id or -1, r["shard"]) for r in wide)
     assert sharding.shard_documents(frame(spark, rows).limit(0), 16).count() == 0
 
 
