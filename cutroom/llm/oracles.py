@@ -53,3 +53,30 @@ t AS (SELECT rid, held_out, doc_id, unnest(ts) AS w FROM d JOIN h USING (rid)),
 n AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
 a AS (SELECT coalesce(sum(c), 0)::bigint AS n, count(*) AS v FROM n)
 SELECT any_value(doc_id) AS doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(a.n) AS train_tokens, cast(round(sum(log10((coalesce(c, 0) + 0.5::double) / (a.n + 0.5::double * (a.v + 1)))), 3) as double) AS base_score FROM t LEFT JOIN n USING (w), a GROUP BY rid"""
+
+_CRC = """SELECT rid, s, 0 AS i, 4294967295::bigint AS crc FROM {of} UNION ALL
+SELECT rid, s, i + 1, xor(x >> 1, case when x & 1 = 1 then 3988292384 else 0 end) FROM (SELECT rid, s, i, case when i % 8 = 0 then xor(crc, ascii(substr(s, i // 8 + 1, 1))::bigint) else crc end AS x FROM c WHERE i < 8 * length(s))"""
+
+# a node's key is the digests of its turns, one after the other, so its ancestors' keys are what its own begins with
+CONVERSATION_TRIE = f"""WITH RECURSIVE t AS (SELECT conv_id, row_number() over (partition by conv_id order by turn nulls first, k) AS p, k, b FROM (SELECT conv_id, turn, sha256(sha256(coalesce(role, '')) || sha256(coalesce(text, ''))) AS k, octet_length(encode(coalesce(text, ''))) AS b FROM conversations WHERE conv_id IS NOT NULL)),
+ids AS (SELECT conv_id AS rid, cast(conv_id as varchar) AS s, count(*) AS n FROM t GROUP BY conv_id),
+c AS ({_CRC.format(of="ids")}),
+h AS (SELECT rid, xor(arg_max(crc, i), 4294967295::bigint) % 9 AS h FROM c GROUP BY rid),
+q AS (SELECT i.rid, h, i.rid - i.rid % 5 AS base, least(h, coalesce(f.n, 0)) AS taken FROM ids i JOIN h USING (rid) LEFT JOIN ids f ON f.rid = i.rid - i.rid % 5),
+r AS (SELECT q.rid, p AS d, k, b FROM q JOIN t ON t.conv_id = q.base AND p <= h UNION ALL SELECT q.rid, p - h + taken, k, b FROM q JOIN t ON t.conv_id = q.rid AND p > h),
+l AS (SELECT ids.rid, coalesce(list(k ORDER BY d) FILTER (k IS NOT NULL), []) AS ks, list(b ORDER BY d) AS bs FROM ids LEFT JOIN r USING (rid) GROUP BY ids.rid),
+x AS (SELECT rid, d, array_to_string(list_slice(ks, 1, d), '') AS k, case when d > 0 then bs[d] else 0 end AS b, d = len(ks) AS e FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM l)),
+n AS (SELECT d, k, min(rid) AS conv_id, count(*) AS m, max(b) AS b, coalesce(string_agg(cast(rid as varchar), ',' ORDER BY rid) FILTER (e), '') AS ends FROM x GROUP BY d, k),
+f AS (SELECT d - 1 AS d, left(k, 64 * (d - 1)::int) AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+w AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN f USING (d, k)),
+u AS (SELECT left(k, 64 * i::int) AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum((m - 1) * b) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM w) GROUP BY ALL)
+SELECT w.conv_id, w.d AS depth, y.conv_id AS parent_conv_id, w.m AS n_convs, w.n_children, n_leaves, saved::bigint AS saved_tokens, sha256(w.ends) AS ends_sha256 FROM w JOIN u USING (k) LEFT JOIN w y ON w.d > 0 AND y.k = left(w.k, 64 * (w.d - 1)::int)"""
+
+EXACT_DEDUP = """SELECT doc_id, first_value(doc_id) over (w) AS keep_id, count(*) over (partition by t) AS group_size, row_number() over (w) = 1 AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW w AS (PARTITION BY t ORDER BY doc_id DESC NULLS LAST)"""
+
+BASE_WHITENING = """WITH v AS (SELECT row_number() over () AS rid, vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS (SELECT rid, i, floor(64 * embedding[i]::double)::hugeint + 1000000 AS x FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM v)),
+s AS (SELECT i, count(*)::hugeint AS n, sum(x)::hugeint AS s FROM x GROUP BY i),
+d AS (SELECT rid, any_value(n) AS n, count(*) AS dim, sum((n * x - s) * (n * x - s)) AS deviation FROM x JOIN s USING (i) GROUP BY rid)
+SELECT vec_id, unnest(range(1, least(32, dim) + 1))::int AS component, n::bigint AS n, deviation::bigint AS deviation FROM v JOIN d USING (rid)"""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_model, license_scan, line_dedup, near_dedup, oracles, quality_rules, sharding, source_mix, token_counts, toxicity
-from .session import table
+from . import conversation_trie, decontaminate, exact_dedup, language_model, license_scan, line_dedup, near_dedup, oracles, quality_rules, sharding, source_mix, token_counts, toxicity, whitening
+from .session import Shelf, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,20 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.fit_and_score(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shelf = Shelf(spark)
+    turns = shelf.put(conversation_trie.ordered_turns(table(spark, sf_dir, "conversations")))
+    return conversation_trie.prefix_trie(conversation_trie.rebuilt(turns)).drop("digest")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def base_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_source_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
 
@@ -65,18 +79,28 @@ def base_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
 
 
+def base_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_embedding_whitening(spark, sf_dir).select("vec_id", "component", "n", "deviation")
+
+
 def base_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_language_model(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
 
 
-OPERATORS = (op1_token_counts, op2_quality_rules, op3_source_mix, op4_decontaminate, op5_toxicity, op6_line_dedup, op7_near_dedup, op8_sharding, op9_license_scan, op10_language_model)
+OPERATORS = (
+    op1_token_counts, op2_quality_rules, op3_source_mix, op4_decontaminate, op5_toxicity, op6_line_dedup, op7_near_dedup, op8_sharding, op9_license_scan, op10_language_model,
+    op11_conversation_trie, op12_embedding_whitening, op13_exact_dedup,
+)
 #: Columns of operators' results that SQL expresses, where it does not express all of them.
-BASES = (base_source_mix, base_sharding, base_license_scan, base_language_model)
+BASES = (base_source_mix, base_sharding, base_license_scan, base_language_model, base_whitening)
 QUERIES = {f.__name__: f for f in (*OPERATORS, *BASES)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": oracles.QUALITY_RULES,
     "op4_decontaminate": oracles.DECONTAMINATE,
+    "op11_conversation_trie": oracles.CONVERSATION_TRIE,
+    "op13_exact_dedup": oracles.EXACT_DEDUP,
+    "base_whitening": oracles.BASE_WHITENING,
     "base_source_mix": oracles.BASE_SOURCE_MIX,
     "base_sharding": oracles.BASE_SHARDING,
     "base_license_scan": oracles.BASE_LICENSE_SCAN,

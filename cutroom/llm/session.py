@@ -68,3 +68,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(column, n: int):
     """0 to n - 1 from a hash of the column: the salt that deals rows of a hot key to many tasks."""
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+
+
+def looked_up(rows: DataFrame, by: str, values: DataFrame, salt: str, salts: int = 32) -> DataFrame:
+    """rows left-joined to values, whose `by` is unique; rows of a frequent `by` are dealt over `salts` tasks by another column, `salt`."""
+    salted = rows.withColumn("__salt", spread(F.col(salt), salts))
+    return salted.join(salted.select(by, "__salt").distinct().join(values, by), [by, "__salt"], "left").drop("__salt")
