@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import Shelf, spread
+from .session import Shelf, looked_up
 from .words import ALNUM, Text, Words, _power, mix, pieces, windows
 
 WIDTH = 5
@@ -44,9 +44,10 @@ BANDS, ROWS = 14, 3
 #: bands alone and for WIDE more of them.
 LIKELY, WIDE, LIKELY_WIDE = 0.55, 448, 0.727
 FEW, PIVOTS = 8, 2
-SALTS = 32
 #: Text of the blocks in which queries meet the nodes of a band, and what a node counts beside its text: 512 nodes a block at most.
 BLOCK_BYTES, NODE_BYTES = 2 << 20, 4 << 10
+#: Pairs whose texts one task compares, about: a text has at most 512 pairs in a cell.
+CELL_PAIRS = 2048
 FREQUENCIES = 1 << 18
 _BLOCK = 1 << 15
 
@@ -197,12 +198,6 @@ def sketches(docs: DataFrame, idf) -> DataFrame:
     return rows.withColumn("key", F.coalesce("key", F.unhex(F.md5(F.concat(F.lit("null:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))))
 
 
-def _looked_up(rows: DataFrame, by: str, values: DataFrame, salt: str = "key") -> DataFrame:
-    """rows left-joined to values, whose `by` is unique; rows of a frequent `by` are dealt over SALTS tasks by another column, `salt`."""
-    salted = rows.withColumn("salt", spread(F.col(salt), SALTS))
-    return salted.join(salted.select(by, "salt").distinct().join(values, by), [by, "salt"], "left").drop("salt")
-
-
 def _first_pairs(rows: DataFrame) -> DataFrame:
     """(a, b) of keys, a < b, out of rows (band, key, n, popularity): all pairs of bands with few nodes, and nodes with the pivots of larger bands."""
     few = rows.filter(F.col("n") <= FEW).groupBy("band").agg(F.array_sort(F.collect_list("key")).alias("nodes"))
@@ -210,7 +205,7 @@ def _first_pairs(rows: DataFrame) -> DataFrame:
     many = rows.filter(F.col("n") > FEW)
     slot = F.pmod(F.xxhash64("key"), F.lit(PIVOTS))
     best = many.groupBy("band", slot.alias("slot")).agg(F.max(F.struct("popularity", "key")).alias("best")).groupBy("band").agg(F.collect_list("best.key").alias("pivots"))
-    met = _looked_up(many.select("band", "key"), "band", best).select("key", F.explode("pivots").alias("pivot")).filter(F.col("key") != F.col("pivot"))
+    met = looked_up(many.select("band", "key"), "band", best).select("key", F.explode("pivots").alias("pivot")).filter(F.col("key") != F.col("pivot"))
     return few.union(met.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))).distinct()
 
 
@@ -258,16 +253,19 @@ def _likely_in_cells(met: DataFrame) -> DataFrame:
 
 
 def _verified_in_cells(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """The pairs (a, b) of _likely_in_cells whose whole texts are similar enough; a cell has each of its texts once."""
+    """The pairs (a, b) of _likely_in_cells whose whole texts are similar enough. A cell of more than CELL_PAIRS is split by a; a part has each of its texts once."""
 
     def run(_: tuple, pairs: pa.Table, bodies: pa.Table) -> pa.Table:
         bags = {key: shingles(_one(text).words(ALNUM, lower=True), idf.value)[:2] for key, text in zip(bodies["key"].to_pylist(), bodies["text"].to_pylist(), strict=True)}
         found = [(a, b) for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True) if _jaccard(*bags[a], *bags[b]) >= SIMILARITY]
         return pa.table({name: pa.array([p[i] for p in found], pa.binary()) for i, name in enumerate("ab")})
 
-    cell = [f"of_{c}" for c in _CELL]
-    wanted = pairs.select(*(F.col(c).alias(x) for c, x in zip(_CELL, cell, strict=True)), F.explode(F.array("a", "b")).alias("key")).distinct()
-    return pairs.groupBy(*_CELL).cogroup(wanted.join(texts, "key").groupBy(*cell)).applyInArrow(run, "a binary, b binary")
+    full = pairs.groupBy(*_CELL).agg(F.ceil(F.count("*") / CELL_PAIRS).alias("parts"))
+    pairs = pairs.join(full, _CELL).withColumn("part", F.pmod(F.xxhash64("a"), "parts").cast("int")).drop("parts")
+    parted = [*_CELL, "part"]
+    cell = [f"of_{c}" for c in parted]
+    wanted = pairs.select(*(F.col(c).alias(x) for c, x in zip(parted, cell, strict=True)), F.explode(F.array("a", "b")).alias("key")).distinct()
+    return pairs.select(*parted, "a", "b").groupBy(*parted).cogroup(wanted.join(texts, "key").groupBy(*cell)).applyInArrow(run, "a binary, b binary")
 
 
 def _between(rows: DataFrame, nodes: DataFrame, texts: DataFrame, linked: DataFrame, idf, shelf: Shelf) -> DataFrame:
@@ -280,12 +278,12 @@ def _between(rows: DataFrame, nodes: DataFrame, texts: DataFrame, linked: DataFr
     many = rows.filter(F.col("n") > FEW).join(roots, "key", "left").select("band", "which", "key", F.coalesce("root", "key").alias("root"))
     sizes = many.groupBy("band", "root").agg(F.count("*").alias("m"))
     main = sizes.groupBy("band").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("band", "main")
-    mixed = _looked_up(many, "band", main).filter("main IS NOT NULL").join(nodes.select("key", (F.col("n_bytes") + NODE_BYTES).alias("bytes")), "key")
+    mixed = looked_up(many, "band", main).filter("main IS NOT NULL").join(nodes.select("key", (F.col("n_bytes") + NODE_BYTES).alias("bytes")), "key")
     mixed = shelf.put(mixed.select("band", "which", "key", "root", "bytes", (F.col("root") != F.col("main")).alias("query")))
     shelf.free(roots)
     blocks = lambda c: F.ceil((F.sum(c) + 1) / BLOCK_BYTES).cast("int")
     n_blocks = mixed.groupBy("band").agg(blocks(F.col("bytes")).alias("node_blocks"), blocks(F.when(F.col("query"), F.col("bytes")).otherwise(0)).alias("query_blocks"))
-    dealt = _looked_up(mixed.drop("bytes"), "band", n_blocks)
+    dealt = looked_up(mixed.drop("bytes"), "band", n_blocks)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     side = lambda asks, a, b: dealt.filter("query" if asks else "true").select("band", "which", "key", "root", "query", F.lit(asks).alias("asks"), a.alias("query_block"), b.alias("node_block"))
@@ -297,13 +295,18 @@ def _between(rows: DataFrame, nodes: DataFrame, texts: DataFrame, linked: DataFr
     return out
 
 
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, text) whose text has that key: a doc_id may stand at several texts."""
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) of texts with words: each key once a task, so copies are not sent."""
+    seen: set[bytes] = set()
     for batch in batches:
-        for lo, hi, text in pieces(batch.column(1)):
-            keys = _keys(text.words(ALNUM, lower=True), text, np.zeros(hi - lo, bool))
-            part = batch.slice(lo, hi - lo)
-            yield part.filter(pa.array([a == b for a, b in zip(keys, part.column(0).to_pylist(), strict=True)], pa.bool_()))
+        for lo, hi, text in pieces(batch.column(0)):
+            words = text.words(ALNUM, lower=True)
+            new = []
+            for i, (key, n) in enumerate(zip(_keys(words, text, np.zeros(hi - lo, bool)), words.counts().tolist(), strict=True)):
+                if n and key not in seen:
+                    seen.add(key)
+                    new.append((i, key))
+            yield pa.RecordBatch.from_arrays([pa.array([k for _, k in new], pa.binary()), batch.column(0).slice(lo, hi - lo).take(pa.array([i for i, _ in new], pa.int64()))], names=["key", "text"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,11 +364,11 @@ def _of_one_document(sketched: DataFrame) -> DataFrame:
     """(a, b) of keys, a < b, that a doc_id has in different rows."""
     rows = sketched.filter("doc_id IS NOT NULL").select("doc_id", "key")
     several = rows.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).filter("a < z").drop("z")
-    return _looked_up(rows, "doc_id", several).filter("a < key").select("a", F.col("key").alias("b")).distinct()
+    return looked_up(rows, "doc_id", several).filter("a < key").select("a", F.col("key").alias("b")).distinct()
 
 
 def links(docs: DataFrame, sketched: DataFrame, idf, shelf: Shelf) -> DataFrame:
-    """Verified pairs (a, b) of keys, a < b; sketched: what sketches() gave."""
+    """Pairs (a, b) of keys, a < b: verified ones, and those that a doc_id unites (verified: false). sketched: what sketches() gave."""
     nodes = sketched.filter("sketch IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "n_bytes", "sketch")).alias("first"))
     nodes = shelf.put(nodes.select("key", "first.*"))
     width = ROWS * 4
@@ -375,17 +378,17 @@ def links(docs: DataFrame, sketched: DataFrame, idf, shelf: Shelf) -> DataFrame:
     counts = shelf.put(dealt.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
     rows = shelf.put(dealt.join(counts, "band"))
     popularity = shelf.put(rows.groupBy("key").agg(F.sum("n").alias("popularity")))
-    wanted = nodes.join(popularity, "key").select("key", "doc_id")
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(wanted, "doc_id").select("key", "text")
-    texts = shelf.put(texts.mapInArrow(_own, "key binary, text string").dropDuplicates(["key"]))
+    texts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_keyed, "key binary, text string")
+    texts = shelf.put(texts.join(popularity, "key", "left_semi").dropDuplicates(["key"]))
     side = lambda name: nodes.select(F.col("key").alias(name), F.col("sketch").alias(f"sketch_{name}"))
     pairs = _first_pairs(rows.join(popularity, "key"))
     likely = shelf.put(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike, "a binary, b binary"))
-    first = shelf.put(_verified(likely, texts, idf).union(_of_one_document(sketched)))
+    no, yes = F.lit(False).alias("verified"), F.lit(True).alias("verified")
+    first = shelf.put(_verified(likely, texts, idf).select("a", "b", yes).union(_of_one_document(sketched).select("a", "b", no)))
     shelf.free(counts, popularity, likely)
     more = _between(rows, nodes, texts, first, idf, shelf)
     shelf.free(rows, nodes, texts)
-    return first.union(more)
+    return first.union(more.select("a", "b", yes))
 
 
 def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
@@ -397,10 +400,10 @@ def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
     both = shelf.put(edges.select(F.col("a").alias("key"), F.col("b").alias("other")).union(edges.select("b", "a")))
     roots = shelf.put(both.groupBy("key").agg(F.min(F.least("key", "other")).alias("root")))
     while True:
-        near = _looked_up(both, "other", roots.select(F.col("key").alias("other"), "root")).groupBy("key").agg(F.min("root").alias("near"))
+        near = looked_up(both, "other", roots.select(F.col("key").alias("other"), "root")).groupBy("key").agg(F.min("root").alias("near"))
         moved = shelf.put(roots.join(near, "key").select("key", F.col("root").alias("old"), F.least("root", "near").alias("root")))
         up = roots.select(F.col("key").alias("root"), F.col("root").alias("up"))
-        jumped = shelf.put(_looked_up(moved, "root", up).select("key", "old", F.least("root", F.coalesce("up", "root")).alias("root")))
+        jumped = shelf.put(looked_up(moved, "root", up).select("key", "old", F.least("root", F.coalesce("up", "root")).alias("root")))
         shelf.free(roots, moved)
         if jumped.filter("old <> root").isEmpty():
             shelf.free(both)
@@ -409,18 +412,24 @@ def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, class_id of each row; is_first: it is the document that its class keeps."""
+    """doc_id, n_words, class_id, n_links of each row; is_first: it is the document that its class keeps.
+
+    n_links counts the pairs verified at the row's text, other texts of the same words aside. They are enough to connect
+    each class: pairs within what is connected already are not compared (see above), and no link joins two classes.
+    """
     shelf = Shelf(docs.sparkSession)
     idf = docs.sparkSession.sparkContext.broadcast(idf_table(docs))
     sketched = shelf.put(sketches(docs, idf))
-    roots = components(links(docs, sketched, idf, shelf), shelf)
+    found = links(docs, sketched, idf, shelf)
+    roots = components(found, shelf)
+    n_links = found.filter("verified").select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     copies = sketched.filter("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     rooted = copies.join(roots.select("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = rooted.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("n_class")).filter("n_class > 1")
-    named = _looked_up(rooted, "root", classes).filter("class_id IS NOT NULL").select("key", "class_id")
-    rows = _looked_up(sketched.select("doc_id", "key", "n_words"), "key", named, salt="doc_id")
+    named = looked_up(rooted, "root", classes).filter("class_id IS NOT NULL").select("key", "class_id").join(n_links, "key", "left")
+    rows = looked_up(sketched.select("doc_id", "key", "n_words"), "key", named, salt="doc_id")
     class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
-    return rows.select("doc_id", "n_words", class_id.alias("class_id"), (class_id.isNull() | (class_id == F.col("doc_id"))).alias("is_first"))
+    return rows.select("doc_id", "n_words", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), (class_id.isNull() | (class_id == F.col("doc_id"))).alias("is_first"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..session import cut, shared_folder
 from .words import Text, pieces
 
-__all__ = ["Shelf", "annotate", "cut", "original", "shared_folder", "spread", "table"]
+__all__ = ["Shelf", "annotate", "cut", "looked_up", "original", "shared_folder", "spread", "table"]
 
 
 class Shelf:
@@ -70,7 +70,7 @@ def spread(column, n: int):
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
 
-def looked_up(rows: DataFrame, by: str, values: DataFrame, salt: str, salts: int = 32) -> DataFrame:
+def looked_up(rows: DataFrame, by: str, values: DataFrame, salt: str = "key", salts: int = 32) -> DataFrame:
     """rows left-joined to values, whose `by` is unique; rows of a frequent `by` are dealt over `salts` tasks by another column, `salt`."""
     salted = rows.withColumn("__salt", spread(F.col(salt), salts))
     return salted.join(salted.select(by, "__salt").distinct().join(values, by), [by, "__salt"], "left").drop("__salt")

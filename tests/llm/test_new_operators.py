@@ -187,3 +187,31 @@ def test_deviations_beyond_a_long():
     exact = [sum((10**9 * int(v) - s) ** 2 for v, s in zip(row, model.sums, strict=True)) for row in x]
     assert model.deviations(x).to_pylist() == [v if v < 2**63 else None for v in exact]
     assert exact[1] < 2**63 < exact[2]
+
+
+def test_one_document_of_very_many_rows_is_numbered_in_small_windows(spark):
+    """A hundred thousand rows without doc_id, half of them equal: slots have no gaps, no window holds more than a few of them."""
+    from cutroom.llm import sharding
+
+    docs = spark.range(50_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    docs = docs.union(spark.range(50_000).select(F.lit(None).cast("bigint"), F.lit("copy"))).union(spark.range(50).select("id", F.lit(None).cast("string")))
+    rows = sharding.shard_documents(docs)
+    slots = rows.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last"), F.countDistinct("slot").alias("m")).collect()
+    assert sum(r.n for r in slots) == 100_050 and all(r.n == r.m == r.last + 1 for r in slots)
+    windows = sharding.runs(docs).groupBy(F.pmod(F.xxhash64(*sharding.ORDER), F.lit(sharding.BLOCKS)).alias("block")).count()
+    assert windows.agg(F.max("count")).first()[0] < 500
+
+
+def test_near_texts_of_one_document(spark):
+    """Two thousand rows of one doc_id whose texts are near each other are one class, and each text is read once."""
+    from cutroom.llm import near_dedup
+
+    rng = random.Random(9)
+    body = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = [(7, " ".join([*body[: i % 140], f"x{i}", *body[i % 140 :]])) for i in range(2000)] + [(8, " ".join([*body, "end"])), (9, " ".join(f"z{rng.randrange(5000)}" for _ in range(80)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = near_dedup.near_duplicates(docs).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.class_id) for r in got} == {(7, 7), (8, 7), (9, 9)}
+    assert all((r.n_links > 0) == (r.doc_id != 9) for r in got)
+    texts = docs.select("text").mapInArrow(near_dedup._keyed, "key binary, text string")
+    assert texts.count() == len(rows) and docs.union(docs).coalesce(1).select("text").mapInArrow(near_dedup._keyed, "key binary, text string").count() == len(rows)
