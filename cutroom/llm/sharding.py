@@ -4,8 +4,8 @@ Law `key`: the key and the number of shards alone decide a row's shard; with one
 only into the new one, about one in (shards + 1). No ring table is kept.
 
 Rows with equal keys share a shard; a null key is a key like any other. A null or empty text has size 1.
-An empty table gives no rows; very long texts are measured whole. Columns with clashing names are dropped by the
-query's own names.
+An empty table gives no rows; very long texts are measured whole. shard_documents() takes only doc_id and text, so other
+columns may have any name; assign() and number() keep a caller's columns, whose names must not begin with two underscores.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ _LCG = 2862933555777941757
 _M16, _M32 = 0xFFFF, 0xFFFFFFFF
 #: Blocks that a shard's rows are numbered in; a task holds one block of one shard.
 BLOCKS = 256
+#: Equal rows that are numbered as one.
+RUN = 1 << 14
 
 
 def key_bits(*columns: Column | str) -> tuple[Column, Column]:
@@ -77,29 +79,44 @@ def assign(df: DataFrame, shards: int, *keys: str, shard: str = "shard", grown:
     return placed.withColumns({shard: F.col("__jump.shard"), grown: F.col("__jump.grown")}).drop("__jump")
 
 
-def number(df: DataFrame, order: list[Column], shard: str = "shard", slot: str = "slot", blocks: int = BLOCKS) -> DataFrame:
-    """df with a slot: 0, 1, 2 ... within each shard, by a hash of its first order column, then by order.
+def number(df: DataFrame, order: list[Column], shard: str = "shard", slot: str = "slot", blocks: int = BLOCKS, weight: Column | None = None) -> DataFrame:
+    """df with a slot: 0, 1, 2 ... within each shard, by a hash of its order columns, then by order. A row of weight w takes w slots, of which it gets the first.
 
-    A shard is numbered in blocks: their counts are summed over (shard, block) rows, of which there are
+    A shard is numbered in blocks: their weights are summed over (shard, block) rows, of which there are
     shards * blocks, and each task numbers single blocks; no task holds a whole shard.
     """
-    block = F.pmod(F.xxhash64(order[0]), F.lit(blocks)).cast("int")
-    dealt = df.withColumn("__block", block)
+    weight = F.lit(1).cast("bigint") if weight is None else weight
+    dealt = df.withColumns({"__block": F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"), "__weight": weight})
     ahead = Window.partitionBy(shard).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy(shard, "__block").agg(F.count("*").alias("__n"))
-    begins = counts.select(shard, "__block", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__begin"))
-    within = Window.partitionBy(shard, "__block").orderBy(*order)
-    return dealt.join(begins, [shard, "__block"]).withColumn(slot, F.col("__begin") + F.row_number().over(within) - 1).drop("__block", "__begin")
+    sums = dealt.groupBy(shard, "__block").agg(F.sum("__weight").alias("__n"))
+    begins = sums.select(shard, "__block", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__begin"))
+    within = Window.partitionBy(shard, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = dealt.join(begins, [shard, "__block"]).withColumn(slot, F.col("__begin") + F.sum("__weight").over(within) - F.col("__weight"))
+    return placed.drop("__block", "__begin", "__weight")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of each document."""
+def runs(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, run, held: rows equal in the first three, counted, in runs of RUN; held: how many rows the run from place `run` stands for."""
     text = F.col("text").cast("string")
     rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"),
         F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("text_crc32"),
-        F.lit("key").alias("law"),
     )
-    numbered = number(assign(rows, shards, "doc_id"), [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
-    return numbered.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("bigint").alias("slot"), "grown_shard")
+    equal = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    begun = equal.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(RUN).cast("bigint"))))
+    return begun.withColumn("held", F.least(F.col("n") - F.col("run"), F.lit(RUN))).drop("n")
+
+
+ORDER = ("doc_id", "text_crc32", "size", "run")
+
+
+def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of each document.
+
+    Equal rows are numbered in runs and come back from their count: neither a doc_id nor a text that very many rows have
+    is one task's work.
+    """
+    numbered = number(assign(runs(docs), shards, "doc_id"), [F.col(c) for c in ORDER], weight=F.col("held"))
+    each = numbered.withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("held") - 1)))
+    return each.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("slot") + F.col("at")).cast("bigint").alias("slot"), "grown_shard")
