@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..conf import DEFAULT, CurationConf
+from .numbers import fixed
 
 
 # Why a clip is rejected at once, in the order of the checks.
@@ -64,8 +65,9 @@ def hard_filter(duration, intensity, face_coverage, frontal, people, speech, wor
     def reason(test: Column, code: str, text: Column) -> tuple[Column, Column]:
         return F.when(test, code), F.when(test, text)
 
-    pct = lambda name, c, limit: F.format_string(f"{name}(%.2f<{limit:.2f})", c)
-    secs = lambda name, sign, limit: F.format_string(f"{name}(%.1fs{sign}{limit}s)", duration)
+    say = lambda name, value, limit: F.concat(F.lit(f"{name}("), value, F.lit(f"{limit})"))
+    pct = lambda name, c, limit: say(name, fixed(c, 2), f"<{limit:.2f}")
+    secs = lambda name, sign, limit: say(name, fixed(duration, 1), f"s{sign}{limit}s")
     intensity, face_coverage = F.coalesce(intensity, F.lit(0.0)), F.coalesce(face_coverage, F.lit(0.0))
     found = [
         reason(duration < conf.min_duration, "duration_too_short", secs("duration_too_short", "<", conf.min_duration)),
@@ -111,7 +113,7 @@ def review_route(confidence, quality, verdict, status, rejected, incongruity, co
     no = lambda b: F.coalesce(b, F.lit(False))
     wrong, low = no(rejected) | (verdict == "wrong_emotion"), c < conf.reject_confidence
     fine = (status == "passed") & (verdict == "confirmed") & (c >= conf.approve_confidence) & (q >= conf.approve_quality) & ~no(incongruity)
-    two = lambda x: F.format_string("%.2f", x)
+    two = lambda x: fixed(x, 2)
     say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     # The wording of reasons.
     for_review = F.array_compact(F.array(F.when(no(incongruity) & (status != "rejected"), "has_incongruity=True"), F.when(status == "not_run", "verify_not_yet_run")))

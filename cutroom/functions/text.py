@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..conf import EMOTIONS, SENTIMENT
+from .numbers import fixed
 
 
 def _bare_letters() -> tuple[str, str]:
@@ -111,7 +112,7 @@ def clock(ms: Column) -> Column:
 
 def size_text(n: Column) -> Column:
     """Bytes as GB, MB or KB with one digit; KB for what is smaller."""
-    unit = lambda power, name: F.concat(F.format_string("%.1f", n.cast("double") / float(1024**power)), F.lit(f" {name}"))
+    unit = lambda power, name: F.concat(fixed(n.cast("double") / float(1024**power), 1), F.lit(f" {name}"))
     return F.when(n >= 1024**3, unit(3, "GB")).when(n >= 1024**2, unit(2, "MB")).when(n.isNotNull(), unit(1, "KB"))
 
 

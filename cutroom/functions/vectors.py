@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..conf import EMOTIONS
+from .scoring import rounded
 
 
 def _sum(a: Column) -> Column:
@@ -126,3 +127,27 @@ def resampled(v: Column, n: int) -> Column:
         return a + (b - a) * (x - lo)
 
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
+
+
+def ranked(scores: dict[str, Column], digits: int = 4) -> Column:
+    """array of (label, score), highest first, equal ones in the order given; scores are rounded after they are ranked."""
+    each = F.array(*(F.struct((-F.coalesce(s, F.lit(0.0))).alias("less"), F.lit(i).alias("place"), F.lit(x).alias("label")) for i, (x, s) in enumerate(scores.items())))
+    return F.transform(F.array_sort(each), lambda e: F.struct(e["label"].alias("label"), rounded(-e["less"], digits).alias("score")))
+
+
+def blended(first: Column, second: Column, share: float, labels: tuple[str, ...]) -> dict[str, Column]:
+    """Of two score maps, label -> share of the first and the rest of the second, made to sum to 1; what a map lacks is 0, and all are 0 if nothing is left."""
+    of = lambda scores, x: F.coalesce(F.try_element_at(scores, F.lit(x)), F.lit(0.0))
+    parts = {x: of(first, x) * share + of(second, x) * (1 - share) for x in labels}
+    total = sum(list(parts.values())[1:], next(iter(parts.values())))
+    return {x: F.when(total > 0, p / total).otherwise(p) for x, p in parts.items()}
+
+
+def merged_maps(*maps: Column) -> Column:
+    """One map of all keys; of a key in several the last value."""
+    last = lambda a, b: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+    empty = [F.coalesce(m, F.expr("map()").cast("map<string,string>")) for m in maps]
+    out = empty[0]
+    for more in empty[1:]:
+        out = last(out, more)
+    return out

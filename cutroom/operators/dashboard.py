@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..conf import QUOTA
 from ..functions.scoring import rounded
 from ..functions.text import effective_label
+from .selection import percentiles
 
 APPROVED = ("approved", "auto_approved")
 PENDING = ("pending", "needs_review")
@@ -105,3 +106,16 @@ def drift(clips: DataFrame, day: Column) -> DataFrame:
     human = F.coalesce("user_emotion", F.lit("")) != ""
     n = clips.groupBy(day.alias("day")).agg(F.count_if(human).alias("decided"), F.count_if(human & (F.col("user_emotion") != F.col("emotion"))).alias("overridden"))
     return n.withColumn("share", F.when(F.col("decided") > 0, rounded(F.col("overridden") / F.col("decided"), 4)).otherwise(0.0))
+
+
+def monitor_metrics(clips: DataFrame, usd: Column) -> DataFrame:
+    """One row: share of second looks that confirm, share of labels that a human changed, the exact median of face_coverage, and dollars for each approved clip (null without one)."""
+    human = F.coalesce("user_emotion", F.lit("")) != ""
+    share = lambda a, b, digits=4: rounded(F.try_divide(a, b), digits)
+    counted = clips.agg(
+        share(F.count_if(F.col("verify_verdict") == "confirmed"), F.count("verify_verdict")).alias("verify_agreement"),
+        share(F.count_if(human & (F.col("user_emotion") != F.col("emotion"))), F.count("*")).alias("override_rate"),
+        share(F.sum(usd.cast("decimal(18,6)")).cast("double"), F.count_if(F.col("status") == "approved"), 6).alias("cost_per_approved"),
+    )
+    middle = percentiles(clips, "face_coverage", {"median_face": 0.5})
+    return counted.join(F.broadcast(middle.select(rounded(F.col("median_face"), 4).alias("median_face"))), F.lit(True), "left")

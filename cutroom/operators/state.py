@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """target with `columns` of matching source rows, and source rows without a match; change: kept, updated or added."""
-    new = source.select(*keys, *(F.col(c).alias(f"__{c}") for c in columns), F.lit(True).alias("__in"))
+def upsert(target: DataFrame, source: DataFrame, keys: list[str], columns: list[str], added: tuple[str, ...] = ()) -> DataFrame:
+    """target with `columns` of matching source rows, and source rows without a match, with `columns` and `added`; change: kept, updated or added."""
+    new = source.select(*keys, *(F.col(c).alias(f"__{c}") for c in (*columns, *added)), F.lit(True).alias("__in"))
     rows = target.withColumn("__had", F.lit(True)).join(new, keys, "full_outer")
     changed = {c: F.when(F.col("__in"), F.col(f"__{c}")).otherwise(F.col(c)) for c in columns}
+    changed |= {c: F.when(F.col("__had").isNull(), F.col(f"__{c}")).otherwise(F.col(c)) for c in added}
     change = F.when(F.col("__had").isNull(), "added").when(F.col("__in"), "updated").otherwise("kept")
     return rows.withColumn("change", change).withColumns(changed).select(*target.columns, "change")
 
@@ -61,12 +62,65 @@ def recounted(videos: DataFrame, clips: DataFrame) -> DataFrame:
     return videos.select(*own).join(n, "video_id", "left").select(*own, zero("total_clips"), zero("approved_clips"))
 
 
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(video_id, old_status, new_status, had, has) of clips (clip_id, video_id, status) as they were and as they are: rows that came (had is false), went (has is false) or changed. Give it the changed rows only."""
+    one = lambda df, name, there: df.select("clip_id", "video_id", F.col("status").alias(name), F.lit(True).alias(there))
+    both = one(before, "old_status", "had").join(one(after, "new_status", "has"), ["clip_id", "video_id"], "full_outer")
+    return both.select("video_id", "old_status", "new_status", F.coalesce("had", F.lit(False)).alias("had"), F.coalesce("has", F.lit(False)).alias("has"))
+
+
+def adjusted(videos: DataFrame, changed: DataFrame) -> DataFrame:
+    """videos with total_clips and approved_clips moved by what changes() gives: only changed rows and videos are read, whatever the number of clips. The same as recounted() if the counts were right before."""
+    counts = lambda there: F.col(there).cast("int")
+    approved = lambda there, status: (F.col(there) & F.coalesce(F.col(status) == "approved", F.lit(False))).cast("int")
+    total = F.sum(counts("has") - counts("had")).alias("__total")
+    by = changed.groupBy("video_id").agg(total, F.sum(approved("has", "new_status") - approved("had", "old_status")).alias("__approved"))
+    moved_by = lambda c, d: F.col(c) + F.coalesce(d, F.lit(0))
+    rows = videos.join(by, "video_id", "left")
+    return rows.withColumns({"total_clips": moved_by("total_clips", "__total"), "approved_clips": moved_by("approved_clips", "__approved")}).select(*videos.columns)
+
+
 def deleted(clips: DataFrame, gone: DataFrame, videos: DataFrame) -> tuple[DataFrame, DataFrame]:
     """clips without those in gone (clip_id), and videos counted anew."""
     left = clips.join(gone, "clip_id", "left_anti")
     return left, recounted(videos, left)
 
 
+# What a clip that automatic cutting finds has at first, and how much of its notes is kept.
+FOUND = {"is_manual_segment": False, "status": "needs_review", "decision_by": "gemini_autocut", "pipeline_stage": "ai_autocut_done"}
+NOTES, NOTES_BEGIN = 1000, "[Gemini AutoCut] subject="
+_FOUND = ("emotion", "confidence", "face_ratio", "verify_verdict", "verify_status", "verify_reasoning", "rejected_by_verify")
+
+
+def persisted(clips: DataFrame, segments: DataFrame, now: Column) -> DataFrame:
+    """clips after automatic cutting found segments (clip_id, video_id, clip_index, start_time, end_time, clip_path, emotion, intensity, face_coverage, has_transcript, subject, reasoning, and of the second look verify_verdict, verify_status, verify_reasoning, rejected_by_verify, reject_reason).
+
+    A clip that is there gets emotion, confidence, face_ratio and what the second look says, a reject_reason only if there
+    is one, and updated_at; its review stays. Others come in with all of a segment's values. change: kept, updated or
+    inserted. Columns that clips lacks are left out.
+    """
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    made = {
+        "video_id": F.col("video_id"), "clip_index": F.col("clip_index"), "start_time": F.col("start_time"), "end_time": F.col("end_time"), "duration": F.col("end_time") - F.col("start_time"),
+        "clip_path": F.col("clip_path"), "emotion": F.col("emotion"), "confidence": F.col("intensity"), "face_ratio": F.col("face_coverage"), "has_speech": F.col("has_transcript"),
+        "verify_verdict": blank("verify_verdict"), "verify_status": F.coalesce(blank("verify_status"), F.lit("not_run")), "verify_reasoning": blank("verify_reasoning"),
+        "rejected_by_verify": F.col("rejected_by_verify"), "reject_reason": blank("reject_reason"), "all_scores": F.create_map("emotion", "intensity"),
+        "reviewer_notes": F.substring(F.concat(F.lit(NOTES_BEGIN), F.coalesce("subject", F.lit("")), F.lit(" | "), F.coalesce("reasoning", F.lit(""))), 1, NOTES),
+        **{c: F.lit(v) for c, v in FOUND.items()},
+    }
+    own = [c for c in clips.columns if c in made]
+    new = segments.select("clip_id", *(made[c].alias(f"__{c}") for c in own), F.lit(True).alias("__in"))
+    rows = clips.withColumn("__had", F.lit(True)).join(new, "clip_id", "full_outer")
+    seen, fresh = F.coalesce("__in", F.lit(False)), F.col("__had").isNull()
+    values = {c: F.when(seen if c in _FOUND else fresh, F.col(f"__{c}")).otherwise(F.col(c)) for c in own}
+    if "reject_reason" in own:
+        values["reject_reason"] = F.when(seen, F.coalesce("__reject_reason", "reject_reason")).otherwise(F.col("reject_reason"))
+    if "updated_at" in clips.columns:
+        values["updated_at"] = F.when(seen & ~fresh, now).otherwise(F.col("updated_at"))
+    change = F.when(fresh, "inserted").when(seen, "updated").otherwise("kept")
+    return rows.withColumn("change", change).withColumns(values).select(*clips.columns, "change")
+
+
 # Fields that a patch may set.
 PATCHABLE = ("status", "user_emotion", "user_sentiment", "review_type", "review_notes")
 

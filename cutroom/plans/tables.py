@@ -229,14 +229,12 @@ def _(t):
     return t("conversations").agg(F.count("*").alias("entries"), F.sum(F.char_length("text")).alias("chars"), F.min(c("conv_id") * 100 + c("turn")).alias("oldest"))
 
 
-@query("monitor_metrics", f"SELECT {_dec('count(*) filter (verify_verdict = $confirmed$)::double / count(verify_verdict)'.replace('$', chr(39)), 4)} AS verify_agreement, {_dec('count(*) filter (coalesce(user_emotion, $$) <> $$ and user_emotion <> emotion)::double / count(*)'.replace('$', chr(39)), 4)} AS override_rate, {_dec('quantile_cont(face_coverage, 0.5)', 4)} AS median_face FROM clips")
-def _(t):
-    human = F.coalesce("user_emotion", F.lit(""))
-    return t.clips.agg(
-        scoring.rounded(F.count_if(c("verify_verdict") == "confirmed") / F.count("verify_verdict"), 4).alias("verify_agreement"),
-        scoring.rounded(F.count_if((human != "") & (human != c("emotion"))) / F.count("*"), 4).alias("override_rate"),
-        scoring.rounded(F.percentile("face_coverage", 0.5), 4).alias("median_face"),
-    )
+_COST = "cast(round((floor(duration_ms // 1000) * 7000 + 500) * 0.30 / 1000000 + 256 * 2.50 / 1000000, 6) as double)"
+
+
+@query("monitor_metrics", f"SELECT {_dec('count(*) filter (verify_verdict = $confirmed$)::double / count(verify_verdict)'.replace('$', chr(39)), 4)} AS verify_agreement, {_dec('count(*) filter (coalesce(user_emotion, $$) <> $$ and user_emotion <> emotion)::double / count(*)'.replace('$', chr(39)), 4)} AS override_rate, {_dec('quantile_cont(face_coverage, 0.5)', 4)} AS median_face, {_dec(f'sum(cast({_COST} as decimal(18,6)))::double / count(*) filter (status = $approved$)'.replace('$', chr(39)), 6)} AS cost_per_approved FROM clips")
+def _(t):
+    return dashboard.monitor_metrics(t.clips, scoring.verify_cost(c("duration_ms") / 1000))
 
 
 _BEST = "SELECT video_id, start_ds, end_ds, emotion, clip_id, intensity FROM (SELECT video_id, (start_ms + 50) // 100 AS start_ds, (end_ms + 50) // 100 AS end_ds, emotion, clip_id, confidence AS intensity FROM clips) QUALIFY row_number() over (partition by video_id, start_ds, end_ds, emotion order by intensity desc, clip_id) = 1"

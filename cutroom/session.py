@@ -25,3 +25,9 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder; its lineage ends there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at a path of any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

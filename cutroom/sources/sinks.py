@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import state
+from ..session import cut, exists
+
 
 def flat(df: DataFrame, columns: list[str]) -> DataFrame:
     """columns of df, lists joined by ";"."""
@@ -82,3 +85,29 @@ def copy_media(records: DataFrame, copy: Callable[[str, str], None], source: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(errors, pa.string())], names=["clip_id", "error"])
 
     return records.select(F.col("clip_id").cast("string"), source, target).mapInArrow(run, "clip_id string, error string")
+
+
+def upsert_partitions(source: DataFrame, path: str, keys: list[str], columns: list[str], partition: str) -> list:
+    """Copy on write: rows of source put to a Parquet table that is partitioned by a column; the partitions that were written again.
+
+    Rows that the table has get source's `columns`, others come in whole (state.upsert). Only partitions that source has
+    rows of are read and written; files of others stay as they are. `partition` must follow from the keys, and source has
+    a key once. The merged rows are cut from the table first, and Spark moves whole partitions into place when the job is
+    done, so a job that fails leaves the table as it was.
+    """
+    spark = source.sparkSession
+    touched = sorted((r[0] for r in source.select(partition).distinct().collect()), key=str)  # folders of the table
+    if not exists(spark, path):
+        source.write.partitionBy(partition).parquet(path)
+        return touched
+    held = spark.read.parquet(path)
+    some = held.filter(F.col(partition).isin([x for x in touched if x is not None]) | (F.col(partition).isNull() if None in touched else F.lit(False)))
+    merged = cut(state.upsert(some, source, keys, columns, tuple(c for c in held.columns if c not in (*keys, *columns))).drop("change"))
+    merged.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    return touched
+
+
+def write_batch_results(results: DataFrame, path: str) -> DataFrame:
+    """Keeps a batch's responses (video_path, gcs_uri, segments as JSON text, error) as JSON, and gives the summary: video_path, or else gcs_uri, segments ([] if there are none), error."""
+    results.write.mode("overwrite").json(path)
+    return results.select(F.coalesce(F.nullif("video_path", F.lit("")), "gcs_uri").alias("video_path"), F.coalesce("segments", F.lit("[]")).alias("segments"), "error")
