@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import Shelf, looked_up
+from .session import Shelf, bit_table, in_table, looked_up
 from .words import ALNUM, Text, Words, _power, mix, pieces, windows
 
 WIDTH = 5
@@ -47,7 +47,7 @@ FEW, PIVOTS = 8, 2
 #: Text of the blocks in which queries meet the nodes of a band, and what a node counts beside its text: 512 nodes a block at most.
 BLOCK_BYTES, NODE_BYTES = 2 << 20, 4 << 10
 #: Pairs whose texts one task compares, about: a text has at most 512 pairs in a cell.
-CELL_PAIRS = 2048
+CELL_PAIRS = 1024
 FREQUENCIES = 1 << 18
 _BLOCK = 1 << 15
 
@@ -295,18 +295,24 @@ def _between(rows: DataFrame, nodes: DataFrame, texts: DataFrame, linked: DataFr
     return out
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text) of texts with words: each key once a task, so copies are not sent."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        for lo, hi, text in pieces(batch.column(0)):
-            words = text.words(ALNUM, lower=True)
-            new = []
-            for i, (key, n) in enumerate(zip(_keys(words, text, np.zeros(hi - lo, bool)), words.counts().tolist(), strict=True)):
-                if n and key not in seen:
-                    seen.add(key)
-                    new.append((i, key))
-            yield pa.RecordBatch.from_arrays([pa.array([k for _, k in new], pa.binary()), batch.column(0).slice(lo, hi - lo).take(pa.array([i for i, _ in new], pa.int64()))], names=["key", "text"])
+def keyed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, text) of texts with words, each of wanted's keys once. Tasks send a key once and, by a table of bounded size, few that nobody wants."""
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(wanted, "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            for lo, hi, text in pieces(batch.column(0)):
+                words = text.words(ALNUM, lower=True)
+                new = []
+                for i, (key, n) in enumerate(zip(_keys(words, text, np.zeros(hi - lo, bool)), words.counts().tolist(), strict=True)):
+                    if n and key not in seen and in_table(table.value, key):
+                        seen.add(key)
+                        new.append((i, key))
+                yield pa.RecordBatch.from_arrays([pa.array([k for _, k in new], pa.binary()), batch.column(0).slice(lo, hi - lo).take(pa.array([i for i, _ in new], pa.int64()))], names=["key", "text"])
+
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key binary, text string")
+    return found.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,8 +384,7 @@ def links(docs: DataFrame, sketched: DataFrame, idf, shelf: Shelf) -> DataFrame:
     counts = shelf.put(dealt.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
     rows = shelf.put(dealt.join(counts, "band"))
     popularity = shelf.put(rows.groupBy("key").agg(F.sum("n").alias("popularity")))
-    texts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_keyed, "key binary, text string")
-    texts = shelf.put(texts.join(popularity, "key", "left_semi").dropDuplicates(["key"]))
+    texts = shelf.put(keyed(docs, popularity))
     side = lambda name: nodes.select(F.col("key").alias(name), F.col("sketch").alias(f"sketch_{name}"))
     pairs = _first_pairs(rows.join(popularity, "key"))
     likely = shelf.put(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike, "a binary, b binary"))

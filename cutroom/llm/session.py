@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from ..session import cut, shared_folder
 from .words import Text, pieces
 
-__all__ = ["Shelf", "annotate", "cut", "looked_up", "original", "shared_folder", "spread", "table"]
+__all__ = ["Shelf", "annotate", "bit_table", "cut", "looked_up", "original", "shared_folder", "spread", "table"]
 
 
 class Shelf:
@@ -74,3 +75,23 @@ def looked_up(rows: DataFrame, by: str, values: DataFrame, salt: str = "key", sa
     """rows left-joined to values, whose `by` is unique; rows of a frequent `by` are dealt over `salts` tasks by another column, `salt`."""
     salted = rows.withColumn("__salt", spread(F.col(salt), salts))
     return salted.join(salted.select(by, "__salt").distinct().join(values, by), [by, "__salt"], "left").drop("__salt")
+
+
+#: Log2 of the bits of a table by which rows are told from those that can't be wanted: 16 MB, whatever the number of keys.
+SLOT_BITS = 27
+
+
+def bit_table(keys: DataFrame, key: str) -> np.ndarray:
+    """A table of 2**SLOT_BITS bits, in words of 64, that has a bit for each binary key, by its first four bytes. Distinct words reach the driver, 2**21 at most."""
+    slot = F.shiftright(F.conv(F.hex(F.substring(key, 1, 4)), 16, 10).cast("bigint"), 32 - SLOT_BITS)
+    parts = keys.select(F.shiftright(slot, 6).alias("word"), slot.bitwiseAND(F.lit(63).cast("bigint")).cast("int").alias("bit"))
+    words = parts.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
+    table = np.zeros(1 << (SLOT_BITS - 6), np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return table
+
+
+def in_table(table: np.ndarray, key: bytes) -> bool:
+    """Whether bit_table() has the key's bit: always, if it was given the key."""
+    slot = int.from_bytes(key[:4], "big") >> (32 - SLOT_BITS)
+    return bool(int(table[slot >> 6]) >> (slot & 63) & 1)

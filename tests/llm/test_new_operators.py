@@ -213,5 +213,10 @@ def test_near_texts_of_one_document(spark):
     got = near_dedup.near_duplicates(docs).collect()
     assert len(got) == len(rows) and {(r.doc_id, r.class_id) for r in got} == {(7, 7), (8, 7), (9, 9)}
     assert all((r.n_links > 0) == (r.doc_id != 9) for r in got)
-    texts = docs.select("text").mapInArrow(near_dedup._keyed, "key binary, text string")
-    assert texts.count() == len(rows) and docs.union(docs).coalesce(1).select("text").mapInArrow(near_dedup._keyed, "key binary, text string").count() == len(rows)
+    idf = spark.sparkContext.broadcast(near_dedup.idf_table(docs))
+    keys = near_dedup.sketches(docs, idf).select("key").distinct()
+    assert near_dedup.keyed(docs.union(docs), keys).count() == len(rows)  # not 2,000 times as many
+    few = spark.createDataFrame(keys.limit(3).collect(), "key binary")
+    assert {bytes(r.key) for r in near_dedup.keyed(docs, few).collect()} == {bytes(r.key) for r in few.collect()}
+    table = near_dedup.bit_table(few, "key")
+    assert sum(near_dedup.in_table(table, bytes(r.key)) for r in keys.collect()) == 3
