@@ -12,6 +12,7 @@ QUOTA = {"happy": 600, "sad": 450, "angry": 450, "neutral": 450, "surprise": 450
 VERDICTS = ("confirmed", "wrong_emotion", "unstable", "low_quality", "stats_mismatch")
 
 
+# The thresholds below.
 @dataclass(frozen=True)
 class CurationConf:
     """Times are milliseconds where the name ends in _ms, else seconds."""

@@ -19,12 +19,15 @@ def parsed_segments(df: DataFrame, text: str, keys: tuple[str, ...] = KEYS) -> D
     A response is a list, an object with a list at one of the keys (the first that has one), or one
     segment. What is no JSON gives no rows.
     """
+    fields = SEGMENT[len("struct<") : -1]
+    either = f"struct<__list:array<{SEGMENT}>,{','.join(f'{k}:array<{SEGMENT}>' for k in keys)},{fields}>"
     body = strip_fence(F.coalesce(F.col(text), F.lit("")))
-    listed = F.from_json(body, f"array<{SEGMENT}>")
-    inner = [F.when(F.get_json_object(body, f"$.{k}").startswith("["), F.from_json(F.get_json_object(body, f"$.{k}"), f"array<{SEGMENT}>")) for k in keys]
-    one = F.array(F.from_json(body, SEGMENT))
-    found = F.when(body.startswith("["), listed).when(body.startswith("{") & F.from_json(body, "map<string,string>").isNotNull(), F.coalesce(*inner, one))
-    return df.withColumn("__s", F.explode(found)).filter("__s IS NOT NULL").select(*df.columns, "__s.*")
+    listed = body.startswith("[")
+    whole = F.when(listed, F.concat(F.lit('{"__list": '), body, F.lit("}"))).when(body.startswith("{") & F.json_object_keys(body).isNotNull(), body)
+    one = F.struct(*(F.col(f"__got.{f.split(':')[0]}") for f in fields.split(",")))
+    rows = df.withColumn("__got", F.from_json(whole, either))  # a column of its own, so that it is parsed once
+    found = F.when(F.col("__got").isNotNull(), F.when(listed, F.col("__got.__list")).otherwise(F.coalesce(*(F.col(f"__got.{k}") for k in keys), F.array(one))))
+    return rows.withColumn("__s", F.explode(found)).filter("__s IS NOT NULL").select(*df.columns, "__s.*")
 
 
 def valid_segments(df: DataFrame, length: Column, conf: CurationConf = DEFAULT) -> DataFrame:

@@ -150,3 +150,30 @@ def verify_cost(seconds: Column) -> Column:
 
 def frame_cost(frames: Column, most_out: int = 4096) -> Column:
     return cost(frames * 7000, F.least(F.lit(most_out), frames * 200))
+
+
+def face_ratio(ratio: Column, track: Column, frames: Column) -> Column:
+    """What the segment says of its faces, else the share of frames in the main track."""
+    return F.coalesce(ratio, F.coalesce(track, F.lit(0)).cast("double") / F.greatest(F.coalesce(frames, F.lit(1)), F.lit(1)))
+
+
+def frontal_ratio(ratio: Column, head_pose: Column) -> Column:
+    """What the segment says of frontal faces, else of the head's pose, else 1."""
+    return F.coalesce(ratio, head_pose, F.lit(1.0))
+
+
+def face_quality(quality: Column, score: Column) -> Column:
+    """What the segment says of its faces' quality, else the clip's quality, else 0."""
+    return F.coalesce(quality, score, F.lit(0.0))
+
+
+# Fixed value: dollars that a batch of videos may cost.
+BUDGET = 1000
+
+
+def estimated_cost(seconds: Column, clips: Column, clip_seconds: Column) -> dict[str, Column]:
+    """scan_usd, verify_usd and total_usd of a video of so many seconds with so many clips, and videos_covered: how many such videos BUDGET pays for. A clip's cost is rounded before it is multiplied."""
+    exact = lambda c: c.cast("decimal(18,6)")
+    scan, verify = exact(scan_cost(seconds)), clips * exact(verify_cost(clip_seconds))
+    total = (scan + verify).cast("double")
+    return {"scan_usd": scan.cast("double"), "verify_usd": verify.cast("double"), "total_usd": total, "videos_covered": F.when(total > 0, F.floor(BUDGET / total)).otherwise(0)}

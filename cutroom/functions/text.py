@@ -196,3 +196,15 @@ def download_error(message: Column) -> Column:
         has = [reduce(Column.__and__, (F.contains(low, F.lit(w)) for w in words)) for words in rules]
         out = out.when(reduce(Column.__or__, has), advice)
     return out.otherwise(F.concat(F.lit(OTHER_ERROR), message))
+
+
+def iso_time(micros: Column) -> Column:
+    """Microseconds since 1970 as ISO 8601 in UTC; a part of a second is shown, with six digits, if there is one."""
+    seconds, rest = F.floor(micros / 1_000_000), F.pmod(micros, F.lit(1_000_000))
+    whole = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(rest == 0, whole).otherwise(F.concat(whole, F.lit("."), F.lpad(rest.cast("string"), 6, "0")))
+
+
+def stamp(micros: Column) -> Column:
+    """Microseconds since 1970 as part of a file's name: day and time in UTC."""
+    return F.date_format(F.timestamp_seconds(F.floor(micros / 1_000_000)), "yyyyMMdd_HHmmss")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..conf import EMOTIONS
@@ -41,8 +41,13 @@ def _best(values: Column, labels: tuple[str, ...]) -> Column:
     return _let(values, lambda v: F.element_at(names, F.array_position(v, F.array_max(v)).cast("int")))
 
 
-def ensemble(models: dict[str, tuple[Column, float]], labels: tuple[str, ...] = EMOTIONS) -> dict[str, Column]:
-    """models: name -> (score map or null, weight). Winner, its confidence, agreement "k/n" and incongruity, over the models that are there."""
+def ensemble(df: DataFrame, models: dict[str, tuple[Column, float]], labels: tuple[str, ...] = EMOTIONS) -> DataFrame:
+    """df with label, confidence, agreement "k/n" and has_incongruity of the models (name -> (score map or null, weight)) that are there.
+
+    The vote is one column of which the four are fields, so that it is worked out once a row. (As plain arithmetic on a
+    column for each label and model it compiles to a method beyond what the JVM optimizes, and is slower.) df's own columns
+    of these names are replaced.
+    """
     each = F.array_compact(F.array(*(F.when(s.isNotNull(), F.struct(_shares(s, labels).alias("s"), F.lit(w).alias("w"))) for s, w in models.values())))
 
     def vote(present: Column) -> Column:
@@ -64,8 +69,15 @@ def ensemble(models: dict[str, tuple[Column, float]], labels: tuple[str, ...] =
             ),
         )
 
-    voted = _let(each, vote)
-    return {x: voted[x] for x in ("label", "confidence", "agreement", "has_incongruity")}
+    made = ("label", "confidence", "agreement", "has_incongruity")
+    return df.withColumn("__vote", _let(each, vote)).select(*(c for c in df.columns if c not in made), *(F.col(f"__vote.{c}") for c in made))
+
+
+def mean_scores(df: DataFrame, key: str, scores: Column, labels: tuple[str, ...] = EMOTIONS) -> DataFrame:
+    """key and scores: the mean of a key's score maps, each made to sum to 1 before, and the mean after (label -> share)."""
+    each = df.select(key, normalized(scores, labels).alias("__m"))
+    means = each.groupBy(key).agg(*(F.avg(F.col("__m")[x]).alias(x) for x in labels))
+    return means.select(key, normalized(F.create_map(*(y for x in labels for y in (F.lit(x), F.col(x)))), labels).alias("scores"))
 
 
 def multilabel(scores: Column, predicted: Column, labels: tuple[str, ...], per_model: Column | None = None) -> Column:

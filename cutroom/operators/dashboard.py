@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..conf import QUOTA
+from ..conf import DEFAULT, QUOTA
 from ..functions.scoring import rounded
 from ..functions.text import effective_label
 from .selection import percentiles
@@ -119,3 +119,63 @@ def monitor_metrics(clips: DataFrame, usd: Column) -> DataFrame:
     )
     middle = percentiles(clips, "face_coverage", {"median_face": 0.5})
     return counted.join(F.broadcast(middle.select(rounded(F.col("median_face"), 4).alias("median_face"))), F.lit(True), "left")
+
+
+def searched_clips(clips: DataFrame, words: str = "", status: str | None = None, label: str | None = None) -> DataFrame:
+    """Clips of a status and an effective label, if asked for, whose path, transcript, notes, label or status holds the words."""
+    shown = effective_label(F.col("user_emotion"), F.col("emotion"), "unlabeled")
+    rows = clips if status is None else clips.filter(F.col("status") == status)
+    rows = rows if label is None else rows.filter(shown == label)
+    text = words.strip().lower()
+    return rows.filter(F.contains(_haystack(clips, ("clip_path", "transcript", "notes"), shown, F.col("status")), F.lit(text))) if text else rows
+
+
+def video_tree(videos: DataFrame, clips: DataFrame, words: str = "", status: str | None = None, clip_status: str | None = None, label: str | None = None, empty: bool = False) -> DataFrame:
+    """videos with visible_clips, the number of their clips that searched_clips() gives: those of a status, with a visible clip (or `empty`), whose title, movie, address, path or status, or a visible clip, holds the words."""
+    visible = searched_clips(clips, words, clip_status, label).groupBy("video_id").agg(F.count("*").alias("visible_clips"))
+    rows = videos.join(visible, "video_id", "left").withColumn("visible_clips", F.coalesce("visible_clips", F.lit(0).cast("bigint")))
+    rows = rows if status is None else rows.filter(F.col("status") == status)
+    some, text = F.col("visible_clips") > 0, words.strip().lower()
+    rows = rows if empty else rows.filter(some)
+    own = F.contains(_haystack(videos, ("title", "movie_name", "source_url", "file_path"), F.col("status")), F.lit(text))
+    return rows.filter(own | some) if text else rows
+
+
+def _haystack(df: DataFrame, names: tuple[str, ...], *more: Column) -> Column:
+    parts = [F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names if n in df.columns]
+    return F.lower(F.concat_ws(" ", *parts, *(F.coalesce(m, F.lit("")) for m in more)))
+
+
+# Shares of clips that automatic decisions aim at.
+TARGETS = {"target_approve_ratio": DEFAULT.approve_target, "target_reject_ratio": DEFAULT.reject_target}
+
+
+def bucket_targets(routed: DataFrame) -> DataFrame:
+    """bucket_summary with the shares aimed at, and how far the clips are from them."""
+    rows = bucket_summary(routed).withColumns({name: F.lit(share) for name, share in TARGETS.items()})
+    off = {f"{k}_off": rounded(F.col(f"{k}_ratio") - F.col(f"target_{k}_ratio"), 4) for k in ("approve", "reject")}
+    return rows.withColumns(off)
+
+
+def counted(records: DataFrame, **columns: str) -> DataFrame:
+    """kind, value, n: how often each value of each column occurs, in one pass over the records; null is a value."""
+    each = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value")) for kind, c in columns.items()))
+    return records.select(F.explode(each).alias("x")).groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))
+
+
+def cache_usage(entries: DataFrame, payload: str, at: str, ttl_s: int = DEFAULT.cache_ttl_s) -> DataFrame:
+    """One row: entries, their bytes as UTF-8, when the oldest was kept, and how long entries are good for."""
+    size = F.coalesce(F.sum(F.octet_length(F.coalesce(F.col(payload).cast("string"), F.lit("")))), F.lit(0))
+    return entries.agg(F.count("*").alias("entries"), size.alias("total_bytes"), F.min(at).alias("oldest_cached_at"), F.lit(ttl_s).alias("ttl_seconds"))
+
+
+def model_status(loads: DataFrame, key: str, at: str, error: str) -> DataFrame:
+    """One row for each model of a log of loads: loaded (a load had no error: it is not loaded again), else the error of the last one."""
+    ever = F.bool_or(F.col(error).isNull())
+    return loads.groupBy(key).agg(ever.alias("loaded"), F.when(~ever, F.max_by(error, at)).alias("error"))
+
+
+def model_health(statuses: DataFrame) -> DataFrame:
+    """One row: status (`degraded` if a model has an error), how many models there are, are loaded and have failed."""
+    failed = F.count_if(F.col("error").isNotNull())
+    return statuses.agg(F.when(failed > 0, "degraded").otherwise("healthy").alias("status"), F.count("*").alias("total_count"), F.count_if("loaded").alias("loaded_count"), failed.alias("failed_count"))

@@ -19,6 +19,7 @@ def quality_gate(records: DataFrame, order: list[str]) -> DataFrame:
     """
     again = F.row_number().over(Window.partitionBy("clip_id").orderBy(*order)) > 1
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    # Reason codes.
     reasons = F.array(
         F.when(blank("final_emotion"), "missing_label"), F.when(blank("clip_path"), "missing_file"),
         F.when(F.coalesce("duration", F.lit(0.0)) <= 0, "invalid_duration"), F.when(again, "duplicate_clip_id"),
@@ -46,7 +47,7 @@ def _named(place: Column, n: Column, train: int, val: int, names: tuple[str, str
 
 def stratified_split(records: DataFrame, label: str, key: str, train: int = 70, val: int = 15) -> DataFrame:
     """records with split: of each label, in hashed order, the first train % (one at least), then val %, the rest test."""
-    rows = ranks.ranked_within(records, label, [hash_rank(F.col(key)), key], "__place", "__n")
+    rows = ranks.hashed(records, hash_rank(F.col(key)), key, label, "__place", "__n")
     return rows.withColumn("split", _named(F.col("__place"), F.col("__n"), train, val, ("train", "val", "test"), 1)).drop("__place", "__n")
 
 
@@ -60,9 +61,9 @@ def plain_split(records: DataFrame, key: str, train: int = 70, val: int = 15) ->
 
 
 def group_split(records: DataFrame, group: str, train: int = 80, val: int = 10) -> DataFrame:
-    """records with split, the same for all rows of a group. Only the distinct groups are ranked, by range."""
-    groups = ranks.ranked(records.select(group).distinct(), [hash_rank(F.col(group)), group], "__place")
-    named = groups.withColumn("split", _named(F.col("__place"), F.lit(groups.count()), train, val, ("train", "valid", "test"))).drop("__place")
+    """records with split, the same for all rows of a group. Only the distinct groups are ranked."""
+    groups = ranks.hashed(records.select(group).distinct(), hash_rank(F.col(group)), group, None, "__place", "__n")
+    named = groups.withColumn("split", _named(F.col("__place"), F.col("__n"), train, val, ("train", "valid", "test"))).drop("__place", "__n")
     return records.join(named, group)
 
 
@@ -104,10 +105,15 @@ def strict(passed: DataFrame) -> DataFrame:
 
 
 def export_paths(records: DataFrame) -> DataFrame:
-    """records (split, final_emotion, clip_id, clip_path) with exported_clip_path."""
-    suffix = F.lower(F.regexp_extract("clip_path", r"(\.[^./]+)$", 1))
-    path = F.concat(F.lit("clips/"), F.col("split"), F.lit("/"), safe_name(F.col("final_emotion")), F.lit("/"), F.col("clip_id").cast("string"), suffix)
-    return records.withColumn("exported_clip_path", path)
+    """records (split, final_emotion, clip_id, clip_path) with exported_clip_path; with exported_audio_path and exported_face_detections_path where there is an audio_path or a face_detections_path, else null."""
+    named = F.concat(F.col("split"), F.lit("/"), safe_name(F.col("final_emotion")), F.lit("/"), F.col("clip_id").cast("string"))
+    ending = lambda c: F.lower(F.regexp_extract(c, r"(\.[^./]+)$", 1))
+    paths = {"exported_clip_path": F.concat(F.lit("clips/"), named, ending("clip_path"))}
+    if "audio_path" in records.columns:
+        paths["exported_audio_path"] = F.when(F.col("audio_path") != "", F.concat(F.lit("audio/"), named, ending("audio_path")))
+    if "face_detections_path" in records.columns:
+        paths["exported_face_detections_path"] = F.when(F.col("face_detections_path") != "", F.concat(F.lit("annotations/face_detections/"), F.col("clip_id").cast("string"), F.lit(".json")))
+    return records.withColumns(paths)
 
 
 def quality_flags(label_source: Column, face: Column, tracks: Column, speech: Column, transcript: Column, incongruity: Column, hint: Column) -> Column:
@@ -126,6 +132,7 @@ def quality_flags(label_source: Column, face: Column, tracks: Column, speech: Co
 def export_reasons(clips: DataFrame, approved_only: bool = True) -> DataFrame:
     """clips with reasons why each can't be exported (empty: it can), label, and bytes (2 MiB where unknown)."""
     label = effective_label(F.col("user_emotion"), F.col("emotion"), None)
+    # Reason codes.
     reasons = F.array(
         F.when(~F.coalesce(F.col("status"), F.lit("")).isin(*APPROVED) & F.lit(approved_only), "not_approved"), F.when(label.isNull(), "missing_label"),
         F.when(F.coalesce("clip_path", F.lit("")) == "", "missing_file"), F.when(F.coalesce("duration", F.lit(0.0)) <= 0, "invalid_duration"),

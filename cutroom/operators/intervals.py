@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..conf import DEFAULT, CurationConf
+from ..functions.numbers import fixed
+from .ranks import ranked_within
 
 BUCKET_MS = 60_000
 
@@ -43,7 +45,7 @@ def contained_best(clips: DataFrame, segments: DataFrame, key: str) -> DataFrame
 
 def coverage(segments: DataFrame, speech: DataFrame, key: str) -> DataFrame:
     """a_id and the share of each segment that speech covers, 0 to 1 (overlapping speech counts twice, up to 1)."""
-    met = F.greatest(F.lit(0), F.least("a_end", "b_end") - F.greatest("a_start", "b_start"))
+    met = F.when(F.col("b_start").isNotNull(), F.greatest(F.lit(0), F.least("a_end", "b_end") - F.greatest("a_start", "b_start")))
     sums = overlap_join(segments, speech, key).groupBy("a_id", "a_start", "a_end").agg(F.coalesce(F.sum(met), F.lit(0)).alias("met"))
     length = (F.col("a_end") - F.col("a_start")).cast("double")
     return sums.select("a_id", F.when(length > 0, F.least(F.lit(1.0), F.col("met") / length)).otherwise(0.0).alias("coverage"))
@@ -225,22 +227,29 @@ def normalized_scenes(df: DataFrame, key: str, low: int = 3000, high: int = 1500
 def smart_segments(samples: DataFrame, speech: DataFrame, scene: str, conf: CurationConf = DEFAULT) -> DataFrame:
     """Segments of each scene from its face samples (ts, n_faces, scene_start, scene_end) and speech (start, end).
 
-    Face runs, moved out to dialogue, held to the scene and to allowed lengths, with coverage by face and
-    speech, a hint (good, review, weak), without those that have little of both, and near duplicates gone.
+    Face runs (a scene of clip_min_ms or more without any, but with speech, is one run), moved out to dialogue, held to
+    the scene and to allowed lengths, with coverage by face and speech, a hint (good, review, weak), without those that
+    have little of both, and near duplicates gone.
     """
     bounds = samples.groupBy(scene).agg(F.min("scene_start").alias("scene_start"), F.max("scene_end").alias("scene_end"))
     talk = speech.select(scene, F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    runs = face_runs(samples, scene, conf).select(scene, F.concat_ws(":", scene, "start").alias("a_id"), F.col("start").alias("a_start"), F.col("end").alias("a_end"))
+    runs = face_runs(samples, scene, conf).select(scene, "start", "end")
+    silent = bounds.filter(F.col("scene_end") - F.col("scene_start") >= conf.clip_min_ms).join(runs.select(scene).distinct(), scene, "left_anti")
+    heard = silent.join(talk, scene).filter((F.col("b_end") > F.col("scene_start")) & (F.col("b_start") < F.col("scene_end")) & (F.col("b_end") > F.col("b_start")))
+    runs = runs.union(heard.select(scene, F.col("scene_start"), F.col("scene_end")).distinct())
+    runs = runs.select(scene, F.concat_ws(":", scene, "start").alias("a_id"), F.col("start").alias("a_start"), F.col("end").alias("a_end"))
     moved = dialogue_refined(runs, talk, scene, conf).join(runs.select("a_id", scene), "a_id").join(bounds, scene)
     moved = moved.withColumns({"start": F.greatest("start", "scene_start"), "end": F.least("end", "scene_end")}).filter("end > start")
     said = speech.groupBy(scene).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("speech"))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     cut = enforced(moved.join(said, scene, "left").withColumn("speech", F.coalesce("speech", none)).select(scene, "start", "end", "speech"), conf)
+    cut = cut.filter(F.col("end") - F.col("start") >= conf.clip_min_ms)
     pieces = cut.select(scene, F.concat_ws(":", scene, "start", "end").alias("a_id"), F.col("start").alias("a_start"), F.col("end").alias("a_end")).distinct()
     faces = sample_coverage(pieces, samples.select(scene, "ts", "n_faces"), scene).withColumnRenamed("coverage", "face")
     rows = pieces.join(faces, "a_id").join(coverage(pieces, talk, scene).withColumnRenamed("coverage", "speech"), "a_id")
     length = F.col("a_end") - F.col("a_start")
-    rows = rows.filter(~((F.col("face") < 0.70) & (F.col("speech") < 0.6))).withColumns({"rank": rank(F.col("face"), F.col("speech"), length, conf), "quality_hint": quality_hint(F.col("face"), F.col("speech"), length, conf)})
+    rows = rows.filter(~((F.col("face") < 0.70) & (F.col("speech") < 0.6))).withColumn("quality_hint", quality_hint(F.col("face"), F.col("speech"), length, conf))
+    rows = rows.withColumns({c: fixed(F.col(c), 3).cast("double") for c in ("face", "speech")}).withColumn("rank", rank(F.col("face"), F.col("speech"), length, conf))
     kept = adjacent_dedup(rows.select(scene, F.xxhash64("a_id").alias("id"), F.col("a_start").alias("start"), F.col("a_end").alias("end"), "rank"), scene)
     return kept.join(rows.select(F.xxhash64("a_id").alias("id"), "face", "speech", "quality_hint"), "id").select(scene, "start", "end", "face", "speech", "rank", "quality_hint")
 
@@ -329,3 +338,22 @@ def pooled_by_word(frames: DataFrame, words: DataFrame, key: str, fps: int = 100
     inside = reach.filter("__b > __a").select(key, "word", F.explode(F.sequence(F.col("__a"), F.col("__b") - 1)).alias("place"))
     means = inside.join(frames, [key, "place"]).groupBy(key, "word").agg(F.avg("x").alias("mean"))
     return words.select(key, "word").join(means, [key, "word"], "left").select(key, "word", F.coalesce("mean", F.lit(0.0)).alias("mean"))
+
+
+def reindexed(df: DataFrame, key: str, order: list, valid: Column | None = None, index: str = "clip_index") -> DataFrame:
+    """Valid rows with their place in their key, from 0 without gaps. The places of a key with very many rows are counted over many tasks (ranks.ranked_within)."""
+    rows = df if valid is None else df.filter(valid)
+    return ranked_within(rows, key, order, "__place", "__size").withColumn(index, F.col("__place") - 1).drop("__place", "__size")
+
+
+def frame_batches(frames: DataFrame, key: str, at: str, size: int = 24) -> DataFrame:
+    """frames (numbered from 0 by at, one a second) with batch and offset, the first frame of their batch: what is said of a batch is moved by it."""
+    batch = F.floor(F.col(at) / size)
+    return frames.withColumns({"batch": batch, "offset": batch * size})
+
+
+def batched_segments(segments: DataFrame, offset: str = "offset", failed: Column | None = None) -> DataFrame:
+    """Segments (start_time, end_time in seconds of their batch) in seconds of the video; those of failed batches are left out."""
+    rows = segments if failed is None else segments.filter(~F.coalesce(failed, F.lit(False)))
+    moved = {c: F.coalesce(F.col(c), F.lit(0.0)) + F.col(offset) for c in ("start_time", "end_time")}
+    return rows.withColumns(moved)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..conf import EMOTIONS
@@ -399,8 +400,8 @@ def _mean_sql() -> str:
 concat(len(list_filter([wa, wb, wd], lambda x: x = label)), '/', len(list_filter([wa, wb, wd], lambda x: x is not null))) AS agreement, len(list_distinct(list_filter([wa, wb, wd], lambda x: x is not null))) > 1 AS has_incongruity FROM m""")
 def _(t):
     models = {"visual": (_scores(0), _W[0]), "voice": (F.when(c("clip_id") % 3 > 0, _scores(1)), _W[1]), "text": (F.when(c("clip_id") % 4 > 0, _scores(2)), _W[2])}
-    got = vectors.ensemble(models)
-    return t.clips.select("clip_id", got["label"].alias("label"), scoring.rounded(got["confidence"], 6).alias("confidence"), got["agreement"].alias("agreement"), got["has_incongruity"].alias("has_incongruity"))
+    got = vectors.ensemble(t.clips, models)
+    return got.select("clip_id", "label", scoring.rounded(c("confidence"), 6).alias("confidence"), "agreement", "has_incongruity")
 
 
 @query("multilabel_vector", "SELECT clip_id, least(3.0::double, confidence * 3) AS happy, case when emotion = 'sad' then 1.0::double else 0.0::double end AS sad, case when emotion = 'angry' then 1.0::double else 0.0::double end AS angry FROM clips")
@@ -422,8 +423,7 @@ def _(t):
 @query("visual_avg", f"""WITH n AS {_norm_sql(0, ', video_id, clip_index, created_us')}, f AS (SELECT * FROM n QUALIFY row_number() over (partition by video_id order by created_us, clip_id) <= 5)
 SELECT video_id, {', '.join(_dec(f'avg({n})', 5) + ' AS ' + n for n in _SCORES)} FROM f GROUP BY 1""")
 def _(t):
-    from pyspark.sql import Window
-
     first = F.row_number().over(Window.partitionBy("video_id").orderBy("created_us", "clip_id")) <= 5
-    rows = t.clips.select("*", first.alias("first")).filter("first").select("video_id", vectors.normalized(_scores()).alias("m"))
-    return rows.groupBy("video_id").agg(*(scoring.rounded(F.avg(c("m")[n]), 5).alias(n) for n in _SCORES))
+    rows = t.clips.select("*", first.alias("first")).filter("first")
+    means = vectors.mean_scores(rows, "video_id", _scores())
+    return means.select("video_id", *(scoring.rounded(c("scores")[n], 5).alias(n) for n in _SCORES))

@@ -424,25 +424,62 @@ def _(t):
     return dashboard.drift(t.clips, F.floor(c("created_us") / 86400000000))
 
 
-_FULL = "case when clip_id % 3 = 0 then null else '{{\"segment\": {{\"face_coverage\": 0.5, \"quality_hint\": \"good\"}}, \"face_extraction\": {{\"track_count\": 2}}, \"audio_features\": {{\"audio_path\": \"/a.wav\", \"has_speech_energy\": true}}}}' end".replace("{{", "{").replace("}}", "}")
+_FULL = "case when clip_id % 3 = 0 then null else '{{\"segment\": {{\"face_coverage\": 0.5, \"quality_hint\": \"good\"}}, \"face_extraction\": {{\"track_count\": 2, \"detections_path\": \"/d.json\"}}, \"audio_features\": {{\"audio_path\": \"/a.WAV\", \"has_speech_energy\": true}}}}' end".replace("{{", "{").replace("}}", "}")
 
 
 def _records(t):
     return export.records(t.clips.withColumns({"per_model": F.expr(_FULL), "all_scores": F.lit(None).cast("string"), "notes": F.lit(None).cast("string")}))
 
 
-@query("export_record_full", f"""SELECT clip_id, video_id, clip_index, coalesce(clip_path, '') AS clip_path, coalesce(split_part(clip_path, '/', -1), '') AS file_name, start_ms::double / 1000 AS start_time, end_ms::double / 1000 AS end_time, emotion AS ai_emotion, {_LABEL} AS final_emotion,
-case when coalesce(user_emotion, '') <> '' and user_emotion = emotion then 'human_verified' when coalesce(user_emotion, '') <> '' then 'human_corrected' when status = 'auto_approved' then 'ai_auto' else 'ai_suggested' end AS label_source,
-case when clip_id % 3 > 0 then 0.5::double end AS face_coverage, cast(null as double) AS speech_coverage, case when clip_id % 3 > 0 then 'good' end AS segment_quality_hint, case when clip_id % 3 > 0 then 2 else 0 end AS track_count,
-case when clip_id % 3 > 0 then '/a.wav' else '' end AS audio_path, case when clip_id % 3 > 0 then true end AS has_speech_energy, '{{}}' AS all_scores FROM clips""".replace("'{{}}'", "'{}'"))
+_SOURCE = "case when coalesce(user_emotion, '') <> '' and user_emotion = emotion then 'human_verified' when coalesce(user_emotion, '') <> '' then 'human_corrected' when status = 'auto_approved' then 'ai_auto' else 'ai_suggested' end"
+_ON = "case when clip_id % 3 > 0 then {0} else {1} end".format
+#: What a record says, by its column.
+_RECORD = {
+    "clip_id": "clip_id", "video_id": "video_id", "clip_index": "clip_index", "clip_path": "coalesce(clip_path, '')", "file_name": "coalesce(split_part(clip_path, '/', -1), '')",
+    "start_time": "start_ms::double / 1000", "end_time": "end_ms::double / 1000", "duration": "duration", "ai_emotion": "emotion", "ai_confidence": "confidence", "user_emotion": "user_emotion", "final_emotion": _LABEL, "label": _LABEL,
+    "label_source": _SOURCE, "quality_score": "quality", "transcript": "transcript", "status": "status", "has_incongruity": "has_incongruity", "reviewer_notes": "''", "all_scores": "'{}'",
+    "per_model_scores": f"coalesce({_FULL}, '{{}}')".replace("{{}}", "{}"), "face_coverage": _ON("0.5::double", "null"), "speech_coverage": "null::double", "num_faces_avg": "null::double", "segment_source": "null::varchar",
+    "segment_quality_hint": _ON("'good'", "null"), "cut_reason": "null::varchar", "face_detections_path": _ON("'/d.json'", "''"), "track_count": _ON("2", "0"), "face_detector": "''", "audio_path": _ON("'/a.WAV'", "''"),
+    "audio_clarity": "null::double", "has_speech_energy": _ON("true", "null"),
+}
+
+
+@query("export_record_full", f"SELECT {', '.join(f'{sql} AS {name}' for name, sql in _RECORD.items())} FROM clips")
+def _(t):
+    return _records(t)
+
+
+_EXPORTED = {
+    "split": "split", "exported_clip_path": "concat('clips/', split, '/', final_emotion, '/', clip_id, lower(regexp_extract(clip_path, '(\\.[^./]+)$', 1)))",
+    "exported_audio_path": "case when audio_path <> '' then concat('audio/', split, '/', final_emotion, '/', clip_id, '.wav') end", "exported_face_detections_path": "case when face_detections_path <> '' then concat('annotations/face_detections/', clip_id, '.json') end",
+    "quality_flags": "concat_ws(';', case when label_source like 'human%' then 'human_verified' end, case when face_coverage >= 0.5 or track_count > 0 then 'has_face' end, case when transcript <> '' then 'has_dialogue' end, case when has_incongruity then 'incongruity' end, case when segment_quality_hint <> '' then concat('segment_', segment_quality_hint) end)",
+    "rejection_reasons": "concat_ws(';', case when clip_path = '' then 'missing_file' end)",
+}
+_SPLIT_RECORDS = f"""m AS (SELECT {', '.join(f'{sql} AS {name}' for name, sql in _RECORD.items())} FROM clips),
+p AS (SELECT *, row_number() over (partition by final_emotion order by {_HASH.format('clip_id')}, clip_id) AS place, count(*) over (partition by final_emotion) AS n FROM m),
+x AS (SELECT *, case when place <= greatest(1, n * 70 // 100) then 'train' when place <= greatest(1, n * 70 // 100) + n * 15 // 100 then 'val' else 'test' end AS split FROM p)"""
+
+
+def _split_records(t):
+    """Records with split, paths, flags and reasons: rows of labels.csv."""
+    rows = export.export_paths(export.stratified_split(_records(t), "final_emotion", "clip_id"))
+    flags = export.quality_flags(c("label_source"), c("face_coverage"), c("track_count"), c("speech_coverage"), c("transcript"), c("has_incongruity"), c("segment_quality_hint"))
+    return export.quality_gate(rows.withColumn("quality_flags", flags), ["video_id"])
+
+
+@query("labels_table", f"WITH {_SPLIT_RECORDS} SELECT {', '.join(f'{_EXPORTED[name]} AS {name}' if name in _EXPORTED else name for name in export.LABEL_COLUMNS)} FROM x")
+def _(t):
+    return sinks.flat(export.labels(_split_records(t)), list(export.LABEL_COLUMNS))
+
+
+@query("export_paths_all", f"WITH {_SPLIT_RECORDS} SELECT clip_id, {', '.join(f'{_EXPORTED[name]} AS {name}' for name in ('exported_clip_path', 'exported_audio_path', 'exported_face_detections_path'))} FROM x")
 def _(t):
-    return _records(t).select("clip_id", "video_id", "clip_index", "clip_path", "file_name", "start_time", "end_time", "ai_emotion", "final_emotion", "label_source", "face_coverage", "speech_coverage", "segment_quality_hint", "track_count", "audio_path", "has_speech_energy", "all_scores")
+    return _split_records(t).select("clip_id", "exported_clip_path", "exported_audio_path", "exported_face_detections_path")
 
 
-@query("labels_table", "SELECT clip_id, video_id, status, transcript, cast(null as varchar) AS exported_audio_path, 33 AS n FROM clips")
+@query("export_counts", f"WITH m AS (SELECT {_LABEL} AS label, {_SOURCE} AS source FROM clips) SELECT 'label' AS kind, label AS value, count(*) AS n FROM m GROUP BY ALL UNION ALL SELECT 'label_source', source, count(*) FROM m GROUP BY ALL")
 def _(t):
-    rows = export.labels(_records(t))
-    return rows.select("clip_id", "video_id", "status", "transcript", "exported_audio_path", F.lit(len(rows.columns)).alias("n"))
+    return dashboard.counted(_records(t), label="final_emotion", label_source="label_source")
 
 
 @query("plain_split", f"WITH s AS (SELECT clip_id, row_number() over (order by {_HASH.format('clip_id')}, clip_id) AS place, count(*) over () AS n FROM clips) SELECT clip_id, case when place <= greatest(1, n * 70 // 100) then 'train' when place <= greatest(1, n * 70 // 100) + n * 15 // 100 then 'val' else 'test' end AS split FROM s")

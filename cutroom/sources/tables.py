@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import source_type, stamp
+
 VIDEO_FILES = ("mp4", "mkv", "avi", "mov", "webm", "flv")
 
 
@@ -86,3 +88,29 @@ def action_units(spark: SparkSession, path: str, most: int = 35) -> DataFrame:
 def well_shaped(df: DataFrame, column: str, rows: int, columns: int) -> DataFrame:
     """Rows whose matrix has that many rows and columns."""
     return df.filter((F.size(column) == rows) & F.forall(column, lambda r: F.size(r) == columns))
+
+
+def url_list(urls: DataFrame, column: str, target_emotion: str | None = None) -> DataFrame:
+    """Rows of videos to come, one for each address that is not blank: title and source_url (trimmed), source_type, status `queued`, target_emotion. An address that stands twice comes twice."""
+    url = F.trim(F.col(column), F.lit(" \t\r\n"))
+    rows = urls.select(*(c for c in urls.columns if c != column), url.alias("source_url")).filter("source_url <> ''")
+    return rows.withColumns({"title": F.col("source_url"), "source_type": source_type(F.col("source_url")), "status": F.lit("queued"), "target_emotion": F.lit(target_emotion).cast("string")})
+
+
+def uploads(files: DataFrame, name: str, now: Column, folder: str = "videos", target_emotion: str | None = None, extensions: tuple[str, ...] = VIDEO_FILES) -> DataFrame:
+    """Rows of videos that are uploaded under their file's name: title (without its ending), source_type, file_path with a stamp, status; error for files that are no videos, whose other columns are null."""
+    whole = F.coalesce(F.nullif(F.element_at(F.split(name, "[/\\\\]"), -1), F.lit("")), F.lit("video.mp4"))
+    ending = F.lower(F.regexp_extract(whole, r"(\.[^.]*)$", 1))
+    good = F.substring(ending, 2, 99).isin(*extensions)
+    made = {
+        "title": F.regexp_replace(whole, r"\.[^.]*$", ""), "source_type": F.lit("upload"), "file_path": F.concat(F.lit(f"{folder}/upload_"), stamp(now), F.lit("_"), whole),
+        "status": F.lit("queued"), "target_emotion": F.lit(target_emotion).cast("string"),
+    }
+    return files.withColumns({**{c: F.when(good, v) for c, v in made.items()}, "error": F.when(~good, F.concat(F.lit("unsupported: "), ending))})
+
+
+def to_copy(here: DataFrame, there: DataFrame, path: str, extensions: tuple[str, ...] | None = None) -> DataFrame:
+    """Files of here (of these kinds) that there has not: what a sync has to copy."""
+    wanted = here.filter(F.col(path).isNotNull())
+    wanted = wanted.filter(is_media(F.col(path), extensions)) if extensions else wanted
+    return wanted.join(there.filter(F.col(path).isNotNull()).select(path), path, "left_anti")
