@@ -47,6 +47,8 @@ CHUNK = 400_000
 ABREAST, MOST = 128, 2_000_000
 #: Bytes of training text that make a group of texts of about the same length.
 GROUP_BYTES = 8 << 20
+#: Leading bits of a hash under which a word is looked for first.
+_SLOT = np.uint64(44)
 #: The hash that stands for the end of a text.
 END = np.uint64(0x5EED0F7E57E4D000)
 
@@ -102,6 +104,15 @@ class Base:
     head: np.ndarray  # symbol of each of words; the last symbol for those outside the HMM's head
     symbols: int
 
+    def __post_init__(self):
+        """A place for each word by its leading bits, with the word there: the first of those that share it. `shared` are places with more than one."""
+        slots = (self.words >> _SLOT).astype(np.int64)
+        first = np.concatenate([np.ones(min(1, len(slots)), bool), slots[1:] != slots[:-1]])
+        self.slot_word, self.slot_at = np.zeros(1 << 20, np.uint64), np.zeros(1 << 20, np.int32)
+        self.slot_word[slots[first]], self.slot_at[slots[first]] = self.words[first], np.flatnonzero(first)
+        self.used, self.shared = np.zeros(1 << 20, bool), np.zeros(1 << 20, bool)
+        self.used[slots], self.shared[slots[~first]] = True, True
+
     @property
     def whole(self) -> float:
         return self.n + 0.5 * (self.v + 1)
@@ -110,8 +121,12 @@ class Base:
         """Of each token: whether it is among words, and its place there."""
         if not len(self.words):
             return np.zeros(len(found), bool), np.zeros(len(found), np.int64)
-        at = np.minimum(np.searchsorted(self.words, found), len(self.words) - 1)
-        return self.words[at] == found, at
+        slots = (found >> _SLOT).astype(np.int64)
+        known, at = (self.slot_word[slots] == found) & self.used[slots], self.slot_at[slots].astype(np.int64)
+        rest = np.flatnonzero(~known & self.shared[slots])
+        place = np.minimum(np.searchsorted(self.words, found[rest]), len(self.words) - 1)
+        known[rest], at[rest] = self.words[place] == found[rest], place
+        return known, at
 
     def symbol_log10(self) -> np.ndarray:
         """log10 base probability of each symbol; the last has all words outside the head."""
@@ -151,6 +166,10 @@ class Hmm:
         move = np.full((states, states), 0.2 / states) + 0.8 * np.eye(states)
         return Hmm(np.full(states, 1 / states), move, emit / emit.sum(0))
 
+    def single(self) -> "Hmm":
+        """The same in single precision: half the memory to go through in training. Expected counts are added up in double precision."""
+        return Hmm(*(x.astype(np.float32) for x in (self.begin, self.move, self.emit)))
+
     def log10(self, emissions: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Scaled forward recursion over each sequence, all of a piece side by side; emissions: tokens x states."""
         lengths = np.diff(begins)
@@ -199,8 +218,9 @@ class Hmm:
         offsets = np.concatenate([[0], np.cumsum(alive)])
         step = np.repeat(np.arange(len(alive)), alive)
         places = starts[np.arange(offsets[-1]) - offsets[step]] + step + lo
-        alpha, scale, ones = self.emit[symbols[places]], np.empty(offsets[-1]), np.ones(len(self.begin))
-        room, steps = np.empty((alive[0], len(self.begin))), offsets.tolist()
+        kind = self.emit.dtype
+        alpha, scale, ones = np.take(self.emit, symbols[places], axis=0, mode="clip"), np.empty(offsets[-1], kind), np.ones(len(self.begin), kind)
+        room, steps = np.empty((alive[0], len(self.begin)), kind), offsets.tolist()
         for a, b in zip(steps[:-1], steps[1:], strict=True):
             now, s = alpha[a:b], scale[a:b]
             now *= self.begin if last is None else np.matmul(last[: b - a], self.move, out=room[: b - a])
@@ -213,33 +233,42 @@ class Hmm:
         """Adds a stretch's expected counts to total; the same for its first step as `ahead` is for the step after it."""
         places, alpha, _, scale, offsets = self._forward(symbols, starts, alive, lo, last)
         laid = symbols[places]
-        onward = self.emit[laid]
+        onward = np.take(self.emit, laid, axis=0, mode="clip")
         onward /= scale[:, None]
         beta, back, steps = np.ones_like(alpha), np.ascontiguousarray(self.move.T), offsets.tolist()
-        room = np.empty((alive[0], len(self.begin)))
+        room = np.empty((alive[0], len(self.begin)), alpha.dtype)
         if ahead is not None:
             end = steps[-2]
             beta[end : end + len(ahead)] = ahead @ back
-            total[1].__iadd__(alpha[end : end + len(ahead)].T @ ahead)
+            total[1].__iadd__(_products(alpha[end : end + len(ahead)], ahead))
         for t in range(len(alive) - 1, 0, -1):
             a, b, d = steps[t], steps[t + 1], steps[t - 1]
             np.matmul(np.multiply(onward[a:b], beta[a:b], out=room[: b - a]), back, out=beta[d : d + b - a])
         onward *= beta
+        beta *= alpha
+        drift = np.matmul(beta, np.ones(len(self.begin), beta.dtype))[:, None]  # 1 but for what rounding has added up to
+        beta /= drift
+        onward /= drift
         step = np.repeat(np.arange(len(alive)), alive)[alive[0] :]
         before = offsets[step - 1] + np.arange(alive[0], offsets[-1]) - offsets[step]  # of each token but the first step's, the one before it
-        total[1].__iadd__(alpha[before].T @ onward[alive[0] :])
-        if last is not None:
-            carried = onward[: alive[0]].copy()
-        alpha *= beta
+        total[1].__iadd__(_products(np.take(alpha, before, axis=0, mode="clip"), onward[alive[0] :]))
         if last is None:
-            total[0].__iadd__(alpha[: alive[0]].sum(0))
+            total[0].__iadd__(beta[: alive[0]].sum(0, dtype=float))
         for s in range(len(self.begin)):
-            total[2][s] += np.bincount(laid, weights=alpha[:, s], minlength=len(self.emit))
+            total[2][s] += np.bincount(laid, weights=beta[:, s], minlength=len(self.emit))
         if seen:
-            seen(places, alpha)
+            seen(places, beta)
+        carried = onward[: alive[0]].copy()
         return None if last is None else carried
 
 
+def _products(a: np.ndarray, b: np.ndarray, size: int = 64) -> np.ndarray:
+    """a.T @ b; blocks of rows are added up in double precision."""
+    whole = len(a) // size * size
+    blocks = np.matmul(a[:whole].reshape(-1, size, a.shape[1]).transpose(0, 2, 1), b[:whole].reshape(-1, size, b.shape[1]))
+    return blocks.sum(0, dtype=float) + a[whole:].T @ b[whole:]
+
+
 def symbol_texts(docs: DataFrame, base: Base, shelf: Shelf) -> DataFrame:
     """n, symbols (16 bits a token) and others (hashes of the tokens outside the head) of each text, dealt by length.
 
@@ -292,11 +321,11 @@ def baum_welch(texts: DataFrame, base: Base, rounds: int = ROUNDS, states: int =
     model = Hmm.start(base, states)
     prior = 10 ** base.symbol_log10()
     for _ in range(rounds):
-        shared = context.broadcast(model)
+        shared = context.broadcast(model.single())
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             hmm = shared.value
-            total = [np.zeros_like(hmm.begin), np.zeros_like(hmm.move), np.zeros_like(hmm.emit)]
+            total = [np.zeros(x.shape) for x in (hmm.begin, hmm.move, hmm.emit)]
             for _, symbols, begins in _sequences(batches):
                 for part, n in zip(total, hmm.expect(symbols, begins), strict=True):
                     part += n
@@ -327,7 +356,7 @@ def emission_table(texts: DataFrame, base: Base, model: Hmm, shelf: Shelf) -> Da
     Expected counts are summed by tasks first, then by Spark; nothing of it goes to the driver.
     """
     states = len(model.begin)
-    shared = texts.sparkSession.sparkContext.broadcast((model, base.symbols - 1))
+    shared = texts.sparkSession.sparkContext.broadcast((model.single(), base.symbols - 1))
     names = [f"s{i}" for i in range(states)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
