@@ -24,12 +24,14 @@ again in time proportional to its lines. Extra columns are kept, whatever their
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import Shelf, original
 
 BLOCK = 32
+#: Characters beyond which a line's surroundings are put together from hashes of its blocks.
+LONG = 1024
 
 _line = ["h1", "h2"]
 _document = ["k1", "k2"]
@@ -71,14 +73,15 @@ def _halves() -> Column:
 
 
 def _blocks() -> Column:
-    """Of each block, seen as itself (role 0) and as one character longer than another line's (role 1): key of its place and surroundings, and the block."""
+    """Of each block, seen as itself (role 0) and as one character longer than another line's (role 1): key of its place and surroundings, and the block. Of a line up to LONG: the surroundings are hashed whole for each block."""
     n = F.char_length("line")
+    none = F.array().cast("array<struct<role:int,place:bigint,block:string>>")
 
     def block(role: int) -> Column:
         base = n - role
         begin = lambda j: j * BLOCK
         after = lambda j: F.greatest(F.lit(0), base - (j + 1) * BLOCK)
-        return F.transform(
+        blocks = F.transform(
             F.sequence(F.lit(0), F.floor(base / BLOCK).cast("int")),
             lambda j: F.struct(
                 F.lit(role).alias("role"),
@@ -86,10 +89,32 @@ def _blocks() -> Column:
                 F.substr(F.col("line"), begin(j) + 1, n - begin(j) - after(j)).alias("block"),
             ),
         )
+        return F.when(base <= LONG, blocks).otherwise(none)
 
     return F.concat(block(0), block(1))
 
 
+def _long_blocks(lines: DataFrame) -> DataFrame:
+    """h1, h2, order, role, place, block as of _blocks(), of lines beyond LONG, in time proportional to their length.
+
+    A line is cut in blocks once, each a row; a block's surroundings are the exclusive or of the hashes of the blocks
+    around it, each with its number. Blocks after it begin a character later if the line has one more (role 1). Lines
+    that are compared have the same length but for the role, so a place is made in one way on both sides.
+    """
+    n = F.char_length("line")
+    cut = lambda text: F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    own = F.concat(cut(F.col("line")), F.when(n % BLOCK == 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+    parts = lines.filter(n > LONG).select(*_line, "order", n.alias("n"), F.posexplode(F.arrays_zip(own.alias("own"), cut(F.substr(F.col("line"), F.lit(2))).alias("after"))).alias("j", "part"))
+    rows = parts.select(*_line, "order", "n", "j", "part.*")
+    by, back = (Window.partitionBy(*_line).orderBy(order) for order in ("j", F.desc("j")))  # frames that grow row by row
+    others = lambda c, window: F.coalesce(F.bit_xor(F.when(F.col(c) != "", F.xxhash64("j", c))).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumns({"before": others("own", by), "rest0": others("own", back), "rest1": others("after", back), "next": F.coalesce(F.lead("own").over(by), F.lit(""))})
+    place = lambda role: F.xxhash64("j", F.col("n") - role, "before", f"rest{role}")
+    one = lambda role, block: F.when((F.col("n") - role > LONG) & (F.col("j") <= F.floor((F.col("n") - role) / BLOCK)), F.struct(F.lit(role).alias("role"), place(role).alias("place"), block.alias("block")))
+    both = F.array_compact(F.array(one(0, F.col("own")), one(1, F.concat("own", F.substr(F.col("next"), F.lit(1), F.lit(1))))))
+    return rows.select(*_line, "order", F.explode(both).alias("b")).select(*_line, "order", "b.*")
+
+
 def _variants() -> Column:
     """Keys of a block's variants: `replaced` with the place of the gap; `whole` the block itself, or what it is once a character is out."""
     gaps = F.sequence(F.lit(1), F.char_length("block"))
@@ -113,7 +138,8 @@ def near_lines(first: DataFrame, shelf: Shelf, min_chars: int = 0) -> DataFrame:
     halves = some.select(*_line, F.explode(_halves()).alias("half"))
     likely = _shared(halves, "half").select(*_line).distinct()
     texts = some.join(likely, _line)
-    blocks = shelf.put(texts.select(*_line, "order", F.explode(_blocks()).alias("b")).select(*_line, "order", "b.*"))
+    short = texts.filter(F.char_length("line") <= LONG + 1).select(*_line, "order", F.explode(_blocks()).alias("b")).select(*_line, "order", "b.*")
+    blocks = shelf.put(short.union(_long_blocks(texts)))
     variants = shelf.put(_shared(blocks, "place").select(*_line, "order", "role", "block", F.explode(_variants()).alias("v")).select(*_line, "order", "role", "block", "v.*"))
     within = F.levenshtein("block", "other") <= 1
 

@@ -220,3 +220,26 @@ def test_near_texts_of_one_document(spark):
     assert {bytes(r.key) for r in near_dedup.keyed(docs, few).collect()} == {bytes(r.key) for r in few.collect()}
     table = near_dedup.bit_table(few, "key")
     assert sum(near_dedup.in_table(table, bytes(r.key)) for r in keys.collect()) == 3
+
+
+def test_near_lines_of_a_million_characters(spark):
+    """Two lines of a million characters, one edit apart in the middle, take seconds; so do lines around the length at which blocks are hashed another way."""
+    import time
+
+    from cutroom.llm import line_dedup
+
+    rng = random.Random(12)
+    letters = "abcdefghij éü😀"
+    long = "".join(rng.choice(letters) for _ in range(1_000_000))
+    medium = ["".join(rng.choice(letters) for _ in range(n)) for n in (1023, 1024, 1025, 1056, 1057, 2080, 9000)]
+    rows, near = [(0, "x" + long[1:-1] + "x"), (1, "x" + long[1:500_000] + "#" + long[500_001:-1] + "x")], 1
+    for i, line in enumerate(medium):
+        line = "x" + line[1:-1] + "x"
+        edits = [line, line[:700] + "#" + line[701:], line[:33] + line[34:], line[: len(line) // 2] + "##" + line[len(line) // 2 + 2 :], line[:-1] + "##" + "x"]
+        rows += [(10 + 10 * i + k, e) for k, e in enumerate(edits)]
+        near += 2
+    begin = time.perf_counter()
+    got = {r.doc_id: r.n_near for r in line_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert time.perf_counter() - begin < 120
+    want = {d: 0 for d, _ in rows} | {1: 1} | {10 + 10 * i + k: 1 for i in range(len(medium)) for k in (1, 2)}
+    assert got == want
