@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import Shelf, bit_table, in_table, looked_up
+from .session import Shelf, apart, bit_table, in_table, looked_up
 from .words import ALNUM, Text, Words, _power, mix, pieces, windows
 
 WIDTH = 5
@@ -442,9 +442,14 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat a doc_id that stays, one does: the first by the hash of its text, then of all its columns.
     """
-    kept = near_duplicates(docs).filter("is_first AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = Shelf(docs.sparkSession).put(kept)
-    once = docs.join(kept.filter("n = 1"), "doc_id", "left_semi")
-    whole, text = F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.col("text").cast("string")
-    repeated = docs.join(kept.filter("n > 1"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, F.struct(F.md5(text), F.md5(F.to_json(whole)))).alias("row"))
-    return once.select(*docs.columns).union(repeated.select("row.*")).union(docs.filter("doc_id IS NULL").select(*docs.columns))
+    found = near_duplicates(docs).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id"))
+    found = Shelf(docs.sparkSession).put(found.agg(F.count("*").alias("n"), F.max("is_first").alias("stays")))
+    named = docs.toDF(*(f"__{i}" for i in range(len(docs.columns))))
+    doc_id, text = (f"__{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    # documents that stay and stand once are not shuffled: only those that go, or stand several times
+    sure, others = apart(named, F.col(doc_id), found.filter("n > 1 OR NOT stays"), F.col("__id"))
+    one, several = (others.join(found.filter(f"stays AND {test}"), F.col(doc_id) == F.col("__id"), "left_semi") for test in ("n = 1", "n > 1"))
+    whole, body = F.struct(*named.columns), F.col(text).cast("string")
+    first = several.groupBy(F.col(doc_id).alias("__id")).agg(F.min_by(whole, F.struct(F.md5(body), F.md5(F.to_json(whole)))).alias("row")).select("row.*")
+    null = others.filter(F.col(doc_id).isNull())
+    return sure.union(one).union(first).union(null).toDF(*docs.columns)

@@ -7,14 +7,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut, shared_folder
 from .words import Text, pieces
 
-__all__ = ["Shelf", "annotate", "bit_table", "cut", "looked_up", "original", "shared_folder", "spread", "table"]
+__all__ = ["Shelf", "annotate", "apart", "bit_table", "cut", "looked_up", "original", "shared_folder", "spread", "table"]
 
 
 class Shelf:
@@ -95,3 +95,16 @@ def in_table(table: np.ndarray, key: bytes) -> bool:
     """Whether bit_table() has the key's bit: always, if it was given the key."""
     slot = int.from_bytes(key[:4], "big") >> (32 - SLOT_BITS)
     return bool(int(table[slot >> 6]) >> (slot & 63) & 1)
+
+
+def apart(rows: DataFrame, key: Column, keys: DataFrame, own: Column) -> tuple[DataFrame, DataFrame]:
+    """rows whose key is certainly not in keys, and the others, among which few are not in keys either. No row is shuffled.
+
+    A table of 2**SLOT_BITS bits, by a hash of the key, is broadcast in words of 64: its size is bounded whatever the
+    number of keys. Names that begin with two underscores and a letter must be free in rows.
+    """
+    slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - SLOT_BITS)
+    parts = lambda c: (F.shiftright(slot(c), 6).alias("__word"), slot(c).bitwiseAND(F.lit(63).cast("bigint")).cast("int").alias("__bit"))
+    words = keys.select(*parts(own)).groupBy("__word").agg(F.expr("bit_or(shiftleft(1L, __bit))").alias("__bits"))
+    marked = rows.select("*", *parts(key)).join(F.broadcast(words), "__word", "left").withColumn("__hit", F.expr("coalesce(shiftright(__bits, __bit) & 1, 0) = 1"))
+    return tuple(marked.filter(test).select(*rows.columns) for test in ("NOT __hit", "__hit"))
