@@ -17,6 +17,9 @@ b AS (SELECT *, (case when n_words < 20 then 1 else 0 end + case when 100 * n_re
 + case when n_letters >= 20 and 2 * n_capitals > n_letters then 32 else 0 end)::bigint AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words AS base_failed, fail_bits = 0 AS kept, fail_bits, 2 AS policy_version FROM b"""
 
+QUALITY_ABLATION = f"""SELECT rule, sum(case when fail_bits & bit <> 0 then 1 else 0 end)::bigint AS n_failed, sum(case when fail_bits = bit then 1 else 0 end)::bigint AS n_only
+FROM ({QUALITY_RULES}), (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('word_length', 8), ('repeated_lines', 16), ('capitals', 32)) r(rule, bit) GROUP BY rule"""
+
 DECONTAMINATE = rf"""WITH i AS (SELECT coalesce(cast(item_id as varchar), '') AS item, regexp_extract_all({_ALPHABET}, '{_ALNUM}') AS ws FROM benchmark),
 p AS (SELECT DISTINCT item, n, array_to_string(list_slice(ws, k, k + n - 1), ' ') AS win FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS k FROM (SELECT *, least(10, len(ws)) AS n FROM i WHERE len(ws) > 0))),
 d AS (SELECT row_number() over () AS rid, doc_id, regexp_extract_all({_ALPHABET}, '{_ALNUM}') AS ws FROM documents),

@@ -67,6 +67,11 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def base_quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    return quality_rules.ablation(rows).select("rule", "n_failed", "n_only")
+
+
 def base_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_source_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
 
@@ -92,7 +97,7 @@ OPERATORS = (
     op11_conversation_trie, op12_embedding_whitening, op13_exact_dedup,
 )
 #: Columns of operators' results that SQL expresses, where it does not express all of them.
-BASES = (base_source_mix, base_sharding, base_license_scan, base_language_model, base_whitening)
+BASES = (base_quality_ablation, base_source_mix, base_sharding, base_license_scan, base_language_model, base_whitening)
 QUERIES = {f.__name__: f for f in (*OPERATORS, *BASES)}
 
 ORACLE_SQL: dict[str, str] = {
@@ -101,6 +106,7 @@ ORACLE_SQL: dict[str, str] = {
     "op11_conversation_trie": oracles.CONVERSATION_TRIE,
     "op13_exact_dedup": oracles.EXACT_DEDUP,
     "base_whitening": oracles.BASE_WHITENING,
+    "base_quality_ablation": oracles.QUALITY_ABLATION,
     "base_source_mix": oracles.BASE_SOURCE_MIX,
     "base_sharding": oracles.BASE_SHARDING,
     "base_license_scan": oracles.BASE_LICENSE_SCAN,
