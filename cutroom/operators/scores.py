@@ -14,23 +14,39 @@ from ..functions.vectors import ranked
 _LEAST = 1e-8
 
 
+def _sums(terms: Iterator[np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    """The sum of terms, one after the other: unlike a matrix product's it does not depend on how many rows a batch has."""
+    out = np.zeros(shape)
+    for term in terms:
+        out += term
+    return out
+
+
 def similarities(vectors: np.ndarray, templates: list[np.ndarray]) -> np.ndarray:
-    """Cosine, 0 at least, of each vector with each template over their common length; 0 for a vector of no length."""
-    sizes = np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit = np.divide(vectors, sizes, out=np.zeros_like(vectors), where=sizes >= _LEAST)
-    out = np.zeros((len(vectors), len(templates)))
-    for n in {min(len(t), vectors.shape[1]) for t in templates}:
-        own = [i for i, t in enumerate(templates) if min(len(t), vectors.shape[1]) == n]
-        part = unit[:, :n] / (np.linalg.norm(unit[:, :n], axis=1, keepdims=True) + _LEAST)
-        matrix = np.stack([templates[i][:n] / (np.linalg.norm(templates[i][:n]) + _LEAST) for i in own], axis=1)
-        out[:, own] = np.maximum(0.0, part @ matrix)
+    """Cosine, 0 at least, of each vector with each template over their common length; 0 for a vector of no length.
+
+    Products are added in order of place, so that scores which differ by their last digit alone rank alike in any batch and engine.
+    """
+    places, rows = np.ascontiguousarray(vectors.T), len(vectors)
+    size = lambda v: np.sqrt(_sums((x * x for x in v), v.shape[1:]))
+    whole = size(places)
+    known = whole >= _LEAST
+    out = np.zeros((rows, len(templates)))
+    for n in {min(len(t), len(places)) for t in templates}:
+        own = [i for i, t in enumerate(templates) if min(len(t), len(places)) == n]
+        given = np.stack([templates[i][:n] for i in own], axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            part = np.where(known, size(places[:n]) / whole, 0.0) + _LEAST
+            dots = _sums((np.outer(x, y) for x, y in zip(places[:n], given, strict=True)), (rows, len(own)))
+            found = dots / whole[:, None] / part[:, None] / (size(given) + _LEAST)
+        out[:, own] = np.where(known[:, None], np.maximum(0.0, found), 0.0)
     return out
 
 
 def against_templates(df: DataFrame, column: str, templates: dict[str, list[float]], means: list[float] | None = None, deviations: list[float] | None = None) -> DataFrame:
     """df with `scores`: (label, score) of the templates, highest first, equal ones in the order given.
 
-    Vectors of a batch are multiplied by the matrix of templates at once. Nan, infinities and nulls count as 0; with means
+    Vectors of a batch are multiplied by the templates place by place. Nan, infinities and nulls count as 0; with means
     and deviations (of 0: 1) vectors are standardised first. Templates are part of a model, so they are a parameter; they
     go along with the code.
     """

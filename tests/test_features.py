@@ -3,6 +3,8 @@
 import hashlib
 import random
 from datetime import datetime, timedelta
+from functools import reduce
+from operator import add
 from pathlib import Path
 
 import numpy as np
@@ -273,3 +275,20 @@ def test_ranked_scores(spark):
     assert [s.score for s in moved.scores] == [0, 0, 0]
     mixed = vectors.blended(F.create_map(F.lit("a"), F.lit(0.5)), F.create_map(F.lit("b"), F.lit(0.5)), 0.5, ("a", "b", "c"))
     assert [tuple(x) for x in spark.range(1).select(vectors.ranked(mixed).alias("r")).first().r] == [("a", 0.5), ("b", 0.5), ("c", 0.0)]
+
+
+def test_template_scores_are_sums_in_order_of_place():
+    """Scores are, to the last digit, those of a loop over places, in a batch of any size: exact zeros and near ties rank alike."""
+    draw = random.Random(5)
+    rows = np.array([[round(draw.gauss(0, 0.12), 4) for _ in range(64)] for _ in range(300)])
+    templates = [np.array([((i * (j + 2) + j) % 7 - 3) / 10 for i in range(n)]) for j, n in enumerate((74, 74, 40, 64))]
+
+    def loop(x, y):
+        n, total = min(len(x), len(y)), lambda values: reduce(add, values, 0.0)  # sum() of Python corrects its rounding
+        whole, part, other = (total([v * v for v in z]) ** 0.5 for z in (x, x[:n], y[:n]))
+        return max(0.0, total([a * b for a, b in zip(x[:n], y[:n], strict=True)]) / whole / (part / whole + 1e-8) / (other + 1e-8))
+
+    got = scores.similarities(rows, templates)
+    assert got.tolist() == [[loop(x.tolist(), y.tolist()) for y in templates] for x in rows]
+    assert got[:3].tolist() == scores.similarities(rows[:3], templates).tolist()
+    assert scores.similarities(np.zeros((2, 64)), templates).tolist() == [[0.0] * 4] * 2
