@@ -170,8 +170,10 @@ _SECOND = {"angry": "round(quality, 4)", "happy": "clarity", "fear": "case when
 s AS (SELECT clip_id, j, label, case when sum(x) over (partition by clip_id) > 0 then x / sum(x) over (partition by clip_id) else x end AS s FROM e) {_RANKED.format("clip_id", "s")}""")
 def _(t):
     as_map = lambda parts: F.when(c("clip_id") % 17 > 0, F.create_map(*(y for k, x in parts.items() for y in (F.lit(k), F.expr(x).cast("double")))))
-    mixed = vectors.blended(as_map(_FIRST), as_map(_SECOND), 0.6, _LABELS)
-    rows = t.clips.select("clip_id", F.posexplode(vectors.ranked(mixed)).alias("place", "s"))
+    # each step is a column that later ones name, so that Spark works it out once a row
+    maps = t.clips.select("clip_id", as_map(_FIRST).alias("first"), as_map(_SECOND).alias("second"))
+    mixed = maps.select("clip_id", F.array(*vectors.blended(c("first"), c("second"), 0.6, _LABELS).values()).alias("mixed"))
+    rows = mixed.select("clip_id", F.posexplode(vectors.ranked({x: c("mixed")[i] for i, x in enumerate(_LABELS)})).alias("place", "s"))
     return rows.select("clip_id", "place", "s.label", "s.score")
 
 

@@ -5,6 +5,7 @@ from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
 
+from cutroom import plans
 from cutroom.operators import export, ranks, state
 
 
@@ -53,3 +54,9 @@ def test_deltas_do_not_read_all_clips(spark, tmp_path):
     moved = state.adjusted(videos, changed)
     assert "clips" not in plan_of(moved).replace("total_clips", "").replace("approved_clips", "")
     assert sorted(map(tuple, moved.collect())) == [(0, 20, 0), (1, 20, 1), (2, 19, 0), (3, 21, 1), (4, 20, 0)]
+
+
+def test_scores_are_blended_once_a_row(spark):
+    """A clip's JSON is read once for all labels of the blend, not once for each place where its score is named."""
+    plan = plans.QUERIES["blended_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") == 1
