@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..conf import EMOTIONS, SENTIMENT
@@ -123,7 +123,11 @@ def truncated(c: Column, n: int) -> Column:
 
 def lexicon_hits(text: Column) -> dict[str, Column]:
     """Emotion -> score of the phrases (of three letters or more) found: 1 and 0.15 for each word of the phrase, 2 at most."""
-    low = strip_accents(F.trim(text))
+    return _hits(strip_accents(F.trim(text)))
+
+
+def _hits(low: Column) -> dict[str, Column]:
+    """lexicon_hits() of a text in lower case without marks."""
     weigh = lambda p: 1.0 + min(1.0, 0.15 * len(p.split()))
     out = {}
     for emotion, phrases in LEXICON.items():
@@ -132,14 +136,25 @@ def lexicon_hits(text: Column) -> dict[str, Column]:
     return out
 
 
-def lexicon_scores(text: Column) -> dict[str, Column]:
-    """Emotion -> share of lexicon_hits, to which 0.25 for neutral comes if there is any hit; nulls without one."""
-    found = lexicon_hits(text)
+def _emotion_shares(found: dict[str, Column]) -> dict[str, Column]:
     total = sum(list(found.values())[1:], next(iter(found.values())))
     parts = {**found, "neutral": F.lit(0.25)}
     return {emotion: F.when(total > 0, parts[emotion] / (total + 0.25)) for emotion in EMOTIONS}
 
 
+def lexicon_scores(text: Column) -> dict[str, Column]:
+    """Emotion -> share of lexicon_hits, to which 0.25 for neutral comes if there is any hit; nulls without one."""
+    return _emotion_shares(lexicon_hits(text))
+
+
+def with_lexicon_scores(df: DataFrame, text: str) -> DataFrame:
+    """df without the text, with lexicon_scores() of it: a text is bared once and searched once for each phrase, however many scores there are."""
+    rest = [x for x in df.columns if x != text]
+    bare = df.select(*rest, strip_accents(F.trim(F.col(text))).alias("__low"))
+    hits = bare.select(*rest, *(v.alias(f"__{k}") for k, v in _hits(F.col("__low")).items()))
+    return hits.select(*rest, *(v.alias(k) for k, v in _emotion_shares({k: F.col(f"__{k}") for k in LEXICON}).items()))
+
+
 def json_string(c: Column) -> Column:
     """c as a JSON string in ASCII, quotes included."""
     hexed = lambda ch: F.lower(F.hex(F.encode(ch, "UTF-16BE")))

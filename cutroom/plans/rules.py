@@ -215,7 +215,7 @@ _FOUND = "d AS (SELECT doc_id, strip_accents(lower(trim(text))) x FROM documents
 
 @query("lexicon_score", f"WITH {_FOUND} SELECT doc_id, " + ", ".join(f"case when total > 0 then {_dec(f'{e} / (total + 0.25::double)', 6)} end AS {e}" for e in EMOTIONS if e != "neutral") + f", case when total > 0 then {_dec('0.25::double / (total + 0.25::double)', 6)} end AS neutral FROM h")
 def _(t):
-    return t("documents").select("doc_id", *(scoring.rounded(v, 6).alias(k) for k, v in text.lexicon_scores(c("text")).items()))
+    return text.with_lexicon_scores(t("documents").select("doc_id", "text"), "text").select("doc_id", *(scoring.rounded(c(k), 6).alias(k) for k in EMOTIONS))
 
 
 @query("strip_fence", r"SELECT clip_id, case when starts_with(trim(text), '```') then regexp_replace(regexp_replace(trim(text), '^```(?:json)?\s*', ''), '\s*```$', '') else trim(text) end AS body FROM responses")

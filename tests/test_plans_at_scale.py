@@ -56,7 +56,8 @@ def test_deltas_do_not_read_all_clips(spark, tmp_path):
     assert sorted(map(tuple, moved.collect())) == [(0, 20, 0), (1, 20, 1), (2, 19, 0), (3, 21, 1), (4, 20, 0)]
 
 
-def test_scores_are_blended_once_a_row(spark):
-    """A clip's JSON is read once for all labels of the blend, not once for each place where its score is named."""
-    plan = plans.QUERIES["blended_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("get_json_object") == 1
+def test_steps_of_scores_are_worked_out_once_a_row(spark):
+    """A blend's maps are made once for all labels, and a text is bared once for all phrases, not once for each place that names them."""
+    of = lambda name: plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert of("blended_scores").count("map(happy") == 1
+    assert of("lexicon_score").count("translate(") == 1
