@@ -47,7 +47,7 @@ FEW, PIVOTS = 8, 2
 #: Text of the blocks in which queries meet the nodes of a band, and what a node counts beside its text: 512 nodes a block at most.
 BLOCK_BYTES, NODE_BYTES = 2 << 20, 4 << 10
 #: Pairs whose texts one task compares, about: a text has at most 512 pairs in a cell.
-CELL_PAIRS = 1024
+CELL_PAIRS = 8192
 FREQUENCIES = 1 << 18
 _BLOCK = 1 << 15
 
@@ -226,7 +226,12 @@ _CELL = ["band", "query_block", "node_block"]
 
 
 def _likely_in_cells(met: DataFrame) -> DataFrame:
-    """(band, query_block, node_block, a, b): pairs of a query and a node of a cell, of different components, whose samples agree often enough. A pair that shares several bands is looked at in the first."""
+    """Texts of each cell that are to be compared, part by part: of a query `nodes`, those of other components whose samples agree often enough, the likeliest first.
+
+    own and of number the components, within the cell, of the text and of its nodes; a text that is no query of its part
+    has no nodes. A part has about CELL_PAIRS pairs, dealt by query, and each of its texts once: pairs are never rows.
+    A pair that shares several bands is looked at in the first.
+    """
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -237,35 +242,58 @@ def _likely_in_cells(met: DataFrame) -> DataFrame:
         keys = np.array([k.hex() for k in column("key")])
         root = np.unique(np.array([r.hex() for r in column("root")]), return_inverse=True)[1]
         which, own = group["which"][0].as_py(), np.flatnonzero(~asks)
-        a, b = [np.zeros(0, keys.dtype)], [np.zeros(0, keys.dtype)]
+        likely: dict[int, np.ndarray] = {}
         for q in np.flatnonzero(asks).tolist():
             same = sketch[own] == sketch[q]
             agree = (same.sum(axis=(1, 2)) + (wide[own] == wide[q]).sum(axis=1)) / (BANDS * ROWS + WIDE)
             twice = queried[own] & (keys[own] < keys[q])  # two queries are looked at once
             possible = np.minimum(weight[own], weight[q]) >= SIMILARITY * 0.999 * np.maximum(weight[own], weight[q])
-            likely = own[possible & (agree >= LIKELY_WIDE) & (root[own] != root[q]) & ~twice & (same.all(axis=2).argmax(axis=1) == which)]
-            a.append(np.repeat(keys[q : q + 1], len(likely)))
-            b.append(keys[likely])
-        a, b = (pa.array([bytes.fromhex(k) for k in np.concatenate(x).tolist()], pa.binary()) for x in (a, b))
-        return pa.table([pa.repeat(k, len(a)) for k in key] + [a, b], names=[*_CELL, "a", "b"])
-
-    return met.groupBy(*_CELL).applyInArrow(run, "band bigint, query_block int, node_block int, a binary, b binary")
-
-
-def _verified_in_cells(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """The pairs (a, b) of _likely_in_cells whose whole texts are similar enough. A cell of more than CELL_PAIRS is split by a; a part has each of its texts once."""
-
-    def run(_: tuple, pairs: pa.Table, bodies: pa.Table) -> pa.Table:
-        bags = {key: shingles(_one(text).words(ALNUM, lower=True), idf.value)[:2] for key, text in zip(bodies["key"].to_pylist(), bodies["text"].to_pylist(), strict=True)}
-        found = [(a, b) for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True) if _jaccard(*bags[a], *bags[b]) >= SIMILARITY]
+            fits = possible & (agree >= LIKELY_WIDE) & (root[own] != root[q]) & ~twice & (same.all(axis=2).argmax(axis=1) == which)
+            if fits.any():
+                likely[q] = own[fits][np.lexsort((keys[own[fits]], -agree[fits]))]
+        n_parts = -(-sum(map(len, likely.values())) // CELL_PAIRS)
+        parts: dict[int, list[int]] = {}
+        for q in likely:
+            parts.setdefault(int(keys[q][:8], 16) % n_parts, []).append(q)
+        rows: list[tuple] = []
+        for part, queries in parts.items():
+            rows += [(part, keys[q], keys[likely[q]].tolist(), int(root[q]), root[likely[q]].tolist()) for q in queries]
+            others = set(np.concatenate([keys[likely[q]] for q in queries]).tolist()) - {str(keys[q]) for q in queries}
+            rows += [(part, k, [], 0, []) for k in sorted(others)]
+        part, texts, nodes, mine, of = zip(*rows, strict=True) if rows else ((),) * 5
+        arrays = [pa.array(part, pa.int32()), pa.array([bytes.fromhex(k) for k in texts], pa.binary()), pa.array([[bytes.fromhex(k) for k in n] for n in nodes], pa.list_(pa.binary())), pa.array(mine, pa.int32()), pa.array(of, pa.list_(pa.int32()))]
+        return pa.table([*(pa.repeat(k, len(rows)) for k in key), *arrays], names=[*_CELL, "part", "key", "nodes", "own", "of"])
+
+    return met.groupBy(*_CELL).applyInArrow(run, "band bigint, query_block int, node_block int, part int, key binary, nodes array<binary>, own int, of array<int>")
+
+
+def _verified_in_cells(likely: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """Pairs (a, b) of _likely_in_cells whose whole texts are similar enough. Once a pair has joined two components, others between them are not compared."""
+
+    def run(_: tuple, part: pa.Table) -> pa.Table:
+        part = part.sort_by("key")
+        bodies, bags, up = dict(zip(part["key"].to_pylist(), part["text"].to_pylist(), strict=True)), {}, {}
+
+        def bag(key: bytes) -> tuple[np.ndarray, np.ndarray]:
+            if key not in bags:
+                bags[key] = shingles(_one(bodies[key]).words(ALNUM, lower=True), idf.value)[:2]
+            return bags[key]
+
+        def top(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        found = []
+        for a, nodes, own, of in zip(*(part[c].to_pylist() for c in ("key", "nodes", "own", "of")), strict=True):
+            for b, other in zip(nodes, of, strict=True):
+                x, y = top(own), top(other)
+                if x != y and _jaccard(*bag(a), *bag(b)) >= SIMILARITY:
+                    found.append((a, b))
+                    up[x] = y
         return pa.table({name: pa.array([p[i] for p in found], pa.binary()) for i, name in enumerate("ab")})
 
-    full = pairs.groupBy(*_CELL).agg(F.ceil(F.count("*") / CELL_PAIRS).alias("parts"))
-    pairs = pairs.join(full, _CELL).withColumn("part", F.pmod(F.xxhash64("a"), "parts").cast("int")).drop("parts")
-    parted = [*_CELL, "part"]
-    cell = [f"of_{c}" for c in parted]
-    wanted = pairs.select(*(F.col(c).alias(x) for c, x in zip(parted, cell, strict=True)), F.explode(F.array("a", "b")).alias("key")).distinct()
-    return pairs.select(*parted, "a", "b").groupBy(*parted).cogroup(wanted.join(texts, "key").groupBy(*cell)).applyInArrow(run, "a binary, b binary")
+    return likely.join(texts, "key").groupBy(*_CELL, "part").applyInArrow(run, "a binary, b binary")
 
 
 def _between(rows: DataFrame, nodes: DataFrame, texts: DataFrame, linked: DataFrame, idf, shelf: Shelf) -> DataFrame:
@@ -289,9 +317,9 @@ def _between(rows: DataFrame, nodes: DataFrame, texts: DataFrame, linked: DataFr
     side = lambda asks, a, b: dealt.filter("query" if asks else "true").select("band", "which", "key", "root", "query", F.lit(asks).alias("asks"), a.alias("query_block"), b.alias("node_block"))
     met = side(True, own("query_blocks"), every("node_blocks")).union(side(False, every("query_blocks"), own("node_blocks")))
     wide = _widened(texts.join(mixed.select("key").distinct(), "key"), idf).join(nodes.select("key", "sketch"), "key")
-    pairs = shelf.put(_likely_in_cells(met.join(wide, "key")))
-    out = shelf.put(_verified_in_cells(pairs, texts, idf))
-    shelf.free(mixed, pairs)
+    likely = shelf.put(_likely_in_cells(met.join(wide, "key")))
+    out = shelf.put(_verified_in_cells(likely, texts, idf))
+    shelf.free(mixed, likely)
     return out
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cutroom.llm import conversation_trie, exact_dedup, whitening
+from cutroom.llm import conversation_trie, exact_dedup, near_dedup, whitening
 from cutroom.llm.session import Shelf
 
 DOCS = "doc_id bigint, text string, sender string, place int, group_size string, sha string"
@@ -243,3 +243,45 @@ def test_near_lines_of_a_million_characters(spark):
     assert time.perf_counter() - begin < 120
     want = {d: 0 for d, _ in rows} | {1: 1} | {10 + 10 * i + k: 1 for i in range(len(medium)) for k in (1, 2)}
     assert got == want
+
+
+def test_near_texts_that_are_no_links_are_no_rows(spark, monkeypatch):
+    """Texts near to all of a large group, but to none enough, are compared with it without a row for each pair."""
+    draw, seen = random.Random(3), {}
+    base = [f"w{i}" for i in range(200)]
+
+    def near(i, n):
+        words = list(base)
+        for place in draw.sample(range(10, 190), n):
+            words[place] = f"x{i}y{place}"
+        return " ".join(words)
+
+    docs = spark.createDataFrame([(i, near(i, 2 if i < 60 else 3)) for i in range(140)], "doc_id long, text string")
+    verified = near_dedup._verified_in_cells
+
+    def counted(likely, texts, idf):
+        out = verified(likely, texts, idf)
+        seen.update(rows=likely.count(), found=out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "_verified_in_cells", counted)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    table = near_dedup.idf_table(docs)
+    texts = {r.doc_id: near_dedup._one(r.text) for r in docs.collect()}
+    bags = {i: near_dedup.shingles(t.words(near_dedup.ALNUM, lower=True), table)[:2] for i, t in texts.items()}
+    likely, up = 0, {i: i for i in bags}
+
+    def top(i):
+        return i if up[i] == i else top(up[i])
+
+    for i in bags:
+        for j in range(i):
+            alike = near_dedup._jaccard(*bags[i], *bags[j])
+            if alike >= near_dedup.SIMILARITY:
+                x, y = sorted((top(i), top(j)))
+                up[y] = x
+    classes = {i: top(i) for i in bags}
+    for i in bags:
+        likely += sum(classes[i] != classes[j] and near_dedup._jaccard(*bags[i], *bags[j]) >= 0.74 for j in range(i))
+    assert got == classes
+    assert likely > 1000 and seen["rows"] < likely / 3
