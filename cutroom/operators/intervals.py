@@ -7,6 +7,11 @@ of a video's intervals gather one run of overlapping intervals (face tracks: one
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -273,28 +278,46 @@ def track_faces(frames: DataFrame, key: str, least: float = 0.25, oldest: int =
     A track is lost after more than `oldest` frames without a face. Frames follow each other by one; a
     clip has a few dozen, which are gathered in one row.
     """
-    from ..functions.vectors import iou
-
     box = "array<double>"
-    track = f"struct<id:int,box:{box},frame:bigint>"
-    state = f"struct<next:int,frame:bigint,tracks:array<{track}>,out:array<struct<frame:bigint,face:bigint,track_id:int>>>"
     rows = gathered(frames, key, F.col("frame").cast("bigint").alias("frame"), F.col("face").cast("bigint").alias("face"), F.col("box").cast(box).alias("box"))
 
-    def step(s: Column, x: Column) -> Column:
-        free = F.filter(s["tracks"], lambda t: (t["frame"] < x["frame"]) & (x["frame"] - t["frame"] - 1 <= oldest))
-        scored = F.filter(F.transform(free, lambda t: F.struct(iou(x["box"], t["box"]).alias("iou"), (-t["id"]).alias("neg"))), lambda t: t["iou"] >= least)
-        best = F.array_max(scored)
-        known = F.size(scored) > 0
-        id_ = F.when(known, -best["neg"]).otherwise(s["next"])
-        others = F.filter(s["tracks"], lambda t: (t["id"] != id_) & (x["frame"] - t["frame"] - 1 <= oldest))
-        mine = F.struct(id_.alias("id"), x["box"].alias("box"), x["frame"].alias("frame"))
-        return F.struct(
-            F.when(known, s["next"]).otherwise(s["next"] + 1).alias("next"), x["frame"].alias("frame"), F.concat(others, F.array(mine)).alias("tracks"),
-            F.concat(s["out"], F.array(F.struct(x["frame"].alias("frame"), x["face"].alias("face"), id_.alias("track_id")))).alias("out"),
-        ).cast(state)
-
-    begin = F.struct(F.lit(0).alias("next"), F.lit(-1).cast("bigint").alias("frame"), F.array().cast(f"array<{track}>").alias("tracks"), F.array().cast("array<struct<frame:bigint,face:bigint,track_id:int>>").alias("out")).cast(state)
-    return rows.select(key, F.explode(F.aggregate("items", begin, step)["out"]).alias("__o")).select(key, "__o.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = batch.column(1)
+            sizes, flat = items.value_lengths().fill_null(0).to_numpy(), items.flatten()
+            places = zip(flat.field("frame").to_pylist(), flat.field("box").to_pylist(), strict=True)
+            tracks = [track for n in sizes.tolist() for track in _tracks(islice(places, n), least, oldest)]
+            made = [batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), flat.field("frame"), flat.field("face"), pa.array(tracks, pa.int32())]
+            yield pa.RecordBatch.from_arrays(made, names=["key", "frame", "face", "track_id"])
+
+    kind = frames.schema[key].dataType.simpleString()
+    return rows.mapInArrow(run, f"key {kind}, frame bigint, face bigint, track_id int").withColumnRenamed("key", key)
+
+
+def _tracks(faces: Iterable[tuple[int | None, list | None]], least: float, oldest: int) -> Iterator[int]:
+    """The track of each face (frame, box) of a clip, in order."""
+    tracks: list[tuple[int, list | None, int]] = []  # id, box and frame of the last face
+    following = 0
+    for frame, box in faces:
+        tracks = [t for t in tracks if frame is not None and t[2] is not None and frame - t[2] - 1 <= oldest]
+        scored = [(x, -t[0]) for t in tracks if t[2] < frame and (x := _iou(box, t[1])) >= least]
+        if scored:
+            mine = -max(scored)[1]
+            tracks = [t for t in tracks if t[0] != mine]
+        else:
+            mine, following = following, following + 1
+        tracks.append((mine, box, frame))
+        yield mine
+
+
+def _iou(a: list | None, b: list | None) -> float:
+    """vectors.iou() of two boxes: 0 unless both have four numbers."""
+    if a is None or b is None or len(a) != 4 or len(b) != 4 or None in a or None in b:
+        return 0.0
+    inter = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    area = lambda v: max(0.0, v[2] - v[0]) * max(0.0, v[3] - v[1])
+    union = area(a) + area(b) - inter
+    return inter / union if union > 0 else 0.0
 
 
 def padded_and_capped(df: DataFrame, key: str, tie: str, length: Column, conf: CurationConf = DEFAULT) -> DataFrame:

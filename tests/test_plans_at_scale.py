@@ -6,7 +6,7 @@ from contextlib import redirect_stdout
 from pyspark.sql import functions as F
 
 from cutroom import plans
-from cutroom.operators import export, ranks, state
+from cutroom.operators import export, intervals, ranks, state
 
 
 def plan_of(df):
@@ -61,3 +61,11 @@ def test_steps_of_scores_are_worked_out_once_a_row(spark):
     of = lambda name: plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert of("blended_scores").count("map(happy") == 1
     assert of("lexicon_score").count("translate(") == 1
+
+
+def test_tracks_are_no_interpreted_fold(spark):
+    """Faces go to tracks clip by clip in batches, not in a fold that copies the list of what it found at each face."""
+    frames = spark.createDataFrame([(1, 1, 0, [0.0, 0.0, 9.0, 9.0]), (1, 2, 0, [1.0, 0.0, 9.0, 9.0]), (1, 2, 1, None), (1, 6, 0, [0.0, 0.0, 9.0, 9.0]), (2, None, 0, [0.0, 0.0, 9.0, 9.0])], "clip long, frame long, face int, box array<double>")
+    tracks = intervals.track_faces(frames, "clip")
+    assert "aggregate(" not in plan_of(tracks)
+    assert sorted((r.clip, r.frame or 0, r.face, r.track_id) for r in tracks.collect()) == [(1, 1, 0, 0), (1, 2, 0, 0), (1, 2, 1, 1), (1, 6, 0, 2), (2, 0, 0, 0)]
