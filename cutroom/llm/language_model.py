@@ -528,6 +528,44 @@ def score(docs: DataFrame, table: DataFrame, base: Base, model: Hmm, shelf: Shel
     )
 
 
+def base_scores(docs: DataFrame) -> DataFrame:
+    """The columns of fit_and_score() that need no HMM: doc_id, held_out, n_tokens, n_known, train_tokens and base_score.
+
+    Frequent words are scored where the text is read; of others each text's counts meet the table of counts by word.
+    """
+    shelf = Shelf(docs.sparkSession)
+    counts = shelf.put(count_words(docs.filter(~is_held_out(F.col("doc_id")))))
+    base = base_model(counts, HEAD, KNOWN)
+    shared = docs.sparkSession.sparkContext.broadcast(base)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unigram = shared.value
+        log10 = np.log10((np.append(unigram.counts, 0) + 0.5) / unigram.whole)
+        for batch, found, begins in _texts(batches, 1):
+            known, at = unigram.lookup(found)
+            add = lambda x: np.add.reduceat(x, begins[:-1])  # noqa: E731, B023
+            places = np.flatnonzero(~known)
+            owner = np.searchsorted(begins, places, side="right") - 1
+            numbers = (np.diff(begins).astype(np.int64), add(known.astype(np.int64)), add(np.where(known, log10[at], 0.0)))
+            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(begins))).astype(np.int32)), pa.array(found[places].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, numbers), rare], names=["doc_id", "n_tokens", "n_frequent", "base_frequent", "rare"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = texts.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, n_frequent bigint, base_frequent double, rare array<bigint>")
+    rows = shelf.put(rows.withColumn("row", F.monotonically_increasing_id()))
+    n = F.coalesce("n", F.lit(0))
+    each = rows.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n_in"))
+    sums = each.join(counts, "word", "left").groupBy("row").agg(
+        F.sum(F.col("n_in") * F.log10((n + 0.5) / F.lit(float(base.whole)))).alias("base_rare"), F.sum(F.when(n > 0, F.col("n_in")).otherwise(0)).alias("n_rare")
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return rows.select("row", "doc_id", "n_tokens", "n_frequent", "base_frequent").join(sums, "row", "left").select(
+        "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("n_frequent") + zero("n_rare")).cast("bigint").alias("n_known"),
+        F.lit(base.n).cast("bigint").alias("train_tokens"), (F.col("base_frequent") + zero("base_rare")).alias("base_score"),
+    )
+
+
 def fit_and_score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Learns from the rows that are not held out and scores all rows."""
     shelf = Shelf(docs.sparkSession)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cutroom.llm import conversation_trie, exact_dedup, near_dedup, whitening
+from cutroom.llm import conversation_trie, exact_dedup, language_model, near_dedup, whitening
 from cutroom.llm.session import Shelf
 
 DOCS = "doc_id bigint, text string, sender string, place int, group_size string, sha string"
@@ -285,3 +285,16 @@ def test_near_texts_that_are_no_links_are_no_rows(spark, monkeypatch):
         likely += sum(classes[i] != classes[j] and near_dedup._jaccard(*bags[i], *bags[j]) >= 0.74 for j in range(i))
     assert got == classes
     assert likely > 1000 and seen["rows"] < likely / 3
+
+
+def test_base_scores_are_those_of_the_whole_model(spark, monkeypatch):
+    """The base columns, without training the HMM, equal those that the whole operator gives; words beyond the frequent ones meet the table."""
+    draw = random.Random(9)
+    docs = spark.createDataFrame([(i, None if i == 3 else " ".join(f"w{int(draw.expovariate(0.02))}" for _ in range(draw.randrange(60)))) for i in range(120)], "doc_id long, text string")
+    monkeypatch.setattr(language_model, "KNOWN", 40)
+    monkeypatch.setattr(language_model, "HEAD", 20)
+    whole = language_model.fit_and_score(docs, 1)
+    monkeypatch.setattr(language_model, "baum_welch", None)
+    base = language_model.base_scores(docs)
+    rows = lambda df: sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9)) for r in df.select(base.columns).collect())
+    assert rows(base) == rows(whole) and len(base.columns) == 6
