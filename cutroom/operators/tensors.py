@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ SIZES = {"text": 768, "audio": 74, "vision": 35}
 FRAMES_A_SECOND = 100.0
 #: Clips of a stack: about 90 MB of the sizes above.
 STACK = 256
+#: Clips of a batch that aligned() gives: about 6 MB of the sizes above.
+CLIPS = 16
 
 
 def by_word(frames: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -46,10 +49,9 @@ def aligned(modalities: dict[str, DataFrame], words: DataFrame, sizes: dict[str,
     rows = reduce(DataFrame.unionByName, parts, spoken)
     names, kind = list(modalities), rows.schema["clip_id"].dataType.simpleString()
 
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by("at")
+    def one(clip: Iterator[tuple]) -> tuple[int, list[np.ndarray]]:
         held: dict[str, list] = {}
-        for name, values in zip(group["kind"].to_pylist(), group["values"].to_pylist(), strict=True):
+        for _, name, _, values in clip:
             held.setdefault(name, []).append(values)
         spans, made = npy.rectangle(held.get(""), 2), []
         for name in names:
@@ -59,21 +61,36 @@ def aligned(modalities: dict[str, DataFrame], words: DataFrame, sizes: dict[str,
             out = np.zeros((steps, sizes[name]))
             out[: min(steps, len(frames))] = frames[:steps]
             out[~np.isfinite(out)] = 0.0
-            made.append(npy.nested([out]))
-        return pa.Table.from_arrays([pa.array([key[0].as_py()], group.schema.field("clip_id").type), pa.array([len(spans)], pa.int32()), *made], names=["clip_id", "n_words", *names])
+            made.append(out)
+        return len(spans), made
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: list[pa.DataType] = []
+
+        def given() -> Iterator[tuple]:
+            for batch in batches:
+                kinds[:] = [batch.schema.field(0).type]
+                yield from zip(*(column.to_pylist() for column in batch.columns), strict=True)
+
+        clips = ((key, *one(rows)) for key, rows in groupby(given(), lambda row: row[0]))
+        while done := list(islice(clips, CLIPS)):
+            ids, n, made = zip(*done, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kinds[0]), pa.array(n, pa.int32()), *(npy.nested([m[i] for m in made]) for i in range(len(names)))], names=["clip_id", "n_words", *names])
 
     matrices = ", ".join(f"{n} array<array<double>>" for n in names)
-    return rows.groupBy("clip_id").applyInArrow(run, f"clip_id {kind}, n_words int, {matrices}")
+    met = rows.repartition("clip_id").sortWithinPartitions("clip_id", F.col("at").asc_nulls_last())
+    return met.mapInArrow(run, f"clip_id {kind}, n_words int, {matrices}")
 
 
-def write_stacks(clips: DataFrame, folder: str, split: str = "split", modalities: tuple[str, ...] = tuple(SIZES), most: int = STACK) -> DataFrame:
+def write_stacks(clips: DataFrame, folder: str, split: str = "split", modalities: tuple[str, ...] = tuple(SIZES), most: int = STACK, sizes: DataFrame | None = None) -> DataFrame:
     """Writes clips' matrices as stacks (clips x steps x size), about `most` clips each, whatever the sizes of splits: split, part, modality, path, shape and total of each file.
 
     A split's clips are dealt to its parts by a hash of clip_id, and each part is one task's, in order of clip_id, whose
     stack beside the others (`clip_id`) names its rows. A repeated task writes the same files again. Nothing is written
-    before the result is read.
+    before the result is read. sizes: (split, count) of the clips, where that is known without making their matrices.
     """
-    counts = sorted(((r[0], r[1]) for r in clips.groupBy(split).count().collect()), key=lambda r: str(r[0]))
+    found = clips.groupBy(split).count() if sizes is None else sizes
+    counts = sorted(((r[0], r[1]) for r in found.collect()), key=lambda r: str(r[0]))
     if not counts:
         return clips.sparkSession.createDataFrame([], "split string, part int, modality string, path string, shape array<int>, total double")
     parts = [(name, -(-n // most)) for name, n in counts]

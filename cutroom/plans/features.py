@@ -142,7 +142,9 @@ _SPLIT = "case when {0} % 10 < 7 then 'train' when {0} % 10 < 8 then 'val' else
 @query("tensor_stacks", f"WITH {_ALIGNED}, s AS (SELECT {_SPLIT.format('vec_id')} AS split, count(*) AS n FROM q GROUP BY 1) SELECT s.split, d.modality, s.n, d.width, round(coalesce(total, 0), 5) AS total FROM s, (VALUES ('text', 6), ('audio', 3), ('vision', 1)) d(modality, width) LEFT JOIN (SELECT {_SPLIT.format('vec_id')} AS split, modality, sum(x) AS total FROM (SELECT vec_id, modality, x FROM f WHERE (modality = 'text' OR words = 0 OR words = n) AND pos < 5 UNION ALL SELECT f.vec_id, modality, avg(x) FROM f JOIN w ON w.vec_id = f.vec_id AND modality <> 'text' AND words <> n AND pos >= least(n, floor(a * 100.0::double)) AND pos < least(n, floor(least(n / 100.0::double, b) * 100.0::double)) GROUP BY f.vec_id, modality, w, i) GROUP BY ALL) z ON z.split = s.split AND z.modality = d.modality")
 def _(t):
     clips = _aligned(t).withColumn("split", F.expr(_SPLIT.format("clip_id")))
-    made = cut(tensors.write_stacks(clips, _folder(t), modalities=tuple(_SIZES), most=50)).filter("modality <> 'clip_id'")
+    # every vector is one clip, so splits are counted without aligning the clips a second time
+    sizes = t("embeddings").select(F.expr(_SPLIT.format("vec_id")).alias("split"), "vec_id").distinct().groupBy("split").count()
+    made = cut(tensors.write_stacks(clips, _folder(t), modalities=tuple(_SIZES), most=50, sizes=sizes)).filter("modality <> 'clip_id'")
     return made.groupBy("split", "modality").agg(F.sum(c("shape")[0]).alias("n"), F.max(c("shape")[2]).alias("width"), F.round(F.sum("total"), 5).alias("total"))
 
 

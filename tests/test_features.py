@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cutroom import plans
 from cutroom.functions import scoring, vectors
 from cutroom.functions.numbers import fixed
 from cutroom.operators import frames, retries, scores, selection, state, tensors
@@ -292,3 +293,18 @@ def test_template_scores_are_sums_in_order_of_place():
     assert got.tolist() == [[loop(x.tolist(), y.tolist()) for y in templates] for x in rows]
     assert got[:3].tolist() == scores.similarities(rows[:3], templates).tolist()
     assert scores.similarities(np.zeros((2, 64)), templates).tolist() == [[0.0] * 4] * 2
+
+
+def test_stacks_are_counted_without_aligning_twice(spark, monkeypatch):
+    """tensor_stacks knows its splits' sizes from the ids, and clips are aligned in batches, not one call a clip."""
+    written = tensors.write_stacks
+    seen = {}
+
+    def counted(clips, folder, **more):
+        seen.update(more, plan=clips._jdf.queryExecution().optimizedPlan().toString())
+        return written(clips, folder, **more)
+
+    monkeypatch.setattr(tensors, "write_stacks", counted)
+    assert plans.QUERIES["tensor_stacks"](spark, "/root/testdata/sf0.001").count() == 9
+    assert {r.split: r["count"] for r in seen["sizes"].collect()}.keys() == {"train", "val", "test"}
+    assert "FlatMapGroupsInArrow" not in seen["plan"] and "MapInArrow" in seen["plan"]
