@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..conf import DEFAULT, CurationConf
 from ..functions.numbers import fixed
+from ..session import cut
 from .ranks import ranked_within
 
 BUCKET_MS = 60_000
@@ -242,19 +243,21 @@ def smart_segments(samples: DataFrame, speech: DataFrame, scene: str, conf: Cura
     silent = bounds.filter(F.col("scene_end") - F.col("scene_start") >= conf.clip_min_ms).join(runs.select(scene).distinct(), scene, "left_anti")
     heard = silent.join(talk, scene).filter((F.col("b_end") > F.col("scene_start")) & (F.col("b_start") < F.col("scene_end")) & (F.col("b_end") > F.col("b_start")))
     runs = runs.union(heard.select(scene, F.col("scene_start"), F.col("scene_end")).distinct())
-    runs = runs.select(scene, F.concat_ws(":", scene, "start").alias("a_id"), F.col("start").alias("a_start"), F.col("end").alias("a_end"))
+    # what several later joins read is written once
+    runs = cut(runs.select(scene, F.concat_ws(":", scene, "start").alias("a_id"), F.col("start").alias("a_start"), F.col("end").alias("a_end")))
     moved = dialogue_refined(runs, talk, scene, conf).join(runs.select("a_id", scene), "a_id").join(bounds, scene)
     moved = moved.withColumns({"start": F.greatest("start", "scene_start"), "end": F.least("end", "scene_end")}).filter("end > start")
     said = speech.groupBy(scene).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("speech"))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    cut = enforced(moved.join(said, scene, "left").withColumn("speech", F.coalesce("speech", none)).select(scene, "start", "end", "speech"), conf)
-    cut = cut.filter(F.col("end") - F.col("start") >= conf.clip_min_ms)
-    pieces = cut.select(scene, F.concat_ws(":", scene, "start", "end").alias("a_id"), F.col("start").alias("a_start"), F.col("end").alias("a_end")).distinct()
+    parts = enforced(moved.join(said, scene, "left").withColumn("speech", F.coalesce("speech", none)).select(scene, "start", "end", "speech"), conf)
+    parts = parts.filter(F.col("end") - F.col("start") >= conf.clip_min_ms)
+    pieces = cut(parts.select(scene, F.concat_ws(":", scene, "start", "end").alias("a_id"), F.col("start").alias("a_start"), F.col("end").alias("a_end")).distinct())
     faces = sample_coverage(pieces, samples.select(scene, "ts", "n_faces"), scene).withColumnRenamed("coverage", "face")
     rows = pieces.join(faces, "a_id").join(coverage(pieces, talk, scene).withColumnRenamed("coverage", "speech"), "a_id")
     length = F.col("a_end") - F.col("a_start")
     rows = rows.filter(~((F.col("face") < 0.70) & (F.col("speech") < 0.6))).withColumn("quality_hint", quality_hint(F.col("face"), F.col("speech"), length, conf))
     rows = rows.withColumns({c: fixed(F.col(c), 3).cast("double") for c in ("face", "speech")}).withColumn("rank", rank(F.col("face"), F.col("speech"), length, conf))
+    rows = cut(rows)
     kept = adjacent_dedup(rows.select(scene, F.xxhash64("a_id").alias("id"), F.col("a_start").alias("start"), F.col("a_end").alias("end"), "rank"), scene)
     return kept.join(rows.select(F.xxhash64("a_id").alias("id"), "face", "speech", "quality_hint"), "id").select(scene, "start", "end", "face", "speech", "rank", "quality_hint")
 
