@@ -13,7 +13,8 @@ character put in, taken out or replaced). Equal lines are grouped by hash. For t
    distance of the blocks is verified, and all but the earliest line are dropped.
 
 A group of equal variants at one place has at most as many lines as there are characters, so no group
-grows with the data; counts and minima are made before rows are shuffled.
+grows with the data; counts and minima are made before rows are shuffled. Lines are shuffled by their hashes;
+texts are read again, and only those of lines that share a half with another are shuffled.
 
 Lines are compared after trimming white space. Blank lines and null texts have nothing to compare and
 stay. Lines of any length are compared, however short; `min_chars` leaves shorter ones to be compared for
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import Shelf, original
+from .session import Shelf, apart, original
 
 BLOCK = 32
 #: Characters beyond which a line's surroundings are put together from hashes of its blocks.
@@ -69,7 +70,7 @@ def _halves() -> Column:
     """Keys of the halves by which a line meets one as long or longer, and one that is shorter."""
     n = F.char_length("line")
     sizes = [F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")]
-    return F.array_distinct(F.array(*(F.hash(F.lit(tag), m, side(m)) for m in sizes for tag, side in (("left", _left), ("right", _right)))))
+    return F.array_distinct(F.array(*(F.xxhash64(F.lit(tag), m, side(m)) for m in sizes for tag, side in (("left", _left), ("right", _right)))))
 
 
 def _blocks() -> Column:
@@ -132,12 +133,26 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(rows.groupBy(key).agg(F.count("*").alias("__n")).filter("__n > 1").select(key), key, "left_semi")
 
 
-def near_lines(first: DataFrame, shelf: Shelf, min_chars: int = 0) -> DataFrame:
-    """(h1, h2) of distinct lines with an earlier line within one edit, and the earliest such (by). first: h1, h2, line and order of each distinct line's first place."""
-    some = first.filter(F.char_length("line") >= min_chars)
-    halves = some.select(*_line, F.explode(_halves()).alias("half"))
-    likely = _shared(halves, "half").select(*_line).distinct()
-    texts = some.join(likely, _line)
+def _keys(lines: DataFrame, min_chars: int) -> DataFrame:
+    """k1, k2, order, h1, h2, n_chars and halves (null of lines under min_chars) of each line: what is grouped and joined instead of texts."""
+    n = F.char_length("line")
+    return lines.select(*_document, "order", *_line, n.alias("n_chars"), F.when(n >= min_chars, _halves()).alias("halves"))
+
+
+def _likely(lines: DataFrame, keys: DataFrame, shelf: Shelf) -> DataFrame:
+    """h1, h2, line and order (the first place) of each distinct line that shares a half with another, and of few others."""
+    halves = keys.select("h1", F.explode("halves").alias("half"))
+    shared = shelf.put(halves.groupBy("half").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).filter("least < most").select("half"))
+    own = F.col("h1")
+    likely = shelf.put(apart(halves, F.col("half"), shared, F.col("half"))[1].join(shared, "half", "left_semi").select("h1").distinct())
+    texts = shelf.put(apart(lines, own, likely, own)[1].groupBy(*_line).agg(F.min("order").alias("order"), F.first("line").alias("line")))
+    shelf.free(shared, likely)
+    return texts
+
+
+def near_lines(lines: DataFrame, keys: DataFrame, shelf: Shelf) -> DataFrame:
+    """(h1, h2) of distinct lines with an earlier line within one edit, and the earliest such (by). keys: of lines, by _keys()."""
+    texts = _likely(lines, keys, shelf)
     short = texts.filter(F.char_length("line") <= LONG + 1).select(*_line, "order", F.explode(_blocks()).alias("b")).select(*_line, "order", "b.*")
     blocks = shelf.put(short.union(_long_blocks(texts)))
     variants = shelf.put(_shared(blocks, "place").select(*_line, "order", "role", "block", F.explode(_variants()).alias("v")).select(*_line, "order", "role", "block", "v.*"))
@@ -154,7 +169,7 @@ def near_lines(first: DataFrame, shelf: Shelf, min_chars: int = 0) -> DataFrame:
 
     found = a.union(sides[0]).union(sides[1]).filter((F.col("by") < F.col("order")) & within)
     near = shelf.put(found.groupBy(*_line).agg(F.min("by").alias("by")))
-    shelf.free(blocks, variants)
+    shelf.free(texts, blocks, variants)
     return near
 
 
@@ -162,16 +177,18 @@ def dropped_lines(docs: DataFrame, min_chars: int = 0) -> DataFrame:
     """k1, k2, line_no, n_chars, reason (`exact` or `near`) and kept_doc, kept_line (where the earlier line stands) of each dropped line, once a document."""
     shelf = Shelf(docs.sparkSession)
     lines = _lines(docs)
-    first = shelf.put(lines.groupBy(*_line).agg(F.min("order").alias("order"), F.count("*").alias("n"), F.first("line").alias("line")))
-    near = near_lines(first, shelf, min_chars)
+    keys = shelf.put(_keys(lines, min_chars))
+    near = near_lines(lines, keys, shelf)
+    first = keys.groupBy(*_line).agg(F.min("order").alias("first"), F.count("*").alias("n"))
     # written first, so that the join's inputs are shuffles alone, which AQE splits where a line is frequent
-    verdict = shelf.put(first.join(near, _line, "left").filter("n > 1 OR by IS NOT NULL").select(*_line, F.col("order").alias("first"), "by"))
-    shelf.free(first, near)
-    rows = lines.select(*_document, "order", *_line, F.char_length("line").alias("n_chars")).join(verdict, _line)
+    verdict = shelf.put(first.join(near, _line, "left").filter("n > 1 OR by IS NOT NULL").select(*_line, "first", "by"))
+    rows = apart(keys.drop("halves"), F.col("h1"), verdict, F.col("h1"))[1].join(verdict, _line)
     exact = F.col("first") < F.col("order")
     rows = rows.filter(exact | F.col("by").isNotNull())
     kept = F.coalesce("by", "first")
-    return rows.select(*_document, F.col("order.line_no").alias("line_no"), "n_chars", F.when(exact, "exact").otherwise("near").alias("reason"), kept["doc_id"].alias("kept_doc"), kept["line_no"].alias("kept_line")).dropDuplicates([*_document, "line_no"])
+    out = shelf.put(rows.select(*_document, F.col("order.line_no").alias("line_no"), "n_chars", F.when(exact, "exact").otherwise("near").alias("reason"), kept["doc_id"].alias("kept_doc"), kept["line_no"].alias("kept_line")).dropDuplicates([*_document, "line_no"]))
+    shelf.free(keys, near, verdict)
+    return out
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 0) -> DataFrame:

@@ -245,6 +245,38 @@ def test_near_lines_of_a_million_characters(spark):
     assert got == want
 
 
+def shuffled(spark, act):
+    """act's result, and the bytes that its stages wrote to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    before = written()
+    out = act()
+    return out, sum(n for k, n in written().items() if k not in before)
+
+
+@pytest.mark.parametrize("size", [300, 3000])
+def test_lines_like_no_other_are_not_shuffled(spark, size):
+    """Texts of lines that share no half with another line, or are only equal to others, stay where they are read."""
+    from cutroom.llm import line_dedup
+
+    rng = random.Random(21)
+    letters = "".join(map(chr, range(48, 112)))
+    lines = ["".join(rng.choices(letters, k=size)) for _ in range(1_200_000 // size)]
+    rows = [(i, "\n".join(lines[i::100])) for i in range(100)]
+    rows += [(100, rows[7][1] + "\nnew"), (101, lines[0][:40] + "~" + lines[0][41:]), (102, lines[1] + "~"), (103, lines[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, moved = shuffled(spark, lambda: {r.doc_id: (r.n_exact, r.n_near) for r in line_dedup.digest(docs).collect()})
+    found = {100: (len(lines[7::100]), 0), 101: (0, 1), 102: (0, 1), 103: (1, 0)}
+    assert got == {d: found.get(d, (0, 0)) for d, _ in rows}
+    # hashes of 300 characters take a third of them at most
+    assert moved < sum(len(t) for _, t in rows) / 2
+
+
 def test_near_texts_that_are_no_links_are_no_rows(spark, monkeypatch):
     """Texts near to all of a large group, but to none enough, are compared with it without a row for each pair."""
     draw, seen = random.Random(3), {}
